@@ -7,7 +7,7 @@ zone never matters, and out-of-range days or hours roll over instead of failing.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from timberline.functions.text import NON_WS, WS, trim
+from timberline.functions.text import NON_WS, WS, matches, trim
 
 # Fixed values.
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
@@ -23,6 +23,10 @@ _RFC_2822 = (
     rf"^(?:[A-Z][a-z]{{2}},?{WS}+)?(\d{{1,2}}){WS}+([A-Z][a-z]{{2}}){WS}+(\d{{4}}){WS}+"
     rf"(\d{{2}}):(\d{{2}}):(\d{{2}})(?:{WS}+(GMT|UTC|Z|[+-]\d{{4}}))?\z"
 )
+_CANDIDATE = (
+    rf"^{WS}*+(?:\d{{10,13}}{WS}*\z|\d{{4}}[-/]\d\d[-/]\d\d|\d{{1,2}}{WS}+[A-Z][a-z]{{2}}{WS}"
+    rf"|[A-Z][a-z]{{2}},?{WS}+\d)"
+)
 
 
 def iso_text(millis: Column) -> Column:
@@ -90,7 +94,7 @@ def access_seconds(time_local: Column) -> Column:
         piece(13, 2),
         piece(16, 2),
     ) - _zone_seconds(F.right(time_local, F.lit(5)))
-    return F.when(time_local.rlike(_ACCESS_TIME), seconds)
+    return F.when(matches(time_local, _ACCESS_TIME), seconds)
 
 
 def utc_seconds(moment: Column) -> Column:
@@ -129,7 +133,7 @@ def epoch_millis(digits: Column) -> Column:
 
 def time_candidate(line: Column) -> Column:
     """The trimmed line if it can hold a timestamp at all, else NULL: a cheap first test."""
-    return F.when(line.rlike(rf"^{WS}*(?:\d|[A-Z][a-z]{{2}},?{WS}+\d)"), trim(line))
+    return F.when(matches(line, _CANDIDATE), trim(line))
 
 
 def best_effort_millis(text: Column, now: Column) -> Column:
@@ -159,10 +163,10 @@ def best_effort_millis(text: Column, now: Column) -> Column:
     return (
         F.when(text.rlike(_EPOCH), epoch)
         .when(text.rlike(_ISO), F.when(day_ok & clock_ok, dated - _zone_seconds(zone) * 1000 + fraction))
-        .when(text.rlike(_SYSLOG_PREFIX), syslog * 1000)
+        .when(matches(text, _SYSLOG_PREFIX), syslog * 1000)
         .when(text.rlike(_DATE_TIME), F.when(day_ok & clock_ok, dated))
         .when(text.rlike(_DATE), F.when(day_ok, date_only))
-        .when(text.rlike(_RFC_2822), mail * 1000)
+        .when(matches(text, _RFC_2822), mail * 1000)
     )
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.text import NON_WS, WS, blank_to_null, capture, dash_to_null
+from timberline.functions.text import NON_WS, WS, blank_to_null, capture, dash_to_null, matches
 from timberline.functions.times import access_seconds, iso_seconds
 from timberline.operators.frame import project
 
@@ -14,18 +14,17 @@ _BODY = (
     rf'(\d{{3}}){WS}++(\d++|-)(?:{WS}++"([^"]*+)"{WS}++"([^"]*+)")?{WS}*+\z'
 )
 NGINX_LINE = "^" + _BODY
-VHOST_LINE = rf"^{NON_WS}++{WS}++{_BODY}"
 APACHE_LINE = rf"^(?:{NON_WS}++{WS}++)?{_BODY}"
 
 _ADDR, _USER, _TIME, _REQUEST, _STATUS, _BYTES, _REFERER, _AGENT = 1, 3, 4, 5, 6, 7, 8, 9
 
 
 def is_nginx(raw: Column) -> Column:
-    return raw.rlike(NGINX_LINE)
+    return matches(raw, NGINX_LINE)
 
 
 def is_apache(raw: Column) -> Column:
-    return raw.rlike(APACHE_LINE)
+    return matches(raw, APACHE_LINE)
 
 
 def split_request(request: Column) -> dict[str, Column]:
@@ -51,7 +50,7 @@ def split_request(request: Column) -> dict[str, Column]:
 
 def _parse(lines: DataFrame, pattern: str) -> DataFrame:
     wanted = [_ADDR, _USER, _TIME, _REQUEST, _STATUS, _BYTES, _REFERER, _AGENT]
-    matched = lines.filter(F.col("raw").rlike(pattern)).withColumn("_f", capture(F.col("raw"), pattern, wanted))
+    matched = lines.filter(matches(F.col("raw"), pattern)).withColumn("_f", capture(F.col("raw"), pattern, wanted))
     addr, user, time, request, status, sent, referer, agent = [F.col("_f")[i] for i in range(len(wanted))]
     matched = matched.withColumn("_s", access_seconds(time))
     parts = split_request(request)

@@ -4,7 +4,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from timberline.functions.json_text import any_text, json_object, kind_of, value_at
+from timberline.functions.json_text import (
+    any_text,
+    bind,
+    is_number,
+    json_object,
+    keep_present,
+    let,
+    value_at,
+)
 from timberline.functions.text import INLINE_WS, WS, has_text, lenient_int, starts_indented, trim
 from timberline.functions.times import epoch_millis, iso_text
 from timberline.operators.frame import project
@@ -31,17 +39,27 @@ def is_key_line(raw: Column) -> Column:
     return raw.rlike(KEY_LINE)
 
 
-def has_journald_key(doc: Column, with_message: bool) -> Column:
+def _has_key(doc: str, with_message: bool) -> str:
     keys = [key for key in FIELDS.values() if with_message or key != "MESSAGE"]
-    found = F.lit(False)
-    for key in keys:
-        found = found | value_at(doc, [key]).isNotNull()
-    return found
+    return "(" + " OR ".join(f"{value_at(doc, [key])} IS NOT NULL" for key in keys) + ")"
+
+
+def _journald_object(text: Column, with_message: bool) -> Column:
+    """Whether the text is a JSON object with a journal field; a null one counts."""
+
+    def has_key(doc: Column) -> Column:
+        found = F.lit(False)
+        for key in FIELDS.values():
+            if with_message or key != "MESSAGE":
+                found = found | F.try_variant_get(doc, f"$['{key}']", "variant").isNotNull()
+        return found
+
+    return F.coalesce(let(json_object(text), has_key), F.lit(False))
 
 
 def is_journald(raw: Column) -> Column:
     """One line of an export, as the detector sees it."""
-    return is_key_line(raw) | F.coalesce(has_journald_key(json_object(raw), with_message=False), F.lit(False))
+    return is_key_line(raw) | _journald_object(raw, with_message=False)
 
 
 def assemble_journald(lines: DataFrame, strict_blocks: bool = False) -> DataFrame:
@@ -84,7 +102,7 @@ def _folded(record: Column) -> Column:
     return F.split(F.regexp_replace(text, rf"\n{INLINE_WS}+", _FOLD), "\n")
 
 
-def is_key_record(raw: Column) -> Column:
+def _all_named(lines: Column) -> Column:
     """Whether every line that should name a key has a '='."""
 
     def named(line: Column) -> Column:
@@ -95,7 +113,11 @@ def is_key_record(raw: Column) -> Column:
             F.contains(F.substring_index(line, _FOLD, 1), F.lit("="))
         )
 
-    return F.forall(_folded(raw), named)
+    return F.forall(lines, named)
+
+
+def is_key_record(raw: Column) -> Column:
+    return _all_named(_folded(raw))
 
 
 def _opens_json(raw: Column) -> Column:
@@ -103,44 +125,52 @@ def _opens_json(raw: Column) -> Column:
 
 
 def is_journald_record(raw: Column) -> Column:
-    as_json = F.coalesce(has_journald_key(json_object(trim(raw)), with_message=True), F.lit(False))
+    as_json = _journald_object(trim(raw), with_message=True)
     return has_text(raw) & F.when(_opens_json(raw), as_json).otherwise(is_key_record(raw))
 
 
-def _variant_int(value: Column) -> Column:
-    kind = kind_of(value)
-    return F.when(kind == "number", F.try_variant_get(value, "$", "bigint")).when(
-        kind == "string", lenient_int(F.try_variant_get(value, "$", "string"))
+def _integer_text(value: str) -> str:
+    return bind(
+        value,
+        "v",
+        bind(
+            "schema_of_variant(v)",
+            "k",
+            f"""CASE WHEN {is_number("k")} THEN string(try_variant_get(v, '$', 'bigint'))
+                WHEN k = 'STRING' THEN try_variant_get(v, '$', 'string') END""",
+        ),
     )
 
 
 def parse_journald(records: DataFrame) -> DataFrame:
     """Records, either one JSON object or ``KEY=value`` lines, as the journald columns."""
-    kept = records.filter(is_journald_record(F.col("raw")))
     raw = F.col("raw")
-    split = kept.withColumn("_doc", F.when(_opens_json(raw), json_object(trim(raw)))).withColumn(
-        "_lines", F.when(~_opens_json(raw), _folded(raw))
+    split = records.withColumns(
+        {
+            "_doc": F.when(_opens_json(raw), json_object(trim(raw))),
+            "_lines": F.when(has_text(raw) & ~_opens_json(raw), _folded(raw)),
+        }
     )
-
-    def field(name: str) -> Column:
-        """The text after the last ``name=`` line; continuation lines lose their indent."""
-        last = F.try_element_at(
-            F.filter("_lines", lambda line: line.startswith(name + "=")), F.lit(-1)
-        )
-        return F.translate(F.substring(last, F.lit(len(name) + 2), F.length(last)), _FOLD, "\n")
+    lines = F.col("_lines")
 
     def member(column: str, key: str) -> Column:
-        value = value_at(F.col("_doc"), [key])
-        return _variant_int(value).cast("string") if column in ("pid", "priority") else any_text(value)
+        value = value_at("_doc", [key])
+        return F.expr(_integer_text(value) if column in ("pid", "priority") else any_text(value))
+
+    def after_key(name: str) -> Column:
+        """The text after the last ``name=`` line; continuation lines lose their indent."""
+        last = F.try_element_at(F.filter(lines, lambda line: line.startswith(name + "=")), F.lit(-1))
+        return F.translate(F.substr(last, F.lit(len(name) + 2)), _FOLD, "\n")
 
     values = F.when(
-        F.col("_doc").isNotNull(), F.array(*[member(column, key) for column, key in FIELDS.items()])
-    ).otherwise(F.array(*[field(key) for key in FIELDS.values()]))
-    split = split.withColumn("_values", values)
+        F.expr(_has_key("_doc", with_message=True)),
+        F.array(*[member(column, key) for column, key in FIELDS.items()]),
+    ).when(_all_named(lines), F.array(*[after_key(key) for key in FIELDS.values()]))
+    kept = keep_present(split, values, "_values")
     value = {column: F.col("_values")[i] for i, column in enumerate(FIELDS)}
-    split = split.withColumn("_ms", epoch_millis(value["timestamp"]))
+    kept = kept.withColumn("_ms", epoch_millis(value["timestamp"]))
     return project(
-        split,
+        kept,
         [
             ("timestamp", iso_text(F.col("_ms"))),
             ("priority", lenient_int(value["priority"])),

@@ -5,9 +5,21 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.json_text import json_object, kind_of, leaf_text, value_at
+from timberline.functions.json_text import (
+    bind,
+    is_number,
+    json_object,
+    json_objects,
+    kind_name,
+    kind_of,
+    leaf_text,
+    literal,
+    number_text,
+    text_of,
+    value_at,
+)
 from timberline.functions.keys import column_order, sanitize_key, sanitized
-from timberline.operators.frame import passthrough, project
+from timberline.operators.frame import project
 
 # Keys that fill the promoted columns, in order of preference.
 TIMESTAMP_KEYS = ["@timestamp", "timestamp", "time", "ts"]
@@ -16,6 +28,8 @@ MESSAGE_KEYS = ["message", "msg"]
 PROMOTED = {"timestamp": TIMESTAMP_KEYS, "level": LEVEL_KEYS, "message": MESSAGE_KEYS}
 ALIASES = sorted({sanitized([key]) for keys in PROMOTED.values() for key in keys})
 
+# What the values of a path can be; float is any number not written as an integer.
+KINDS = ["string", "array", "empty", "boolean", "number", "float", "fraction"]
 MAX_COLUMNS = 2000
 _FIRST_DEPTH = 8
 
@@ -29,10 +43,9 @@ def is_json(raw: Column) -> Column:
 
 def _leaves(lines: DataFrame, depth: int) -> DataFrame:
     """One row per leaf after opening ``depth`` levels of objects."""
-    keep = passthrough(lines)
-    level = lines.select(*keep, F.array().cast("array<string>").alias("path"), json_object(F.col("raw")).alias("val"))
-    level = level.filter(F.col("val").isNotNull()).drop("raw") if "line_no" in keep else level.filter("val is not null")
-    keep = [name for name in level.columns if name not in ("path", "val")]
+    keep = [name for name in ("file", "line_no") if name in lines.columns]
+    objects = json_objects(lines.select(*keep, "raw"))
+    level = objects.select(*keep, F.array().cast("array<string>").alias("path"), F.col("_doc").alias("val"))
     for n in range(depth):
         members = F.try_variant_get("val", "$", "map<string,variant>")
         opened = level.select(*keep, "path", "val", F.explode_outer(members).alias("_key", "_member"))
@@ -47,7 +60,7 @@ def _leaves(lines: DataFrame, depth: int) -> DataFrame:
 
 
 def _with_kind(leaves: DataFrame) -> DataFrame:
-    return leaves.withColumn("kind", kind_of(F.col("val")))
+    return leaves.withColumn("type", F.schema_of_variant("val")).withColumn("kind", F.expr(kind_name("type")))
 
 
 def flatten_json(lines: DataFrame) -> DataFrame:
@@ -62,7 +75,7 @@ def flatten_json(lines: DataFrame) -> DataFrame:
     return leaves.select(
         *keep,
         sanitize_key(F.array_join("path", "_")).alias("key"),
-        leaf_text(F.col("val"), F.col("kind")).alias("value"),
+        F.expr(text_of("val", "type")).alias("value"),
         F.when(F.col("kind") == "empty", "object").otherwise(F.col("kind")).alias("kind"),
     )
 
@@ -114,6 +127,7 @@ def _path_kinds(lines: DataFrame, depth: int) -> DataFrame:
             F.bool_or(F.col("kind") == "boolean").alias("boolean"),
             F.bool_or(is_number).alias("number"),
             F.bool_or(is_number & (number != F.floor(number))).alias("fraction"),
+            F.bool_or(is_number & (F.col("type") != "BIGINT")).alias("float"),
             F.bool_or(is_number & (F.abs(number) >= 2.0**63)).alias("huge"),
         )
     )
@@ -142,7 +156,9 @@ def discover_columns(lines: DataFrame, max_columns: int = MAX_COLUMNS) -> JsonCo
     """The inferred columns with their paths; only the distinct paths reach the driver."""
     depth = _FIRST_DEPTH
     while True:
-        rows = _path_kinds(lines, depth).limit(4 * max_columns + 1).collect()
+        # The filter keeps the limit off the top of the plan, where it would run partition by partition.
+        found_paths = _path_kinds(lines, depth).limit(4 * max_columns + 1).filter(F.col("path").isNotNull())
+        rows = found_paths.collect()
         if not any(row["object"] for row in rows):
             break
         depth *= 2
@@ -152,7 +168,7 @@ def discover_columns(lines: DataFrame, max_columns: int = MAX_COLUMNS) -> JsonCo
         name = sanitized(row["path"])
         column = found.setdefault(name, JsonColumn(name, "TEXT"))
         column.paths.append(list(row["path"]))
-        column.kinds |= {k for k in ("string", "array", "empty", "boolean", "number", "fraction") if row[k]}
+        column.kinds |= {k for k in KINDS if row[k]}
         column.huge |= row["huge"]
         column.nested |= tuple(row["path"]) in opened
     for column in found.values():
@@ -169,106 +185,98 @@ def discover_columns(lines: DataFrame, max_columns: int = MAX_COLUMNS) -> JsonCo
 # ----------------------------------------------------------------- project
 
 
-def _key_position(raw: Column, path: list[str], depth: int) -> Column:
+def _json_path(path: list[str]) -> str:
+    return literal("$" + "".join(f"['{key}']" for key in path))
+
+
+def _key_position(path: list[str], depth: int) -> str:
     """Where the key at ``depth`` of ``path`` stands among its siblings in the line."""
-    inside = raw if depth == 0 else F.get_json_object(raw, "$" + "".join(f"['{key}']" for key in path[:depth]))
-    return F.array_position(F.json_object_keys(inside), F.lit(path[depth]))
+    inside = "raw" if depth == 0 else f"get_json_object(raw, {_json_path(path[:depth])})"
+    return f"array_position(json_object_keys({inside}), {literal(path[depth])})"
 
 
-def _latest(raw: Column, doc: Column, paths: list[list[str]]) -> Column:
+def _latest(paths: list[list[str]]) -> str:
     """The value of whichever path comes last in the text of the line."""
     if len(paths) == 1:
-        return value_at(doc, paths[0])
+        return value_at("_doc", paths[0])
     candidates = []
     for n, path in enumerate(paths):
-        value = value_at(doc, path)
         # A non-empty object is no leaf: its members have columns of their own.
-        position = F.when(
-            value.isNotNull() & ~F.coalesce(kind_of(value) == "object", F.lit(False)),
-            F.array(*[_key_position(raw, path, depth) for depth in range(len(path))]),
-        )
-        candidates.append(F.struct(position.alias("at"), F.lit(n).alias("n")))
-    last = F.array_max(F.array(*candidates))
-    chosen = F.when(last["at"].isNotNull() & (last["n"] == 0), value_at(doc, paths[0]))
-    for n, path in enumerate(paths[1:], start=1):
-        chosen = chosen.when(last["at"].isNotNull() & (last["n"] == n), value_at(doc, path))
-    return chosen
+        leaf = f"coalesce({kind_of(value_at('_doc', path))} <> 'object', false)"
+        places = ", ".join(_key_position(path, depth) for depth in range(len(path)))
+        candidates.append(f"named_struct('at', CASE WHEN {leaf} THEN array({places}) END, 'n', {n})")
+    picks = " ".join(f"WHEN c.at IS NOT NULL AND c.n = {n} THEN {value_at('_doc', p)}" for n, p in enumerate(paths))
+    return bind(f"array_max(array({', '.join(candidates)}))", "c", f"CASE {picks} END")
 
 
-def _array_text(raw: Column, value: Column, paths: list[list[str]]) -> Column:
+def _array_text(paths: list[list[str]]) -> str:
     """An array as JSON; where it holds objects, as written, since VARIANT sorts their keys."""
-    text = F.to_json(value)
     if len(paths) > 1 or any("'" in key for key in paths[0]):
-        return text
-    written = F.get_json_object(raw, "$" + "".join(f"['{key}']" for key in paths[0]))
-    return F.when(F.contains(text, F.lit("{")), F.coalesce(written, text)).otherwise(text)
+        return "to_json(a)"
+    written = f"get_json_object(raw, {_json_path(paths[0])})"
+    return f"CASE WHEN contains(to_json(a), '{{') THEN coalesce({written}, to_json(a)) ELSE to_json(a) END"
 
 
-def _typed(doc: Column, column: JsonColumn) -> Column | None:
-    """A column that one typed lookup answers, else None."""
-    if len(column.paths) > 1 or "boolean" in column.kinds:
-        return None
-    if column.type != "TEXT":
-        return value_at(doc, column.paths[0], "bigint" if column.type == "INTEGER" else "double")
-    if column.kinds <= {"string"} and not column.nested:
-        return value_at(doc, column.paths[0], "string")
-    return None
-
-
-def _cell(raw: Column, value: Column, kind: Column, column: JsonColumn) -> Column:
+def _cell(column: JsonColumn) -> str:
+    """The SQL of a column: one typed lookup where all its values are alike."""
+    kinds, path = column.kinds, column.paths[0]
+    alone = len(column.paths) == 1 and not column.nested
     if column.type != "TEXT":
         target = "bigint" if column.type == "INTEGER" else "double"
-        if "boolean" not in column.kinds:
-            return F.try_variant_get(value, "$", target)
-        as_bool = F.try_variant_get(value, "$", "boolean").cast("int").cast(target)
-        return F.when(kind == "boolean", as_bool).otherwise(F.try_variant_get(value, "$", target))
-    text = leaf_text(value, kind)
-    if "array" in column.kinds:
-        return F.when(kind == "array", _array_text(raw, value, column.paths)).otherwise(text)
-    return text
+        if len(column.paths) == 1 and "boolean" not in kinds:
+            return value_at("_doc", path, target)
+        if alone and kinds == {"boolean"}:
+            return f"cast(int({value_at('_doc', path, 'boolean')}) AS {target})"
+        flag = f"cast(int(try_variant_get(v, '$', 'boolean')) AS {target})"
+        number = f"try_variant_get(v, '$', '{target}')"
+        return bind(
+            _latest(column.paths), "v", f"CASE WHEN schema_of_variant(v) = 'BOOLEAN' THEN {flag} ELSE {number} END"
+        )
+    if alone and kinds <= {"string", "number"}:
+        return value_at("_doc", path, "string")
+    value = _latest(column.paths)
+    if "array" not in kinds:
+        return leaf_text(value)
+    text = f"CASE WHEN startswith(schema_of_variant(a), 'ARRAY') THEN {_array_text(column.paths)} ELSE {leaf_text('a')} END"
+    return bind(value, "a", text)
 
 
-def _first_alias(doc: Column, keys: list[str]) -> Column:
-    """The first top-level alias holding a text or a number.
+def _promote(target: str, aliases: dict[str, JsonColumn]) -> str:
+    """The first top-level alias holding a text or a number, else the first among the flattened names.
 
-    One holding null ends the search; booleans and nested values are passed over.
+    An alias holding null ends the first search; booleans and nested values are
+    passed over. A message is never made of a boolean or a number in the second.
     """
-    picked = F.lit(None).cast("variant")
-    for key in reversed(keys):
-        value = value_at(doc, [key])
-        kind = F.schema_of_variant(value)
-        usable = kind.isin("STRING", "BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
-        picked = F.when(usable, value).when(kind == "VOID", F.lit(None).cast("variant")).otherwise(picked)
-    return picked
+    keys = PROMOTED[target]
+    names = [n for n in dict.fromkeys(sanitized([key]) for key in keys) if n in aliases and aliases[n].kinds]
+    columns = [replace(aliases[name], type="TEXT") for name in names]
+    plain = {"string"} if target == "message" else {"string", "number", "float", "fraction"}
+    if all(len(c.paths) == 1 and c.paths[0][0] in keys and not c.nested and c.kinds <= plain for c in columns):
+        # Nothing to pass over, so both searches find the same.
+        options = [_cell(c) for c in columns]
+        return f"coalesce({', '.join(options)})" if options else "cast(NULL AS string)"
+    present = [key for key in keys if any([key] in c.paths for c in columns)]
+    picked = "cast(NULL AS string)"
+    for n, key in reversed(list(enumerate(present))):
+        picked = bind(
+            value_at("_doc", [key]),
+            f"p{n}",
+            f"""CASE WHEN schema_of_variant(p{n}) = 'STRING' THEN try_variant_get(p{n}, '$', 'string')
+                WHEN {is_number(f"schema_of_variant(p{n})")} THEN {number_text(f"p{n}")}
+                WHEN schema_of_variant(p{n}) = 'VOID' THEN NULL ELSE {picked} END""",
+        )
+    options = [picked]
+    for column in columns:
+        text = _cell(column)
+        if target == "message" and column.kinds & {"number", "boolean"}:
+            text = f"CASE WHEN {kind_of(_latest(column.paths))} IN ('string', 'array', 'empty') THEN {text} END"
+        options.append(text)
+    return f"coalesce({', '.join(options)})"
 
 
 def parse_json(lines: DataFrame, columns: JsonColumns | None = None) -> DataFrame:
-    """One row per JSON object, with the promoted and the inferred columns.
-
-    Values are looked up first, their kinds next, and text made last: each step
-    is a projection of its own so that no lookup is repeated.
-    """
+    """One row per JSON object, with the promoted and the inferred columns."""
     known = columns or discover_columns(lines)
-    docs = lines.withColumn("_doc", json_object(F.col("raw"))).filter(F.col("_doc").isNotNull())
-    raw, doc = F.col("raw"), F.col("_doc")
-    values = {f"_p_{target}": _first_alias(doc, keys) for target, keys in PROMOTED.items()}
-    values |= {f"_a_{name}": _latest(raw, doc, c.paths) for name, c in known.aliases.items() if c.kinds}
-    plain = {c.name: _typed(doc, c) for c in known.columns}
-    values |= {f"_c_{c.name}": _latest(raw, doc, c.paths) for c in known.columns if plain[c.name] is None}
-    looked = docs.withColumns(values).withColumns({f"{name}_k": kind_of(F.col(f"`{name}`")) for name in values})
-
-    fields = []
-    for target, keys in PROMOTED.items():
-        options = [leaf_text(F.col(f"_p_{target}"), F.col(f"_p_{target}_k"))]
-        for name in dict.fromkeys(sanitized([key]) for key in keys):
-            if f"_a_{name}" in values:
-                kind = F.col(f"_a_{name}_k")
-                text = _cell(raw, F.col(f"_a_{name}"), kind, replace(known.aliases[name], type="TEXT"))
-                options.append(F.when(kind.isin("string", "array", "empty"), text) if target == "message" else text)
-        fields.append((target, F.coalesce(*options)))
-    for c in known.columns:
-        made = plain[c.name]
-        if made is None:
-            made = _cell(raw, F.col(f"_c_{c.name}"), F.col(f"_c_{c.name}_k"), c)
-        fields.append((c.name, made))
-    return project(looked, fields)
+    fields = [(target, F.expr(_promote(target, known.aliases))) for target in PROMOTED]
+    fields += [(column.name, F.expr(_cell(column))) for column in known.columns]
+    return project(json_objects(lines), fields)

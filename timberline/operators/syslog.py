@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.text import ANY, NON_WS, WS, blank_to_null, capture
+from timberline.functions.text import ANY, NON_WS, SPACES, WS, blank_to_null, capture, matches
 from timberline.functions.times import iso_seconds, not_ahead, yearless_seconds
 from timberline.operators.frame import project
 
@@ -12,11 +12,11 @@ SYSLOG_LINE = (
     rf"^(?:<(\d{{1,3}})>)?([A-Z][a-z]{{2}}){WS}++(\d{{1,2}}){WS}++(\d{{2}}:\d{{2}}:\d{{2}}){WS}++"
     rf"({NON_WS}++){WS}+({ANY}+)\z"
 )
-TAGGED = rf"^([^:\[{WS[1:]}+)(?:\[(\d+)\])?:{WS}?({ANY}*)\z"
+TAGGED = rf"^([^\s{SPACES}:\[]+)(?:\[(\d+)\])?:{WS}?({ANY}*)\z"
 
 
 def is_syslog(raw: Column) -> Column:
-    return raw.rlike(SYSLOG_LINE)
+    return matches(raw, SYSLOG_LINE)
 
 
 def parse_syslog(lines: DataFrame, ref_time: Column | None = None) -> DataFrame:
@@ -29,7 +29,9 @@ def parse_syslog(lines: DataFrame, ref_time: Column | None = None) -> DataFrame:
     matched = matched.withColumn("_s", yearless_seconds(month, day, clock, now))
     matched = matched.withColumn("_s", not_ahead(F.col("_s"), now))
     priority = pri.try_cast("bigint")
-    tagged = rest.rlike(TAGGED)
+    parts = F.when(matches(rest, TAGGED), capture(rest, TAGGED, [1, 2, 3])).otherwise(F.array(F.lit(""), F.lit(""), rest))
+    matched = matched.withColumn("_t", parts)
+    tag, pid, message = [F.col("_t")[i] for i in range(3)]
     return project(
         matched,
         [
@@ -38,8 +40,8 @@ def parse_syslog(lines: DataFrame, ref_time: Column | None = None) -> DataFrame:
             ("severity", priority % 8),
             ("timestamp", iso_seconds(F.col("_s"))),
             ("hostname", host),
-            ("tag", blank_to_null(F.regexp_extract(rest, TAGGED, 1))),
-            ("pid", F.regexp_extract(rest, TAGGED, 2).try_cast("bigint")),
-            ("message", blank_to_null(F.when(tagged, F.regexp_extract(rest, TAGGED, 3)).otherwise(rest))),
+            ("tag", blank_to_null(tag)),
+            ("pid", pid.try_cast("bigint")),
+            ("message", blank_to_null(message)),
         ],
     )
