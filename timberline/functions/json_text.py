@@ -1,16 +1,11 @@
 """JSON objects as VARIANT columns, and values in them as text and numbers."""
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BLANK = r"[ \t\n\r]*"
-
+from timberline.functions.once import let, with_present
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over ``value``, computed once however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
+_BLANK = r"[ \t\n\r]*"
 
 
 def _wrapped(raw: Column) -> Column:
@@ -39,19 +34,10 @@ def json_object(raw: Column) -> Column:
     return let(F.when(opens_object(raw), _wrapped(raw)), lambda wrapped: _only_object(raw, wrapped))
 
 
-def keep_present(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """The rows whose ``value`` is not NULL, with it as a column.
-
-    A filter on a computed column is moved below it and computes it again; an
-    exploded array is made once and nothing is moved past it.
-    """
-    return df.select("*", F.explode(F.filter(F.array(value), lambda v: v.isNotNull())).alias(name))
-
-
 def json_objects(lines: DataFrame) -> DataFrame:
     """The lines that are JSON objects, with the object as ``_doc``; each is parsed once."""
     parsed = lines.withColumn("_w", F.when(opens_object(F.col("raw")), _wrapped(F.col("raw"))))
-    return keep_present(parsed, _only_object(F.col("raw"), F.col("_w")), "_doc").drop("_w")
+    return with_present(parsed, "_doc", _only_object(F.col("raw"), F.col("_w"))).drop("_w")
 
 
 # The rest of this module is SQL text: a projection of hundreds of inferred

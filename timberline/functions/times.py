@@ -7,6 +7,7 @@ zone never matters, and out-of-range days or hours roll over instead of failing.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from timberline.functions.once import let
 from timberline.functions.text import NON_WS, WS, matches, trim
 
 # Fixed values.
@@ -29,32 +30,33 @@ _CANDIDATE = (
 )
 
 
-def iso_text(millis: Column) -> Column:
-    """Epoch milliseconds as ``yyyy-MM-ddTHH:mm:ss.SSSZ`` (six-digit signed year past 9999)."""
-    fraction = F.pmod(millis, F.lit(1000))
-    return _iso(_div(millis - fraction, 1000), fraction)
+_EPOCH_START = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
 def _div(value: Column, by: int) -> Column:
     return F.call_function("div", value, F.lit(by))
 
 
+def _date_and_clock(seconds: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss``, with a six-digit signed year past 9999."""
+    stamp = F.timestamp_add("SECOND", seconds, F.expr(_EPOCH_START)).cast("string")
+    return F.regexp_replace(F.replace(stamp, F.lit(" "), F.lit("T")), r"^([+-])(?=\d{5}-)", "$10")
+
+
 def iso_seconds(seconds: Column) -> Column:
-    return _iso(seconds, None)
+    """Epoch seconds as ISO-8601 UTC text."""
+    return F.concat(_date_and_clock(seconds), F.lit(".000Z"))
 
 
-def _iso(seconds: Column, fraction: Column | None) -> Column:
-    stamp = F.timestamp_add("SECOND", seconds, F.expr("timestamp_ntz'1970-01-01 00:00:00'")).cast("string")
-    tail = F.lit(".000Z") if fraction is None else F.concat(
-        F.lit("."), F.lpad(fraction.cast("string"), 3, "0"), F.lit("Z")
-    )
-    clock = F.concat(F.lit("T"), F.right(stamp, F.lit(8)), tail)
-    year = F.regexp_extract(stamp, r"^[+-](\d+)-", 1)
-    return F.when(
-        F.length(stamp) == 19, F.concat(F.substring(stamp, 1, 10), clock)
-    ).otherwise(
-        F.concat(F.substring(stamp, 1, 1), F.lpad(year, 6, "0"), F.regexp_extract(stamp, r"(-\d\d-\d\d) ", 1), clock)
-    )
+def iso_text(millis: Column) -> Column:
+    """Epoch milliseconds as ISO-8601 UTC text."""
+
+    def text(ms: Column) -> Column:
+        fraction = F.pmod(ms, F.lit(1000))
+        digits = F.lpad(fraction.cast("string"), 3, "0")
+        return F.concat(_date_and_clock(_div(ms - fraction, 1000)), F.lit("."), digits, F.lit("Z"))
+
+    return let(millis, text)
 
 
 def month_number(name: Column) -> Column:
@@ -116,12 +118,13 @@ def yearless_seconds(month: Column, day: Column, clock: Column, now: Column) ->
 
 def not_ahead(seconds: Column, now: Column) -> Column:
     """The same date a year earlier if it lies more than a day after ``now``."""
-    date = F.date_from_unix_date(F.floor(seconds / 86400).cast("int"))
-    zero = F.lit(0)
-    earlier = civil_seconds(F.year(date) - 1, F.month(date), F.day(date), zero, zero, zero)
-    return F.when(
-        seconds - utc_seconds(now) > 86400, earlier + F.pmod(seconds, F.lit(86400))
-    ).otherwise(seconds)
+
+    def moved(s: Column) -> Column:
+        date, zero = F.date_from_unix_date(F.floor(s / 86400).cast("int")), F.lit(0)
+        earlier = civil_seconds(F.year(date) - 1, F.month(date), F.day(date), zero, zero, zero)
+        return F.when(s - utc_seconds(now) > 86400, earlier + F.pmod(s, F.lit(86400))).otherwise(s)
+
+    return let(seconds, moved)
 
 
 def epoch_millis(digits: Column) -> Column:

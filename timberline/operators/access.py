@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.once import with_once
 from timberline.functions.text import NON_WS, WS, blank_to_null, capture, dash_to_null, matches
 from timberline.functions.times import access_seconds, iso_seconds
 from timberline.operators.frame import project
@@ -50,9 +51,8 @@ def split_request(request: Column) -> dict[str, Column]:
 
 def _parse(lines: DataFrame, pattern: str) -> DataFrame:
     wanted = [_ADDR, _USER, _TIME, _REQUEST, _STATUS, _BYTES, _REFERER, _AGENT]
-    matched = lines.filter(matches(F.col("raw"), pattern)).withColumn("_f", capture(F.col("raw"), pattern, wanted))
+    matched = with_once(lines.filter(matches(F.col("raw"), pattern)), "_f", capture(F.col("raw"), pattern, wanted))
     addr, user, time, request, status, sent, referer, agent = [F.col("_f")[i] for i in range(len(wanted))]
-    matched = matched.withColumn("_s", access_seconds(time))
     parts = split_request(request)
     return project(
         matched,
@@ -60,7 +60,7 @@ def _parse(lines: DataFrame, pattern: str) -> DataFrame:
             ("remote_addr", addr),
             ("remote_user", dash_to_null(user)),
             ("time_local", time),
-            ("timestamp", iso_seconds(F.col("_s"))),
+            ("timestamp", iso_seconds(access_seconds(time))),
             ("method", parts["method"]),
             ("path", parts["path"]),
             ("protocol", parts["protocol"]),

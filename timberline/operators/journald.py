@@ -9,10 +9,9 @@ from timberline.functions.json_text import (
     bind,
     is_number,
     json_object,
-    keep_present,
-    let,
     value_at,
 )
+from timberline.functions.once import let, with_present
 from timberline.functions.text import INLINE_WS, WS, has_text, lenient_int, starts_indented, trim
 from timberline.functions.times import epoch_millis, iso_text
 from timberline.operators.frame import project
@@ -166,7 +165,7 @@ def parse_journald(records: DataFrame) -> DataFrame:
         F.expr(_has_key("_doc", with_message=True)),
         F.array(*[member(column, key) for column, key in FIELDS.items()]),
     ).when(_all_named(lines), F.array(*[after_key(key) for key in FIELDS.values()]))
-    kept = keep_present(split, values, "_values")
+    kept = with_present(split, "_values", values)
     value = {column: F.col("_values")[i] for i, column in enumerate(FIELDS)}
     kept = kept.withColumn("_ms", epoch_millis(value["timestamp"]))
     return project(

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.once import with_once
 from timberline.functions.text import ANY, NON_WS, SPACES, WS, blank_to_null, capture, matches
 from timberline.functions.times import iso_seconds, not_ahead, yearless_seconds
 from timberline.operators.frame import project
@@ -22,15 +23,12 @@ def is_syslog(raw: Column) -> Column:
 def parse_syslog(lines: DataFrame, ref_time: Column | None = None) -> DataFrame:
     """``ref_time`` is the moment that decides the year; the start of the query by default."""
     now = F.current_timestamp() if ref_time is None else ref_time
-    matched = lines.filter(is_syslog(F.col("raw"))).withColumn(
-        "_f", capture(F.col("raw"), SYSLOG_LINE, [1, 2, 3, 4, 5, 6])
-    )
+    raw = F.col("raw")
+    matched = with_once(lines.filter(is_syslog(raw)), "_f", capture(raw, SYSLOG_LINE, [1, 2, 3, 4, 5, 6]))
     pri, month, day, clock, host, rest = [F.col("_f")[i] for i in range(6)]
-    matched = matched.withColumn("_s", yearless_seconds(month, day, clock, now))
-    matched = matched.withColumn("_s", not_ahead(F.col("_s"), now))
     priority = pri.try_cast("bigint")
     parts = F.when(matches(rest, TAGGED), capture(rest, TAGGED, [1, 2, 3])).otherwise(F.array(F.lit(""), F.lit(""), rest))
-    matched = matched.withColumn("_t", parts)
+    matched = with_once(matched, "_t", parts)
     tag, pid, message = [F.col("_t")[i] for i in range(3)]
     return project(
         matched,
@@ -38,7 +36,7 @@ def parse_syslog(lines: DataFrame, ref_time: Column | None = None) -> DataFrame:
             ("priority", priority),
             ("facility", F.call_function("div", priority, F.lit(8))),
             ("severity", priority % 8),
-            ("timestamp", iso_seconds(F.col("_s"))),
+            ("timestamp", iso_seconds(not_ahead(yearless_seconds(month, day, clock, now), now))),
             ("hostname", host),
             ("tag", blank_to_null(tag)),
             ("pid", pid.try_cast("bigint")),
