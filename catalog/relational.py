@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from catalog import sources as src
 from catalog.parsing import access_logs
 from catalog.registry import query, table
+from timberline.functions.sql_names import register_functions
 from timberline.functions.text import glob_match
 from timberline.functions.times import event_time
 from timberline.operators.dml import delete_where, insert_rows, update_where
@@ -397,6 +398,23 @@ sql(
 )
 
 
+@query(f"""
+    WITH {_LOGS}
+    SELECT strftime(cast(timestamp AS timestamp), '%Y-%m-%dT%H:00') AS hour,
+           CASE WHEN status >= 500 THEN 'bad' ELSE 'good' END AS verdict,
+           min(cast(epoch(cast(timestamp AS timestamp)) AS bigint)) AS first_second,
+           min(strftime(cast(timestamp AS timestamp), '%Y-%m-%d %H:%M:%S')) AS first_at, count(*) AS hits
+    FROM logs WHERE path GLOB '/[ev]*' GROUP BY 1, 2""")
+def sql_sqlite_names(spark, folder):
+    """Functions under their SQLite names."""
+    register_functions(spark)
+    text = """
+        SELECT strftime('%Y-%m-%dT%H:00', timestamp) AS hour, iif(status >= 500, 'bad', 'good') AS verdict,
+               min(unixepoch(timestamp)) AS first_second, min(datetime(timestamp)) AS first_at, count(*) AS hits
+        FROM {logs} WHERE glob('/[ev]*', path) GROUP BY 1, 2"""
+    return spark.sql(text, logs=access_logs(spark, folder))
+
+
 @query(f"WITH {_LOGS} SELECT line_no, path FROM logs WHERE path GLOB '/[cv]*/?[0-4]'")
 def sql_glob(spark, folder):
     logs = access_logs(spark, folder)

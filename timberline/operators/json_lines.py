@@ -19,6 +19,7 @@ from timberline.functions.json_text import (
     value_at,
 )
 from timberline.functions.keys import column_order, sanitize_key, sanitized
+from timberline.functions.text import trim
 from timberline.operators.frame import project
 
 # Keys that fill the promoted columns, in order of preference.
@@ -38,6 +39,11 @@ def is_json(raw: Column) -> Column:
     return json_object(raw).isNotNull()
 
 
+def is_json_line(raw: Column) -> Column:
+    """As the detector sees it: any white space around the object is fine."""
+    return is_json(trim(raw))
+
+
 # ---------------------------------------------------------------- flatten
 
 
@@ -248,14 +254,14 @@ def _promote(target: str, aliases: dict[str, JsonColumn]) -> str:
     passed over. A message is never made of a boolean or a number in the second.
     """
     keys = PROMOTED[target]
-    names = [n for n in dict.fromkeys(sanitized([key]) for key in keys) if n in aliases and aliases[n].kinds]
-    columns = [replace(aliases[name], type="TEXT") for name in names]
+    names = [name for name in dict.fromkeys(sanitized([key]) for key in keys) if name in aliases]
+    present = [key for key in keys if any([key] in aliases[name].paths for name in names)]
+    columns = [replace(aliases[name], type="TEXT") for name in names if aliases[name].kinds]
     plain = {"string"} if target == "message" else {"string", "number", "float", "fraction"}
     if all(len(c.paths) == 1 and c.paths[0][0] in keys and not c.nested and c.kinds <= plain for c in columns):
         # Nothing to pass over, so both searches find the same.
         options = [_cell(c) for c in columns]
         return f"coalesce({', '.join(options)})" if options else "cast(NULL AS string)"
-    present = [key for key in keys if any([key] in c.paths for c in columns)]
     picked = "cast(NULL AS string)"
     for n, key in reversed(list(enumerate(present))):
         picked = bind(

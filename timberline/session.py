@@ -15,6 +15,7 @@ BROADCAST_ROWS = 2_000_000
 
 def configure(spark: SparkSession) -> SparkSession:
     """Settings under which log text gives the documented results."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
     # The JVM leaves methods over 8000 bytes uncompiled. A projection that wide
