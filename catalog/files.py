@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import sources as src
-from catalog.registry import query, table
+from catalog.registry import log_table, query
 from timberline.operators.detect import confidence_pct, detect_format
 from timberline.plans import canned
 from timberline.plans.formats import get_format
@@ -68,12 +68,14 @@ def corpus_lines(spark, folder):
         WHEN 'journald_json' THEN concat('{{"PRIORITY":"6","MESSAGE":"', event_type, '"}}')
         WHEN 'json' THEN concat('{{"ts":"', {iso}, '","level":"info"}}')
         ELSE concat('then ', event_type, ' came by') END""")
-    return table(spark, folder, "events").select(
-        F.expr(_FILE).alias("file"),
-        F.floor(F.col("event_id") / 4096).cast("bigint").alias("block"),
-        F.col("event_id").alias("line_no"),
-        raw.alias("raw"),
+    placed = log_table(spark, folder, "events").withColumns(
+        {
+            "file": F.expr(_FILE),
+            "block": F.floor(F.col("event_id") / 4096).cast("bigint"),
+            "line_no": F.col("event_id"),
+        }
     )
+    return src.written(placed, raw, "file", "block", "line_no")
 
 
 def _detect(spark, folder):
@@ -122,7 +124,7 @@ def _write(lines, path: str, by: str, order: list[str]) -> str:
 
 def _written_documents(spark, folder, body):
     parts = F.posexplode(F.split("text", "\n")).alias("n", "line")
-    lines = table(spark, folder, "documents").select("doc_id", "lang", parts).withColumn("raw", F.expr(body))
+    lines = log_table(spark, folder, "documents").select("doc_id", "lang", parts).withColumn("raw", F.expr(body))
     return _write(lines, scratch_path(spark, "documents"), "lang", ["doc_id", "n"])
 
 
@@ -178,7 +180,7 @@ def triage_size(spark, folder):
 def utf16_lines(spark, folder):
     """The documents as UTF-16, read back in splits."""
     parts = F.posexplode(F.split("text", "\n")).alias("n", "line")
-    lines = table(spark, folder, "documents").select("doc_id", parts)
+    lines = log_table(spark, folder, "documents").select("doc_id", parts)
     raw = F.concat(F.col("doc_id").cast("string"), F.lit("|"), "line")
     path = scratch_path(spark, "utf16")
     (
@@ -209,7 +211,7 @@ def load_corpus(spark, folder):
         WHEN 'journal' THEN concat('PRIORITY=6', chr(10), 'MESSAGE=', event_type, chr(10), '  more', chr(10))
         WHEN 'app' THEN concat('{{"ts":"', {iso}, '","level":"info","id":', cast(event_id as string), '}}')
         ELSE concat('then ', event_type, ' came by') END""")
-    lines = table(spark, folder, "events").select("event_id", F.expr(_KINDS).alias("kind"), raw.alias("raw"))
+    lines = log_table(spark, folder, "events").select("event_id", F.expr(_KINDS).alias("kind"), raw.alias("raw"))
     path = _write(lines, scratch_path(spark, "corpus"), "kind", ["event_id"])
     loaded = load_logs(spark, path)
     return loaded.summary.groupBy("format", "status").agg(

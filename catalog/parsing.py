@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import sources as src
-from catalog.registry import query, table
+from catalog.registry import log_table, query, table
 from timberline.functions.keys import sanitize_key
 from timberline.functions.levels import level_rank
 from timberline.functions.text import lenient_int
@@ -22,13 +22,16 @@ from timberline.operators.summary import load_summary
 from timberline.operators.syslog import parse_syslog
 from timberline.plans import canned
 
-SYSLOG_REF = F.lit(src.SYSLOG_NOW + " UTC").cast("timestamp")
-
 
 def access_logs(spark, folder):
     return parse_nginx(src.access_lines(spark, folder))
 
 
+def lineitem_logs(spark, folder):
+    rows = src.rows(spark, folder, src.LINEITEM_ROWS, "lineitem")
+    return parse_nginx(src.written(rows, F.expr(src.LINEITEM_RAW)))
+
+
 def syslog_logs(spark, folder):
     return parse_syslog(src.syslog_lines(spark, folder), F.to_timestamp(F.lit(src.SYSLOG_NOW + "Z")))
 
@@ -145,7 +148,7 @@ def access_timestamp_offsets(spark, folder):
     raw = F.concat(
         F.lit("h - - ["), F.expr(src.LOCAL.format("ts")), F.lit(" "), zone, F.lit('] "GET / HTTP/1.1" 200 1')
     )
-    lines = table(spark, folder, "events").select(F.col("event_id").alias("line_no"), raw.alias("raw"))
+    lines = src.written(log_table(spark, folder, "events").withColumn("line_no", F.col("event_id")), raw)
     return parse_nginx(lines).select("line_no", "timestamp")
 
 
@@ -157,6 +160,28 @@ def apache_vhost_parse(spark, folder):
     return parse_apache(src.access_lines(spark, folder, _VHOST_RAW)).drop("raw")
 
 
+@query(f"""
+    SELECT status, count(*) AS hits, cast(sum(body_bytes_sent) AS bigint) AS bytes
+    FROM ({src.check(src.LINEITEM_ROWS, 'lineitem')}) GROUP BY status""")
+def access_lineitem_status(spark, folder):
+    return lineitem_logs(spark, folder).groupBy("status").agg(
+        F.count("*").alias("hits"), F.sum("body_bytes_sent").alias("bytes")
+    )
+
+
+@query(f"""
+    SELECT substr(timestamp, 1, 7) AS month, http_user_agent, count(*) AS hits, count(DISTINCT remote_addr) AS clients,
+           max(length(path)) AS longest_path
+    FROM ({src.check(src.LINEITEM_ROWS, 'lineitem')}) GROUP BY 1, 2""")
+def access_lineitem_months(spark, folder):
+    logs = lineitem_logs(spark, folder)
+    return logs.groupBy(F.substring("timestamp", 1, 7).alias("month"), "http_user_agent").agg(
+        F.count("*").alias("hits"),
+        F.countDistinct("remote_addr").alias("clients"),
+        F.max(F.length("path")).cast("bigint").alias("longest_path"),
+    )
+
+
 _SPOILED_RAW = f"CASE WHEN line_no % 50 = 0 THEN concat('garbage ', path) ELSE {src.ACCESS_RAW} END"
 
 
@@ -221,7 +246,7 @@ def journald_json_parse(spark, folder):
             F.col("message").alias("MESSAGE"),
         )
     )
-    return parse_journald(rows.select("line_no", record.alias("raw"))).drop("raw")
+    return parse_journald(src.written(rows, record)).drop("raw")
 
 
 # -------------------------------------------------------------------- json
@@ -319,7 +344,7 @@ def json_promoted_and_shared_names(spark, folder):
         F.when(even, F.concat(first, F.lit(","), second)).otherwise(F.concat(second, F.lit(","), first)),
         F.lit(","), level, F.lit(","), message, F.lit("}"),
     )
-    lines = table(spark, folder, "events").select(F.col("event_id").alias("line_no"), raw.alias("raw"))
+    lines = src.written(log_table(spark, folder, "events").withColumn("line_no", F.col("event_id")), raw)
     return parse_json(lines).select("line_no", "a_b", "level", "message")
 
 
@@ -365,7 +390,7 @@ def generic_epoch_times(spark, folder):
         .when(F.col("event_id") % 3 == 1, F.floor(micros / 1000).cast("string"))
         .otherwise(micros.cast("string"))
     )
-    lines = table(spark, folder, "events").select(F.col("event_id").alias("line_no"), text.alias("raw"))
+    lines = src.written(log_table(spark, folder, "events").withColumn("line_no", F.col("event_id")), text)
     return parse_generic(lines).select("line_no", "timestamp")
 
 
@@ -388,7 +413,7 @@ def generic_text_times(spark, folder):
         WHEN 4 THEN concat({month}, ' ', lpad(cast(day(ts) as string), 2, ' '), ' ', {clock}, ' host app: ', event_type)
         WHEN 5 THEN concat('Mon, ', cast(day(ts) as string), ' ', {month}, ' ', cast(year(ts) as string), ' ', {clock}, ' GMT')
         ELSE concat('at ', {day}, 'T', {clock}, ' user ', event_type) END""")
-    lines = table(spark, folder, "events").select(F.col("event_id").alias("line_no"), raw.alias("raw"))
+    lines = src.written(log_table(spark, folder, "events").withColumn("line_no", F.col("event_id")), raw)
     return parse_generic(lines, F.to_timestamp(F.lit(src.SYSLOG_NOW + "Z"))).select("line_no", "timestamp")
 
 
@@ -430,5 +455,5 @@ def epoch_digits(spark, folder):
         .when(F.col("event_id") % 3 == 1, F.col("user_id").cast("string"))
         .otherwise(F.concat(micros, F.lit("us")))
     )
-    events = table(spark, folder, "events").select("event_id", epoch_millis(text).alias("ms"))
+    events = log_table(spark, folder, "events").select("event_id", epoch_millis(text).alias("ms"))
     return events.select("event_id", iso_text(F.col("ms")).alias("timestamp"))

@@ -5,10 +5,11 @@ table. ``logs`` in the check is made of it directly; in Spark its columns are
 written into lines first and come back through a parser.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.registry import table
+from catalog.registry import log_table
+from timberline.functions.once import with_once
 
 
 def _two(expression: str) -> str:
@@ -44,6 +45,19 @@ ACCESS_RAW = """concat(remote_addr, ' - ', coalesce(remote_user, '-'), ' [', tim
     CASE WHEN http_user_agent IS NULL THEN ''
          ELSE concat(' "', coalesce(http_referer, '-'), '" "', http_user_agent, '"') END)"""
 
+# One access line per order line: the large table.
+LINEITEM_ROWS = f"""
+  SELECT concat('10.1.', cast(l_suppkey % 256 as string), '.', cast(l_linenumber as string)) AS remote_addr,
+         concat({LOCAL.format('l_shipdate')}, ' +0000') AS time_local,
+         {ISO.format('l_shipdate')} AS timestamp,
+         concat('/part/', cast(l_partkey as string), '/order/', cast(l_orderkey as string)) AS path,
+         cast(CASE l_returnflag WHEN 'A' THEN 404 WHEN 'R' THEN 500 ELSE 200 END as bigint) AS status,
+         cast(round(l_extendedprice) as bigint) AS body_bytes_sent,
+         concat('agent/', l_linestatus) AS http_user_agent
+  FROM {{lineitem}}"""
+LINEITEM_RAW = """concat(remote_addr, ' - - [', time_local, '] "GET ', path, ' HTTP/1.1" ', cast(status as string), ' ',
+    cast(body_bytes_sent as string), ' "-" "', http_user_agent, '"')"""
+
 SYSLOG_NOW = "2002-01-15 12:00:00"
 _MINUTE = "cast(o_orderkey % 60 as int)"
 SYSLOG_ROWS = f"""
@@ -118,19 +132,25 @@ DOCUMENT_STRIDE = 1_000_000
 
 
 def rows(spark: SparkSession, folder: str, text: str, name: str) -> DataFrame:
-    return spark.sql(text, **{name: table(spark, folder, name)})
+    return spark.sql(text, **{name: log_table(spark, folder, name)})
 
 
 def check(text: str, name: str) -> str:
     return text.replace("{" + name + "}", name)
 
 
+def written(rows: DataFrame, raw: Column, *keep: str) -> DataFrame:
+    """Rows as lines; the text is made once, as if it had been read."""
+    keep = keep or tuple(name for name in ("line_no",) if name in rows.columns)
+    return with_once(rows, "raw", raw).select(*keep, "raw")
+
+
 def access_lines(spark: SparkSession, folder: str, raw: str = ACCESS_RAW) -> DataFrame:
-    return rows(spark, folder, ACCESS_ROWS, "events").select("line_no", F.expr(raw).alias("raw"))
+    return written(rows(spark, folder, ACCESS_ROWS, "events"), F.expr(raw))
 
 
 def syslog_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return rows(spark, folder, SYSLOG_ROWS, "orders").select("line_no", F.expr(SYSLOG_RAW).alias("raw"))
+    return written(rows(spark, folder, SYSLOG_ROWS, "orders"), F.expr(SYSLOG_RAW))
 
 
 def journal_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,17 +197,15 @@ def json_lines(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(""),
         F.lit("}"),
     )
-    return rows(spark, folder, JSON_ROWS, "events").select("line_no", raw.alias("raw"))
+    return written(rows(spark, folder, JSON_ROWS, "events"), raw)
 
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of every document, its first word set by the document."""
     parts = F.posexplode(F.split("text", "\n")).alias("n", "line")
-    lines = table(spark, folder, "documents").select("doc_id", parts)
-    return lines.select(
-        (F.col("doc_id") * DOCUMENT_STRIDE + F.col("n")).alias("line_no"),
-        F.concat(F.expr(DOCUMENT_WORD), "line").alias("raw"),
-    )
+    lines = log_table(spark, folder, "documents").select("doc_id", parts)
+    numbered = lines.withColumn("line_no", F.col("doc_id") * DOCUMENT_STRIDE + F.col("n"))
+    return written(numbered, F.concat(F.expr(DOCUMENT_WORD), "line"))
 
 
 ACCESS_LOGS = f"logs AS (SELECT line_no, {ACCESS_RAW} AS raw, * EXCLUDE (line_no) FROM ({check(ACCESS_ROWS, 'events')}))"

@@ -5,15 +5,24 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from timberline.functions.once import let
+
 # Names every table already has.
 RESERVED = ["line_no", "raw"]
 
 
 def sanitize_key(path: Column) -> Column:
-    name = F.lower(F.regexp_replace(F.regexp_replace(path, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
-    name = F.when(name == "", "value").otherwise(name)
-    name = F.when(name.rlike("^[0-9]"), F.concat(F.lit("field_"), name)).otherwise(name)
-    return F.when(name.isin(*RESERVED), F.concat(F.lit("json_"), name)).otherwise(name)
+    name = F.lower(F.btrim(F.regexp_replace(path, "[^A-Za-z0-9]+", "_"), F.lit("_")))
+
+    def safe(n: Column) -> Column:
+        return (
+            F.when(n == "", "value")
+            .when(F.substring(n, 1, 1).between("0", "9"), F.concat(F.lit("field_"), n))
+            .when(n.isin(*RESERVED), F.concat(F.lit("json_"), n))
+            .otherwise(n)
+        )
+
+    return let(name, safe)
 
 
 def sanitized(path: list[str]) -> str:

@@ -32,7 +32,7 @@ ALIASES = sorted({sanitized([key]) for keys in PROMOTED.values() for key in keys
 # What the values of a path can be; float is any number not written as an integer.
 KINDS = ["string", "array", "empty", "boolean", "number", "float", "fraction"]
 MAX_COLUMNS = 2000
-_FIRST_DEPTH = 8
+_FIRST_DEPTH = 4
 
 
 def is_json(raw: Column) -> Column:
@@ -120,22 +120,23 @@ class JsonColumns:
 
 
 def _path_kinds(lines: DataFrame, depth: int) -> DataFrame:
-    number = F.try_variant_get("val", "$", "double")
-    is_number = F.col("kind") == "number"
-    return (
+    """What the values of each path are, folded to a few rows per path before the shuffle."""
+    number = F.when((F.col("kind") == "number") & (F.col("type") != "BIGINT"), F.try_variant_get("val", "$", "double"))
+    kinds = (
         _with_kind(_leaves(lines, depth))
-        .groupBy("path")
-        .agg(
-            F.bool_or(F.col("kind") == "string").alias("string"),
-            F.bool_or(F.col("kind") == "array").alias("array"),
-            F.bool_or(F.col("kind") == "empty").alias("empty"),
-            F.bool_or(F.col("kind") == "object").alias("object"),
-            F.bool_or(F.col("kind") == "boolean").alias("boolean"),
-            F.bool_or(is_number).alias("number"),
-            F.bool_or(is_number & (number != F.floor(number))).alias("fraction"),
-            F.bool_or(is_number & (F.col("type") != "BIGINT")).alias("float"),
-            F.bool_or(is_number & (F.abs(number) >= 2.0**63)).alias("huge"),
+        .select(
+            "path",
+            "kind",
+            number.isNotNull().alias("float"),
+            (F.coalesce(number, F.lit(0.0)) != F.floor(F.coalesce(number, F.lit(0.0)))).alias("fraction"),
+            (F.abs(F.coalesce(number, F.lit(0.0))) >= 2.0**63).alias("huge"),
         )
+        .groupBy("path", "kind", "float", "fraction", "huge")
+        .count()
+    )
+    return kinds.groupBy("path").agg(
+        *[F.bool_or(F.col("kind") == k).alias(k) for k in ("string", "array", "empty", "object", "boolean", "number")],
+        *[F.bool_or(flag).alias(flag) for flag in ("float", "fraction", "huge")],
     )
 
 

@@ -63,7 +63,7 @@ def join_runs(rows: DataFrame, order: str, text: str, start: str, separator: str
     Rows are (file, block, order, text, start). They are shuffled once, by block;
     only a block's first and last run, which may cross its edge, move again.
     """
-    in_block = W.partitionBy("file", "block").orderBy(order)
+    in_block = W.partitionBy("file", "block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     opened = F.last(F.when(F.col(start), F.col(order)), ignorenulls=True).over(in_block)
 
     def joined(of):
@@ -76,7 +76,7 @@ def join_runs(rows: DataFrame, order: str, text: str, start: str, separator: str
         .withColumn("_last", F.max("_run").over(W.partitionBy("file", "block")))
     )
     at_edge = F.col("_run").isNull() | (F.col("_run") == F.col("_last"))
-    along_file = W.partitionBy("file").orderBy("block", order)
+    along_file = W.partitionBy("file").orderBy("block", order).rowsBetween(W.unboundedPreceding, 0)
     edges = (
         runs.filter(at_edge)
         .withColumn("_run", F.last("_run", ignorenulls=True).over(along_file))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.functions.once import with_once
 from timberline.functions.times import event_time
 from timberline.operators.json_lines import JsonColumns, parse_json
 from timberline.plans.formats import get_format
@@ -27,7 +28,8 @@ def tail_logs(
         raise ValueError("journald records are assembled from whole files")
     configure(spark)
     lines = spark.readStream.option("recursiveFileLookup", "true").text(folder)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.make_valid_utf8("value").alias("raw"))
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = with_once(lines, "raw", F.make_valid_utf8("value")).drop("value")
     if format == "json":
         if columns is None:
             raise ValueError("a stream of JSON needs its columns")
