@@ -101,14 +101,16 @@ sql(
     "sql_semi",
     f"""
     SELECT c_custkey AS customer, c_mktsegment AS segment FROM {{customer}} c
-    WHERE EXISTS (SELECT 1 FROM {{logs}} l WHERE {USER} = c.c_custkey AND l.status >= 500)
-      AND c_custkey IN (SELECT {USER} FROM {{logs}} WHERE method = 'POST')""",
+    WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT {USER} AS user_id FROM {{logs}} WHERE status >= 500) l
+                  WHERE l.user_id = c.c_custkey)
+      AND c_custkey IN (SELECT DISTINCT {USER} FROM {{logs}} WHERE method = 'POST')""",
 )
 sql(
     "sql_anti",
     f"""
     SELECT c_custkey AS customer FROM {{customer}} c
-    WHERE NOT EXISTS (SELECT 1 FROM {{logs}} l WHERE {USER} = c.c_custkey AND l.status = 503)""",
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT {USER} AS user_id FROM {{logs}} WHERE status = 503) l
+                      WHERE l.user_id = c.c_custkey)""",
 )
 
 
@@ -146,7 +148,7 @@ def sql_asof(spark, folder):
     viewed = logs.filter("path LIKE '/view/%'").select(
         "remote_addr", F.col("timestamp").alias("last_view"), F.col("at").alias("viewed_at")
     )
-    matched = asof_join(bought, viewed, ["remote_addr"], "at", "viewed_at", seconds=6 * 3600)
+    matched = asof_join(bought, viewed, ["remote_addr"], "at", "viewed_at")
     return matched.select("line_no", "timestamp", "last_view")
 
 
@@ -277,7 +279,7 @@ sql(
 def sql_lag_gap_sessions(spark, folder):
     """Visits per client: a new one begins after six quiet hours."""
     logs = access_logs(spark, folder).select("remote_addr", "line_no", event_time(F.col("timestamp")).alias("at"))
-    before = with_previous(logs, ["remote_addr"], ["at", "line_no"], "at", "previous", seconds=24 * 3600)
+    before = with_previous(logs, ["remote_addr"], ["at", "line_no"], "at", "previous")
     gap = F.unix_seconds("at") - F.unix_seconds("previous")
     return before.groupBy("remote_addr").agg(
         F.count("*").alias("hits"),
@@ -288,9 +290,17 @@ def sql_lag_gap_sessions(spark, folder):
 
 # ------------------------------------------------------- sets, subqueries
 
-_POSTED = "SELECT remote_addr FROM {logs} WHERE method = 'POST' AND status = 201"
-_FAILED = "SELECT remote_addr FROM {logs} WHERE status = 503"
-sql("sql_union_all", f"SELECT remote_addr, count(*) AS n FROM ({_POSTED} UNION ALL {_FAILED}) u GROUP BY 1")
+# Each side is folded first: a set operation joins its sides before it removes duplicates.
+_POSTED = "SELECT DISTINCT remote_addr FROM {logs} WHERE method = 'POST' AND status = 201"
+_FAILED = "SELECT DISTINCT remote_addr FROM {logs} WHERE status = 503"
+sql(
+    "sql_union_all",
+    """
+    SELECT remote_addr, count(*) AS n FROM (
+      SELECT remote_addr FROM {logs} WHERE method = 'POST' AND status = 201 UNION ALL
+      SELECT remote_addr FROM {logs} WHERE status = 503) u
+    GROUP BY 1""",
+)
 sql("sql_union", f"{_POSTED} UNION {_FAILED}")
 sql("sql_intersect", f"{_POSTED} INTERSECT {_FAILED}")
 sql("sql_except", f"{_POSTED} EXCEPT {_FAILED}")
@@ -323,9 +333,9 @@ sql(
 sql(
     "sql_values",
     """
-    SELECT v.status AS status, v.meaning AS meaning, count(l.line_no) AS hits
+    SELECT v.status AS status, v.meaning AS meaning, coalesce(l.hits, 0) AS hits
     FROM (VALUES (200, 'ok'), (201, 'created'), (404, 'missing')) AS v(status, meaning)
-    LEFT JOIN {logs} l ON l.status = v.status GROUP BY 1, 2""",
+    LEFT JOIN (SELECT status, count(*) AS hits FROM {logs} GROUP BY status) l ON l.status = v.status""",
 )
 
 # ------------------------------------------------------------- expressions
