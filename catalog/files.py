@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import sources as src
 from catalog.registry import log_table, query
 from timberline.operators.detect import confidence_pct, detect_format
+from timberline.operators.summary import load_summary
 from timberline.plans import canned
 from timberline.plans.formats import get_format
 from timberline.plans.load import load_logs
@@ -107,10 +108,13 @@ def suggested_queries(spark, folder):
     return canned.suggestions_for(_detect(spark, folder))
 
 
-@query(f"SELECT DISTINCT {_FILE} AS file, 'syslog' AS format, 0 AS confidence_pct FROM events")
+@query(f"""
+    SELECT file, 'syslog' AS format, count(*) FILTER (WHERE kind = 'syslog') AS row_count,
+           count(*) FILTER (WHERE kind <> 'syslog') AS skipped_count
+    FROM (SELECT {_FILE} AS file, {_KIND} AS kind FROM events) GROUP BY file""")
 def format_override(spark, folder):
-    files = corpus_lines(spark, folder).select("file").distinct()
-    return files.select("file", F.lit(get_format("syslog").name).alias("format"), F.lit(0).alias("confidence_pct"))
+    """Every file taken as syslog, whatever it holds."""
+    return load_summary(corpus_lines(spark, folder), get_format("syslog").name)
 
 
 # ----------------------------------------------------------- written files

@@ -12,7 +12,6 @@ from timberline.operators.access import parse_apache, parse_nginx, split_request
 from timberline.operators.generic import parse_generic
 from timberline.operators.journald import assemble_journald, parse_journald
 from timberline.operators.json_lines import (
-    discover_columns,
     flatten_json,
     infer_json_schema,
     parse_json,
@@ -376,8 +375,6 @@ def generic_conversations(spark, folder):
     return parse_generic(lines).select("line_no.conv_id", "line_no.turn", "level", "message")
 
 
-_SECOND = "cast(epoch(date_trunc('second', ts)) as bigint)"
-
 
 @query("""
     SELECT event_id AS line_no, CASE event_id % 3

@@ -125,6 +125,16 @@ def test_load_several_formats(spark, tmp_path):
     assert [tuple(r) for r in tags] == [(16, 6, "su", 12345), (3, 6, "systemd", 1)]
 
 
+def test_load_many_wide_files(spark, small_splits, tmp_path):
+    for n in range(6):
+        text = "".join(f"Oct 11 22:14:{i:02d} host{n} app: line {i}\n" for i in range(3 + 10 * n))
+        (tmp_path / f"w{n}.log").write_bytes(b"\xfe\xff" + text.encode("utf-16-be"))
+    loaded = load_logs(spark, str(tmp_path))
+    assert list(loaded.tables) == ["syslog"]
+    rows = loaded.df.groupBy("hostname").agg(F.count("*").alias("n"), F.max("line_no").alias("last")).collect()
+    assert {r["hostname"]: (r["n"], r["last"]) for r in rows} == {f"host{n}": (3 + 10 * n, 3 + 10 * n) for n in range(6)}
+
+
 def test_load_override(spark, tmp_path):
     (tmp_path / "web.log").write_text(NGINX.format(1))
     loaded = load_logs(spark, str(tmp_path), format="generic")
