@@ -325,10 +325,10 @@ sql(
 )
 sql(
     "sql_subqueries",
-    """
-    SELECT line_no, path, body_bytes_sent, (SELECT max(body_bytes_sent) FROM {logs}) AS most
-    FROM {logs} l
-    WHERE body_bytes_sent > (SELECT 2 * avg(s.body_bytes_sent) FROM {logs} s WHERE s.method = l.method)""",
+    f"""
+    SELECT c_custkey AS customer, (SELECT max(body_bytes_sent) FROM {{logs}}) AS most,
+           (SELECT count(*) FROM {{logs}} l WHERE {USER} = c.c_custkey AND l.status >= 500) AS errors
+    FROM {{customer}} c WHERE c_acctbal > (SELECT avg(a.c_acctbal) FROM {{customer}} a WHERE a.c_nationkey = c.c_nationkey)""",
 )
 sql(
     "sql_values",
