@@ -1,5 +1,6 @@
 """JSON lines: flatten, infer a schema over every record, project to columns."""
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -202,28 +203,38 @@ def _key_position(path: list[str], depth: int) -> str:
     return f"array_position(json_object_keys({inside}), {literal(path[depth])})"
 
 
-def _latest(paths: list[list[str]]) -> str:
-    """The value of whichever path comes last in the text of the line."""
+def _of_latest(paths: list[list[str]], made: Callable[[list[str]], str]) -> str:
+    """What is ``made`` of whichever path comes last in the text of the line."""
     if len(paths) == 1:
-        return value_at("_doc", paths[0])
+        return made(paths[0])
     candidates = []
     for n, path in enumerate(paths):
         # A non-empty object is no leaf: its members have columns of their own.
         leaf = f"coalesce({kind_of(value_at('_doc', path))} <> 'object', false)"
         places = ", ".join(_key_position(path, depth) for depth in range(len(path)))
         candidates.append(f"named_struct('at', CASE WHEN {leaf} THEN array({places}) END, 'n', {n})")
-    picks = " ".join(f"WHEN c.at IS NOT NULL AND c.n = {n} THEN {value_at('_doc', p)}" for n, p in enumerate(paths))
+    picks = " ".join(f"WHEN c.at IS NOT NULL AND c.n = {n} THEN {made(path)}" for n, path in enumerate(paths))
     return bind(f"array_max(array({', '.join(candidates)}))", "c", f"CASE {picks} END")
 
 
-def _array_text(paths: list[list[str]]) -> str:
+def _latest(paths: list[list[str]]) -> str:
+    return _of_latest(paths, lambda path: value_at("_doc", path))
+
+
+def _array_text(path: list[str]) -> str:
     """An array as JSON; where it holds objects, as written, since VARIANT sorts their keys."""
-    if len(paths) > 1 or any("'" in key for key in paths[0]):
+    if any("'" in key for key in path):
         return "to_json(a)"
-    written = f"get_json_object(raw, {_json_path(paths[0])})"
+    written = f"get_json_object(raw, {_json_path(path)})"
     return f"CASE WHEN contains(to_json(a), '{{') THEN coalesce({written}, to_json(a)) ELSE to_json(a) END"
 
 
+def _leaf_or_array(path: list[str]) -> str:
+    is_array = "startswith(schema_of_variant(a), 'ARRAY')"
+    text = f"CASE WHEN {is_array} THEN {_array_text(path)} ELSE {leaf_text('a')} END"
+    return bind(value_at("_doc", path), "a", text)
+
+
 def _cell(column: JsonColumn) -> str:
     """The SQL of a column: one typed lookup where all its values are alike."""
     kinds, path = column.kinds, column.paths[0]
@@ -241,11 +252,7 @@ def _cell(column: JsonColumn) -> str:
         )
     if alone and kinds <= {"string", "number"}:
         return value_at("_doc", path, "string")
-    value = _latest(column.paths)
-    if "array" not in kinds:
-        return leaf_text(value)
-    text = f"CASE WHEN startswith(schema_of_variant(a), 'ARRAY') THEN {_array_text(column.paths)} ELSE {leaf_text('a')} END"
-    return bind(value, "a", text)
+    return _of_latest(column.paths, _leaf_or_array) if "array" in kinds else leaf_text(_latest(column.paths))
 
 
 def _promote(target: str, aliases: dict[str, JsonColumn]) -> str:
