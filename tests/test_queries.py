@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalog.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -40,12 +41,12 @@ def test_entry(spark):
 
 
 def test_every_query_has_its_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, checker, name):
-    df = queries()[name](spark, FOLDER)
-    expected = checker.sql(oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    expected = checker.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(expected.columns)
     assert content(df.columns, df.collect()) == content(expected.columns, expected.fetchall())
