@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -108,3 +113,87 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFram
             stars = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return stars.unionAll(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     raise RuntimeError(f"components not settled in {rounds} rounds")
+
+
+def spans(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``most`` bytes of text, or of one row."""
+    start, size = 0, 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+        if k > start and size + n > most:
+            yield batch.slice(start, k - start)
+            start, size = k, 0
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+# Counting over the whole corpus, block by block. A block of documents asks for the counts of its own keys;
+# a bucket, a range of the key space, adds up what all blocks have and answers each. A frequent key reaches
+# its bucket once from each block, never once from each row, so no key makes a large group.
+
+ASKED_DDL = "block string, bucket int, payload binary, keys binary, counts binary"
+ASKED = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+BUCKET_KEYS = 2_000_000
+
+
+def bucket_bits(keys: int) -> int:
+    """So many leading bits of a key name its bucket that one has about BUCKET_KEYS of so many keys."""
+    return max(3, (max(1, keys) // BUCKET_KEYS).bit_length())
+
+
+def asked(payload: object, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A block: a row with its payload, and a row of sorted distinct keys with their counts for each bucket."""
+    block = uuid.uuid4().hex
+    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    parts = list(zip(np.split(keys, edges), np.split(counts.astype(np.int64), edges)))
+    rows = [(block, -1, zstandard.compress(pickle.dumps(payload, protocol=5), 1), None, None)]
+    rows += [(block, k, None, a.tobytes(), c.tobytes()) for k, (a, c) in enumerate(parts) if len(a)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ASKED.types)], schema=ASKED)
+
+
+def answers(blocks: DataFrame, summary: Callable[[np.ndarray, np.ndarray], list[int]] | None = None) -> DataFrame:
+    """(block, bucket, totals) for rows of ``asked``, and (null, bucket, summary) if ``summary`` is given."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(b, np.uint64) for b in group["keys"]]
+        counts = np.concatenate([np.frombuffer(b, np.int64) for b in group["counts"]])
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.zeros(len(distinct), np.int64)
+        np.add.at(totals, at, counts)
+        kind = np.int32 if totals.max(initial=0) < 1 << 31 else np.int64
+        parts = np.split(totals.astype(kind)[at], np.cumsum([len(k) for k in keys])[:-1])
+        rows = list(zip(group["block"], group["bucket"], [p.tobytes() for p in parts]))
+        if summary is not None:
+            rows.append((None, group["bucket"].iloc[0], np.array(summary(distinct, totals), np.int64).tobytes()))
+        return pd.DataFrame(rows, columns=["block", "bucket", "totals"])
+
+    own = blocks.filter("bucket >= 0").select("block", "bucket", "keys", "counts")
+    return own.groupBy("bucket").applyInPandas(add, "block string, bucket int, totals binary")
+
+
+def answered(blocks: DataFrame, totals: DataFrame) -> DataFrame:
+    """Each block's payload followed by its answers in the order of its keys; read it with ``by_block``."""
+    own = blocks.filter("bucket < 0").select("block", "bucket", F.col("payload").alias("data"), F.lit(0).alias("n"))
+    count = blocks.filter("bucket >= 0").select("block", "bucket", (F.octet_length("keys") / 8).cast("int").alias("n"))
+    sent = totals.filter("block IS NOT NULL").join(count, ["block", "bucket"]).select("block", "bucket", F.col("totals").alias("data"), "n")
+    return own.unionAll(sent).repartition("block").sortWithinPartitions("block", "bucket")
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
+    """(payload, totals of all keys in order) of each block in the rows of ``answered``."""
+    payload, parts = None, []
+
+    def finished():
+        return pickle.loads(zstandard.decompress(payload)), np.concatenate([np.zeros(0, np.int64), *parts])
+
+    for batch in batches:
+        for bucket, data, n in zip(batch.column("bucket").to_pylist(), batch.column("data"), batch.column("n").to_pylist()):
+            if bucket < 0:
+                if payload is not None:
+                    yield finished()
+                payload, parts = data.as_py(), []
+            else:
+                data = data.as_py()
+                parts.append(np.frombuffer(data, np.int32 if len(data) == 4 * n else np.int64).astype(np.int64))
+    if payload is not None:
+        yield finished()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import best_fit_shards, url_trust
+from timberline.llm import backoff_lm, best_fit_packing, best_fit_shards, cube_mixing, ordinal_quality, piecewise_hash, url_trust
 from timberline.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,38 @@ def op9_best_fit_shards(spark, folder):
 @query
 def op10_url_trust(spark, folder):
     return url_trust.judge(table(spark, folder, "pages"), Scratch(spark), URL_RULES)
+
+
+@query
+def op2_best_fit_packing(spark, folder):
+    return best_fit_packing.pack(table(spark, folder, "documents"), Scratch(spark), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_cube_mixing(spark, folder):
+    mixed = cube_mixing.mix(table(spark, folder, "documents"), Scratch(spark))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "times")
+
+
+@query
+def op5_piecewise_hash(spark, folder):
+    return piecewise_hash.compare_edits(table(spark, folder, "documents"))
+
+
+@query
+def op7_backoff_lm(spark, folder):
+    docs = table(spark, folder, "documents")
+    return backoff_lm.score(docs, Scratch(spark), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
+def grades(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade): 0 toxic, 1 poor, 2 good."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
+@query
+def op8_ordinal_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = ordinal_quality.fit(docs, grades(table(spark, folder, "labels")), grades=3)
+    return ordinal_quality.score(docs, model, least=2)
