@@ -1,9 +1,9 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 One weight per hashed word, shared by all grades, and ordered thresholds:
-P(grade <= k) = sigmoid(threshold_k - w.x). A text is the set of its words and of
-a few marks of its shape (shouting, symbols, repetition), hashed to ``1 << bits``
-slots. Fitting takes a bounded sample of rated rows; scoring is one pass in which
+P(grade <= k) = sigmoid(threshold_k - w.x). A text is the set of its words, of their
+starts and ends, and of a few marks of its shape (shouting, symbols, repetition),
+hashed to ``1 << bits`` slots. Fitting takes a bounded sample of rated rows; scoring is one pass in which
 the weights (``4 << bits`` bytes, whatever the corpus) travel with the task.
 """
 
@@ -22,6 +22,7 @@ from timberline.llm.common import binary, words
 
 SAMPLE = 16_384
 BITS = 18
+TELLING = 7.0  # standard deviations by which a slot's rows must differ from the rest
 
 
 def _steps(part: int, whole: int) -> int:
@@ -46,8 +47,10 @@ def features(text: bytes | None, bits: int) -> np.ndarray:
         "again": _steps(again, len(found)),
         "length": min(len(letters) // max(len(found), 1), 20),
     }
-    # White space parts words, so a mark never equals a word.
-    distinct.update(f"{k} {v}".encode() for k, v in shape.items())
+    # White space parts words, so a mark, a start or an end never equals a word.
+    starts = [b" 4" + w[:4] for w in distinct if len(w) > 4] + [b" 5" + w[:5] for w in distinct if len(w) > 5]
+    distinct.update(starts + [b" 3" + w[-3:] for w in distinct if len(w) > 3])
+    distinct.update(f" {k} {v}".encode() for k, v in shape.items())
     slots = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
     return np.unique((slots & np.uint64((1 << bits) - 1)).astype(np.int32))
 
@@ -68,11 +71,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
-def fit_rows(rows: list[tuple[int, np.ndarray]], grades: int, bits: int, epochs: int = 150, penalty: float = 1e-3) -> Model:
+def fit_rows(rows: list[tuple[int, np.ndarray]], grades: int, bits: int, epochs: int = 400, penalty: float = 1e-4) -> Model:
     """Maximum likelihood with an L2 penalty, by full-batch Adam; the same rows give the same model.
 
-    Each grade weighs the same in total, so that a rare one is learnt. Slots seen in
-    fewer than three rows keep a weight of zero. Without rows all grades are as likely.
+    Grades weigh by the root of their rows in total, so that a rare one is learnt. Only
+    slots whose rows have a grade clearly more or less often than all rows, and that
+    are seen three times, get a weight. Without rows all grades are as likely.
     """
     start = np.linspace(-1.0, 1.0, grades - 1) if grades > 2 else np.zeros(grades - 1)
     if not rows:
@@ -82,10 +86,16 @@ def fit_rows(rows: list[tuple[int, np.ndarray]], grades: int, bits: int, epochs:
     lengths = np.array([len(s) for _, s in rows])
     slots = np.concatenate([s for _, s in rows])
     owner = np.repeat(np.arange(len(rows)), lengths)
-    common = np.bincount(slots, minlength=1 << bits)[slots] >= 3
-    slots, owner = slots[common], owner[common]
+    seen, telling = np.bincount(slots, minlength=1 << bits), np.zeros(1 << bits)
+    for k in range(grades):
+        part = np.mean(y == k)
+        own = np.bincount(slots, weights=y[owner] == k, minlength=1 << bits)
+        spread = seen * part * (1 - part) * (1 - seen / len(y))
+        telling = np.maximum(telling, np.abs(own - seen * part) / np.sqrt(np.maximum(spread, 1e-9)))
+    used = ((telling >= TELLING) & (seen >= 3))[slots]
+    slots, owner = slots[used], owner[used]
     used, slots = np.unique(slots, return_inverse=True)
-    share = 1.0 / np.bincount(y, minlength=grades).clip(1)[y]
+    share = 1.0 / np.sqrt(np.bincount(y, minlength=grades).clip(1)[y])
     share /= share.sum()
     # Thresholds are a first value and positive gaps, kept as logarithms, so they stay ordered.
     theta = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.diff(start))])
