@@ -204,4 +204,4 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, capacity: int = 1024
 
     order = [F.col(c) for c in ("_id", "piece", "ids_crc32", "start")]
     ranked = numbered(cut, ["length"], order, sum(counts.values()), "rank")
-    return ranked.mapInArrow(hand_out, cut.schema.add("sequence_id", "long").add("offset", "long")).withColumnRenamed("_id", id_col)
+    return ranked.mapInArrow(hand_out, f"_id {dict(cut.dtypes)['_id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("_id", id_col)

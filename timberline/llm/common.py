@@ -127,6 +127,29 @@ def spans(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatc
         yield batch.slice(start)
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows, one table for each value of the keys."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        if rest and any(rest[-1].column(k)[rest[-1].num_rows - 1] != batch.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(rest)
+            rest = []
+        edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for start, end in zip(edges, edges[1:]):
+            if start:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            rest.append(batch.slice(start, end - start))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 # Counting over the whole corpus, block by block. A block of documents asks for the counts of its own keys;
 # a bucket, a range of the key space, adds up what all blocks have and answers each. A frequent key reaches
 # its bucket once from each block, never once from each row, so no key makes a large group.
