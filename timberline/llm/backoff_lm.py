@@ -22,7 +22,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import ASKED_DDL, Scratch, answered, answers, asked, binary, bucket_bits, by_block, mix, spans, word_hashes, words
+from timberline.llm.common import (
+    BLOCK_DDL,
+    Scratch,
+    answered,
+    binary,
+    block_rows,
+    bucket_bits,
+    by_block,
+    mix,
+    pack,
+    spans,
+    totals_of,
+    unpack,
+    word_hashes,
+    words,
+)
 
 ADDED = 0.1  # Fixed value.
 PRIOR = 4.0
@@ -46,7 +61,8 @@ def keys_of(vocabulary: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.
     return keys, np.searchsorted(keys, single), np.searchsorted(keys, double)[at]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], bits: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+def _payloads(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple]:
+    """(ids, held, lengths, vocabulary, tokens) of texts of bounded bytes."""
     for whole in batches:
         for batch in spans(whole, "text", block_bytes):
             texts = [words(t) for t in binary(batch, "text")]
@@ -58,18 +74,23 @@ def _blocks(batches: Iterator[pa.RecordBatch], bits: int, block_bytes: int) -> I
             hashes[ends - 1] = _END
             hashes[inner] = word_hashes([w for t in texts for w in t])
             vocabulary, tokens = np.unique(hashes, return_inverse=True)
-            tokens = tokens.astype(np.uint32)
             held = np.array(batch.column("held").to_pylist(), bool)
-            keys, single, double = keys_of(vocabulary, tokens)
-            trained = np.repeat(~held, lengths)
-            counts = np.bincount(single[tokens[trained]], minlength=len(keys)) + np.bincount(double[trained], minlength=len(keys))
-            payload = (batch.column("_id").to_pylist(), held, lengths, vocabulary, tokens)
-            yield asked(payload, keys, counts, bits)
+            yield batch.column("_id").to_pylist(), held, lengths, pack(vocabulary, True), pack(tokens.astype(np.uint32))
+
+
+def counts_of(payload: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a block, and how often each occurs in its training texts."""
+    _, held, lengths, vocabulary, tokens = payload
+    vocabulary, tokens = unpack(vocabulary), unpack(tokens)
+    keys, single, double = keys_of(vocabulary, tokens)
+    trained = np.repeat(~held, lengths)
+    return keys, np.bincount(single[tokens[trained]], minlength=len(keys)) + np.bincount(double[trained], minlength=len(keys))
 
 
 def walk(payload: tuple, totals: np.ndarray, all_tokens: int, distinct: int, prior: float) -> tuple[np.ndarray, ...]:
     """(words and end, known, base score, score) of each text of a block."""
     _, _, lengths, vocabulary, tokens = payload
+    vocabulary, tokens = unpack(vocabulary), unpack(tokens)
     _, single, double = keys_of(vocabulary, tokens)
     seen = totals[single]
     base = np.log10((seen + ADDED) / (all_tokens + ADDED * (distinct + 1)))
@@ -105,23 +126,23 @@ def score(
     )
     size = source.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     bits = bucket_bits(size // 4)  # about a third as many words as bytes, and some pairs occur again
-    blocks = scratch.keep(source.mapInArrow(lambda batches: _blocks(batches, bits, block_bytes), ASKED_DDL), "blocks")
+    blocks = scratch.keep(source.mapInArrow(lambda batches: block_rows(_payloads(batches, block_bytes)), BLOCK_DDL), "blocks")
 
     def summary(keys: np.ndarray, totals: np.ndarray) -> list[int]:
         own = totals[keys & _PAIR == 0]
         return [int(own.sum()), int((own > 0).sum())]
 
-    totals = scratch.keep(answers(blocks, summary), "totals")
-    sums = [np.frombuffer(r.totals, np.int64) for r in totals.filter("block IS NULL").select("totals").collect()]  # one for each bucket
-    all_tokens, distinct = (int(x) for x in np.sum([np.zeros(2, np.int64), *sums], axis=0))
+    answers = scratch.keep(totals_of(blocks, counts_of, bits, summary), "totals")
+    sums = [unpack(r.totals) for r in answers.filter("block IS NULL").select("totals").collect()]  # one for each bucket
+    all_tokens, distinct = (int(x) for x in np.sum([np.zeros(2, np.uint64), *sums], axis=0))
     kind = source.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for payload, counts in by_block(batches):
-            n, known, base, own = walk(payload, counts, all_tokens, distinct, prior)
+        for payload, totals in by_block(batches):
+            n, known, base, own = walk(payload, totals, all_tokens, distinct, prior)
             ids = pa.array(payload[0], pa.string() if kind == "string" else pa.int64() if kind == "bigint" else None)
             columns = [ids, pa.array(payload[1]), *map(pa.array, (n, known, np.full(len(n), all_tokens), base, own))]
             yield pa.RecordBatch.from_arrays(columns, ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     columns = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answered(blocks, totals).mapInArrow(run, columns).withColumnRenamed("_id", id_col)
+    return answered(blocks, answers).mapInArrow(run, columns).withColumnRenamed("_id", id_col)

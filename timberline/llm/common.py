@@ -150,73 +150,127 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(rest)
 
 
+PLACES = 1 << 24
+
+
+def place(column: str) -> Column:
+    """Where a value stands in a ``bitmap``."""
+    return F.pmod(F.xxhash64(column), F.lit(PLACES))
+
+
+def bitmap(places: DataFrame) -> np.ndarray:
+    """The places in the column ``at`` as packed bits: 2 MB, however many there are.
+
+    It travels with tasks to leave out most rows that a later join drops; some that it lets through have no match there.
+    """
+    at = F.col("at") + 1
+    parts = places.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    found = np.zeros(PLACES // 8, np.uint8)
+    for r in parts.collect():  # at most 512 rows of 4 KB
+        found[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(r.bits, np.uint8)
+    return found
+
+
+def marked(bits: np.ndarray, at: pa.Array) -> pa.Array:
+    at = at.to_numpy()
+    return pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1)
+
+
 # Counting over the whole corpus, block by block. A block of documents asks for the counts of its own keys;
 # a bucket, a range of the key space, adds up what all blocks have and answers each. A frequent key reaches
 # its bucket once from each block, never once from each row, so no key makes a large group.
 
-ASKED_DDL = "block string, bucket int, payload binary, keys binary, counts binary"
-ASKED = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+BLOCK_DDL = "block string, payload binary"
 BUCKET_KEYS = 2_000_000
 
 
+def pack(values: np.ndarray, ascending: bool = False) -> bytes:
+    """An array of unsigned numbers, compressed; ascending ones as differences. Bytes of one place stand together."""
+    if ascending:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return bytes([values.itemsize, ascending]) + zstandard.compress(planes.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    size, ascending = data[0], data[1]
+    planes = np.frombuffer(zstandard.decompress(data[2:]), np.uint8).reshape(size, -1)
+    values = np.ascontiguousarray(planes.T).view(f"<u{size}").ravel()
+    return np.cumsum(values, dtype=values.dtype) if ascending else values
+
+
+def block_rows(payloads: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """A row for each payload, a tuple of arrays and other small values, in the columns of BLOCK_DDL."""
+    for payload in payloads:
+        data = zstandard.compress(pickle.dumps(payload, protocol=5), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([data], pa.binary())], ["block", "payload"])
+
+
+def opened(data: bytes) -> tuple:
+    return pickle.loads(zstandard.decompress(data))
+
+
 def bucket_bits(keys: int) -> int:
     """So many leading bits of a key name its bucket that one has about BUCKET_KEYS of so many keys."""
     return max(3, (max(1, keys) // BUCKET_KEYS).bit_length())
 
 
-def asked(payload: object, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """A block: a row with its payload, and a row of sorted distinct keys with their counts for each bucket."""
-    block = uuid.uuid4().hex
-    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    parts = list(zip(np.split(keys, edges), np.split(counts.astype(np.int64), edges)))
-    rows = [(block, -1, zstandard.compress(pickle.dumps(payload, protocol=5), 1), None, None)]
-    rows += [(block, k, None, a.tobytes(), c.tobytes()) for k, (a, c) in enumerate(parts) if len(a)]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ASKED.types)], schema=ASKED)
+def totals_of(
+    blocks: DataFrame,
+    keys_of: Callable[[tuple], tuple[np.ndarray, np.ndarray]],
+    bits: int,
+    summary: Callable[[np.ndarray, np.ndarray], list[int]] | None = None,
+) -> DataFrame:
+    """(block, bucket, totals): the sums over all blocks of the counts of each key of a block, in the order of its keys.
 
+    ``keys_of`` makes sorted distinct 64-bit keys and their counts from a payload. With
+    ``summary``, a row of block NULL holds its numbers for the keys and sums of a bucket.
+    """
 
-def answers(blocks: DataFrame, summary: Callable[[np.ndarray, np.ndarray], list[int]] | None = None) -> DataFrame:
-    """(block, bucket, totals) for rows of ``asked``, and (null, bucket, summary) if ``summary`` is given."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block"), batch.column("payload")):
+                keys, counts = keys_of(opened(data.as_py()))
+                edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+                parts = zip(np.split(keys, edges), np.split(counts.astype(np.uint64), edges))
+                rows = [(k, pack(a, True), pack(c)) for k, (a, c) in enumerate(parts) if len(a)]
+                if rows:
+                    bucket, keys, counts = zip(*rows)
+                    columns = [pa.array([block.as_py()] * len(rows)), pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "keys", "counts"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(b, np.uint64) for b in group["keys"]]
-        counts = np.concatenate([np.frombuffer(b, np.int64) for b in group["counts"]])
+        keys = [unpack(b) for b in group["keys"]]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.zeros(len(distinct), np.int64)
-        np.add.at(totals, at, counts)
-        kind = np.int32 if totals.max(initial=0) < 1 << 31 else np.int64
-        parts = np.split(totals.astype(kind)[at], np.cumsum([len(k) for k in keys])[:-1])
-        rows = list(zip(group["block"], group["bucket"], [p.tobytes() for p in parts]))
+        totals = np.zeros(len(distinct), np.uint64)
+        np.add.at(totals, at, np.concatenate([unpack(b) for b in group["counts"]]))
+        parts = np.split(totals[at], np.cumsum([len(k) for k in keys])[:-1])
+        rows = list(zip(group["block"], group["bucket"], map(pack, parts)))
         if summary is not None:
-            rows.append((None, group["bucket"].iloc[0], np.array(summary(distinct, totals), np.int64).tobytes()))
+            rows.append((None, group["bucket"].iloc[0], pack(np.array(summary(distinct, totals), np.uint64))))
         return pd.DataFrame(rows, columns=["block", "bucket", "totals"])
 
-    own = blocks.filter("bucket >= 0").select("block", "bucket", "keys", "counts")
-    return own.groupBy("bucket").applyInPandas(add, "block string, bucket int, totals binary")
+    requests = blocks.mapInArrow(ask, "block string, bucket int, keys binary, counts binary")
+    return requests.groupBy("bucket").applyInPandas(add, "block string, bucket int, totals binary")
 
 
 def answered(blocks: DataFrame, totals: DataFrame) -> DataFrame:
-    """Each block's payload followed by its answers in the order of its keys; read it with ``by_block``."""
-    own = blocks.filter("bucket < 0").select("block", "bucket", F.col("payload").alias("data"), F.lit(0).alias("n"))
-    count = blocks.filter("bucket >= 0").select("block", "bucket", (F.octet_length("keys") / 8).cast("int").alias("n"))
-    sent = totals.filter("block IS NOT NULL").join(count, ["block", "bucket"]).select("block", "bucket", F.col("totals").alias("data"), "n")
+    """Each block's payload followed by its totals; read it with ``by_block``."""
+    own = blocks.select("block", F.lit(-1).alias("bucket"), F.col("payload").alias("data"))
+    sent = totals.filter("block IS NOT NULL").select("block", "bucket", F.col("totals").alias("data"))
     return own.unionAll(sent).repartition("block").sortWithinPartitions("block", "bucket")
 
 
-def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
     """(payload, totals of all keys in order) of each block in the rows of ``answered``."""
     payload, parts = None, []
-
-    def finished():
-        return pickle.loads(zstandard.decompress(payload)), np.concatenate([np.zeros(0, np.int64), *parts])
-
     for batch in batches:
-        for bucket, data, n in zip(batch.column("bucket").to_pylist(), batch.column("data"), batch.column("n").to_pylist()):
-            if bucket < 0:
-                if payload is not None:
-                    yield finished()
-                payload, parts = data.as_py(), []
-            else:
-                data = data.as_py()
-                parts.append(np.frombuffer(data, np.int32 if len(data) == 4 * n else np.int64).astype(np.int64))
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
+            if bucket >= 0:
+                parts.append(unpack(data.as_py()))
+                continue
+            if payload is not None:
+                yield opened(payload), np.concatenate([np.zeros(0, np.uint64), *parts]).astype(np.int64)
+            payload, parts = data.as_py(), []
     if payload is not None:
-        yield finished()
+        yield opened(payload), np.concatenate([np.zeros(0, np.uint64), *parts]).astype(np.int64)
