@@ -150,6 +150,14 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(rest)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, lengthened until it is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 PLACES = 1 << 24
 
 

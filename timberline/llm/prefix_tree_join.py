@@ -34,13 +34,16 @@ from timberline.llm.common import (
     Scratch,
     answered,
     binary,
+    bitmap,
     block_rows,
     bucket_bits,
     by_block,
     components,
     groups,
+    marked,
     numbered,
     pack,
+    place,
     shingles,
     totals_of,
     unpack,
@@ -248,25 +251,16 @@ def _whole_sets(docs: DataFrame, likely: DataFrame, width: int) -> DataFrame:
     Which documents to read is told by a bitmap of fixed size, 2 MB, that travels with
     the tasks; what it lets through wrongly is dropped by the join on the mark.
     """
-    bits = 1 << 24
-    place = F.pmod(F.xxhash64("least"), F.lit(bits)) + 1
-    marked = likely.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
-    bitmap = np.zeros(bits, bool)
-    for r in marked.collect():  # at most 512 rows of 4 KB
-        found = np.unpackbits(np.frombuffer(r.map, np.uint8), bitorder="little")
-        bitmap[(r.part - 1) * 32768 : r.part * 32768] = found
-    bitmap = np.packbits(bitmap)
+    bits = bitmap(likely.select(place("least").alias("at")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("at").to_numpy()
-            batch = batch.filter(pa.array((bitmap[at >> 3] >> (7 - (at & 7))) & 1 == 1))
-            for text in binary(batch, "text"):
+            for text in binary(batch.filter(marked(bits, batch.column("at"))), "text"):
                 found = gram_set(text, width)
                 mark = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays([pa.array([mark], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["mark", "grams"])
 
-    source = docs.select("text", (F.pmod(F.xxhash64("id"), F.lit(bits))).alias("at"))
+    source = docs.select("text", place("id").alias("at"))
     made = source.mapInArrow(run, "mark binary, grams binary").join(likely.select("mark", "node"), "mark")
     return made.groupBy("node").agg(F.first("grams").alias("grams"))
 

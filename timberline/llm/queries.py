@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import backoff_lm, best_fit_packing, best_fit_shards, cube_mixing, nn_descent, ordinal_quality, piecewise_hash, prefix_tree_join, url_trust
+from timberline.llm import backoff_lm, best_fit_packing, best_fit_shards, compact_windows, cube_mixing, nn_descent, ordinal_quality, piecewise_hash, prefix_tree_join, url_trust
 from timberline.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op3_nn_descent(spark, folder):
 @query
 def op1_prefix_tree_join(spark, folder):
     return prefix_tree_join.join(table(spark, folder, "documents"), Scratch(spark))
+
+
+@query
+def op6_compact_windows(spark, folder):
+    return compact_windows.repeats(table(spark, folder, "documents"), Scratch(spark))
