@@ -165,3 +165,14 @@ def score(docs: DataFrame, model: Model, least: int, chance: float = 0.5, id_col
 
     kind = f"_id {dict(source.dtypes)['_id']}, expected_grade double, tail double, keep boolean"
     return source.mapInArrow(judge, kind).withColumnRenamed("_id", id_col)
+
+
+def accepted(docs: DataFrame, model: Model, least: int, chance: float = 0.5, text_col: str = "text") -> DataFrame:
+    """All columns of the rows that ``score`` keeps; nothing is shuffled."""
+
+    @F.arrow_udf("boolean")
+    def keep(texts: pa.Array) -> pa.Array:
+        slots = (features(t.as_py(), model.bits) for t in texts.cast(pa.binary()))
+        return pa.array([bool(model.grades(s)[least:].sum() >= chance) for s in slots], pa.bool_())
+
+    return docs.filter(keep(text_col))
