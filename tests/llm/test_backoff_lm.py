@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.llm import common
-from timberline.llm.backoff_lm import PRIOR, score
+from timberline.llm.backoff_lm import PLAIN, PRIOR, score
 from timberline.llm.common import Scratch
 
 HELD = "crc32(cast(doc_id AS string)) % 10 = 0"
@@ -23,21 +23,37 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, held int")
 
 
+class Counted:
+    """The model from plain counts."""
+
+    def __init__(self, texts):
+        self.single, self.double = Counter(), Counter()
+        for t in texts:
+            self.single.update(t)
+            self.double.update(zip([None, *t], t))
+        self.n, self.v = sum(self.single.values()), len(self.single)
+        some = Counter(self.single.values())
+        self.d = some[1] / (some[1] + 2 * some[2]) if some[1] and some[2] else 0.5
+
+    def base(self, w):
+        return (self.single[w] + 0.1) / (self.n + 0.1 * (self.v + 1))
+
+    def p(self, w):
+        return (self.single[w] - self.d) / self.n if self.single[w] else self.d * self.v / self.n
+
+    def q(self, a, w):
+        return PLAIN * self.p(w) + (1 - PLAIN) * (self.double[a, w] + PRIOR * self.p(w)) / (self.single[a] + PRIOR)
+
+
 def plain(rows):
     held = [i is not None and crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
     texts = [tokens(t) for _, t in rows]
-    single, double = Counter(), Counter()
-    for h, t in zip(held, texts):
-        if not h:
-            single.update(t)
-            double.update(zip([None, *t], t))
-    n, v = sum(single.values()), len(single)
+    m = Counted([t for h, t in zip(held, texts) if not h])
     out = []
     for (id_, _), h, t in zip(rows, held, texts):
-        p = [(single[w] + 0.1) / (n + 0.1 * (v + 1)) for w in t]
-        q = [(double[a, w] + PRIOR * x) / (single[a] + PRIOR) for a, w, x in zip([None, *t], t, p)]
-        known = sum(single[w] > 0 for w in t)
-        out.append((id_, h, len(t), known, n, sum(map(math.log10, p)), sum(map(math.log10, q))))
+        known = sum(m.single[w] > 0 for w in t)
+        base, own = sum(math.log10(m.base(w)) for w in t), sum(math.log10(m.q(a, w)) for a, w in zip([None, *t], t))
+        out.append((id_, h, len(t), known, m.n, base, own))
     return out
 
 
@@ -61,22 +77,23 @@ def test_arcs_add_up(spark):
     probes = [(10**6 + k, f"a {w}") for k, w in enumerate(words)] + [(10**7, "a")]
     held = F.col("doc_id") >= 10**6
     out = {r.doc_id: r for r in score(frame(spark, rows + probes), Scratch(spark), held).collect()}
-    # P(end | a), and P(w | a) as the ratio of two texts' chances times what follows w.
-    plain_rows = [(i, t) for i, t in rows]
-    single, double = Counter(), Counter()
-    for _, t in plain_rows:
-        seq = tokens(t)
-        single.update(seq)
-        double.update(zip([None, *seq], seq))
-    n, v = sum(single.values()), len(single)
-    p = lambda w: (single[w] + 0.1) / (n + 0.1 * (v + 1))
-    q = lambda a, w: (double[a, w] + PRIOR * p(w)) / (single[a] + PRIOR)
-    assert sum(q("a", w) for w in [*words, None]) == pytest.approx(1)
+    m = Counted([tokens(t) for _, t in rows])
+    for before in ("a", "b", "c", None, "unknown"):
+        assert sum(m.q(before, w) for w in [*words, None]) == pytest.approx(1)
     for k, w in enumerate(words):
-        assert out[10**6 + k].score == pytest.approx(math.log10(q(None, "a") * q("a", w) * q(w, None)))
+        assert out[10**6 + k].score == pytest.approx(math.log10(m.q(None, "a") * m.q("a", w) * m.q(w, None)))
+
+
+def test_held_out_text_is_likelier_than_at_the_base(spark):
+    r = random.Random(2)
+    vocabulary = [f"w{int(r.paretovariate(0.7))}" for _ in range(20_000)]
+    rows = [(k, " ".join(vocabulary[at : at + 60])) for k in range(600) for at in [r.randrange(0, 19_900)]]
+    out = [x for x in score(frame(spark, rows), Scratch(spark), F.expr(HELD)).collect() if x.held_out]
+    assert len(out) > 30 and sum(x.score > x.base_score for x in out) >= 0.8 * len(out)
+    assert sum(x.score for x in out) > sum(x.base_score for x in out)
 
 
 def test_empty(spark):
     assert score(frame(spark, []), Scratch(spark), F.expr(HELD)).collect() == []
     (r,) = score(frame(spark, [(1, "a")]), Scratch(spark), F.lit(True)).collect()
-    assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0)
+    assert (r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0.0, 0.0)

@@ -1,11 +1,12 @@
 """LM scoring by a weighted backoff automaton.
 
-States are the words seen in training. State v has an arc to w for each pair seen,
-weighing log10 of (c(vw) + k * P(w)) / (c(v) + k), and a failure arc weighing log10
-of k / (c(v) + k) to the state without context, whose arcs weigh log10 P(w); P is
-the base distribution with 0.1 added to each count. So each state's arcs, those
-reached by failure included, add up to 1. A text is read once, left to right: the
-state is the word before, and the log-probabilities add up.
+The state without context holds words with a discount: P(w) = (c(w) - d) / N, and
+what the discounts free goes to the words never seen. States are the words seen in
+training. State v has an arc to w for each pair seen, weighing log10 of
+q * P(w) + (1 - q) * (c(vw) + k * P(w)) / (c(v) + k), and a failure arc to the state
+without context, weighing log10 of q + (1 - q) * k / (c(v) + k). So each state's arcs,
+those reached by failure included, add up to 1. A text is read once, left to right:
+the state is the word before, and the log-probabilities add up.
 
 The automaton is as large as the corpus, so it is never in one place. Documents are
 dealt into blocks of bounded bytes; a block asks for the counts of the words and
@@ -40,7 +41,8 @@ from timberline.llm.common import (
 )
 
 ADDED = 0.1  # Fixed value.
-PRIOR = 4.0
+PRIOR = 4.0  # k
+PLAIN = 0.5  # q
 BLOCK_BYTES = 8 << 20
 _END = word_hashes([b"\n"])  # white space is never a word
 _PAIR, _WORD = np.uint64(1), ~np.uint64(1)
@@ -87,18 +89,25 @@ def counts_of(payload: tuple) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(single[tokens[trained]], minlength=len(keys)) + np.bincount(double[trained], minlength=len(keys))
 
 
-def walk(payload: tuple, totals: np.ndarray, all_tokens: int, distinct: int, prior: float) -> tuple[np.ndarray, ...]:
-    """(words and end, known, base score, score) of each text of a block."""
+def walk(payload: tuple, totals: np.ndarray, training: tuple[int, int, int, int], prior: float, plain: float) -> tuple[np.ndarray, ...]:
+    """(words and end, known, base score, score) of each text of a block.
+
+    ``training`` is the number of tokens, of words among them, and of words seen once and twice.
+    """
     _, _, lengths, vocabulary, tokens = payload
     vocabulary, tokens = unpack(vocabulary), unpack(tokens)
     _, single, double = keys_of(vocabulary, tokens)
+    everything, distinct, once, twice = training
     seen = totals[single]
-    base = np.log10((seen + ADDED) / (all_tokens + ADDED * (distinct + 1)))
-    fail = np.log10(prior / (seen + prior))
+    base = np.log10((seen + ADDED) / (everything + ADDED * (distinct + 1)))
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    unseen = discount * distinct / everything if everything else 1.0
+    own = np.where(seen > 0, (seen - discount) / max(everything, 1), unseen)
+    fail = np.log10(plain + (1 - plain) * prior / (seen + prior))
     before = np.concatenate([[np.searchsorted(vocabulary, _END[0])], tokens[:-1]]).astype(np.int64)
     together = totals[double]
-    arc = np.log10((together + prior * 10.0 ** base[tokens]) / (seen[before] + prior))
-    step = np.where(together > 0, arc, fail[before] + base[tokens])
+    arc = np.log10(plain * own[tokens] + (1 - plain) * (together + prior * own[tokens]) / (seen[before] + prior))
+    step = np.where(together > 0, arc, fail[before] + np.log10(own)[tokens])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     known = np.add.reduceat((seen[tokens] > 0).astype(np.int64), starts)
     return lengths, known, np.add.reduceat(base[tokens], starts), np.add.reduceat(step, starts)
@@ -109,6 +118,7 @@ def score(
     scratch: Scratch,
     held_out: Column,
     prior: float = PRIOR,
+    plain: float = PLAIN,
     id_col: str = "doc_id",
     text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
@@ -118,7 +128,7 @@ def score(
     Learns from the rows where ``held_out`` is false (null counts as false) and scores
     all. A null text counts as empty: its one token is the end. Null and repeated ids
     are rows like any other; an empty table gives an empty result, and without
-    training rows each token has the same chance. Other columns are ignored, whatever
+    training rows every word is the one unseen word. Other columns are ignored, whatever
     their names. Words are compared by 64-bit hashes.
     """
     source = docs.select(
@@ -130,18 +140,18 @@ def score(
 
     def summary(keys: np.ndarray, totals: np.ndarray) -> list[int]:
         own = totals[keys & _PAIR == 0]
-        return [int(own.sum()), int((own > 0).sum())]
+        return [int(own.sum()), *(int(np.sum(x)) for x in (own > 0, own == 1, own == 2))]
 
     answers = scratch.keep(totals_of(blocks, counts_of, bits, summary), "totals")
     sums = [unpack(r.totals) for r in answers.filter("block IS NULL").select("totals").collect()]  # one for each bucket
-    all_tokens, distinct = (int(x) for x in np.sum([np.zeros(2, np.uint64), *sums], axis=0))
+    training = tuple(int(x) for x in np.sum([np.zeros(4, np.uint64), *sums], axis=0))
     kind = source.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for payload, totals in by_block(batches):
-            n, known, base, own = walk(payload, totals, all_tokens, distinct, prior)
+            n, known, base, own = walk(payload, totals, training, prior, plain)
             ids = pa.array(payload[0], pa.string() if kind == "string" else pa.int64() if kind == "bigint" else None)
-            columns = [ids, pa.array(payload[1]), *map(pa.array, (n, known, np.full(len(n), all_tokens), base, own))]
+            columns = [ids, pa.array(payload[1]), *map(pa.array, (n, known, np.full(len(n), training[0]), base, own))]
             yield pa.RecordBatch.from_arrays(columns, ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     columns = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
