@@ -56,6 +56,7 @@ def test_next_document(spark, parts, monkeypatch):
     import timberline.llm.piecewise_hash as m
 
     size = sum(len((t or "").encode()) for _, t in rows)
+    monkeypatch.setattr(m, "LEAST_RANGES", parts)
     monkeypatch.setattr(m, "in_ranges", lambda d, real=m.in_ranges, **k: real(d, per_task=-(-size // parts), **k))
     out = sorted(tuple(r) for r in compare_edits(frame(spark, rows).repartition(5)).select("doc_id", "n_chars", "edited_sha256").fillna(-1, ["doc_id"]).collect())
     expected = []

@@ -26,6 +26,7 @@ from timberline.llm.common import mix
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 LEAST, LARGEST, WANTED, MOST = 1, 1 << 31, 64, 128
 WINDOW = 7
+LEAST_RANGES = 256  # tasks of a corpus of more than a few MB
 _BYTES = (mix(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _M = 0x2C1B3C6D
 _POWERS = [np.uint32(pow(_M, k, 1 << 32)) for k in (1, 2, 4, 6)]
@@ -135,7 +136,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"_id {dict(source.dtypes)['_id']}, n_chars long, fingerprint string").withColumnRenamed("_id", id_col)
 
 
-def in_ranges(docs: DataFrame, per_task: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def in_ranges(docs: DataFrame, per_task: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, extra, id, text): rows dealt by ranges of the id, each range followed by the first row of the next.
 
     Rows come in descending id within a task, nulls last and equal ids by text; the
@@ -146,6 +147,8 @@ def in_ranges(docs: DataFrame, per_task: int = 16 << 20, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = int(min(10_000, max(1, -(-size // per_task))))
+    if parts > 1:
+        parts = max(parts, LEAST_RANGES)
     points = [k / parts for k in range(1, parts)]
     cuts = rows.agg(F.percentile_approx("id", points, 20 * parts)).first()[0] if points else None
     cuts = np.unique(np.array(cuts or [], np.int64))
