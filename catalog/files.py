@@ -3,11 +3,9 @@
 from pyspark.sql import functions as F
 
 from catalog import sources as src
-from catalog.registry import log_table, query
+from catalog.registry import log_table, query, table
 from timberline.operators.detect import confidence_pct, detect_format
-from timberline.operators.summary import load_summary
 from timberline.plans import canned
-from timberline.plans.formats import get_format
 from timberline.plans.load import load_logs
 from timberline.session import scratch_path
 from timberline.sources.text_files import read_log_lines, read_utf16_lines, with_line_numbers
@@ -108,15 +106,6 @@ def suggested_queries(spark, folder):
     return canned.suggestions_for(_detect(spark, folder))
 
 
-@query(f"""
-    SELECT file, 'syslog' AS format, count(*) FILTER (WHERE kind = 'syslog') AS row_count,
-           count(*) FILTER (WHERE kind <> 'syslog') AS skipped_count
-    FROM (SELECT {_FILE} AS file, {_KIND} AS kind FROM events) GROUP BY file""")
-def format_override(spark, folder):
-    """Every file taken as syslog, whatever it holds."""
-    return load_summary(corpus_lines(spark, folder), get_format("syslog").name)
-
-
 # ----------------------------------------------------------- written files
 
 
@@ -126,6 +115,43 @@ def _write(lines, path: str, by: str, order: list[str]) -> str:
     return path
 
 
+def _written_corpus(spark, folder):
+    """The corpus as one file per user."""
+    lines = corpus_lines(spark, folder).select("file", F.col("line_no").alias("event_id"), "raw").repartition("file")
+    return _write(lines, scratch_path(spark, "corpus"), "file", ["event_id"])
+
+
+_NAME = r"file=([^/]+)/"
+
+
+@query(f"{_DETECTED} SELECT file, format, score, matched, sampled, confidence FROM detected")
+def detect_in_many_splits(spark, folder):
+    """The same files, small as they are, read in splits of a few lines."""
+    path = _written_corpus(spark, folder)
+    small = {"spark.sql.files.maxPartitionBytes": "4KB", "spark.sql.files.openCostInBytes": "512"}
+    before = {name: spark.conf.get(name) for name in small}
+    try:
+        for name, value in small.items():
+            spark.conf.set(name, value)
+        found = load_logs(spark, path).detection
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    return found.drop("confidence_pct").withColumn("file", F.regexp_extract("file", _NAME, 1))
+
+
+@query(f"""
+    SELECT file, 'syslog' AS format, count(*) FILTER (WHERE kind = 'syslog') AS row_count,
+           count(*) FILTER (WHERE kind <> 'syslog') AS skipped_count, 0 AS confidence,
+           CASE WHEN count(*) FILTER (WHERE kind = 'syslog') = 0 THEN 'no lines parsed' ELSE 'loaded' END AS status
+    FROM (SELECT {_FILE} AS file, {_KIND} AS kind FROM events) GROUP BY file""")
+def format_override(spark, folder):
+    """Every file loaded as syslog, whatever it holds."""
+    summary = load_logs(spark, _written_corpus(spark, folder), format="syslog").summary
+    name = F.regexp_extract("file", _NAME, 1)
+    return summary.select(name.alias("file"), "format", "row_count", "skipped_count", "confidence", "status")
+
+
 def _written_documents(spark, folder, body):
     parts = F.posexplode(F.split("text", "\n")).alias("n", "line")
     lines = log_table(spark, folder, "documents").select("doc_id", "lang", parts).withColumn("raw", F.expr(body))
@@ -179,21 +205,45 @@ def triage_size(spark, folder):
 
 
 @query("""
+    WITH files AS (SELECT lang, sum(strlen(text) + 1)::bigint AS bytes FROM documents GROUP BY lang)
+    SELECT lang, bytes, CASE WHEN bytes <= 50 * 2000 THEN 'ok' WHEN bytes <= 100 * 2000 THEN 'warn'
+                             WHEN bytes <= 500 * 2000 THEN 'confirm' ELSE 'reject' END AS tier FROM files""")
+def triage_size_low(spark, folder):
+    """One file for each language, with limits that count in units of 2,000 bytes."""
+    parts = F.posexplode(F.split("text", "\n")).alias("n", "raw")
+    lines = table(spark, folder, "documents").select("doc_id", "lang", parts).repartition("lang")
+    path = _write(lines, scratch_path(spark, "documents"), "lang", ["doc_id", "n"])
+    return list_files(spark, path, 2000).select(F.regexp_extract("file", "lang=([a-z]+)", 1).alias("lang"), "bytes", "tier")
+
+
+_LINES_OF_DOCUMENTS = """
     SELECT doc_id, count(*) AS lines, sum(length(line))::bigint AS chars
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""")
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id"""
+
+
+@query(_LINES_OF_DOCUMENTS)
 def utf16_lines(spark, folder):
     """The documents as UTF-16, read back in splits."""
+    return _through_utf16(spark, folder, "UTF-16LE")
+
+
+@query(_LINES_OF_DOCUMENTS)
+def utf16be_lines(spark, folder):
+    return _through_utf16(spark, folder, "UTF-16BE")
+
+
+def _through_utf16(spark, folder, charset):
     parts = F.posexplode(F.split("text", "\n")).alias("n", "line")
     lines = log_table(spark, folder, "documents").select("doc_id", parts)
     raw = F.concat(F.col("doc_id").cast("string"), F.lit("|"), "line")
     path = scratch_path(spark, "utf16")
     (
         lines.sortWithinPartitions("doc_id", "n")
-        .select(F.encode(raw, "UTF-16LE").cast("string").alias("value"))
-        .write.option("encoding", "UTF-16LE").option("lineSep", "\n").text(path)
+        .select(F.encode(raw, charset).cast("string").alias("value"))
+        .write.option("encoding", charset).option("lineSep", "\n").text(path)
     )
     part = F.split("raw", r"\|", 2)
-    read = read_utf16_lines(spark, path, "utf-16le")
+    read = read_utf16_lines(spark, path, charset.lower())
     return read.groupBy(part[0].cast("bigint").alias("doc_id")).agg(
         F.count("*").alias("lines"), F.sum(F.length(part[1])).alias("chars")
     )

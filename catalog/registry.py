@@ -38,9 +38,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def log_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table that lines are made of.
 
-    A file of one row group is read by one task. Where that leaves cores idle
-    its rows are dealt out before parsing; tables of many splits stay in place.
+    A file of one row group is read by one task, so its rows are dealt out before parsing.
     """
-    df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return table(spark, folder, name).repartition(spark.sparkContext.defaultParallelism)

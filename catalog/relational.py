@@ -152,6 +152,34 @@ def sql_asof(spark, folder):
     return matched.select("line_no", "timestamp", "last_view")
 
 
+_GAPPY = """SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN user_id END AS user_id, event_type,
+    CASE WHEN event_id % 13 <> 0 THEN ts END AS ts, CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM events"""
+
+
+def _gappy(spark, folder):
+    return spark.sql(_GAPPY.replace("FROM events", "FROM {events}"), events=table(spark, folder, "events"))
+
+
+@query(f"""
+    WITH e AS ({_GAPPY})
+    SELECT p.event_id, (SELECT max(v.ts) FROM e v WHERE v.user_id = p.user_id AND v.event_type = 'view' AND v.ts <= p.ts) AS last_view
+    FROM e p WHERE p.event_type <> 'view'""")
+def sql_asof_nulls(spark, folder):
+    """Keys and times may be NULL; they match nothing, and no row is lost."""
+    events = _gappy(spark, folder)
+    viewed = events.filter("event_type = 'view'").select("user_id", F.col("ts").alias("last_view"))
+    others = events.filter("event_type <> 'view'").select("user_id", "event_id", "ts")
+    return asof_join(others, viewed, ["user_id"], "ts", "last_view").select("event_id", "last_view")
+
+
+@query(f"""
+    WITH e AS ({_GAPPY})
+    SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS before FROM e""")
+def sql_previous_nulls(spark, folder):
+    """The value of the row before, where keys, times and values may be NULL."""
+    return with_previous(_gappy(spark, folder), ["user_id"], ["ts", "event_id"], "value", "before").select("event_id", "before")
+
+
 # -------------------------------------------------------------- aggregates
 
 sql(
@@ -217,9 +245,18 @@ sql(
     "sql_approximate",
     """
     SELECT method, abs(approx_count_distinct(remote_addr) - count(DISTINCT remote_addr))
-                   <= 0.15 * count(DISTINCT remote_addr) AS clients_close
+                   <= 0.15 * count(DISTINCT remote_addr) AS clients_close,
+           abs(approx_percentile(body_bytes_sent, 0.5, 1000) - percentile(body_bytes_sent, 0.5))
+                   <= 0.01 * (max(body_bytes_sent) - min(body_bytes_sent)) AS median_close,
+           count(DISTINCT remote_addr) AS clients, percentile(body_bytes_sent, 0.5) AS median
+    FROM {logs} GROUP BY method""",
+    """
+    SELECT method, abs(approx_count_distinct(remote_addr) - count(DISTINCT remote_addr))
+                   <= 0.25 * count(DISTINCT remote_addr) AS clients_close,
+           abs(approx_quantile(body_bytes_sent, 0.5) - quantile_cont(body_bytes_sent, 0.5))
+                   <= 0.05 * (max(body_bytes_sent) - min(body_bytes_sent)) AS median_close,
+           count(DISTINCT remote_addr) AS clients, quantile_cont(body_bytes_sent, 0.5) AS median
     FROM {logs} GROUP BY method""",
-    "SELECT method, true AS clients_close FROM {logs} GROUP BY method",
 )
 
 # ----------------------------------------------------------------- windows
@@ -268,6 +305,19 @@ sql(
                  count(*) AS hits FROM {logs} GROUP BY 1, 2) h""",
 )
 
+# Frames of whole groups of equal values are RANGE frames over their dense rank.
+sql(
+    "sql_groups_frame",
+    """
+    SELECT status, place, hits, cast(sum(hits) OVER (ORDER BY place RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS bigint) AS two_groups
+    FROM (SELECT status, hits, dense_rank() OVER (ORDER BY hits DESC) AS place
+          FROM (SELECT status, count(*) AS hits FROM {logs} GROUP BY 1) c) r""",
+    """
+    SELECT status, dense_rank() OVER (ORDER BY hits DESC) AS place, hits,
+           cast(sum(hits) OVER (ORDER BY hits DESC GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS bigint) AS two_groups
+    FROM (SELECT status, count(*) AS hits FROM {logs} GROUP BY 1) c""",
+)
+
 
 @query(f"""
     WITH {_LOGS},
@@ -410,21 +460,45 @@ sql(
 
 @query(f"""
     WITH {_LOGS}
-    SELECT strftime(cast(timestamp AS timestamp), '%Y-%m-%dT%H:00') AS hour,
-           CASE WHEN status >= 500 THEN 'bad' ELSE 'good' END AS verdict,
-           min(cast(epoch(cast(timestamp AS timestamp)) AS bigint)) AS first_second,
-           min(strftime(cast(timestamp AS timestamp), '%Y-%m-%d %H:%M:%S')) AS first_at, count(*) AS hits
-    FROM logs WHERE path GLOB '/[ev]*' GROUP BY 1, 2""")
+    SELECT strftime(cast(timestamp AS timestamp), '%Y-%m-%dT%H:00') AS hour, cast(dayofweek(cast(timestamp AS timestamp)) AS varchar) AS weekday,
+           CASE WHEN status >= 500 THEN 1 ELSE 0 END + 1 AS verdict,
+           min(cast(cast(epoch(cast(timestamp AS timestamp)) AS bigint) AS varchar)) AS first_second,
+           min(strftime(cast(timestamp AS timestamp), '%Y-%m-%d %H:%M:%S')) AS first_at, count(*) AS hits,
+           count(*) FILTER (WHERE line_no % 3 = 0) AS valid, count(*) FILTER (WHERE line_no % 2 = 0) AS objects
+    FROM logs WHERE path GLOB '/[ev]*' AND NOT path GLOB '/*[5-9]' GROUP BY 1, 2, 3""")
 def sql_sqlite_names(spark, folder):
     """Functions under their SQLite names."""
     register_functions(spark)
     text = """
-        SELECT strftime('%Y-%m-%dT%H:00', timestamp) AS hour, iif(status >= 500, 'bad', 'good') AS verdict,
-               min(unixepoch(timestamp)) AS first_second, min(datetime(timestamp)) AS first_at, count(*) AS hits
-        FROM {logs} WHERE glob('/[ev]*', path) GROUP BY 1, 2"""
+        SELECT strftime('%Y-%m-%dT%H:00', timestamp) AS hour, strftime('%w', timestamp) AS weekday,
+               if(status >= 500, 1, 0) + 1 AS verdict, min(strftime('%s', timestamp)) AS first_second,
+               min(datetime(timestamp)) AS first_at, count(*) AS hits,
+               count_if(json_valid(if(line_no % 3 = 0, '[1, 2]', '[1] 2'))) AS valid,
+               count_if(json_type(if(line_no % 2 = 0, '{{"a": 1}}', '7')) = 'object') AS objects
+        FROM {logs} WHERE glob('/[ev]*', path) AND glob('/*[^5-9]', path) GROUP BY 1, 2, 3"""
     return spark.sql(text, logs=access_logs(spark, folder))
 
 
+sql(
+    "sql_printf_typeof",
+    """
+    SELECT line_no, printf('%05d:%s', status, method) AS padded, lower(typeof(status)) AS kind, ascii(method) AS first_code,
+           concat("'", replace(path, "'", "''"), "'") AS quoted
+    FROM {logs}""",
+    """
+    SELECT line_no, printf('%05d:%s', status, method) AS padded, lower(typeof(status)) AS kind, ascii(method) AS first_code,
+           concat(chr(39), replace(path, chr(39), concat(chr(39), chr(39))), chr(39)) AS quoted
+    FROM {logs}""",
+)
+sql(
+    "sql_not_in_nulls",
+    """
+    SELECT method, count(*) AS hits FROM {logs}
+    WHERE status NOT IN (SELECT max(body_bytes_sent) FROM {logs} GROUP BY status)
+       OR status NOT IN (SELECT status FROM {logs} WHERE status >= 500) GROUP BY 1""",
+)
+
+
 @query(f"WITH {_LOGS} SELECT line_no, path FROM logs WHERE path GLOB '/[cv]*/?[0-4]'")
 def sql_glob(spark, folder):
     logs = access_logs(spark, folder)

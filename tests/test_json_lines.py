@@ -123,8 +123,14 @@ def test_flatten(lines):
 
 
 def test_too_many_columns(lines):
-    with pytest.raises(ValueError, match="more than 3 columns"):
-        discover_columns(lines('{"a":1,"b":2,"c":3,"d":4}'), max_columns=3)
+    """No record is lost: past the width each is kept whole, beside the promoted columns."""
+    df = lines('{"a":1,"b":2,"c":3,"d":4,"Level":"x"}', '{"e":{"f":1},"msg":"m"}')
+    assert len(discover_columns(df, max_columns=5).columns) == 5
+    known = discover_columns(df, max_columns=4)
+    assert known.wide and known.columns == []
+    rows = parse_json(df, known).selectExpr("level", "message", "to_json(fields) AS kept").collect()
+    assert [tuple(r) for r in rows] == [("x", None, '{"Level":"x","a":1,"b":2,"c":3,"d":4}'), (None, "m", '{"e":{"f":1},"msg":"m"}')]
+    assert discover_columns(df, max_columns=1).wide
 
 
 @pytest.mark.parametrize(

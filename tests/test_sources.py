@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -158,3 +159,98 @@ def test_detection_does_not_depend_on_splits(spark, small_splits, tmp_path):
     assert found == {"long.log": "nginx_access", "short.log": "generic"}
     whole = detect_format(read_log_lines(spark, str(tmp_path))).filter("format = 'nginx_access'").first()
     assert (whole["matched"], whole["sampled"], whole["confidence"]) == (20, 20, 1.0)
+
+
+# ------------------------------------------------- splits that change in between
+
+CHANGES = [
+    {"spark.sql.files.maxPartitionBytes": "3KB", "spark.sql.files.openCostInBytes": "512"},
+    {"spark.sql.files.maxPartitionBytes": "128MB", "spark.sql.files.openCostInBytes": "4MB"},
+    {"spark.sql.files.minPartitionNum": "61"},
+]
+
+
+@pytest.fixture(params=range(len(CHANGES)))
+def change_splits(spark, request):
+    """Calls for other splits than those that a plan was built under."""
+    names = {name for change in CHANGES for name in change}
+    before = {name: spark.conf.get(name, None) for name in names}
+
+    def change():
+        for name, value in CHANGES[request.param].items():
+            spark.conf.set(name, value)
+
+    yield change
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_no_line_is_lost_when_splits_change(spark, small_splits, change_splits, tmp_path):
+    texts = {f"f{i}.log": random_text(i, 300 + 900 * i, ["\n", "\r\n"]) for i in range(3)}
+    (tmp_path / "a").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "a" / name).write_bytes(text.encode())
+    wide = "".join(f"line {n}\n" for n in range(6000))
+    (tmp_path / "w.log").write_bytes(b"\xff\xfe" + wide.encode("utf-16-le"))
+    records = [f"MESSAGE=m{i}\nPRIORITY=6\n" + "".join(f"  more {k}\n" for k in range(i % 20)) for i in range(900)]
+    (tmp_path / "j.log").write_text("\n".join(records))
+    lines = with_line_numbers(read_log_lines(spark, str(tmp_path / "a")))
+    utf16 = read_utf16_lines(spark, str(tmp_path / "w.log"), "utf-16le")
+    journal = assemble_journald(read_log_lines(spark, str(tmp_path / "j.log")))
+    change_splits()
+    got = sorted((r["file"].rsplit("/", 1)[1], r["line_no"], r["raw"]) for r in lines.collect())
+    assert got == sorted(row for name, text in texts.items() for row in physical(name, text))
+    assert [(r["line_no"], r["raw"]) for r in utf16.orderBy("line_no").collect()] == [(n, x) for _, n, x in physical("w", wide)]
+    assert [r["raw"] for r in journal.orderBy("line_no").collect()] == [r.rstrip("\n") for r in records]
+
+
+def test_loading_while_splits_change(spark, small_splits, change_splits, tmp_path):
+    (tmp_path / "web.log").write_text("".join(NGINX.format(n) + "\n" for n in range(2000)))
+    loaded = load_logs(spark, str(tmp_path))
+    change_splits()
+    assert loaded.summary.first()["row_count"] == 2000
+    assert [r[0] for r in loaded.df.select("line_no").orderBy("line_no").collect()] == list(range(1, 2001))
+
+
+def test_mark_inside_a_utf16_file_is_text(spark, tmp_path):
+    (tmp_path / "w.log").write_bytes("\ufeffa\n\ufeffb\n\n\ufeff".encode("utf-16-be"))
+    rows = read_utf16_lines(spark, str(tmp_path / "w.log"), "utf-16be").orderBy("line_no").collect()
+    assert [r["raw"] for r in rows] == ["a", "\ufeffb", "", "\ufeff"]
+
+
+@pytest.mark.parametrize("size", ["400", "128MB"])
+def test_small_files_in_many_splits(spark, small_splits, tmp_path, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    text = "\n".join(["some prose here"] * 6 + [NGINX.format(n) for n in range(25)])
+    (tmp_path / "mixed.log").write_text(text)
+    row = load_logs(spark, str(tmp_path)).detection.first()
+    assert (row["format"], row["sampled"], row["matched"]) == ("nginx_access", 20, 14)
+
+
+def test_given_format_that_fits_nothing(spark, tmp_path):
+    (tmp_path / "web.log").write_text("nothing like it\n")
+    with pytest.raises(ValueError, match="No log lines could be parsed"):
+        load_logs(spark, str(tmp_path), format="syslog")
+
+
+def test_one_view_over_several_formats(spark, tmp_path):
+    (tmp_path / "web.log").write_text("\n".join(NGINX.format(n) for n in range(5)))
+    (tmp_path / "plain.log").write_text("one\ntwo\n")
+    load_logs(spark, str(tmp_path)).register()
+    rows = spark.sql("SELECT format, count(*), count(message), count(timestamp) FROM logs GROUP BY 1 ORDER BY 1").collect()
+    assert [tuple(r) for r in rows] == [("generic", 2, 2, 0), ("nginx_access", 5, 0, 5)]
+    assert spark.sql("SELECT count(*) FROM logs_columns").first()[0] == 6
+
+
+def test_json_wider_than_a_table(spark, tmp_path):
+    wide = {f"k{n}": n for n in range(50)} | {"ts": "2024-01-01T00:00:00Z", "msg": "hi"}
+    (tmp_path / "wide.jsonl").write_text("\n".join([json.dumps(wide), '{"level":"warn","k7":"x"}', "bad"]))
+    (tmp_path / "web.log").write_text(NGINX.format(1))
+    loaded = load_logs(spark, str(tmp_path), max_columns=40)
+    assert loaded.tables["nginx_access"].count() == 1
+    table = loaded.tables["json"]
+    assert table.columns == ["file", "line_no", "raw", "timestamp", "level", "message", "fields"]
+    rows = table.selectExpr("timestamp", "level", "message", "variant_get(fields, '$.k7', 'string') AS k7").orderBy("line_no").collect()
+    assert [tuple(r) for r in rows] == [("2024-01-01T00:00:00Z", None, "hi", "7"), (None, "warn", None, "x")]
+    assert len(load_logs(spark, str(tmp_path), max_columns=50).tables["json"].columns) == 56

@@ -16,6 +16,7 @@ from timberline.operators.results import (
     table_info,
 )
 from timberline.operators.summary import load_summary
+from timberline.operators.syslog import parse_syslog
 from timberline.operators.time_joins import asof_join, range_join, with_previous
 from timberline.plans import canned
 from timberline.streaming.tail import tail_logs
@@ -85,15 +86,38 @@ def test_previous_and_asof_match_brute_force(spark):
     assert {r["n"]: r["seen"] for r in got} == best and len(got) == len(left)
 
 
-def test_range_join_matches_brute_force(spark):
+@pytest.mark.parametrize("seconds", [None, 600, 7200])
+def test_nulls_in_previous_and_asof(spark, seconds):
+    choice = random.Random(8)
+    some = lambda values: choice.choice([*values, None])
+    rows = [(some("ab"), n, some(_times(choice, 5)), some([n])) for n in range(150)]
+    df = spark.createDataFrame(rows, "k string, n int, at timestamp, v int")
+    first = lambda x: (x is not None, x)
+    ordered = sorted(rows, key=lambda r: (str(r[0]), first(r[2]) if r[2] else (False,), r[1]))
+    before = {b[1]: (a[3] if a and a[0] == b[0] else None) for a, b in zip([None, *ordered], ordered)}
+    got = with_previous(df, ["k"], ["at", "n"], "v", "last", seconds=seconds).collect()
+    assert {r["n"]: r["last"] for r in got} == before
+
+    rights = spark.createDataFrame([(some("ac"), some(_times(choice, 5)), n) for n in range(60)], "k string, seen timestamp, m int")
+    known = [r for r in rights.collect() if r["k"] is not None and r["seen"] is not None]
+    best = {n: max((r["seen"] for r in known if r["k"] == k and at and r["seen"] <= at), default=None) for k, n, at, _ in rows}
+    got = asof_join(df, rights, ["k"], "at", "seen", seconds=seconds).collect()
+    assert {r["n"]: r["seen"] for r in got} == best and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("seconds", [None, 1])
+def test_range_join_matches_brute_force(spark, seconds):
     choice = random.Random(5)
-    points = [(i, t) for i, t in enumerate(_times(choice, 200))]
-    spans = [(i, t, t + dt.timedelta(seconds=choice.choice([0, 60, 5000]))) for i, t in enumerate(_times(choice, 12))]
+    points = [(i, t) for i, t in enumerate(_times(choice, 200))] + [(999, None)]
+    lengths = [0, 1e-6, 60, 5000, 400 * 86400]
+    spans = [(i, t, t + dt.timedelta(seconds=choice.choice(lengths))) for i, t in enumerate(_times(choice, 20))]
+    spans += [(90, dt.datetime(1900, 1, 1), dt.datetime(2100, 1, 1)), (91, None, dt.datetime(2100, 1, 1))]
     got = range_join(
         spark.createDataFrame(points, "p int, at timestamp"),
         spark.createDataFrame(spans, "s int, begins timestamp, ends timestamp"),
-        [], "at", "begins", "ends",
+        [], "at", "begins", "ends", seconds=seconds,
     )
+    points, spans = [x for x in points if x[1]], [x for x in spans if x[1]]
     assert sorted((r["p"], r["s"]) for r in got.collect()) == sorted((p, s) for p, t in points for s, b, e in spans if b <= t < e)
 
 
@@ -117,7 +141,11 @@ def test_one_parse_per_line(lines, capsys):
     """A filter and a sort on parsed columns leave one capture and one object parse in the plan."""
     hit = parse_nginx(lines("x")).filter("status >= 500 AND path LIKE '/a%'").orderBy("timestamp")
     hit.explain()
-    assert capsys.readouterr().out.count("regexp_replace(raw") == 2  # the plain and the wide form
+    plan = capsys.readouterr().out
+    assert plan.count("regexp_replace(raw") == 2 and "RLIKE(raw" not in plan  # the plain and the wide form
+    parse_syslog(lines("x")).filter("severity <= 3").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("regexp_replace(raw") == 2 and "RLIKE(raw" not in plan
     rows = lines('{"level":"a","msg":"b"}')
     parse_json(rows, discover_columns(rows)).filter("level = 'a' AND message = 'b'").explain()
     assert capsys.readouterr().out.count("concat([, raw") == 1
@@ -136,3 +164,39 @@ def test_stream(spark, tmp_path):
     assert [r["status"] for r in rows] == [200, 503] and rows[0]["event_time"] is not None
     with pytest.raises(ValueError):
         tail_logs(spark, str(tmp_path), "journald")
+
+
+def test_sqlite_names_match_sqlite(spark):
+    """Against the database that the names come from."""
+    import sqlite3
+
+    from timberline.functions.sql_names import register_functions
+    from timberline.functions.text import glob_match
+
+    register_functions(spark)
+    plain = sqlite3.connect(":memory:")
+
+    def both(text, *values):
+        mine = spark.sql("SELECT " + text, args=list(values)).first()[0]
+        theirs = plain.execute("SELECT " + text, values).fetchone()[0]
+        return mine, theirs
+
+    globs = ["[^a]*", "a?s:b", "*", "?", "a.b", "[a-c]x", "[^a-c]x", "a*b*c", "é?", "[]]", "[^]]", "(+)", "a\\b", "[.]", "[*]"]
+    texts = ["bcd", "abc", "axs:b", "a.b", "axb", "bx", "dx", "aXbYc", "éa", "]", "(+)", "a\\b", ".", "*", "", "a\nb"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    for pattern in globs:
+        theirs = [bool(plain.execute("SELECT ? GLOB ?", (x, pattern)).fetchone()[0]) for x in texts]
+        quoted = pattern.replace("\\", "\\\\")
+        assert [r[0] for r in df.selectExpr(f"glob('{quoted}', x)").collect()] == theirs, pattern
+        assert [r[0] for r in df.select(glob_match(F.col("x"), pattern)).collect()] == theirs, pattern
+    at = "2024-02-03 04:05:06"
+    for code in ["%Y-%m-%dT%H:%M:%S", "%s", "%w", "%Y year", "100%%", "%j'quoted'", "a%fb", "", "%H%M"]:
+        mine, theirs = both("strftime(?, ?)", code, at)
+        assert mine == theirs, code
+    for text in ['{"a":1}', '{"a":1} x', "[1] 2", "1", '"s"', "nope", "", "null", "[1,2]", "1,2", '{"a":1},{"b":2}', "[", "true"]:
+        mine, theirs = both("json_valid(?)", text)
+        assert bool(mine) == bool(theirs), text
+    for text in ["1", "1.5", '"s"', "null", "true", "false", "[1]", '{"a":1}']:
+        mine, theirs = both("json_type(?)", text)
+        assert mine == theirs, text
+    assert spark.sql("SELECT if(1 < 2, 1, 0) + 1").first()[0] == 2

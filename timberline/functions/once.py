@@ -21,6 +21,11 @@ def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def with_captured(df: DataFrame, name: str, pieces: Column, count: int) -> DataFrame:
+    """The same, for the rows where a capture has all its pieces; one run of the pattern tests and splits a line."""
+    return df.select("*", F.explode(F.filter(F.array(pieces), lambda v: F.size(v) == count)).alias(name))
+
+
 def with_present(df: DataFrame, name: str, value: Column) -> DataFrame:
     """The same, for the rows whose value is not NULL."""
     return df.select("*", F.explode(F.filter(F.array(value), lambda v: v.isNotNull())).alias(name))

@@ -6,31 +6,42 @@ another spelling in Spark SQL is listed in the README.
 
 from pyspark.sql import SparkSession
 
-# The date codes of strftime and their Spark patterns.
-DATE_CODES = [
-    ("T", "''T''"),
-    ("%Y", "yyyy"),
-    ("%m", "MM"),
-    ("%d", "dd"),
-    ("%H", "HH"),
-    ("%M", "mm"),
-    ("%S", "ss"),
-    ("%f", "ss.SSS"),
-    ("%j", "DDD"),
-]
-
+# The date codes of strftime and what stands for them, of time t.
+DATE_CODES = {
+    "%Y": "date_format(t, 'yyyy')",
+    "%m": "date_format(t, 'MM')",
+    "%d": "date_format(t, 'dd')",
+    "%H": "date_format(t, 'HH')",
+    "%M": "date_format(t, 'mm')",
+    "%S": "date_format(t, 'ss')",
+    "%f": "date_format(t, 'ss.SSS')",
+    "%j": "date_format(t, 'DDD')",
+    "%s": "cast(unix_seconds(t) AS STRING)",
+    "%w": "cast(dayofweek(t) - 1 AS STRING)",
+    "%%": "'%'",
+}
 
-def _pattern(code: str) -> str:
-    for sqlite, spark in DATE_CODES:
-        code = f"replace({code}, '{sqlite}', '{spark}')" if "'" not in spark else f"replace({code}, '{sqlite}', \"'T'\")"
-    return code
+# Each code is a piece of its own and all else is kept as it is; an unknown code gives NULL.
+_CODES = " ".join(f"WHEN p = '{code}' THEN {text}" for code, text in DATE_CODES.items())
+_STRFTIME = rf"""transform(array(try_cast(t AS TIMESTAMP)), t -> if(t IS NULL, NULL, reduce(
+    transform(regexp_extract_all(f, r'(?s)%.|[^%]+|%\z', 0),
+              p -> CASE {_CODES} WHEN startswith(p, '%') THEN NULL ELSE p END),
+    '', (a, p) -> concat(a, p))))[0]"""
 
+# The pieces of a GLOB pattern: a class, a run of anything, any one character, or a character as it is.
+_PIECES = r"(?s)\[\^?\]?[^\]]*\]|."
+_CLASS = r"""concat('[', regexp_replace(substring(g, 2, length(g) - 2), r'([\\\[\]&])', r'\\$1'), ']')"""
+_GLOB = rf"""concat('^', array_join(transform(regexp_extract_all(p, r'{_PIECES}', 0), g -> CASE
+    WHEN g = '*' THEN '(?s:.*)' WHEN g = '?' THEN '(?s:.)' WHEN length(g) > 1 THEN {_CLASS}
+    ELSE concat(r'\Q', g, r'\E') END), ''), r'\z')"""
 
-_GLOB = r"""concat('^', regexp_replace(regexp_replace(regexp_replace(p, r'([.^$+(){}|\\])', r'\\$1'), r'\*', '(?s:.*)'),
-    r'\?(?!s:)', '(?s:.)'), r'\z')"""
+# The names of the types of JSON values.
+_TYPE = """transform(array(schema_of_variant(try_parse_json(x))), k -> CASE
+    WHEN k = 'VOID' THEN 'null' WHEN k = 'BOOLEAN' THEN if(try_variant_get(try_parse_json(x), '$', 'boolean'), 'true', 'false')
+    WHEN k = 'BIGINT' THEN 'integer' WHEN k = 'DOUBLE' OR startswith(k, 'DECIMAL') THEN 'real' WHEN k = 'STRING' THEN 'text'
+    WHEN startswith(k, 'ARRAY') THEN 'array' WHEN startswith(k, 'OBJECT') THEN 'object' END)[0]"""
 
 FUNCTIONS = {
-    "iif": ("c BOOLEAN, a STRING, b STRING", "STRING", "if(c, a, b)"),
     "unicode": ("x STRING", "INT", "ascii(x)"),
     "unixepoch": ("t STRING", "BIGINT", "unix_seconds(try_cast(t AS TIMESTAMP))"),
     "julianday": (
@@ -40,10 +51,18 @@ FUNCTIONS = {
     ),
     "datetime": ("t STRING", "STRING", "date_format(try_cast(t AS TIMESTAMP), 'yyyy-MM-dd HH:mm:ss')"),
     "time_of": ("t STRING", "STRING", "date_format(try_cast(t AS TIMESTAMP), 'HH:mm:ss')"),
-    "strftime": ("f STRING, t STRING", "STRING", f"date_format(try_cast(t AS TIMESTAMP), {_pattern('f')})"),
+    "strftime": ("f STRING, t STRING", "STRING", _STRFTIME),
     "glob": ("p STRING, x STRING", "BOOLEAN", f"x RLIKE {_GLOB}"),
     "json_extract": ("x STRING, p STRING", "STRING", "get_json_object(x, p)"),
-    "json_valid": ("x STRING", "BOOLEAN", "try_parse_json(x) IS NOT NULL"),
+    # The parser stops after the first value; inside an array and an object alike nothing else may follow it.
+    "json_valid": (
+        "x STRING",
+        "BOOLEAN",
+        """x IS NOT NULL AND try_parse_json(x) IS NOT NULL AND try_parse_json(concat('{"k":', x, '}')) IS NOT NULL
+           AND try_variant_get(try_parse_json(concat('[', x, ']')), '$[0]', 'variant') IS NOT NULL
+           AND try_variant_get(try_parse_json(concat('[', x, ']')), '$[1]', 'variant') IS NULL""",
+    ),
+    "json_type": ("x STRING", "STRING", _TYPE),
 }
 
 

@@ -53,8 +53,9 @@ def starts_indented(line: Column) -> Column:
 def capture(line: Column, pattern: str, groups: list[int]) -> Column:
     """The groups of a whole-line ``pattern`` as an array, found in one regex run.
 
-    A line holds no newline, so the newline is free to separate the pieces. The
-    line must match; an optional group that did not take part gives ''.
+    A line holds no newline, so the newline is free to separate the pieces. An
+    optional group that did not take part gives ''; a line that does not match is
+    left as it is, one piece.
     """
     pieces = "\n".join(f"${g}" for g in groups)
     return F.split(_by_width(line, pattern, lambda p: F.regexp_replace(line, p, pieces)), "\n")
@@ -78,9 +79,10 @@ def glob_match(text: Column, pattern: str) -> Column:
     out, i = [], 0
     while i < len(pattern):
         char = pattern[i]
-        close = pattern.find("]", i + 2) if char == "[" else -1
+        # A ']' that comes first, after '^' too, is a member of the class.
+        close = pattern.find("]", i + (3 if pattern.startswith("[^", i) else 2)) if char == "[" else -1
         if close > 0:
-            body = pattern[i + 1 : close].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            body = pattern[i + 1 : close].replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]").replace("&&", "&\\&")
             out.append(f"[{body}]")
             i = close + 1
             continue

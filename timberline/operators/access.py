@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.once import with_once
+from timberline.functions.once import with_captured
 from timberline.functions.text import NON_WS, WS, blank_to_null, capture, dash_to_null, matches
 from timberline.functions.times import access_seconds, iso_seconds
 from timberline.operators.frame import project
@@ -51,7 +51,7 @@ def split_request(request: Column) -> dict[str, Column]:
 
 def _parse(lines: DataFrame, pattern: str) -> DataFrame:
     wanted = [_ADDR, _USER, _TIME, _REQUEST, _STATUS, _BYTES, _REFERER, _AGENT]
-    matched = with_once(lines.filter(matches(F.col("raw"), pattern)), "_f", capture(F.col("raw"), pattern, wanted))
+    matched = with_captured(lines, "_f", capture(F.col("raw"), pattern, wanted), len(wanted))
     addr, user, time, request, status, sent, referer, agent = [F.col("_f")[i] for i in range(len(wanted))]
     parts = split_request(request)
     return project(

@@ -15,8 +15,7 @@ from timberline.functions.once import let, with_present
 from timberline.functions.text import INLINE_WS, WS, has_text, lenient_int, starts_indented, trim
 from timberline.functions.times import epoch_millis, iso_text
 from timberline.operators.frame import project
-from timberline.session import lookup
-from timberline.sources.text_files import join_runs
+from timberline.sources.text_files import join_runs, numbered, numbering, with_block_facts
 
 # The field names that mark an export, and the columns they fill.
 FIELDS = {
@@ -62,7 +61,7 @@ def is_journald(raw: Column) -> Column:
 
 
 def assemble_journald(lines: DataFrame, strict_blocks: bool = False) -> DataFrame:
-    """Lines (file, block, line_no, raw) to records (file, line_no, raw).
+    """Lines (file, block, line_no or pos, raw) to records (file, line_no, raw).
 
     A record ends at a blank line, and before a line that is neither indented
     nor one of the known keys. ``strict_blocks`` ends records at blank lines
@@ -71,23 +70,23 @@ def assemble_journald(lines: DataFrame, strict_blocks: bool = False) -> DataFram
     raw = F.col("raw")
     blank = ~has_text(raw)
     per_file = W.partitionBy("file")
-    blocks = (
-        lines.groupBy("file", "block")
-        .agg(F.max_by(blank, "line_no").alias("_ends_blank"), F.bool_or(raw.rlike(rf"^{WS}*\{{")).alias("_brace"))
-        .select(
-            "file",
-            "block",
-            F.coalesce(F.lag("_ends_blank").over(per_file.orderBy("block")), F.lit(True)).alias("_after_blank"),
-            F.bool_or("_brace").over(per_file).alias("_json"),
-        )
-    )
+    fresh = "pos" in lines.columns  # straight from a scan: numbered by the same look at the blocks
+    order = "pos" if fresh else "line_no"
+    sums, facts = numbering() if fresh else ([], {})
+    sums = [*sums, F.max_by(blank, order).alias("_ends_blank"), F.bool_or(raw.rlike(rf"^{WS}*\{{")).alias("_brace")]
+    facts = {
+        **facts,
+        "_after_blank": F.coalesce(F.lag("_ends_blank").over(per_file.orderBy("block")), F.lit(True)),
+        "_json": F.bool_or("_brace").over(per_file),
+    }
+    known = with_block_facts(lines, sums, facts)
+    known = numbered(known) if fresh else known
     in_block = W.partitionBy("file", "block").orderBy("line_no")
     boundary = F.coalesce(F.lag(blank).over(in_block), F.col("_after_blank"))
     if not strict_blocks:
         boundary = boundary | ~(is_key_line(raw) | starts_indented(raw))
     flagged = (
-        lines.join(lookup(blocks, "blocks"), ["file", "block"])
-        .withColumn("_start", F.col("_json") | boundary)
+        known.withColumn("_start", F.col("_json") | boundary)
         .filter(has_text(raw))
         .select("file", "block", "line_no", "raw", "_start")
     )

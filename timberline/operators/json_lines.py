@@ -114,10 +114,15 @@ class JsonColumn:
 
 @dataclass
 class JsonColumns:
-    """``columns`` in table order, and the paths whose names fill promoted columns."""
+    """``columns`` in table order, and the paths whose names fill promoted columns.
+
+    ``wide`` says that there are too many columns for a table: ``columns`` is then
+    empty, and each record is kept whole in a VARIANT column named ``fields``.
+    """
 
     columns: list[JsonColumn]
     aliases: dict[str, JsonColumn]
+    wide: bool = False
 
 
 def _path_kinds(lines: DataFrame, depth: int) -> DataFrame:
@@ -161,15 +166,31 @@ def _name_types(paths: DataFrame) -> DataFrame:
 
 
 def discover_columns(lines: DataFrame, max_columns: int = MAX_COLUMNS) -> JsonColumns:
-    """The inferred columns with their paths; only the distinct paths reach the driver."""
+    """The inferred columns with their paths; only the distinct paths reach the driver.
+
+    Of records with more than ``max_columns`` columns only the promoted ones are
+    made, and the rest of each record stays in one column.
+    """
     depth = _FIRST_DEPTH
     while True:
+        paths = _path_kinds(lines, depth)
         # The filter keeps the limit off the top of the plan, where it would run partition by partition.
-        found_paths = _path_kinds(lines, depth).limit(4 * max_columns + 1).filter(F.col("path").isNotNull())
-        rows = found_paths.collect()
+        rows = paths.limit(4 * max_columns + 1).filter(F.col("path").isNotNull()).collect()
         if not any(row["object"] for row in rows):
             break
         depth *= 2
+    wide = len(rows) > 4 * max_columns
+    found = _columns_of(rows)
+    dynamic = sorted((c for n, c in found.items() if n not in ALIASES), key=lambda c: column_order(c.name))
+    if wide or len(dynamic) > max_columns:
+        # Whatever the number of paths, those that fill a promoted column have one of a few names.
+        name = sanitize_key(F.array_join("path", "_"))
+        found, dynamic, wide = _columns_of(paths.filter(name.isin(*ALIASES)).collect()), [], True
+    return JsonColumns(dynamic, {name: found[name] for name in ALIASES if name in found}, wide)
+
+
+def _columns_of(rows: list) -> dict[str, JsonColumn]:
+    """Columns by name, from the kinds of the values of each path."""
     opened = {tuple(row["path"][:n]) for row in rows for n in range(1, len(row["path"]))}
     found: dict[str, JsonColumn] = {}
     for row in sorted(rows, key=lambda row: row["path"]):
@@ -184,10 +205,7 @@ def discover_columns(lines: DataFrame, max_columns: int = MAX_COLUMNS) -> JsonCo
             column.type = "TEXT"
         else:
             column.type = "REAL" if "fraction" in column.kinds or column.huge else "INTEGER"
-    dynamic = sorted((c for n, c in found.items() if n not in ALIASES), key=lambda c: column_order(c.name))
-    if len(dynamic) > max_columns or len(rows) > 4 * max_columns:
-        raise ValueError(f"the JSON records have more than {max_columns} columns")
-    return JsonColumns(dynamic, {name: found[name] for name in ALIASES if name in found})
+    return found
 
 
 # ----------------------------------------------------------------- project
@@ -293,4 +311,5 @@ def parse_json(lines: DataFrame, columns: JsonColumns | None = None) -> DataFram
     known = columns or discover_columns(lines)
     fields = [(target, F.expr(_promote(target, known.aliases))) for target in PROMOTED]
     fields += [(column.name, F.expr(_cell(column))) for column in known.columns]
+    fields += [("fields", F.col("_doc"))] if known.wide else []
     return project(json_objects(lines), fields)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.once import with_once
+from timberline.functions.once import let, with_captured, with_once
 from timberline.functions.text import ANY, NON_WS, SPACES, WS, blank_to_null, capture, matches
 from timberline.functions.times import iso_seconds, not_ahead, yearless_seconds
 from timberline.operators.frame import project
@@ -24,10 +24,11 @@ def parse_syslog(lines: DataFrame, ref_time: Column | None = None) -> DataFrame:
     """``ref_time`` is the moment that decides the year; the start of the query by default."""
     now = F.current_timestamp() if ref_time is None else ref_time
     raw = F.col("raw")
-    matched = with_once(lines.filter(is_syslog(raw)), "_f", capture(raw, SYSLOG_LINE, [1, 2, 3, 4, 5, 6]))
+    matched = with_captured(lines, "_f", capture(raw, SYSLOG_LINE, [1, 2, 3, 4, 5, 6]), 6)
     pri, month, day, clock, host, rest = [F.col("_f")[i] for i in range(6)]
     priority = pri.try_cast("bigint")
-    parts = F.when(matches(rest, TAGGED), capture(rest, TAGGED, [1, 2, 3])).otherwise(F.array(F.lit(""), F.lit(""), rest))
+    untagged = F.array(F.lit(""), F.lit(""), rest)
+    parts = let(capture(rest, TAGGED, [1, 2, 3]), lambda p: F.when(F.size(p) == 3, p).otherwise(untagged))
     matched = with_once(matched, "_t", parts)
     tag, pid, message = [F.col("_t")[i] for i in range(3)]
     return project(

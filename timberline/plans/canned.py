@@ -1,7 +1,8 @@
 """Ready-made analyses per format, in Spark SQL over the view ``logs``.
 
-Every limited or latest-first query ends in a tie-breaker, so that its rows do
-not depend on the order in which tasks finish.
+Every limited or latest-first query ends in the file and the line number, so that
+its rows do not depend on the order in which tasks finish. Line numbers run within a
+file; a table without the column ``file`` holds the lines of one.
 """
 
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ class Canned:
     about: str
 
 
-DEFAULT = Canned("Default", "SELECT * FROM logs ORDER BY line_no LIMIT 100", "The first hundred rows.")
+DEFAULT = Canned("Default", "SELECT * FROM logs ORDER BY file, line_no LIMIT 100", "The first hundred rows.")
 
 # Labels and queries.
 ACCESS = [
@@ -36,7 +37,7 @@ ACCESS = [
     Canned(
         "Largest responses",
         "SELECT line_no, remote_addr, path, body_bytes_sent FROM logs WHERE body_bytes_sent IS NOT NULL "
-        "ORDER BY body_bytes_sent DESC, line_no LIMIT 20",
+        "ORDER BY body_bytes_sent DESC, file, line_no LIMIT 20",
         "Responses that sent the most bytes.",
     ),
 ]
@@ -48,7 +49,7 @@ SYSLOG = [
     ),
     Canned("High severity", "SELECT * FROM logs WHERE severity <= 3", "Entries from emergency to error."),
     Canned("By tag", "SELECT tag, COUNT(*) AS count FROM logs GROUP BY tag ORDER BY 2 DESC, 1", "Entries per program."),
-    Canned("Recent entries", "SELECT * FROM logs ORDER BY line_no DESC LIMIT 50", "The last fifty entries."),
+    Canned("Recent entries", "SELECT * FROM logs ORDER BY file DESC, line_no DESC LIMIT 50", "The last fifty entries."),
     Canned(
         "Priority counts",
         "SELECT priority, COUNT(*) AS count FROM logs GROUP BY priority ORDER BY priority",
@@ -59,7 +60,7 @@ JOURNALD = [
     Canned("By unit", "SELECT unit, COUNT(*) AS count FROM logs GROUP BY unit ORDER BY 2 DESC, 1", "Entries per unit."),
     Canned(
         "High priority",
-        "SELECT * FROM logs WHERE priority <= 3 ORDER BY timestamp DESC, line_no DESC LIMIT 50",
+        "SELECT * FROM logs WHERE priority <= 3 ORDER BY timestamp DESC, file DESC, line_no DESC LIMIT 50",
         "The latest entries from emergency to error.",
     ),
     Canned(
@@ -69,7 +70,7 @@ JOURNALD = [
     ),
     Canned(
         "Recent messages",
-        "SELECT * FROM logs ORDER BY timestamp DESC, line_no DESC LIMIT 50",
+        "SELECT * FROM logs ORDER BY timestamp DESC, file DESC, line_no DESC LIMIT 50",
         "The latest fifty entries.",
     ),
     Canned(
@@ -81,15 +82,15 @@ JOURNALD = [
 JSON_BY_LEVEL = Canned(
     "By level", "SELECT level, COUNT(*) AS count FROM logs GROUP BY level ORDER BY 2 DESC, 1", "Rows per level."
 )
-JSON_FIRST = Canned("First 100 rows", "SELECT * FROM logs ORDER BY line_no LIMIT 100", "The first hundred rows.")
+JSON_FIRST = Canned("First 100 rows", "SELECT * FROM logs ORDER BY file, line_no LIMIT 100", "The first hundred rows.")
 JSON_ERRORS = Canned(
     "Errors",
-    "SELECT * FROM logs WHERE level = 'error' ORDER BY timestamp DESC, line_no DESC LIMIT 100",
+    "SELECT * FROM logs WHERE level = 'error' ORDER BY timestamp DESC, file DESC, line_no DESC LIMIT 100",
     "The latest rows at level error.",
 )
 JSON_RECENT = Canned(
     "Recent by timestamp",
-    "SELECT * FROM logs ORDER BY timestamp DESC, line_no DESC LIMIT 100",
+    "SELECT * FROM logs ORDER BY timestamp DESC, file DESC, line_no DESC LIMIT 100",
     "The latest hundred rows.",
 )
 JSON_COUNT = Canned("Row count", "SELECT COUNT(*) AS total FROM logs", "Number of rows.")
@@ -97,17 +98,17 @@ JSON_COLUMNS = Canned(
     "Schema columns", "SELECT name, type FROM logs_columns ORDER BY cid", "Columns found in this file."
 )
 GENERIC = [
-    Canned("First rows", "SELECT * FROM logs ORDER BY line_no LIMIT 100", "The first hundred lines."),
+    Canned("First rows", "SELECT * FROM logs ORDER BY file, line_no LIMIT 100", "The first hundred lines."),
     Canned("Search message", "SELECT * FROM logs WHERE message ILIKE '%error%'", "Lines that mention an error."),
     Canned("Line count", "SELECT COUNT(*) AS total FROM logs", "Number of lines."),
-    Canned("Recent lines", "SELECT * FROM logs ORDER BY line_no DESC LIMIT 100", "The last hundred lines."),
+    Canned("Recent lines", "SELECT * FROM logs ORDER BY file DESC, line_no DESC LIMIT 100", "The last hundred lines."),
     Canned("Distinct levels", "SELECT DISTINCT level FROM logs WHERE level IS NOT NULL", "Levels that occur."),
 ]
 HELP = [
     Canned("Status counts", "SELECT status, COUNT(*) AS n FROM logs GROUP BY status", "Responses per status code."),
     Canned(
         "Some server errors",
-        "SELECT * FROM logs WHERE status >= 500 ORDER BY line_no LIMIT 50",
+        "SELECT * FROM logs WHERE status >= 500 ORDER BY file, line_no LIMIT 50",
         "Fifty requests answered with a 5xx status.",
     ),
     Canned(
@@ -127,7 +128,7 @@ def suggested_queries(format_name: str, columns: list[str] | None = None) -> lis
     if format_name == "journald":
         return JOURNALD
     if format_name == "json":
-        has = set(columns or ["level", "timestamp"])
+        has = set(["level", "timestamp"] if columns is None else columns)
         return (
             ([JSON_BY_LEVEL] if "level" in has else [])
             + [JSON_FIRST, JSON_ERRORS]
@@ -160,6 +161,9 @@ def suggestions_for(detection: DataFrame) -> DataFrame:
 def run(query: Canned, logs: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """Runs a canned query on a table without registering a view."""
     text = query.sql.replace("logs_columns", "{columns}").replace("FROM logs", "FROM {logs}")
+    if "file" not in logs.columns:
+        # The lines of one file: their numbers are unique.
+        text = text.replace(" file DESC,", "").replace(" file,", "")
     given = {"logs": logs} if "{logs}" in text else {}
     if "{columns}" in text:
         given["columns"] = columns

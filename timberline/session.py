@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-# A broadcast table must stay well under executor memory: 2 million rows of
-# (path, a few longs) are about 300 MB.
-BROADCAST_ROWS = 2_000_000
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """Settings under which log text gives the documented results."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -49,9 +44,3 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def lookup(df: DataFrame, name: str) -> DataFrame:
-    """A per-file or per-block table, written once and broadcast only if its row count allows."""
-    table = write_once(df, name)
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

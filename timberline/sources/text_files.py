@@ -4,14 +4,16 @@
 by one from line to line within it. Blocks have a bounded size, so everything
 that must follow the order of a file works per block and carries a one-row
 summary from block to block; no file, however large, ends up in one task.
+
+Where the splits lie depends on settings and cores at the moment a plan is made,
+so the summary is always part of the plan that reads the lines, and a line of a
+block without one is an error, never left out.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from timberline.session import lookup
-
 # How each encoding names its byte order mark and its newline.
 UTF16 = {"utf-16le": ("UTF-16LE", "FFFE", "0A00"), "utf-16be": ("UTF-16BE", "FEFF", "000A")}
 
@@ -32,6 +34,36 @@ def read_log_lines(spark: SparkSession, paths) -> DataFrame:
     return _scan(spark, paths).select("file", "block", "pos", F.make_valid_utf8("value").alias("raw"))
 
 
+def with_block_facts(lines: DataFrame, sums: list[Column], facts: dict[str, Column]) -> DataFrame:
+    """Adds ``facts`` to each line, made of the ``sums`` of its block and, by windows, of those around it."""
+    blocks = lines.groupBy("file", "block").agg(*sums, F.lit(True).alias("_known"))
+    blocks = blocks.select("file", "block", "_known", *[fact.alias(name) for name, fact in facts.items()])
+    lost = F.raise_error(F.concat(F.lit("lines of a block that was not counted: "), "file"))
+    joined = lines.join(blocks, ["file", "block"], "left")
+    for name in facts:
+        joined = joined.withColumn(name, F.when(F.col("_known").isNull(), lost).otherwise(F.col(name)))
+    return joined.drop("_known")
+
+
+def numbering(order: str = "pos") -> tuple[list[Column], dict[str, Column]]:
+    """The sums and facts that ``numbered`` needs."""
+    per_file = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(per_file), F.lit(0))
+    return (
+        [F.min(order).alias("_first"), F.count("*").alias("_n")],
+        {"_first": F.col("_first"), "_size": F.col("_n"), "_lines_before": before},
+    )
+
+
+def numbered(lines: DataFrame, order: str = "pos") -> DataFrame:
+    """``line_no`` in place of ``order`` and the facts of ``numbering``."""
+    place = F.col(order) - F.col("_first")
+    lost = F.raise_error(F.concat(F.lit("the splits changed while reading "), "file")).cast("bigint")
+    line_no = F.when((place < 0) | (place >= F.col("_size")), lost).otherwise(place + F.col("_lines_before") + 1)
+    others = [c for c in lines.columns if c not in ("file", "block", "raw", order, "_first", "_size", "_lines_before")]
+    return lines.select("file", "block", line_no.alias("line_no"), "raw", *others)
+
+
 def with_line_numbers(lines: DataFrame, contiguous: bool = True) -> DataFrame:
     """Adds ``line_no``, the 1-based physical line within the file, and drops ``pos``.
 
@@ -41,20 +73,7 @@ def with_line_numbers(lines: DataFrame, contiguous: bool = True) -> DataFrame:
     if not contiguous:
         rank = F.row_number().over(W.partitionBy("file", "block").orderBy("pos"))
         lines = lines.withColumn("pos", rank.cast("bigint"))
-    per_file = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = (
-        lines.groupBy("file", "block")
-        .agg(F.min("pos").alias("_first"), F.count("*").alias("_n"))
-        .select(
-            "file",
-            "block",
-            (F.coalesce(F.sum("_n").over(per_file), F.lit(0)) + 1 - F.col("_first")).alias("_shift"),
-        )
-    )
-    others = [c for c in lines.columns if c not in ("file", "block", "pos", "raw")]
-    return lines.join(lookup(blocks, "blocks"), ["file", "block"]).select(
-        "file", "block", (F.col("pos") + F.col("_shift")).alias("line_no"), "raw", *others
-    )
+    return numbered(with_block_facts(lines, *numbering()))
 
 
 def join_runs(rows: DataFrame, order: str, text: str, start: str, separator: str) -> DataFrame:
@@ -99,18 +118,23 @@ def read_utf16_lines(spark: SparkSession, paths, encoding: str) -> DataFrame:
     )
     odd = F.length("code") / 2 % 2
     per_file = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    parity = (
-        pieces.groupBy("file", "block")
-        .agg(F.sum(odd).alias("_odd"))
-        .select("file", "block", F.coalesce(F.sum("_odd").over(per_file), F.lit(0)).alias("_odd_before"))
+    known = with_block_facts(
+        pieces,
+        [F.sum(odd).alias("_odd"), F.min("pos").alias("_first")],
+        {"_odd_before": F.coalesce(F.sum("_odd").over(per_file), F.lit(0)), "_first": F.col("_first")},
     )
     before = W.partitionBy("file", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    flagged = pieces.join(lookup(parity, "parity"), ["file", "block"]).withColumn(
-        "start", (F.coalesce(F.sum(odd).over(before), F.lit(0)) + F.col("_odd_before")) % 2 == 0
+    # The byte order mark is the file's first character; anywhere else it is text.
+    opens = (F.col("block") == 0) & (F.col("pos") == F.col("_first"))
+    flagged = known.select(
+        "file",
+        "block",
+        "pos",
+        F.when(opens, F.regexp_replace("code", f"^{mark}", "")).otherwise(F.col("code")).alias("code"),
+        ((F.coalesce(F.sum(odd).over(before), F.lit(0)) + F.col("_odd_before")) % 2 == 0).alias("start"),
     )
     whole = join_runs(flagged, "pos", "code", "start", newline)
-    body = F.regexp_replace("code", f"^{mark}", "")
-    text = F.regexp_replace(F.decode(F.unhex(body), charset), r"\r\z", "")
+    text = F.regexp_replace(F.decode(F.unhex("code"), charset), r"\r\z", "")
     # Runs keep the order of their first piece; a block id of their own keeps groups bounded.
     block = F.shiftright("pos", 16)
     split = whole.select("file", block.alias("block"), "pos", F.posexplode(F.split(text, "\r")).alias("sub", "raw"))
@@ -118,10 +142,9 @@ def read_utf16_lines(spark: SparkSession, paths, encoding: str) -> DataFrame:
     return with_line_numbers(ordered, contiguous=False)
 
 
-def size_tier(size: Column) -> Column:
-    """ok, warn, confirm or reject by file size."""
+def size_tier(size: Column, mb: int = 1024 * 1024) -> Column:
+    """ok, warn, confirm or reject by file size; ``mb`` is the unit that the limits count in."""
     # 50, 100 and 500 MB.
-    mb = 1024 * 1024
     return (
         F.when(size <= 50 * mb, "ok").when(size <= 100 * mb, "warn").when(size <= 500 * mb, "confirm").otherwise("reject")
     )

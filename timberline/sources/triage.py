@@ -5,18 +5,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from timberline.functions.text import has_text
-from timberline.session import lookup, write_once
+from timberline.session import write_once
 from timberline.sources.text_files import _scan, size_tier
 
 # Fixed value: a NUL byte this early marks a binary file.
 SNIFF_BYTES = 8192
 
 
-def list_files(spark: SparkSession, paths) -> DataFrame:
+def list_files(spark: SparkSession, paths, mb: int = 1024 * 1024) -> DataFrame:
     """(file, bytes, tier) from the listing alone; contents are not read."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     size = F.col("_metadata.file_size")
-    return listing.select(F.col("_metadata.file_path").alias("file"), size.alias("bytes"), size_tier(size).alias("tier"))
+    return listing.select(F.col("_metadata.file_path").alias("file"), size.alias("bytes"), size_tier(size, mb).alias("tier"))
 
 
 def triage(spark: SparkSession, paths) -> DataFrame:
@@ -27,7 +27,8 @@ def triage(spark: SparkSession, paths) -> DataFrame:
     in their first block are looked at again, and of these only the first lines.
     """
     lines = _scan(spark, paths, lineSep="\n").withColumn("size", F.octet_length("value") + 1)
-    first_bytes = F.hex(F.substring(F.col("value").cast("binary"), 1, 2))
+    # As a number, so that the smallest is found by hashing; text would be sorted.
+    first_bytes = F.conv(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)), 16, 10).cast("bigint")
     at_start = F.col("block") == 0
     nul_at = F.when(F.contains("value", F.lit("\0")), F.octet_length(F.substring_index("value", "\0", 1)) + 1)
     files = write_once(
@@ -42,29 +43,32 @@ def triage(spark: SparkSession, paths) -> DataFrame:
         "files",
     )
     encoding = (
-        F.when(F.col("_mark") == "FFFE", "utf-16le").when(F.col("_mark") == "FEFF", "utf-16be").otherwise("utf-8")
+        F.when(F.col("_mark") == 0xFFFE, "utf-16le").when(F.col("_mark") == 0xFEFF, "utf-16be").otherwise("utf-8")
     )
     mark_size = F.when(F.col("_seen") < F.col("bytes"), 3).otherwise(0)
-    # Each line before a byte takes one byte or more, so a NUL after this many lines is late enough.
-    suspect = files.filter(
-        F.col("_nul").isNotNull() & (encoding == "utf-8") & (F.col("_nul") - F.col("_first") < SNIFF_BYTES)
-    ).select("file", "_nul", mark_size.alias("_mark_size"))
+    # Each line before a byte takes one byte or more, so a NUL after this many lines is late enough. Lines are
+    # counted from the start of the file, which no change of the splits moves.
+    nul_line = F.col("_nul") - F.col("_first")
+    suspect = files.filter(F.col("_nul").isNotNull() & (encoding == "utf-8") & (nul_line < SNIFF_BYTES)).select(
+        "file", nul_line.alias("_nul_line"), mark_size.alias("_mark_size")
+    )
     listed = list_files(spark, paths)
     result = listed.join(files.drop("bytes"), "file", "left").withColumn("encoding", encoding)
     if suspect.isEmpty():
         binary = F.lit(False)
     else:
-        before = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+        in_file = W.partitionBy("file").orderBy("block", "pos")
+        before = W.partitionBy("file").orderBy("_line").rowsBetween(W.unboundedPreceding, -1)
         early = (
-            lines.filter(at_start)
-            .join(lookup(suspect, "suspect"), "file")
-            .filter(F.col("pos") <= F.col("_nul"))
-            .select("file", "pos", "size", nul_at.alias("_at"), "_nul", "_mark_size")
+            lines.join(write_once(suspect, "suspect"), "file")
+            .select("file", "block", "pos", "size", nul_at.alias("_at"), "_nul_line", "_mark_size")
+            .withColumn("_line", F.row_number().over(in_file) - 1)
+            .filter((F.col("_line") < SNIFF_BYTES) & (F.col("_line") <= F.col("_nul_line")))
             .withColumn("_before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-            .filter(F.col("pos") == F.col("_nul"))
+            .filter(F.col("_line") == F.col("_nul_line"))
             .filter(F.col("_before") + F.col("_mark_size") + F.col("_at") <= SNIFF_BYTES)
         )
-        result = result.join(lookup(early.select("file", F.lit(True).alias("_binary")), "binary"), "file", "left")
+        result = result.join(write_once(early.select("file", F.lit(True).alias("_binary")), "binary"), "file", "left")
         binary = F.coalesce("_binary", F.lit(False))
     has_lines = ((F.col("encoding") != "utf-8") | F.coalesce("_lines", F.lit(False))).alias("has_lines")
     return result.select("file", "bytes", "tier", "encoding", (~binary).alias("is_text"), has_lines)
