@@ -12,7 +12,7 @@ from timberline.functions.json_text import (
     value_at,
 )
 from timberline.functions.once import let, with_present
-from timberline.functions.text import INLINE_WS, WS, has_text, lenient_int, starts_indented, trim
+from timberline.functions.text import INLINE_WS, WS, has_text, lenient_int, matches, starts_indented, trim
 from timberline.functions.times import epoch_millis, iso_text
 from timberline.operators.frame import project
 from timberline.sources.text_files import join_runs, numbered, numbering, with_block_facts
@@ -93,25 +93,23 @@ def assemble_journald(lines: DataFrame, strict_blocks: bool = False) -> DataFram
     return join_runs(flagged, "line_no", "raw", "_start", "\n")
 
 
+# A record that needs no folding: no line is indented or blank.
+_PLAIN = rf"\A(?!{INLINE_WS}|\n)[^\n]++(?:\n(?!{INLINE_WS}|\n|\z)[^\n]++)*+\z"
+# A line that should name a key and has no '='. After an empty key nothing can be continued, so the next names one too.
+_PART = f"[^=\\n{_FOLD}]*+(?:[\\n{_FOLD}]|\\z)"
+_UNNAMED = f"(?:\\A|\\n)(?:{_PART}|=[^\\n{_FOLD}]*+{_FOLD}{_PART})"
+
+
 def _folded(record: Column) -> Column:
-    """The key lines of a record as an array, continuation lines folded into their value."""
+    """The key lines of a record, continuation lines folded into their value."""
     text = F.regexp_replace(record, rf"\n{INLINE_WS}*(?=\n|\z)", "")
     text = F.regexp_replace(text, rf"^(?:{INLINE_WS}*\n)+", "")
-    return F.split(F.regexp_replace(text, rf"\n{INLINE_WS}+", _FOLD), "\n")
+    return F.when(matches(record, _PLAIN), record).otherwise(F.regexp_replace(text, rf"\n{INLINE_WS}+", _FOLD))
 
 
-def _all_named(lines: Column) -> Column:
+def _all_named(text: Column) -> Column:
     """Whether every line that should name a key has a '='."""
-
-    def named(line: Column) -> Column:
-        # After an empty key nothing can be continued, so the next line names a key too.
-        next_key = F.try_element_at(F.split(line, _FOLD), F.lit(2))
-        follows_empty = line.startswith("=") & next_key.isNotNull()
-        return F.when(follows_empty, F.contains(next_key, F.lit("="))).otherwise(
-            F.contains(F.substring_index(line, _FOLD, 1), F.lit("="))
-        )
-
-    return F.forall(lines, named)
+    return ~text.rlike(_UNNAMED)
 
 
 def is_key_record(raw: Column) -> Column:
@@ -146,26 +144,25 @@ def parse_journald(records: DataFrame) -> DataFrame:
     split = records.withColumns(
         {
             "_doc": F.when(_opens_json(raw), json_object(trim(raw))),
-            "_lines": F.when(has_text(raw) & ~_opens_json(raw), _folded(raw)),
+            "_text": F.when(has_text(raw) & ~_opens_json(raw), _folded(raw)),
         }
     )
-    lines = F.col("_lines")
+    # Only whether a record is kept stands behind the generator; fields that nobody asks for are never made.
+    keeps = F.coalesce(F.expr(_has_key("_doc", with_message=True)), F.lit(False)) | F.coalesce(_all_named(F.col("_text")), F.lit(False))
+    kept = with_present(split, "_kept", F.when(keeps, F.struct("_doc", "_text"))).drop("_doc", "_text")
+    text = F.concat(F.lit("\n"), F.col("_kept._text"))
 
     def member(column: str, key: str) -> Column:
-        value = value_at("_doc", [key])
-        return F.expr(_integer_text(value) if column in ("pid", "priority") else any_text(value))
+        found = value_at("_kept._doc", [key])
+        return F.expr(_integer_text(found) if column in ("pid", "priority") else any_text(found))
 
     def after_key(name: str) -> Column:
         """The text after the last ``name=`` line; continuation lines lose their indent."""
-        last = F.try_element_at(F.filter(lines, lambda line: line.startswith(name + "=")), F.lit(-1))
-        return F.translate(F.substr(last, F.lit(len(name) + 2)), _FOLD, "\n")
-
-    values = F.when(
-        F.expr(_has_key("_doc", with_message=True)),
-        F.array(*[member(column, key) for column, key in FIELDS.items()]),
-    ).when(_all_named(lines), F.array(*[after_key(key) for key in FIELDS.values()]))
-    kept = with_present(split, "_values", values)
-    value = {column: F.col("_values")[i] for i, column in enumerate(FIELDS)}
+        last = F.substring_index(F.substring_index(text, f"\n{name}=", -1), "\n", 1)
+        return F.when(F.contains(text, F.lit(f"\n{name}=")), F.translate(last, _FOLD, "\n"))
+
+    is_text = F.col("_kept._text").isNotNull()
+    value = {column: F.when(is_text, after_key(key)).otherwise(member(column, key)) for column, key in FIELDS.items()}
     kept = kept.withColumn("_ms", epoch_millis(value["timestamp"]))
     return project(
         kept,
