@@ -13,16 +13,16 @@ def parsed(df):
 
 
 def test_promoted_and_plain(lines):
-    row = parsed(lines('{"level":"info","message":"hello","value":3}'))[0]
-    assert (row["level"], row["message"], row["value"], row["timestamp"]) == ("info", "hello", 3, None)
+    row = parsed(lines('{"severity":"notice","msg":"door open","floor":4}'))[0]
+    assert (row["level"], row["message"], row["floor"], row["timestamp"]) == ("notice", "door open", 4, None)
 
 
 def test_arrays_objects_and_booleans(lines):
     rows = parsed(
-        lines('{"tags":["a","b"],"count":2,"o":{},"n":{"x":{"y":1.5}}}', '{"message":null,"ok":true}', '{"t":[{"z":1,"a":2}]}')
+        lines('{"rooms":["east",7],"beds":5,"o":{},"n":{"x":{"y":1.5}}}', '{"msg":null,"clean":true}', '{"t":[{"z":1,"a":2}]}')
     )
-    assert rows[0]["tags"] == '["a","b"]' and rows[0]["count"] == 2 and rows[0]["o"] == "{}" and rows[0]["n_x_y"] == 1.5
-    assert rows[1]["message"] is None and rows[1]["ok"] == 1
+    assert rows[0]["rooms"] == '["east",7]' and rows[0]["beds"] == 5 and rows[0]["o"] == "{}" and rows[0]["n_x_y"] == 1.5
+    assert rows[1]["message"] is None and rows[1]["clean"] == 1
     assert rows[2]["t"] == '[{"z":1,"a":2}]'
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from timberline.functions.once import let
 from timberline.functions.text import NON_WS, WS, matches, trim
 
-# Fixed values.
+# The month names, the largest time, and the shapes of times that are read.
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 MAX_MILLIS = 8_640_000_000_000_000
 
