@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm.common import binary, words
 
-SAMPLE = 16_384
+SAMPLE = 8_192
 BITS = 18
 TELLING = 7.0  # standard deviations by which a slot's rows must differ from the rest
 
@@ -85,7 +85,7 @@ def fit_rows(rows: list[tuple[int, np.ndarray]], grades: int, bits: int, epochs:
     y = np.array([g for g, _ in rows])
     lengths = np.array([len(s) for _, s in rows])
     slots = np.concatenate([s for _, s in rows])
-    owner = np.repeat(np.arange(len(rows)), lengths)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
     seen, telling = np.bincount(slots, minlength=1 << bits), np.zeros(1 << bits)
     for k in range(grades):
         part = np.mean(y == k)
