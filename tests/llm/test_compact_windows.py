@@ -53,6 +53,29 @@ def test_alike():
     assert alike(a, c, 46) == []
 
 
+@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("repeated", [False, True])
+def test_alike_against_every_start(seed, repeated):
+    r = random.Random(seed)
+    for _ in range(20):
+        a = [r.randrange(15 if repeated else 10**9) for _ in range(r.randrange(8, 40))]
+        b = [x for x in a if r.random() < 0.95] + [r.randrange(10**9) for _ in range(r.randrange(6))]
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        # The four offsets with most votes, by first places.
+        votes = {}
+        for v in set(a) & set(b):
+            votes.setdefault(b.index(v) - a.index(v), []).append(v)
+        shifts = sorted(votes, key=lambda s: (-len(votes[s]), s))[:4]
+        want = set()
+        for s in shifts:
+            for i in range(len(a) - 7):
+                if 0 <= i + s <= len(b) - 8:
+                    p, q = set(a[i : i + 8]), set(b[i + s : i + s + 8])
+                    if 100 * len(p & q) >= 80 * len(p | q):
+                        want.add((i, i + 8))
+        assert set(alike(x, y, 8)) == want
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(*x, "en", "r", 1) for x in rows], "doc_id long, text string, lang string, row string, start int")
 

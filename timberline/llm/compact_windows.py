@@ -88,24 +88,56 @@ def run_hashes(grams: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Stretches (from, to) of ``a`` of ``least`` shingles or more that are similar to a stretch of ``b`` that wide."""
+    """Stretches (from, to) of ``a`` of ``least`` shingles that are similar to a stretch of ``b`` that wide.
+
+    They are compared at the four offsets that most shingles in common agree on.
+    """
     if len(a) < least or len(b) < least:
         return []
-    # The stretches are tried at the offset that most shingles in common agree on, and at their starts.
-    _, at, bt = np.intersect1d(a, b, return_indices=True)
-    if not len(at):
+    own, at = np.unique(a, return_index=True)
+    other, bt = np.unique(b, return_index=True)
+    _, i, j = np.intersect1d(own, other, assume_unique=True, return_indices=True)
+    single = len(own) == len(a) and len(other) == len(b)
+    # Two stretches of so many different shingles have at least this many in common.
+    needed = -(-2 * PART * least // (WHOLE + PART))
+    if not len(i) or single and len(i) < needed:
         return []
+    at, bt = at[i], bt[j]
     shifts, votes = np.unique(bt - at, return_counts=True)
     out = []
     for shift in shifts[np.argsort(-votes, kind="stable")[:4]].tolist():
-        for start in range(max(0, -shift), min(len(a), len(b) - shift) - least + 1):
-            x, y = a[start : start + least], b[start + shift : start + shift + least]
-            both = len(np.intersect1d(x, y))
-            if WHOLE * both >= PART * (len(np.unique(x)) + len(np.unique(y)) - both):
-                out.append((start, start + least))
+        first, last = max(0, -shift), min(len(a), len(b) - shift) - least
+        if last < first:
+            continue
+        if single:
+            # A common shingle counts for the starts at which both stretches hold it.
+            low = np.maximum(np.maximum(at, bt - shift) - least + 1, first)
+            high = np.minimum(np.minimum(at, bt - shift), last) + 1
+            real = low < high
+            change = np.bincount(low[real], minlength=last + 2) - np.bincount(high[real], minlength=last + 2)
+            starts = np.flatnonzero(np.cumsum(change) >= needed)
+        else:
+            starts = [s for s in range(first, last + 1) if _similar(a[s : s + least], b[s + shift : s + shift + least])]
+        out += [(int(s), int(s) + least) for s in starts]
     return out
 
 
+def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping stretches put together."""
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(stretches):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(stop, out[-1][1])
+        else:
+            out.append((start, stop))
+    return out
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b))
+    return WHOLE * both >= PART * (len(np.unique(a)) + len(np.unique(b)) - both)
+
+
 def _payloads(batches: Iterator[pa.RecordBatch], least: int, width: int, block_bytes: int) -> Iterator[tuple]:
     """(rows, ids, starts of runs, their hashes, windows of each function, their least hashes), each with lengths, of texts of bounded bytes."""
     for whole in batches:
@@ -227,7 +259,7 @@ def _near(docs: DataFrame, scratch: Scratch, found: DataFrame, least: int, width
             out = []
             for row, id_, first, start, own, other in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "first_id", "start", "own", "other"))):
                 found = alike(np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64), least)
-                out += [(row, id_, first, start + a, start + b) for a, b in found]
+                out += [(row, id_, first, start + a, start + b) for a, b in _joined(found)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES[1:])], ["row", "id", "first_id", "start", "stop"])
 
