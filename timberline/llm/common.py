@@ -21,11 +21,21 @@ from timberline.session import scratch_path
 _MASK = (1 << 64) - 1
 
 
+# Rows that go to a Python worker at once. Texts can be long, and each worker and its executor hold a batch or two.
+BATCH_ROWS = 2500
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor loses nothing; dropped when no longer read."""
+    """Tables written to the shared folder, so that a lost executor loses nothing; dropped when no longer read.
+
+    Lowers the rows of an Arrow batch to BATCH_ROWS for the session; results don't depend on it.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
+        if not 0 < int(spark.conf.get(_ROWS_SETTING)) <= BATCH_ROWS:
+            spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
@@ -189,7 +199,7 @@ def marked(bits: np.ndarray, at: pa.Array) -> pa.Array:
 # its bucket once from each block, never once from each row, so no key makes a large group.
 
 BLOCK_DDL = "block string, payload binary"
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 1_000_000
 
 
 def pack(values: np.ndarray, ascending: bool = False) -> bytes:

@@ -298,9 +298,12 @@ def _found(source: DataFrame, scratch: Scratch, passage: int, width: int, block_
     blocks = scratch.keep(blocks, "windows")
     totals = scratch.keep(totals_of(blocks, _counts, bucket_bits(keys)), "window-counts")
     found = scratch.keep(answered(blocks, totals).mapInArrow(lambda batches: _shared(batches, least), _FOUND), "shared")
+    scratch.drop("windows", "window-counts")
     exact = _credited(found.filter("kind = 0").drop("kind")).select("row", "id", "first_id", "start", "stop")
     near = _near(source, scratch, found, least, width)
-    return scratch.keep(_merged(exact.unionByName(near)), "repeats")
+    merged = scratch.keep(_merged(exact.unionByName(near)), "repeats")
+    scratch.drop("shared", "near-pairs", "near-grams")
+    return merged
 
 
 def repeats(

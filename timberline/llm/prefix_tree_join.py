@@ -242,7 +242,9 @@ def _likely(sets: DataFrame, scratch: Scratch, part: int, whole: int) -> DataFra
     blocks = sets.select("node", "n", "first").mapInArrow(lambda batches: block_rows(payloads(batches)), BLOCK_DDL)
     blocks = scratch.keep(blocks, "first-grams")
     totals = scratch.keep(totals_of(blocks, counts, bucket_bits(KEPT * sets.count())), "gram-counts")
-    return scratch.keep(answered(blocks, totals).mapInArrow(pick, "node long, n long, meets array<long>"), "likely")
+    found = scratch.keep(answered(blocks, totals).mapInArrow(pick, "node long, n long, meets array<long>"), "likely")
+    scratch.drop("first-grams", "gram-counts")
+    return found
 
 
 def _whole_sets(docs: DataFrame, likely: DataFrame, width: int) -> DataFrame:
