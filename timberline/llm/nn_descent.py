@@ -260,10 +260,11 @@ def near_duplicates(
             break
         size *= 2
     found = nodes.select("node", "mark", "rows", "least").join(roots, "node", "left").join(counted, "node", "left")
-    least = found.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component"))
-    found = found.join(least, "root", "left")
+    # A node without links is a component of its own, so that no key stands for all of them.
+    found = found.withColumn("root", F.coalesce("root", "node"))
+    found = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     found = found.select(
-        "mark", (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id")
+        "mark", (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"), "component_id"
     )
     out = rows.select("id", "mark").join(found, "mark", "left")
     component = F.coalesce("component_id", "id")
