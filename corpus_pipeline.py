@@ -60,7 +60,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return best_fit_packing.pack(docs, Scratch(spark), public_tokenizers.path("byte_bpe_50k.json"), CAPACITY)
+    return best_fit_packing.pack(docs, Scratch(spark), public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [

@@ -1,9 +1,11 @@
+import os
 import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,6 +18,7 @@ from timberline.llm.common import Scratch
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
 ENCODER = Encoder(PATH)
+RANKS = Encoder(PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def ids(text):
@@ -27,6 +30,19 @@ def ids(text):
 def test_chunks_encode_like_the_whole(parts):
     text = "".join(parts)
     assert np.frombuffer(ENCODER([text])[0], "<u4").tolist() == ids(text)
+    assert np.frombuffer(RANKS([text])[0], "<u4").tolist() == ids(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text_encodes_like_the_whole(text):
+    assert np.frombuffer(RANKS([text])[0], "<u4").tolist() == ids(text)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the driver tables")
+def test_documents_encode_like_the_whole():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()[:300]
+    assert [np.frombuffer(x, "<u4").tolist() for x in RANKS(texts)] == [ids(t) for t in texts]
 
 
 def bins(histogram, capacity):

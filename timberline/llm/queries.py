@@ -48,7 +48,7 @@ def op10_url_trust(spark, folder):
 
 @query
 def op2_best_fit_packing(spark, folder):
-    return best_fit_packing.pack(table(spark, folder, "documents"), Scratch(spark), public_tokenizers.path("byte_bpe_50k.json"))
+    return best_fit_packing.pack(table(spark, folder, "documents"), Scratch(spark), public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 @query
