@@ -134,6 +134,27 @@ def test_near_passages(spark):
     assert {o.doc_id for o in out} == set(range(1, 25))
 
 
+@pytest.mark.parametrize("held", ["passage", "text", "twice"])
+def test_near_passages_of_repeated_originals(spark, held):
+    r = random.Random(8)
+    base = text(r, 120)
+    first = text(r, 80) + base + text(r, 80)
+    if held == "twice":
+        rows = [(0, " ".join(first + base + text(r, 80)))]
+    else:
+        rows = [(0, " ".join(first)), (1, " ".join(first if held == "text" else text(r, 70) + base + text(r, 90)))]
+    for k in range(2, 26):
+        words = list(base)
+        for at in range(15 + k % 7, 120, 40):
+            words[at] = f"new{k}"
+        rows.append((k, " ".join(text(r, 60) + words + text(r, 40))))
+    # A copy of an edited text has the same repeats as that.
+    rows.append((50, rows[-1][1]))
+    out = repeats(frame(spark, rows), Scratch(spark)).collect()
+    near = {o.doc_id: (o.start, o.stop) for o in out if o.first_id == 0}
+    assert set(near) >= set(range(2, 26)) and near[50] == near[25]
+
+
 def test_odd_rows(spark):
     assert repeats(frame(spark, []), Scratch(spark)).collect() == []
     words = " ".join(text(random.Random(1), 80))

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.common import (
@@ -184,39 +184,63 @@ def _shared(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         for row, id_, (n, *each) in zip(rows, ids, counts):
             own = at_run + np.flatnonzero(again_run[at_run : at_run + n])
             at_run += n
-            out += [(0, int(k), row, id_, s, s + least - STEP) for k, s in zip(runs[own].view(np.int64), starts[own].tolist())]
-            # Centres inside repeated runs need no further look.
+            out.append((0, row, id_, runs[own].view(np.int64), starts[own], starts[own] + least - STEP))
+            # Centres inside repeated runs count as well: an edited copy may have its only partners there.
             edges = np.concatenate([[0], np.cumsum(each)]) + at_low
             at_low = int(edges[-1])
-            last = np.maximum.accumulate(starts[own] + least - STEP) if len(own) else np.zeros(0, np.int64)
-            some = []
-            for a, b in zip(edges, edges[1:]):
-                k = a + np.flatnonzero(again_low[a:b])
-                before = np.searchsorted(starts[own], windows[k, 1], "right") - 1
-                covered = (before >= 0) & (windows[k, 1] < last[before]) if len(own) else np.zeros(len(k), bool)
-                some.append(k[~covered])
+            some = [a + np.flatnonzero(again_low[a:b]) for a, b in zip(edges, edges[1:])]
             for f in range(len(some)):
                 for g in range(f + 1, len(some)):
-                    centres = windows[some[g], 1]
-                    for k in some[f]:
-                        l1, c1, r1 = windows[k]
-                        for j in some[g][np.searchsorted(centres, c1 - least + 1) : np.searchsorted(centres, c1 + least)]:
-                            l2, c2, r2 = windows[j]
-                            low, high = max(l1, l2, min(c1, c2) - least), min(r1, r2, max(c1, c2) + least)
-                            if high - low >= least:
-                                key = mix(mix(lows[k : k + 1], f) + lows[j : j + 1], g).view(np.int64)[0]
-                                out.append((1, int(key), row, id_, int(low), int(high)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _FOUND_NAMES)
+                    for at in range(0, len(some[f]), 4096):
+                        out.append((1, row, id_, *_pairs(windows, lows, some[f][at : at + 4096], some[g], f, g, least)))
+        sizes = [len(x[3]) for x in out]
+        if sum(sizes):
+            kinds, at, id_ = (pa.array([x[k] for x in out], t).take(pa.array(np.repeat(np.arange(len(out)), sizes))) for k, t in enumerate(_TYPES[:1] + _TYPES[2:4]))
+            keys, start, stop = (np.concatenate([x[k] for x in out]) for k in (3, 4, 5))
+            columns = [kinds, keys, at, id_, start, stop]
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, _TYPES)], _FOUND_NAMES)
+
+
+def _pairs(windows: np.ndarray, lows: np.ndarray, some: np.ndarray, others: np.ndarray, f: int, g: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, stop) of the stretches of at least so many positions in a window of each of two functions, once each."""
+    centres = windows[others, 1]
+    first = np.searchsorted(centres, windows[some, 1] - least + 1)
+    many = np.searchsorted(centres, windows[some, 1] + least) - first
+    k = np.repeat(some, many)
+    j = others[np.arange(len(k)) + np.repeat(first - np.cumsum(many) + many, many)]
+    (l1, c1, r1), (l2, c2, r2) = windows[k].T, windows[j].T
+    low = np.maximum(np.maximum(l1, l2), np.minimum(c1, c2) - least)
+    high = np.minimum(np.minimum(r1, r2), np.maximum(c1, c2) + least)
+    wide = high - low >= least
+    k, j, low, high = k[wide], j[wide], low[wide], high[wide]
+    keys = mix(mix(lows[k], f) + lows[j], g).view(np.int64)
+    # In a text that repeats itself, many windows give one stretch.
+    order = np.lexsort((high, low, keys))
+    keys, low, high = keys[order], low[order], high[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return keys[new], low[new], high[new]
 
 
 _TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
+def _order() -> Column:
+    # A NULL id comes last, as the largest number.
+    return F.coalesce("id", F.lit((1 << 63) - 1))
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """(row, id, first_row) of the documents whose whole text is that of an earlier one."""
+    texts = docs.select("row", "id", F.xxhash64("text").alias("same"))
+    first = texts.groupBy("same").agg(F.min(F.struct(_order(), "row")).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
+    first = first.filter("low <> high").select("same", F.col("first.row").alias("first_row"))
+    return texts.join(first, "same").filter("row <> first_row").select("row", "id", "first_row").distinct()
+
+
 def _credited(found: DataFrame) -> DataFrame:
     """Each occurrence of a key in another document than its first, with the place of the first."""
-    # A NULL id comes last, as the largest number.
-    order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)), "row", "start", "stop", "id")
+    order = F.struct(_order(), "row", "start", "stop", "id")
     first = found.groupBy("key").agg(F.min(order).alias("first"), F.max("row").alias("high"), F.min("row").alias("low"))
     first = first.filter("low <> high").select(
         "key", F.col("first.row").alias("first_row"), F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"), F.col("first.stop").alias("first_stop")
@@ -300,9 +324,13 @@ def _found(source: DataFrame, scratch: Scratch, passage: int, width: int, block_
     found = scratch.keep(answered(blocks, totals).mapInArrow(lambda batches: _shared(batches, least), _FOUND), "shared")
     scratch.drop("windows", "window-counts")
     exact = _credited(found.filter("kind = 0").drop("kind")).select("row", "id", "first_id", "start", "stop")
-    near = _near(source, scratch, found, least, width)
+    # A copy of a whole text has what its first document has, which alone is searched.
+    copies = scratch.keep(_copies(source), "copies")
+    near = scratch.keep(_near(source, scratch, found.join(copies.select("row"), "row", "left_anti"), least, width), "near")
+    same = near.select(F.col("row").alias("first_row"), "first_id", "start", "stop").join(copies, "first_row")
+    near = near.unionByName(same.select("row", "id", "first_id", "start", "stop"))
     merged = scratch.keep(_merged(exact.unionByName(near)), "repeats")
-    scratch.drop("shared", "near-pairs", "near-grams")
+    scratch.drop("shared", "near-pairs", "near-grams", "copies", "near")
     return merged
 
 
