@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 
 from timberline.llm import common
+from timberline.llm import compact_windows as compact_windows_module
 from timberline.llm.common import Scratch
-from timberline.llm.compact_windows import _without, alike, compact_windows, repeats, run_hashes, run_starts, without_repeats
+from timberline.llm.compact_windows import _partners, _without, alike, compact_windows, repeats, run_hashes, run_starts, without_repeats
 
 R = random.Random(4)
 VOCABULARY = [f"w{k}" for k in range(4000)]
@@ -155,6 +156,41 @@ def test_near_passages_of_repeated_originals(spark, held):
     assert set(near) >= set(range(2, 26)) and near[50] == near[25]
 
 
+@pytest.mark.parametrize("members", [5, 2048])
+def test_near_passages_around_a_common_phrase(spark, monkeypatch, members):
+    monkeypatch.setattr(compact_windows_module, "MEMBERS", members)
+    r = random.Random(3)
+    phrase = text(r, 36)
+    rows = [(0, " ".join(text(r, 80) + phrase + text(r, 80)))]
+    for k in range(1, 41):
+        own = text(r, 12) + phrase + text(r, 12)
+        rows.append((k, " ".join(text(r, 60) + own + text(r, 60))))
+        own[30] = f"new{k}"
+        rows.append((100 + k, " ".join(text(r, 60) + own + text(r, 60))))
+    out = repeats(frame(spark, rows), Scratch(spark)).collect()
+    pairs = {(o.doc_id, o.first_id) for o in out}
+    assert pairs <= {(100 + k, k) for k in range(1, 41)} and len(pairs) >= 38
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_partners_against_all_pairs(seed):
+    r = np.random.default_rng(seed)
+    line, members = r.integers(0, 1 << 62, 30), []
+    bases = [np.concatenate([r.integers(0, 1 << 62, 13), line, r.integers(0, 1 << 62, 13)]) for _ in range(8)]
+    for k in range(60):
+        own = bases[r.integers(8)].copy()
+        own[r.integers(0, len(own), r.integers(0, 9))] = r.integers(0, 1 << 62)
+        members.append((int(r.integers(0, 40)), None if k % 9 == 8 else int(r.integers(0, 30)), k, k + len(own), own.astype(np.uint64).tobytes()))
+    order = sorted(members, key=lambda m: (m[1] is None, m[1] or 0, m[0], m[2], m[3]))
+    want = {}
+    for p, m in enumerate(order):
+        for e in order[:p]:
+            if e[0] != m[0] and alike(np.frombuffer(m[4], np.uint64), np.frombuffer(e[4], np.uint64), 46):
+                want[m[2]] = e[2]
+                break
+    assert {members[k][2]: members[q][2] for k, q, _ in _partners(members, 46)} == want
+
+
 def test_odd_rows(spark):
     assert repeats(frame(spark, []), Scratch(spark)).collect() == []
     words = " ".join(text(random.Random(1), 80))

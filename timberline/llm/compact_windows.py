@@ -11,8 +11,9 @@ tree. Two texts that share a passage have windows of equal least hash around it.
    least ``passage`` words that stands in two documents is found, and none of fewer
    than ``passage - 8`` words.
 2. Near repeats: where windows of two functions overlap by the passage length and
-   other documents have the same two least hashes, the stretches are compared, and
-   those of a Jaccard similarity of at least 0.8 are repeats.
+   other documents have the same two least hashes, the stretches are compared, each
+   with the earlier ones in turn until one has a Jaccard similarity of at least 0.8;
+   such stretches are repeats.
 
 Each repeat is credited to its first document in the order of ids, which keeps it.
 """
@@ -54,6 +55,7 @@ STEP = 8
 FUNCTIONS = 4
 PART, WHOLE = 80, 100
 BLOCK_BYTES = 8 << 20
+MEMBERS = 2048
 _BASE = 0x9FB21C651E98DF25  # odd
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -248,11 +250,75 @@ def _credited(found: DataFrame) -> DataFrame:
     return found.join(first, "key").filter("row <> first_row")
 
 
+def _prefixes(contents: list[np.ndarray], least: int) -> list[np.ndarray]:
+    """Of the shingles of each stretch so many, rarest first, that two similar stretches have one in common."""
+    sets = [np.unique(c) for c in contents]
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = []
+    for c, own, ranks in zip(contents, sets, np.split(at, np.cumsum([len(x) for x in sets])[:-1])):
+        fewest = least if len(own) == len(c) else min(len(np.unique(c[s : s + least])) for s in range(len(c) - least + 1))
+        # What is similar to so many different shingles has this many of them.
+        common = -(-PART * fewest // WHOLE)
+        out.append(ranks[np.lexsort((ranks, counts[ranks]))[: len(own) - common + 1]])
+    return out
+
+
+def _partners(members: list[tuple], least: int) -> Iterator[tuple]:
+    """Of (row, id, start, stop, shingles) under one key: (place, place of the first earlier one in another row that is similar, stretches)."""
+    order = sorted(range(len(members)), key=lambda k: ((1 << 63) - 1 if members[k][1] is None else members[k][1], members[k][0], *members[k][2:4]))
+    known: dict[bytes, int] = {}
+    content = [known.setdefault(members[k][4], len(known)) for k in order]
+    texts = [np.frombuffer(t, np.uint64) for t in known]
+    # Of each content the first places of two rows: one of them is another row than any.
+    holders: list[list[int]] = [[] for _ in texts]
+    seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    prefixes: list[np.ndarray] = []
+    posted: dict[int, list[int]] = {}
+    listed = 0
+
+    def shared(c: int, d: int) -> list[tuple[int, int]]:
+        if (c, d) not in seen:
+            seen[c, d] = [(0, len(texts[c]))] if c == d else _joined(alike(texts[c], texts[d], least))
+        return seen[c, d]
+
+    def other(d: int, row: int) -> int | None:
+        return next((p for p in holders[d] if members[order[p]][0] != row), None)
+
+    met = 0
+    for p, k in enumerate(order):
+        row, c = members[k][0], content[p]
+        found = None
+        # Most have a partner among the first few; the others meet at rare shingles.
+        for d in range(min(met, 4)):
+            if (q := other(d, row)) != holders[d][0]:
+                break
+            if shared(c, d):
+                found = q, d
+                break
+        else:
+            if met > 4:
+                prefixes = prefixes or _prefixes(texts, least)
+                for d in range(listed, met):
+                    for g in prefixes[d].tolist():
+                        posted.setdefault(g, []).append(d)
+                listed = met
+        if found is None:
+            some = range(met) if met <= 4 or listed < met else {d for g in prefixes[c].tolist() for d in posted.get(g, ())}
+            places = sorted((q, d) for d in some if (q := other(d, row)) is not None)
+            found = next(((q, d) for q, d in places if shared(c, d)), None)
+        if found is not None:
+            yield k, order[found[0]], shared(c, found[1])
+        met = max(met, c + 1)
+        if len(holders[c]) < 2 and other(c, row) == (holders[c][0] if holders[c] else None):
+            holders[c].append(p)
+
+
 def _near(docs: DataFrame, scratch: Scratch, found: DataFrame, least: int, width: int) -> DataFrame:
-    """(row, id, first_id, start, stop) of the stretches that are similar to that of the first document."""
-    pairs = _credited(found.filter("kind = 1").drop("kind")).drop("key").distinct()
-    pairs = scratch.keep(pairs, "near-pairs")
-    places = pairs.select("row", "start", "stop").unionAll(pairs.select("first_row", "first_start", "first_stop")).distinct()
+    """(row, id, first_id, start, stop) of the stretches that are similar to one of an earlier document under their key."""
+    found = found.filter("kind = 1").drop("kind")
+    sizes = found.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"), F.max("row").alias("high"), F.min("row").alias("low"))
+    members = scratch.keep(found.join(sizes.filter("low <> high").select("key", "blocks"), "key").distinct(), "near-members")
+    places = members.select("row", "start", "stop").distinct()
     # Only texts that have such a stretch move; a bitmap of fixed size lets the others stay.
     wanted = places.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("places"))
     bits = bitmap(places.select(place("row").alias("at")))
@@ -274,20 +340,43 @@ def _near(docs: DataFrame, scratch: Scratch, found: DataFrame, least: int, width
     texts = docs.select("row", "text", place("row").alias("at")).mapInArrow(likely, "row long, text string").dropDuplicates(["row"])
     grams = texts.join(wanted, "row").select("row", "text", "places").mapInArrow(cut, "row long, start int, stop int, grams binary")
     grams = scratch.keep(grams, "near-grams")
-    left = grams.select("row", "start", "stop", F.col("grams").alias("own"))
-    right = grams.select(F.col("row").alias("first_row"), F.col("start").alias("first_start"), F.col("stop").alias("first_stop"), F.col("grams").alias("other"))
-    both = pairs.join(left, ["row", "start", "stop"]).join(right, ["first_row", "first_start", "first_stop"])
+    # Every two blocks of a key meet, so all its pairs are decided and no key is one task.
+    block = F.pmod(F.xxhash64("row", "start", "stop"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row", "id", "start", "stop")
+    dealt = dealt.join(grams, ["row", "start", "stop"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
         for batch in batches:
             out = []
-            for row, id_, first, start, own, other in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "first_id", "start", "own", "other"))):
-                found = alike(np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64), least)
-                out += [(row, id_, first, start + a, start + b) for a, b in _joined(found)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES[1:])], ["row", "id", "first_id", "start", "stop"])
-
-    return both.select("row", "id", "first_id", "start", "own", "other").mapInArrow(compare, "row long, id long, first_id long, start int, stop int")
+            for key, *member in zip(*(batch.column(c).to_pylist() for c in ("at", "row", "id", "start", "stop", "grams"))):
+                if key != now:
+                    out += matched(now, own)
+                    now, own = key, []
+                own.append(tuple(member))
+            yield from rows_of(out)
+        yield from rows_of(matched(now, own))
+
+    def matched(at: dict | None, own: list[tuple]) -> list[tuple]:
+        return [
+            (at["key"], *own[k][:2], *own[q][:2], own[q][2], own[k][2], own[k][3], [{"start": own[k][2] + a, "stop": own[k][2] + b} for a, b in stretches])
+            for k, q, stretches in _partners(own, least)
+        ]
+
+    def rows_of(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if out:
+            kinds = (*[pa.int64()] * 5, *[pa.int32()] * 3, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+            names = ["key", "row", "id", "first_row", "first_id", "first_start", "low", "high", "spans"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    schema = "key long, row long, id long, first_row long, first_id long, first_start int, low int, high int, spans array<struct<start:int,stop:int>>"
+    both = dealt.select(F.struct("key", "i", "j").alias("at"), "row", "id", "start", "stop", "grams").mapInArrow(compare, schema)
+    # Of what the blocks have found, the first document.
+    order = F.struct(F.coalesce("first_id", F.lit((1 << 63) - 1)), "first_row", "first_start")
+    both = both.groupBy("key", "row", "id", "low", "high").agg(F.min_by(F.struct("first_id", "spans"), order).alias("best"))
+    both = both.select("row", "id", "best.first_id", F.explode("best.spans").alias("span"))
+    return both.select("row", "id", "first_id", "span.start", "span.stop").distinct()
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -330,7 +419,7 @@ def _found(source: DataFrame, scratch: Scratch, passage: int, width: int, block_
     same = near.select(F.col("row").alias("first_row"), "first_id", "start", "stop").join(copies, "first_row")
     near = near.unionByName(same.select("row", "id", "first_id", "start", "stop"))
     merged = scratch.keep(_merged(exact.unionByName(near)), "repeats")
-    scratch.drop("shared", "near-pairs", "near-grams", "copies", "near")
+    scratch.drop("shared", "near-members", "near-grams", "copies", "near")
     return merged
 
 
