@@ -61,6 +61,17 @@ def test_against_all_pairs(spark, monkeypatch, block):
     assert sorted(got) == sorted((k, int(n), c, kept) for k, n, c, kept in want)
 
 
+def test_all_pairs_where_the_longest_lists_fail(spark, monkeypatch):
+    for name, value in {"NEIGHBOURS": 2, "MOST_NEIGHBOURS": 2, "ORDERS": 1, "WIDTH": 1, "ROUNDS": 1, "BLOCK": 50}.items():
+        monkeypatch.setattr(nn_descent, name, value)
+    r = np.random.default_rng(5)
+    base = r.standard_normal((150, 24))
+    near = base + r.standard_normal(base.shape) * 0.2
+    rows = [(k, np.float32(v).tolist()) for k, v in enumerate(np.concatenate([base, near]))]
+    got, want = result(spark, rows), plain([(k, np.float64(v)) for k, v in rows], 0.9)
+    assert sorted(got) == sorted((k, int(n), c, kept) for k, n, c, kept in want)
+
+
 def test_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [

@@ -10,7 +10,8 @@ Lists that are saturated, because all that they hold is over the threshold, are
 enlarged to their whole connected component: it is compared in blocks, of which
 only the counts leave a task. An audit compares a bounded sample of vectors with
 all rows, and if too many of their links are missing, the lists grow and the
-descent goes on.
+descent goes on. Where the longest lists fail as well, all vectors are compared in
+blocks.
 """
 
 from __future__ import annotations
@@ -203,6 +204,35 @@ def _counts(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     return parts.groupBy("node").agg(F.sum("others").alias("others"))
 
 
+def _all_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) that connect all vectors linked with each other, from comparing every two blocks of them."""
+    blocks = -(-nodes.count() // BLOCK)
+    own = nodes.select("node", "unit").withColumn("block", (F.col("node") % F.lit(max(1, blocks))).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))))
+    dealt = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "unit")
+    dealt = dealt.repartition("i", "j").sortWithinPartitions("i", "j", "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["i", "j"]):
+            units, node = _matrix(table.column("unit").combine_chunks(), np.float64), table.column("node").to_numpy()
+            linked = units @ units.T >= threshold
+            # Of a component only a link from its first vector to each other one leaves the task.
+            left, a, b = np.ones(len(node), bool), [], []
+            for first in range(len(node)):
+                if not left[first]:
+                    continue
+                left[first] = False
+                front = np.array([first])
+                while len(front):
+                    front = np.flatnonzero(linked[front].any(axis=0) & left)
+                    left[front] = False
+                    a += [node[first]] * len(front)
+                    b += node[front].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
 def _recall(nodes: DataFrame, counted: DataFrame, threshold: float, audited: int) -> float:
     """The share of the links of a sample of at most ``audited`` vectors that were counted."""
     sample = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(audited).join(counted, "node", "left")
@@ -252,11 +282,15 @@ def near_duplicates(
     nodes = scratch.keep(nodes.mapInArrow(shrink, "mark binary, unit binary, rows long, least long, node long, small binary"), "nodes")
     size, graph = NEIGHBOURS, None
     while True:
-        graph = descend(nodes, scratch, max(1, width), size, graph, ROUNDS, str(size))
-        links = scratch.keep(_exact(graph, nodes, threshold), f"links-of-{size}")
+        if size <= MOST_NEIGHBOURS:
+            graph = descend(nodes, scratch, max(1, width), size, graph, ROUNDS, str(size))
+            links = _exact(graph, nodes, threshold)
+        else:
+            links = _all_links(nodes, threshold)
+        links = scratch.keep(links, f"links-of-{size}")
         roots = scratch.keep(components(links, scratch), f"roots-{size}")
         counted = scratch.keep(_counts(nodes, roots, threshold), f"counted-{size}")
-        if 2 * size > MOST_NEIGHBOURS or _recall(nodes, counted, threshold, audited) >= RECALL:
+        if size > MOST_NEIGHBOURS or _recall(nodes, counted, threshold, audited) >= RECALL:
             break
         size *= 2
     found = nodes.select("node", "mark", "rows", "least").join(roots, "node", "left").join(counted, "node", "left")
