@@ -72,6 +72,22 @@ def test_all_pairs_where_the_longest_lists_fail(spark, monkeypatch):
     assert sorted(got) == sorted((k, int(n), c, kept) for k, n, c, kept in want)
 
 
+def test_audit_sees_pairs_beside_a_large_component(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "BLOCK", 50)
+    r = np.random.default_rng(6)
+    large = r.standard_normal(32) + r.standard_normal((400, 32)) * 0.05
+    pairs = np.repeat(r.standard_normal((20, 32)), 2, axis=0) + r.standard_normal((40, 32)) * 0.02
+    units = np.concatenate([large, pairs])
+    units /= np.sqrt((units * units).sum(axis=1, keepdims=True))
+    nodes = spark.createDataFrame([(k, u.tobytes(), 1) for k, u in enumerate(units)], "node long, unit binary, rows long")
+    roots = spark.createDataFrame([(k, 0) for k in range(400)], "node long, root long")
+    # All links of the large component are known, none of the pairs.
+    counted = nn_descent._counts(nodes, roots, 0.9)
+    assert nn_descent._recall(nodes, roots, counted, 0.9, 200) < 0.5
+    whole = roots.unionAll(spark.createDataFrame([(400 + k, 400 + k // 2 * 2) for k in range(40)], "node long, root long"))
+    assert nn_descent._recall(nodes, whole, nn_descent._counts(nodes, whole, 0.9), 0.9, 200) == 1.0
+
+
 def test_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [

@@ -176,7 +176,7 @@ def _exact(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _counts(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(node, others): rows linked with each node of a component, counted block by block."""
+    """(node, others, links): rows and nodes linked with each node of a component, counted block by block."""
     sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = roots.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -193,15 +193,16 @@ def _counts(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
             if table.column("i")[0].as_py() == table.column("j")[0].as_py():
                 linked = units @ units.T >= threshold
                 np.fill_diagonal(linked, False)
-                others = linked @ rows
+                others, links = linked @ rows, linked.sum(axis=1)
             else:
                 linked = units[first] @ units[~first].T >= threshold
-                others = np.empty(len(rows), np.int64)
+                others, links = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
                 others[first], others[~first] = linked @ rows[~first], linked.T @ rows[first]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(others.astype(np.int64))], ["node", "others"])
+                links[first], links[~first] = linked.sum(axis=1), linked.sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(node), *(pa.array(x.astype(np.int64)) for x in (others, links))], ["node", "others", "links"])
 
-    parts = dealt.select("root", "i", "j", "block", "node", "unit", "rows").mapInArrow(count, "node long, others long")
-    return parts.groupBy("node").agg(F.sum("others").alias("others"))
+    parts = dealt.select("root", "i", "j", "block", "node", "unit", "rows").mapInArrow(count, "node long, others long, links long")
+    return parts.groupBy("node").agg(F.sum("others").alias("others"), F.sum("links").alias("links"))
 
 
 def _all_links(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -233,24 +234,37 @@ def _all_links(nodes: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _recall(nodes: DataFrame, counted: DataFrame, threshold: float, audited: int) -> float:
-    """The share of the links of a sample of at most ``audited`` vectors that were counted."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(audited).join(counted, "node", "left")
-    sample = sample.select("node", "unit", F.coalesce("others", F.lit(0)).alias("others")).collect()
+def _recall(nodes: DataFrame, roots: DataFrame, counted: DataFrame, threshold: float, audited: int) -> float:
+    """The mean share of the links of a vector that were counted, over those of a sample that have links.
+
+    Half of the sample, at most ``audited`` vectors in all, is drawn from all of them and half from
+    those outside components of over BLOCK vectors; the smaller of the two shares holds.
+    """
+    large = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("root")
+    small = nodes.join(roots.join(large, "root").select("node"), "node", "left_anti")
+    parts = []
+    for salt, part in ((3, nodes), (4, small)):
+        drawn = part.orderBy(F.xxhash64("node", F.lit(salt)), "node").limit(max(1, audited // 2)).join(counted, "node", "left")
+        parts.append(drawn.select("node", "unit", F.coalesce("links", F.lit(0)).alias("links")).collect())
+    sample = [r for part in parts for r in part]
     if not sample:
         return 1.0
     queries = np.frombuffer(b"".join(bytes(r.unit) for r in sample)).reshape(len(sample), -1)
+    own = np.array([r.node for r in sample])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                linked = _matrix(batch.column("unit"), np.float64) @ queries.T >= threshold
-                yield pa.RecordBatch.from_arrays([pa.array([int((linked.T @ batch.column("rows").to_numpy()).sum())])], ["n"])
+                linked = queries @ _matrix(batch.column("unit"), np.float64).T >= threshold
+                linked &= own[:, None] != batch.column("node").to_numpy()[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(linked.sum(axis=1))], ["k", "n"])
 
-    all_rows = nodes.select("unit", "rows").mapInArrow(count, "n long").agg(F.sum("n")).first()[0]
-    itself = nodes.join(F.broadcast(nodes.sparkSession.createDataFrame([(r.node,) for r in sample], "node long")), "node")
-    truth = all_rows - itself.agg(F.sum("rows")).first()[0]
-    return sum(r.others for r in sample) / truth if truth else 1.0
+    truth = np.zeros(len(own))
+    for r in nodes.select("node", "unit").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        truth[r.k] = r.n
+    shares = np.minimum(1, np.array([r.links for r in sample]) / np.maximum(1, truth))
+    halves = np.arange(len(own)) < len(parts[0])
+    return min([float(shares[half & (truth > 0)].mean()) for half in (halves, ~halves) if (half & (truth > 0)).any()], default=1.0)
 
 
 def near_duplicates(
@@ -290,10 +304,10 @@ def near_duplicates(
         links = scratch.keep(links, f"links-of-{size}")
         roots = scratch.keep(components(links, scratch), f"roots-{size}")
         counted = scratch.keep(_counts(nodes, roots, threshold), f"counted-{size}")
-        if size > MOST_NEIGHBOURS or _recall(nodes, counted, threshold, audited) >= RECALL:
+        if size > MOST_NEIGHBOURS or _recall(nodes, roots, counted, threshold, audited) >= RECALL:
             break
         size *= 2
-    found = nodes.select("node", "mark", "rows", "least").join(roots, "node", "left").join(counted, "node", "left")
+    found = nodes.select("node", "mark", "rows", "least").join(roots, "node", "left").join(counted.drop("links"), "node", "left")
     # A node without links is a component of its own, so that no key stands for all of them.
     found = found.withColumn("root", F.coalesce("root", "node"))
     found = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root")
