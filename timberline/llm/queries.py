@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import backoff_lm, best_fit_packing, best_fit_shards, compact_windows, cube_mixing, nn_descent, ordinal_quality, piecewise_hash, prefix_tree_join, url_trust
+from timberline.llm import backoff_lm, best_fit_packing, best_fit_shards, compact_windows, cube_mixing, nn_descent, ordinal_quality, piecewise_hash, prefix_tree_join, url_trust, warc_segments
 from timberline.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,17 @@ def op1_prefix_tree_join(spark, folder):
 @query
 def op6_compact_windows(spark, folder):
     return compact_windows.repeats(table(spark, folder, "documents"), Scratch(spark))
+
+
+@query
+def op13_warc_segments(spark, folder):
+    return warc_segments.round_trip(table(spark, folder, "pages"), Scratch(spark)).drop("whole")
+
+
+ORACLES["op13_warc_segments"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS data FROM pages),
+     q AS (SELECT page_id, octet_length(data)::BIGINT AS payload_bytes, sha1(data) AS payload_digest, max(page_id) OVER (PARTITION BY data) AS latest FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 1000 OR page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < latest THEN latest END AS refers_to
+FROM q"""
