@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import backoff_lm, best_fit_packing, best_fit_shards, compact_windows, cube_mixing, nn_descent, ordinal_quality, piecewise_hash, prefix_tree_join, url_trust, warc_segments
+from timberline.llm import backoff_lm, best_fit_packing, best_fit_shards, compact_windows, cube_mixing, hirschberg_repair, nn_descent, ordinal_quality, piecewise_hash, prefix_tree_join, url_trust, warc_segments
 from timberline.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes < 1000 OR page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id < latest THEN latest END AS refers_to
 FROM q"""
+
+
+@query
+def op12_hirschberg_repair(spark, folder):
+    return hirschberg_repair.repair_damaged(table(spark, folder, "conversations"), Scratch(spark))
