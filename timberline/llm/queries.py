@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import backoff_lm, best_fit_packing, best_fit_shards, compact_windows, cube_mixing, hirschberg_repair, nn_descent, ordinal_quality, piecewise_hash, prefix_tree_join, url_trust, warc_segments
+from timberline.llm import backoff_lm, best_fit_packing, best_fit_shards, bloom_neighbours, compact_windows, cube_mixing, hirschberg_repair, nn_descent, ordinal_quality, piecewise_hash, prefix_tree_join, url_trust, warc_segments
 from timberline.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,8 @@ FROM q"""
 @query
 def op12_hirschberg_repair(spark, folder):
     return hirschberg_repair.repair_damaged(table(spark, folder, "conversations"), Scratch(spark))
+
+
+@query
+def op11_bloom_neighbours(spark, folder):
+    return bloom_neighbours.variants(bloom_neighbours.counted(table(spark, folder, "documents")), Scratch(spark))
