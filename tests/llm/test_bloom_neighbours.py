@@ -90,19 +90,23 @@ def test_counts_are_passed_on_in_parts(spark, monkeypatch):
     assert {r.word: r.n for r in bn.counted(spark.createDataFrame(rows, DDL), part=None).collect()} == plain_words(rows, None)
 
 
-def test_hashes_follow_edits():
+def test_hashes_follow_edits(monkeypatch):
     alphabet = np.array(sorted(map(ord, "abcdeé")), np.uint32)
-    word, made = "abbéccd", set()
-    everything = {n: (np.full(8 * 10, (1 << 64) - 1, np.uint64), 0, 10) for n in (len(word) - 1, len(word))}
-    made = list(bn.edits_known(word, alphabet, bn._powers(64), everything))
-    assert len(made) == len(set(made))
-    deleted = {word[:k] + word[k + 1 :] for k in range(len(word))}
-    replaced = {word[:k] + chr(c) + word[k + 1 :] for k in range(len(word)) for c in alphabet if chr(c) > word[k]}
-    assert set(made) == deleted | replaced
+    texts = ["abbéccd", "aaaaaaa", "edcbaab", "abc"]
+    expected = set()
+    for word in texts:
+        expected |= {(word, word[:k] + word[k + 1 :]) for k in range(len(word))}
+        expected |= {(word, word[:k] + chr(c) + word[k + 1 :]) for k in range(len(word)) for c in alphabet if chr(c) > word[k]}
+    everything = {n: (np.full(8 * 10, (1 << 64) - 1, np.uint64), 0, 10) for n in (2, 3, 6, 7)}
+    for most in (1, 40, 1 << 18):
+        monkeypatch.setattr(bn, "EDITS", most)
+        made = list(bn.edits_known(texts, alphabet, everything))
+        assert len(made) == len(set(made)) and set(made) == expected
     # A filter of exactly one made word knows it by the hash of the whole word.
-    for other in made:
-        own = {bn._shard(len(other)): (bn.filter_of(np.array([bn.word_hash(other)], np.uint64), 0, 64, 64), 0, 64)}
-        assert other in set(bn.edits_known(word, alphabet, bn._powers(64), own))
+    for pair in expected:
+        ((_, codes),) = bn.by_length([pair[1]])
+        own = {len(pair[1]): (bn.filter_of(bn.word_hashes(codes), 0, 64, 64), 0, 64)}
+        assert pair in set(bn.edits_known(texts, alphabet, own))
 
 
 def test_very_long_word(spark):

@@ -34,10 +34,13 @@ from timberline.llm.common import Scratch, binary, mix
 LEAST_LENGTH, LEAST_COUNT, LEAST_RATIO = 7, 2, 10
 # A filter has blocks of 512 bits, one for each BLOCK_WORDS words: 16 bits a word, 6 of them set.
 BLOCK_WORDS, PROBES = 32, 6
+EARLY = 3  # probes whose bits come with the block's; the others take a hash of their own
 SLICE = 16 << 20
 LONGEST = 48  # longer words share the last filter
 HELD = 200_000  # words that a task holds before it passes on their counts
-EDITS = 1 << 20  # edits that are probed at once
+EDITS = 1 << 18  # edits that are probed at once
+PIECE = 256  # blocks of a filter that are made together
+PER_TASK = 20_000  # words that a task probes the edits of
 
 # The runs that are words, A-Z being lower-cased before.
 RUN = rb"(?:[a-z]|\xc3[\x80-\xbf])+"
@@ -56,71 +59,95 @@ def _letters(codes: np.ndarray) -> np.ndarray:
     return mix(codes.astype(np.uint64), 7) | np.uint64(1)
 
 
-def word_hash(word: str) -> int:
-    """The polynomial of a word's letters, lowest power first; equal words have equal hashes."""
-    codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
-    return int((_letters(codes) * _powers(len(codes))[: len(codes)]).sum(dtype=np.uint64))
+def by_length(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of one length at a time: their places, and a row of code points for each."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        yield at, np.frombuffer("".join(texts[k] for k in at).encode("utf-32-le"), np.uint32).reshape(len(at), length)
+
+
+def word_hashes(codes: np.ndarray) -> np.ndarray:
+    """The polynomial of each word's letters, lowest power first; equal words have equal hashes."""
+    return (_letters(codes) * _powers(codes.shape[1])[: codes.shape[1]]).sum(axis=1, dtype=np.uint64)
 
 
 def _shard(length: int) -> int:
     return min(length, LONGEST)
 
 
-def _bits(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block of each hash among ``blocks``, and the hash that its bits are taken from."""
+def _placed(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each hash among ``blocks``, from the upper half of its bits, and all of these."""
     spread = mix(hashes, 3)
-    return ((spread >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32), mix(hashes, 11)
+    return ((spread >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32), spread
+
+
+def _probe(k: int, start: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word of the table and the bit in it that the probe looks at."""
+    bit = (source >> np.uint64(9 * (k % EARLY))) & np.uint64(511)
+    return (start + (bit >> np.uint64(6))).astype(np.int64), bit & np.uint64(63)
 
 
 def filter_of(hashes: np.ndarray, first: int, count: int, blocks: int) -> np.ndarray:
     """Blocks ``first`` to ``first + count`` of the filter of ``blocks`` blocks: 8 words of 64 bits each."""
-    block, source = _bits(hashes, blocks)
+    block, source = _placed(hashes, blocks)
     table = np.zeros(count * 8, np.uint64)
-    at = (block - np.uint64(first)) * np.uint64(8)
+    start = (block - np.uint64(first)) * np.uint64(8)
     for k in range(PROBES):
-        bit = (source >> np.uint64(9 * k)) & np.uint64(511)
-        np.bitwise_or.at(table, (at + (bit >> np.uint64(6))).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        at, bit = _probe(k, start, source if k < EARLY else mix(source, 11))
+        np.bitwise_or.at(table, at, np.uint64(1) << bit)
     return table
 
 
 def known(hashes: np.ndarray, table: np.ndarray, first: int, blocks: int) -> np.ndarray:
     """The places of the hashes that the slice of the filter has, with few others."""
-    block, source = _bits(hashes, blocks)
-    at = np.flatnonzero((block >= np.uint64(first)) & (block < np.uint64(first + len(table) // 8)))
-    start = (block[at] - np.uint64(first)) * np.uint64(8)
-    source = source[at]
+    block, source = _placed(hashes, blocks)
+    at = np.arange(len(hashes))
+    if len(table) < 8 * blocks:
+        at = np.flatnonzero((block >= np.uint64(first)) & (block < np.uint64(first + len(table) // 8)))
+        block, source = block[at], source[at]
+    start = (block - np.uint64(first)) * np.uint64(8)
     for k in range(PROBES):
-        bit = (source >> np.uint64(9 * k)) & np.uint64(511)
-        held = (table[(start + (bit >> np.uint64(6))).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+        if k == EARLY:  # few are left by now
+            source = mix(source, 11)
+        place, bit = _probe(k, start, source)
+        held = np.flatnonzero((table[place] >> bit) & np.uint64(1))
         at, start, source = at[held], start[held], source[held]
     return at
 
 
-def edits_known(word: str, alphabet: np.ndarray, powers: np.ndarray, filters: dict[int, tuple[np.ndarray, int, int]]) -> Iterator[str]:
-    """The words made from one by a deletion, or a replacement by a later letter, that the filters know."""
-    codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
-    length = len(codes)
-    terms = _letters(codes) * powers[:length]
-    whole = terms.sum(dtype=np.uint64)
-    if (shard := _shard(length - 1)) in filters:
-        # What follows the deleted letter moves down by one power.
-        before = np.cumsum(terms, dtype=np.uint64) - terms
-        inverse = np.uint64(pow(_BASE, -1, 1 << 64))
-        runs = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))  # of equal letters one is enough
-        hashes = (before + (whole - before - terms) * inverse)[runs]
-        for k in runs[known(hashes, *filters[shard])]:
-            yield word[:k] + word[k + 1 :]
-    if (shard := _shard(length)) in filters:
-        new = _letters(alphabet)
-        step = max(1, EDITS // len(alphabet))
-        for low in range(0, length, step):
-            part = slice(low, min(low + step, length))
-            later = alphabet[None, :] > codes[part, None]
-            hashes = (whole - terms[part])[:, None] + new[None, :] * powers[:length][part][:, None]
-            place, letter = np.nonzero(later)
-            for e in known(hashes[place, letter], *filters[shard]):
-                k = low + int(place[e])
-                yield word[:k] + chr(alphabet[letter[e]]) + word[k + 1 :]
+def edits_known(texts: list[str], alphabet: np.ndarray, filters: dict[int, tuple[np.ndarray, int, int]]) -> Iterator[tuple[str, str]]:
+    """(word, made): what a deletion or a replacement by a later letter makes of the words, as far as the filters know it."""
+    inverse = np.uint64(pow(_BASE, -1, 1 << 64))
+    new = _letters(alphabet)
+    for places, every in by_length(texts):
+        length = every.shape[1]
+        powers = _powers(length)[:length]
+        step = max(1, EDITS // (length * len(alphabet)))
+        for low in range(0, len(places), step):
+            codes, own = every[low : low + step], places[low : low + step]
+            terms = _letters(codes) * powers
+            whole = terms.sum(axis=1, dtype=np.uint64)[:, None]
+            if (shard := _shard(length - 1)) in filters:
+                # What follows the deleted letter moves down by one power; of equal letters in a row one is enough.
+                before = np.cumsum(terms, axis=1, dtype=np.uint64) - terms
+                first = np.ones(codes.shape, bool)
+                first[:, 1:] = codes[:, 1:] != codes[:, :-1]
+                row, k = np.nonzero(first)
+                hashes = (before + (whole - before - terms) * inverse)[row, k]
+                for e in known(hashes, *filters[shard]):
+                    word, at = texts[own[row[e]]], int(k[e])
+                    yield word, word[:at] + word[at + 1 :]
+            if (shard := _shard(length)) in filters:
+                width = max(1, EDITS // (len(own) * len(alphabet)))
+                for left in range(0, length, width):
+                    part = slice(left, left + width)
+                    row, k, letter = np.nonzero(alphabet[None, None, :] > codes[:, part, None])
+                    k += left
+                    hashes = (whole - terms)[row, k] + new[letter] * powers[k]
+                    for e in known(hashes, *filters[shard]):
+                        word, at = texts[own[row[e]]], int(k[e])
+                        yield word, word[:at] + chr(alphabet[letter[e]]) + word[at + 1 :]
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, part: int | None = 31) -> DataFrame:
@@ -180,7 +207,7 @@ def near_pairs(vocabulary: DataFrame, scratch: Scratch, slice_bytes: int = SLICE
 
     # A slice of a filter is made by one task; passes hold as many slices as fit, in order.
     most = max(1, slice_bytes // 64)
-    piece = min(most, 4096)
+    piece = min(most, PIECE)
     pieces = [(s, low, min(piece, n - low)) for s, n in blocks.items() for low in range(0, n, piece)]
     passes: list[list[tuple[int, int, int]]] = [[]]
     for p in pieces:
@@ -190,13 +217,10 @@ def near_pairs(vocabulary: DataFrame, scratch: Scratch, slice_bytes: int = SLICE
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("word").to_pylist()
-            hashes = np.fromiter(map(word_hash, texts), np.uint64, len(texts))
-            shards = np.fromiter((_shard(len(t)) for t in texts), np.int64, len(texts))
-            at = np.zeros(len(texts), np.int64)
-            for s in np.unique(shards):
-                at[shards == s] = _bits(hashes[shards == s], blocks[int(s)])[0].astype(np.int64) // piece
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(shards, pa.int32()), pa.array(at)], ["hash", "shard", "piece"])
+            for _, codes in by_length(batch.column("word").to_pylist()):
+                hashes, s = word_hashes(codes), _shard(codes.shape[1])
+                at = _placed(hashes, blocks[s])[0].astype(np.int64) // piece
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(at), s, np.int32)), pa.array(at)], ["hash", "shard", "piece"])
 
     def built(group: pd.DataFrame) -> pd.DataFrame:
         s, k = int(group["shard"].iloc[0]), int(group["piece"].iloc[0])
@@ -219,17 +243,12 @@ def near_pairs(vocabulary: DataFrame, scratch: Scratch, slice_bytes: int = SLICE
         sent = spark.sparkContext.broadcast((alphabet, filters))
 
         def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            letters, tables = sent.value
-            powers = _powers(64)
             for batch in batches:
-                rows = []
-                for word in batch.column("word").to_pylist():
-                    if len(word) > len(powers):
-                        powers = _powers(2 * len(word))
-                    rows += [(word, other) for other in edits_known(word, letters, powers, tables)]
+                rows = list(edits_known(batch.column("word").to_pylist(), *sent.value))
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.string()), pa.array([b for _, b in rows], pa.string())], ["word", "other"])
 
-        positives.append(scratch.keep(words.mapInArrow(probe, "word string, other string"), f"positives-{number}"))
+        dealt = words.repartition(max(1, sum(sizes.values()) // PER_TASK))
+        positives.append(scratch.keep(dealt.mapInArrow(probe, "word string, other string"), f"positives-{number}"))
         sent.destroy()
     scratch.drop("filters")
     exact = reduce(DataFrame.unionAll, positives).join(words.withColumnRenamed("word", "other"), "other", "left_semi")
