@@ -8,6 +8,7 @@ from timberline.operators.detect import confidence_pct, detect_format
 from timberline.plans import canned
 from timberline.plans.load import load_logs
 from timberline.session import scratch_path
+from timberline.sources import stored
 from timberline.sources.text_files import read_log_lines, read_utf16_lines, with_line_numbers
 from timberline.sources.triage import list_files, triage
 
@@ -271,3 +272,50 @@ def load_corpus(spark, folder):
     return loaded.summary.groupBy("format", "status").agg(
         F.sum("row_count").alias("row_count"), F.sum("skipped_count").alias("skipped_count")
     )
+
+
+_PAGE = "CASE event_id % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'shop' ELSE 'blog' END"
+# Two days of the month of events.
+_FROM, _TO = "2024-01-04T06", "2024-01-06T18"
+
+
+@query(f"""
+    SELECT cast(ts AS date) AS log_day, cast(CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS bigint) AS status, count(*) AS hits,
+           min(event_id) AS first_event, max(event_id) AS last_event
+    FROM events WHERE {src.ISO.format('ts')} >= '{_FROM}' AND {src.ISO.format('ts')} < '{_TO}' GROUP BY 1, 2""")
+def stored_logs_by_day(spark, folder):
+    """Access logs stored by day and time; the days outside the span asked for are not read."""
+    raw = F.expr(f"""concat('10.0.0.1 - - [', {src.LOCAL.format('ts')}, ' +0000] "GET /', cast(event_id as string), ' HTTP/1.1" ',
+                            CASE event_type WHEN 'error' THEN '500' ELSE '200' END, ' 1')""")
+    lines = log_table(spark, folder, "events").select("event_id", F.expr(_PAGE).alias("site"), raw.alias("raw"))
+    path = _write(lines, scratch_path(spark, "sites"), "site", ["event_id"])
+    logs = load_logs(spark, path, store_at=scratch_path(spark, "stored")).df
+    event = F.substring("path", 2, 20).cast("bigint")
+    return stored.between(logs, _FROM, _TO).groupBy(stored.DAY, "status").agg(
+        F.count("*").alias("hits"), F.min(event).alias("first_event"), F.max(event).alias("last_event")
+    )
+
+
+@query(f"""
+    SELECT CASE {_KINDS} WHEN 'app' THEN 'json' ELSE 'nginx_access' END AS format, {_KINDS} AS kind,
+           count(*) FILTER (WHERE {_KINDS} IN ('access', 'app')) AS row_count,
+           count(*) FILTER (WHERE {_KINDS} NOT IN ('access', 'app')) AS skipped_count,
+           CASE WHEN {_KINDS} IN ('access', 'app') THEN 100 ELSE 0 END AS confidence
+    FROM events WHERE event_id % 4 <> 1 OR event_id % 8 = 1 GROUP BY ALL""")
+def format_override_table(spark, folder):
+    """A table of patterns gives most files of a folder a format; what no pattern fits is detected."""
+    iso, local = src.ISO.format("ts"), src.LOCAL.format("ts")
+    raw = F.expr(f"""CASE {_KINDS}
+        WHEN 'access' THEN concat('10.0.0.1 - - [', {local}, ' +0000] "GET / HTTP/1.1" 200 ', cast(event_id as string))
+        WHEN 'app' THEN concat('{{"ts":"', {iso}, '","id":', cast(event_id as string), '}}')
+        ELSE concat('then ', event_type, ' came by') END""")
+    events = log_table(spark, folder, "events").filter("event_id % 4 <> 1 OR event_id % 8 = 1")
+    lines = events.select("event_id", F.expr(_KINDS).alias("kind"), raw.alias("raw"))
+    path = _write(lines, scratch_path(spark, "fleet"), "kind", ["event_id"])
+    # Two patterns fit the plain files, and the longer one decides.
+    fleet = [("kind=p*/*", "syslog"), ("**/kind=plain/part-*", "nginx_access"), ("kind=journal/*", "nginx_access")]
+    summary = load_logs(spark, path, format=spark.createDataFrame(fleet, "glob string, format string")).summary
+    kind = F.regexp_extract("file", "kind=([a-z]+)", 1)
+    return summary.groupBy("format", kind.alias("kind")).agg(
+        F.sum("row_count").alias("row_count"), F.sum("skipped_count").alias("skipped_count"), F.min("confidence").alias("confidence")
+    )

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from timberline.operators.detect import detect_format
 from timberline.operators.journald import assemble_journald
-from timberline.plans.load import load_logs
+from timberline.plans import load
+from timberline.plans.load import load_logs, path_pattern
+from timberline.sources import stored, text_files, triage as triage_module
 from timberline.sources.text_files import read_log_lines, read_utf16_lines, size_tier, with_line_numbers
 from timberline.sources.triage import triage
 
@@ -254,3 +256,134 @@ def test_json_wider_than_a_table(spark, tmp_path):
     rows = table.selectExpr("timestamp", "level", "message", "variant_get(fields, '$.k7', 'string') AS k7").orderBy("line_no").collect()
     assert [tuple(r) for r in rows] == [("2024-01-01T00:00:00Z", None, "hi", "7"), (None, "warn", None, "x")]
     assert len(load_logs(spark, str(tmp_path), max_columns=50).tables["json"].columns) == 56
+
+
+# ------------------------------------------------------- plans of the loader
+
+
+def scans(df):
+    """The leaves of the plan that ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaves, found = plan.collectLeaves(), []
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        stage = leaf.getClass().getSimpleName().endswith("QueryStageExec")
+        below = leaf.plan().collectLeaves() if stage else None
+        found += [below.apply(i) for i in range(below.size())] if stage else [leaf]
+    return found
+
+
+def name_of(leaf):
+    return leaf.nodeName().lower()
+
+
+def test_text_is_read_once_to_look_and_once_for_each_format(spark, tmp_path, monkeypatch):
+    reads = []
+    original = text_files._scan
+
+    def scan(spark, paths, **options):
+        reads.append(sorted(p.rsplit("/", 1)[1] for p in ([paths] if isinstance(paths, str) else paths)))
+        return original(spark, paths, **options)
+
+    monkeypatch.setattr(text_files, "_scan", scan)
+    monkeypatch.setattr(triage_module, "_scan", scan)
+    (tmp_path / "web [1].log").write_text("\n".join(NGINX.format(n) for n in range(9)))
+    (tmp_path / "sys+a%20.log").write_text("<30>Oct 11 22:14:16 box app: Started\n")
+    (tmp_path / "app.jsonl").write_text('{"a":1}\n')
+    loaded = load_logs(spark, str(tmp_path))
+    everything = tmp_path.name
+    # The look for NULs of suspect files is planned, and not run where there are none.
+    assert reads == [[everything], [everything], ["app.jsonl"], [r"web \[1\].log"], ["sys+a%20.log"]]
+    assert {r["status"] for r in loaded.summary.collect()} == {"loaded"}
+    for df in (*loaded.tables.values(), loaded.summary, loaded.detection):
+        assert not any("scan text" in name_of(leaf) for leaf in scans(df))
+
+
+def test_lines_are_not_shuffled(spark, small_splits, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"line {n}\n" for n in range(5000)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = with_line_numbers(read_log_lines(spark, str(tmp_path)))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Scan text" not in plan
+        assert lines.agg(F.max("line_no"), F.count_distinct("line_no")).first() == (5000, 5000)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_blocks_are_joined(spark, small_splits, monkeypatch, tmp_path):
+    """More fact rows than may be broadcast, and two files of one hash, go by way of a join."""
+    text = random_text(3, 4000, ["\n", "\r\n"])
+    for name in ("a.log", "b.log"):
+        (tmp_path / name).write_bytes(text.encode())
+    expected = sorted(row for name in ("a.log", "b.log") for row in physical(name, text))
+    for setting in ((text_files, "BROADCAST_BYTES", 0), (text_files.F, "xxhash64", lambda c: F.lit(1).cast("bigint"))):
+        with monkeypatch.context() as m:
+            m.setattr(*setting)
+            lines = with_line_numbers(read_log_lines(spark, str(tmp_path)))
+            assert sorted((r["file"].rsplit("/", 1)[1], r["line_no"], r["raw"]) for r in lines.collect()) == expected
+
+
+def test_stored_logs_skip_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    line = '10.0.0.1 - - [{:02d}/Mar/2023:{:02d}:{:02d}:00 +0000] "GET /p HTTP/1.1" {} 1'
+    days = {d: [line.format(d, n // 60, n % 60, 200 + n % 2) for n in range(600)] for d in range(1, 8)}
+    (tmp_path / "in" / "web.log").write_text("\n".join(x for d in days.values() for x in d) + "\nno access line\n")
+    loaded = load_logs(spark, str(tmp_path / "in"), store_at=str(tmp_path / "kept"))
+    assert loaded.summary.select("row_count", "skipped_count").first() == (4200, 1)
+    everything = loaded.df
+    files = lambda df: sum(leaf.metrics().apply("numFiles").value() for leaf in scans(df) if "parquet" in name_of(leaf))
+    one_day = stored.between(everything, "2023-03-03T00", "2023-03-03T23")
+    assert one_day.count() == 600 and one_day.agg(F.max("line_no") - F.min("line_no")).first()[0] == 599
+    assert files(one_day) < files(everything)
+    again = load_logs(spark, str(tmp_path / "in"), store_at=str(tmp_path / "kept"))
+    assert again.df.count() == 8400 and again.summary.first()["row_count"] == 4200
+
+
+def test_stored_tables_without_days(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"a":1,"ts":"yesterday"}\n{"b":2}\n')
+    table = load_logs(spark, str(tmp_path / "in"), store_at=str(tmp_path / "kept")).df
+    assert sorted(map(tuple, table.select("a", "b", "log_day").collect()), key=repr) == [(1, None, None), (None, 2, None)]
+    with pytest.raises(ValueError, match="log_day"):
+        stored.store(table, str(tmp_path / "again"), "json")
+
+
+@pytest.mark.parametrize(
+    "glob,path,fits",
+    [
+        ("*.log", "file:/data/a.log", True),
+        ("*.log", "file:///data/a.log.1", False),
+        ("web/*.log", "hdfs://h/data/web/a.log", True),
+        ("web/*.log", "hdfs://h/data/web/x/a.log", False),
+        ("web/**.log", "hdfs://h/data/web/x/a.log", True),
+        ("/data/*.log", "hdfs://h/data/a.log", True),
+        ("/data/*.log", "hdfs://h/old/data/a.log", False),
+        ("/data/*.log", "/data/a.log", True),
+        ("a?c.[x]", "s3a://b/abc.[x]", True),
+        ("a?c.[x]", "s3a://b/a/c.x", False),
+    ],
+)
+def test_path_patterns(spark, glob, path, fits):
+    assert spark.range(1).select(F.lit(path).rlike(path_pattern(glob))).first()[0] is fits
+
+
+def test_overrides_by_path(spark, tmp_path):
+    (tmp_path / "web").mkdir()
+    for name in ("web/a.log", "web/b c.log", "d.log"):
+        (tmp_path / name).write_text(NGINX.format(1) + "\n")
+    loaded = load_logs(spark, str(tmp_path), format=[("web/*", "generic"), ("web/b c.*", "apache_access")])
+    found = {r["file"].rsplit("/", 1)[1]: (r["format"], r["confidence"]) for r in loaded.summary.collect()}
+    assert found == {"a.log": ("generic", 0), "b%20c.log": ("apache_access", 0), "d.log": ("nginx_access", 100)}
+    with pytest.raises(ValueError, match="Unknown log format"):
+        load_logs(spark, str(tmp_path), format=[("*", "csv")])
+    table = spark.range(4).selectExpr("concat('x', id) AS glob", "'json' AS format")
+    original, load.MOST_OVERRIDES = load.MOST_OVERRIDES, 3
+    try:
+        with pytest.raises(ValueError, match="more than 3"):
+            load_logs(spark, str(tmp_path), format=table)
+    finally:
+        load.MOST_OVERRIDES = original

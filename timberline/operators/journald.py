@@ -60,12 +60,13 @@ def is_journald(raw: Column) -> Column:
     return is_key_line(raw) | _journald_object(raw, with_message=False)
 
 
-def assemble_journald(lines: DataFrame, strict_blocks: bool = False) -> DataFrame:
+def assemble_journald(lines: DataFrame, strict_blocks: bool = False, stored: bool = False) -> DataFrame:
     """Lines (file, block, line_no or pos, raw) to records (file, line_no, raw).
 
     A record ends at a blank line, and before a line that is neither indented
     nor one of the known keys. ``strict_blocks`` ends records at blank lines
     only. A file with any line that opens a JSON object is one record per line.
+    ``stored`` says that ``lines`` are a written table already.
     """
     raw = F.col("raw")
     blank = ~has_text(raw)
@@ -79,7 +80,7 @@ def assemble_journald(lines: DataFrame, strict_blocks: bool = False) -> DataFram
         "_after_blank": F.coalesce(F.lag("_ends_blank").over(per_file.orderBy("block")), F.lit(True)),
         "_json": F.bool_or("_brace").over(per_file),
     }
-    known = with_block_facts(lines, sums, facts)
+    known = with_block_facts(lines, sums, facts, stored)
     known = numbered(known) if fresh else known
     in_block = W.partitionBy("file", "block").orderBy("line_no")
     boundary = F.coalesce(F.lag(blank).over(in_block), F.col("_after_blank"))

@@ -39,8 +39,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_once(df: DataFrame, name: str) -> DataFrame:
-    """Compute ``df`` once into the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
+def write_at(df: DataFrame, path: str) -> DataFrame:
+    """Compute ``df`` once into a new folder and read it back."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """Compute ``df`` once into the shared folder and read it back."""
+    return write_at(df, scratch_path(df.sparkSession, name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``write_at`` wrote, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -5,15 +5,18 @@ by one from line to line within it. Blocks have a bounded size, so everything
 that must follow the order of a file works per block and carries a one-row
 summary from block to block; no file, however large, ends up in one task.
 
-Where the splits lie depends on settings and cores at the moment a plan is made,
-so the summary is always part of the plan that reads the lines, and a line of a
-block without one is an error, never left out.
+Where the splits lie depends on settings and cores at the moment a plan is made.
+So lines are stored once before anything is counted by block, text is read a
+single time, and all that follows sees the same blocks. What is known of a block is a
+row of numbers under a 64-bit key of its file; lines look it up where they are.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from timberline.session import write_once
+
 # How each encoding names its byte order mark and its newline.
 UTF16 = {"utf-16le": ("UTF-16LE", "FFFE", "0A00"), "utf-16be": ("UTF-16BE", "FEFF", "000A")}
 
@@ -34,37 +37,47 @@ def read_log_lines(spark: SparkSession, paths) -> DataFrame:
     return _scan(spark, paths).select("file", "block", "pos", F.make_valid_utf8("value").alias("raw"))
 
 
-def with_block_facts(lines: DataFrame, sums: list[Column], facts: dict[str, Column]) -> DataFrame:
-    """Adds ``facts`` to each line, made of the ``sums`` of its block and, by windows, of those around it."""
-    blocks = lines.groupBy("file", "block").agg(*sums, F.lit(True).alias("_known"))
-    blocks = blocks.select("file", "block", "_known", *[fact.alias(name) for name, fact in facts.items()])
-    lost = F.raise_error(F.concat(F.lit("lines of a block that was not counted: "), "file"))
-    joined = lines.join(blocks, ["file", "block"], "left")
-    for name in facts:
-        joined = joined.withColumn(name, F.when(F.col("_known").isNull(), lost).otherwise(F.col(name)))
-    return joined.drop("_known")
+# A fact row takes about this much in the table that lines look it up in; up to so much of it is sent to every task.
+_FACT_BYTES = 96
+BROADCAST_BYTES = 64 << 20
+
+
+def with_block_facts(lines: DataFrame, sums: list[Column], facts: dict[str, Column], stored: bool = False) -> DataFrame:
+    """Adds ``facts`` to each line, made of the ``sums`` of its block and, by windows, of those around it.
+
+    ``stored`` says that ``lines`` are a written table already; others are written first. A
+    block has one fact row. While all of them fit in BROADCAST_BYTES (some 700,000 blocks, 80 TB in
+    splits of 128 MB) lines are not shuffled; beyond that both sides are joined by file and block.
+    """
+    lines = lines if stored else write_once(lines, "lines")
+    blocks = lines.groupBy("file", "block").agg(*sums)
+    blocks = write_once(blocks.select("file", "block", *[fact.alias(name) for name, fact in facts.items()]), "blocks")
+    key = F.xxhash64("file")
+    count, files, keys = blocks.agg(F.count("*"), F.count_distinct("file"), F.count_distinct(key)).first()
+    if files != keys:  # two names with one hash
+        return lines.join(blocks, ["file", "block"], "left")
+    index = blocks.select(key.alias("_file"), F.col("block").alias("_block"), *facts)
+    if count * _FACT_BYTES <= BROADCAST_BYTES:
+        index = F.broadcast(index)
+    same = (F.xxhash64(lines["file"]) == F.col("_file")) & (lines["block"] == F.col("_block"))
+    return lines.join(index, same, "left").drop("_file", "_block")
 
 
 def numbering(order: str = "pos") -> tuple[list[Column], dict[str, Column]]:
     """The sums and facts that ``numbered`` needs."""
     per_file = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(per_file), F.lit(0))
-    return (
-        [F.min(order).alias("_first"), F.count("*").alias("_n")],
-        {"_first": F.col("_first"), "_size": F.col("_n"), "_lines_before": before},
-    )
+    return [F.min(order).alias("_first"), F.count("*").alias("_n")], {"_first": F.col("_first"), "_lines_before": before}
 
 
 def numbered(lines: DataFrame, order: str = "pos") -> DataFrame:
     """``line_no`` in place of ``order`` and the facts of ``numbering``."""
-    place = F.col(order) - F.col("_first")
-    lost = F.raise_error(F.concat(F.lit("the splits changed while reading "), "file")).cast("bigint")
-    line_no = F.when((place < 0) | (place >= F.col("_size")), lost).otherwise(place + F.col("_lines_before") + 1)
-    others = [c for c in lines.columns if c not in ("file", "block", "raw", order, "_first", "_size", "_lines_before")]
+    line_no = F.col(order) - F.col("_first") + F.col("_lines_before") + 1
+    others = [c for c in lines.columns if c not in ("file", "block", "raw", order, "_first", "_lines_before")]
     return lines.select("file", "block", line_no.alias("line_no"), "raw", *others)
 
 
-def with_line_numbers(lines: DataFrame, contiguous: bool = True) -> DataFrame:
+def with_line_numbers(lines: DataFrame, contiguous: bool = True, stored: bool = False) -> DataFrame:
     """Adds ``line_no``, the 1-based physical line within the file, and drops ``pos``.
 
     ``contiguous`` says that ``pos`` has no gaps within a block, as in a fresh
@@ -72,8 +85,8 @@ def with_line_numbers(lines: DataFrame, contiguous: bool = True) -> DataFrame:
     """
     if not contiguous:
         rank = F.row_number().over(W.partitionBy("file", "block").orderBy("pos"))
-        lines = lines.withColumn("pos", rank.cast("bigint"))
-    return numbered(with_block_facts(lines, *numbering()))
+        lines, stored = lines.withColumn("pos", rank.cast("bigint")), False
+    return numbered(with_block_facts(lines, *numbering(), stored))
 
 
 def join_runs(rows: DataFrame, order: str, text: str, start: str, separator: str) -> DataFrame:
