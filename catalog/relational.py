@@ -13,9 +13,12 @@ from timberline.functions.sql_names import register_functions
 from timberline.functions.text import glob_match
 from timberline.functions.times import event_time
 from timberline.operators.dml import delete_where, insert_rows, update_where
-from timberline.operators.results import decode_binary_columns, export_csv, page, recent_distinct
-from timberline.operators.time_joins import asof_join, range_join, with_previous
-from timberline.session import scratch_path
+from timberline.operators.frames import with_frame
+from timberline.operators.membership import not_in
+from timberline.operators.results import decode_binary_columns, deep_page, export_csv, page, recent_distinct
+from timberline.operators.sketches import estimated, merged, sketched
+from timberline.operators.time_joins import asof_join, overlap_join, range_join, with_previous
+from timberline.session import scratch_path, write_once
 
 _LOGS = src.ACCESS_LOGS
 USER = "cast(split_part(path, '/', 3) as bigint)"
@@ -602,3 +605,113 @@ def export_csv_round_trip(spark, folder):
         path, schema=rows.schema, header=True, escape='"', multiLine=True,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
+
+
+_SPAN_SQL = """
+    SELECT a.o_orderkey AS first_order, b.o_orderkey AS second_order, a.o_custkey AS customer
+    FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
+     AND a.o_orderdate < b.o_orderdate + to_days(cast(b.o_orderkey % 41 AS int)) AND b.o_orderdate < a.o_orderdate + to_days(cast(a.o_orderkey % 41 AS int))"""
+
+
+@query(_SPAN_SQL)
+def sql_overlap_join(spark, folder):
+    """Orders of a customer that were open at the same time, each for some days."""
+    orders = table(spark, folder, "orders")
+
+    def open_for(side):
+        opened = F.col("o_orderdate").cast("timestamp")
+        days = (F.col("o_orderkey") % 41).cast("int")
+        closed = F.timestamp_add("DAY", days, opened)
+        return orders.select("o_custkey", F.col("o_orderkey").alias(f"{side}_order"), opened.alias(f"{side}_from"), closed.alias(f"{side}_to"))
+
+    pairs = overlap_join(open_for("first"), open_for("second"), ["o_custkey"], ("first_from", "first_to"), ("second_from", "second_to"))
+    return pairs.filter("first_order < second_order").select("first_order", "second_order", F.col("o_custkey").alias("customer"))
+
+
+_HOURLY = f"""SELECT method, cast(substr(timestamp, 9, 2) AS int) * 24 + cast(substr(timestamp, 12, 2) AS int) AS hour_no, count(*) AS hits
+    FROM logs GROUP BY 1, 2"""
+
+
+@query(f"""
+    WITH {_LOGS}, h AS ({_HOURLY}), c AS (SELECT *, hits % 7 AS class FROM h)
+    SELECT method, hour_no, hits, class,
+           cast(sum(hits) OVER (PARTITION BY method ORDER BY hour_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW) AS bigint) AS around,
+           max(hits) OVER (PARTITION BY method ORDER BY hour_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW) AS best_around,
+           cast(sum(hits) OVER (PARTITION BY method ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP) AS bigint) AS other_classes,
+           min(hits) OVER (PARTITION BY method ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP) AS least_of_others,
+           count(hits) OVER (PARTITION BY method ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES) AS without_ties,
+           max(hits) OVER (PARTITION BY method ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES) AS best_without_ties
+    FROM c""")
+def sql_exclude_frames(spark, folder):
+    logs = access_logs(spark, folder)
+    hourly = spark.sql(_HOURLY.replace("FROM logs", "FROM {logs}"), logs=logs).withColumn("class", F.expr("hits % 7"))
+    first, last = -(1 << 63), (1 << 63) - 1
+    for name, how, order, start, end, exclude in [
+        ("around", "sum", "hour_no", -3, 3, "CURRENT ROW"),
+        ("best_around", "max", "hour_no", -3, 3, "CURRENT ROW"),
+        ("other_classes", "sum", "class", first, last, "GROUP"),
+        ("least_of_others", "min", "class", first, last, "GROUP"),
+        ("without_ties", "count", "class", first, last, "TIES"),
+        ("best_without_ties", "max", "class", first, last, "TIES"),
+    ]:
+        hourly = with_frame(hourly, name, how, "hits", ["method"], [order], start, end, exclude, ["hour_no"])
+    return hourly
+
+
+@query("""
+    SELECT c_custkey AS customer, c_acctbal AS balance FROM customer
+    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000)""")
+def sql_not_in_large(spark, folder):
+    """Customers without a dear finished order; the values shuffle, however many they are."""
+    values = table(spark, folder, "orders").filter("o_orderstatus = 'F' AND o_totalprice > 100000").select("o_custkey")
+    customers = not_in(table(spark, folder, "customer"), "c_custkey", values)
+    return customers.select(F.col("c_custkey").alias("customer"), F.col("c_acctbal").alias("balance"))
+
+
+@query(f"WITH {_LOGS} SELECT * FROM logs ORDER BY path, line_no LIMIT 100 OFFSET (SELECT (count(*) // 200) * 100 FROM logs)")
+def page_in_the_middle(spark, folder):
+    """The page half way through all lines by path, found by counting ranges."""
+    logs = write_once(access_logs(spark, folder), "logs")
+    return deep_page(logs, logs.count() // 200, ["path", "line_no"], sorted_rows=1000)
+
+
+_MOVED = [
+    ("next_month", "datetime", "'+1 month'"),
+    ("month_end", "date_of", "'start of month', '+1 month', '-1 day'"),
+    ("monday", "date_of", "'weekday 1'"),
+    ("later", "datetime", "'+36 hours', '-90 minutes', '+1.5 days'"),
+    ("year_start", "datetime", "'start of year', '+10 days'"),
+]
+
+
+@query(f"""
+    WITH {_LOGS}, t AS (SELECT line_no, cast(timestamp AS timestamp) AS t FROM logs)
+    SELECT line_no,
+           strftime(date_trunc('month', date_trunc('month', t) + INTERVAL 1 MONTH) + to_days(cast(day(t) - 1 AS int)) + (t - date_trunc('day', t)), '%Y-%m-%d %H:%M:%S') AS next_month,
+           strftime(date_trunc('month', t) + INTERVAL 1 MONTH - INTERVAL 1 DAY, '%Y-%m-%d') AS month_end,
+           strftime(t + to_days(cast((8 - dayofweek(t)) % 7 AS int)), '%Y-%m-%d') AS monday,
+           strftime(t + INTERVAL 36 HOUR - INTERVAL 90 MINUTE + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') AS later,
+           strftime(date_trunc('year', t) + INTERVAL 10 DAY, '%Y-%m-%d %H:%M:%S') AS year_start
+    FROM t""")
+def sql_date_modifiers(spark, folder):
+    register_functions(spark)
+    made = ", ".join(f"{function}(timestamp, {modifiers}) AS {name}" for name, function, modifiers in _MOVED)
+    return spark.sql(f"SELECT line_no, {made} FROM {{logs}}", logs=access_logs(spark, folder))
+
+
+@query(f"""
+    WITH {_LOGS}
+    SELECT substr(timestamp, 1, 10) AS day, count(*) AS n, count(DISTINCT remote_addr) AS clients, true AS clients_close, true AS median_close
+    FROM logs GROUP BY 1""")
+def sql_sketch_rollup(spark, folder):
+    """Sketches of each hour, kept, and merged to days; the errors are held against exact counts."""
+    logs = access_logs(spark, folder).select(F.substring("timestamp", 1, 13).alias("hour"), "remote_addr", "body_bytes_sent")
+    hours = write_once(sketched(logs, ["hour"], "remote_addr", "body_bytes_sent"), "sketches")
+    day = F.substring("hour", 1, 10).alias("day")
+    days = estimated(merged(hours.withColumn("day", day), ["day"]), ["day"], [0.5])
+    value = F.col("body_bytes_sent")
+    exact = logs.groupBy(day).agg(
+        F.count_distinct("remote_addr").alias("clients"), F.percentile(value, F.lit(0.45)).alias("low"), F.percentile(value, F.lit(0.55)).alias("high")
+    )
+    close = F.abs(F.col("distinct_estimate") - F.col("clients")) <= 0.08 * F.col("clients") + 1
+    return days.join(exact, "day").select("day", "n", "clients", close.alias("clients_close"), F.col("q_50").between(F.col("low"), F.col("high")).alias("median_close"))

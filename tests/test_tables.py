@@ -5,10 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.operators.access import parse_nginx
+from timberline.operators import results
 from timberline.operators.dml import delete_where, insert_rows, update_where
+from timberline.operators.frames import with_frame
 from timberline.operators.json_lines import discover_columns, parse_json
+from timberline.operators.membership import not_in
 from timberline.operators.results import (
     decode_binary_columns,
+    deep_page,
     export_csv,
     page,
     page_info,
@@ -17,7 +21,7 @@ from timberline.operators.results import (
 )
 from timberline.operators.summary import load_summary
 from timberline.operators.syslog import parse_syslog
-from timberline.operators.time_joins import asof_join, range_join, with_previous
+from timberline.operators.time_joins import asof_join, overlap_join, range_join, with_previous
 from timberline.plans import canned
 from timberline.streaming.tail import tail_logs
 
@@ -200,3 +204,131 @@ def test_sqlite_names_match_sqlite(spark):
         mine, theirs = both("json_type(?)", text)
         assert mine == theirs, text
     assert spark.sql("SELECT if(1 < 2, 1, 0) + 1").first()[0] == 2
+
+
+def test_date_modifiers_match_sqlite(spark):
+    """Against the database that the modifiers come from."""
+    import sqlite3
+
+    from timberline.functions.sql_names import register_functions
+
+    register_functions(spark)
+    plain = sqlite3.connect(":memory:")
+    times = ["2024-01-31 23:59:58", "2024-02-29", "1999-12-31T12:30:00", "2023-03-01 00:00:00.500", "07:15", "nonsense", "1700000000", "2460000.25", "-1"]
+    modifiers = [
+        (), ("+1 day",), ("-1 day",), ("+1 month",), ("-13 months",), ("+1 year",), ("-4 years",), ("start of month",), ("start of year",), ("start of day",),
+        ("weekday 1",), ("weekday 0",), ("start of month", "+1 month", "-1 day"), ("start of year", "+9 months", "weekday 2"), ("unixepoch",), ("unixepoch", "+90 minutes"),
+        ("+1.5 days",), ("1.5 hours",), ("+2.5 months",), ("-00:30",), ("+26:61:01", ), ("+10:20:30.5",), ("auto",), ("utc",), ("no such",), ("START OF DAY", "+30 seconds"), ("julianday",),
+    ]
+    # Of a number that is no Julian day, 'utc' makes a date before all dates there.
+    rows = [(t, list(m)) for t in times for m in modifiers if (t, m) not in (("1700000000", ("utc",)), ("-1", ("utc",)))]
+    df = spark.createDataFrame(rows, "t string, m array<string>")
+    given = ", ".join(f"coalesce(get(m, {k}), '')" for k in range(5))
+    mine = df.selectExpr("t", "m", f"datetime(t, {given}) AS d", f"strftime('%Y-%j %H', t, {given}) AS f", f"unixepoch(t, {given}) AS u").collect()
+    for r in mine:
+        marks = ", ?" * len(r.m)
+        theirs = plain.execute(f"SELECT datetime(?{marks}), strftime('%Y-%j %H', ?{marks}), unixepoch(?{marks})", [r.t, *r.m] * 3).fetchone()
+        assert (r.d, r.f, r.u) == theirs, (r.t, r.m)
+    assert spark.sql("SELECT date_of('2024-05-05', '+1 day'), time_of('2024-05-05', '+61 minutes'), datetime('2024-05-05', NULL)").first() == ("2024-05-06", "01:01:00", None)
+
+
+def test_overlap_join_against_plain_join(spark):
+    rng = random.Random(4)
+    base = dt.datetime(2024, 1, 1)
+
+    def spans(n):
+        out = []
+        for k in range(n):
+            start = base + dt.timedelta(seconds=rng.randrange(100_000))
+            length = rng.choice([0, 1, 30, 600, 5_000, 90_000, 4_000_000, -50])
+            out.append((rng.choice(["a", "b", None]), k, start if rng.random() < 0.97 else None, start + dt.timedelta(seconds=length)))
+        return out
+
+    lefts, rights = spans(150), spans(170)
+    left = spark.createDataFrame(lefts, "who string, l int, ls timestamp, le timestamp")
+    right = spark.createDataFrame(rights, "who string, r int, rs timestamp, re timestamp")
+    expected = sorted((a[1], b[1]) for a in lefts for b in rights if a[0] and a[0] == b[0] and a[2] and b[2] and a[2] < b[3] and b[2] < a[3])
+    for seconds in (None, 0.5, 60, 1e6):
+        found = overlap_join(left, right, ["who"], ("ls", "le"), ("rs", "re"), seconds)
+        assert sorted((r.l, r.r) for r in found.collect()) == expected
+    assert found.columns == ["who", "l", "ls", "le", "r", "rs", "re"]
+    assert overlap_join(left.limit(0), right.limit(0), ["who"], ("ls", "le"), ("rs", "re")).collect() == []
+
+
+@pytest.mark.parametrize("exclude", ["CURRENT ROW", "GROUP", "TIES"])
+def test_frames_with_exclusions(spark, exclude):
+    rng = random.Random(7)
+    rows = [(k, rng.choice("xy"), rng.choice([None, 1, 2, 2, 3]), rng.choice([None, *range(9)])) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, k string, o int, v int")
+    first, last = -(1 << 63), (1 << 63) - 1
+    for start, end in [(-3, 2), (first, last), (first, 0), (0, last), (-4, -2), (1, 3), (first, 2)]:
+        want = {}
+        for key in "xy":
+            part = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+            for i, r in enumerate(part):
+                frame = [x for j, x in enumerate(part) if i + start <= j <= i + end]
+                peer = lambda x: x[2] == r[2]
+                out = {"CURRENT ROW": lambda x: x is r, "GROUP": peer, "TIES": lambda x: peer(x) and x is not r}[exclude]
+                values = [x[3] for x in frame if not out(x) and x[3] is not None]
+                want[r[0]] = (sum(values) if values else None, len(values), sum(values) / len(values) if values else None, min(values, default=None), max(values, default=None))
+        found = df
+        for how in ("sum", "count", "avg", "min", "max"):
+            found = with_frame(found, how, how, "v", ["k"], ["o"], start, end, exclude, ["id"])
+        assert {r["id"]: tuple(r)[4:] for r in found.collect()} == want, (start, end)
+    if exclude != "CURRENT ROW":
+        with pytest.raises(ValueError, match="unbounded"):
+            with_frame(df, "m", "min", "v", ["k"], ["o"], first, -2, exclude, ["id"])
+
+
+def test_deep_pages(spark):
+    rows = [(n % 7 if n % 11 else None, f"t{n * 37 % 1000:03d}", n) for n in range(3000)]
+    df = spark.createDataFrame(rows, "a int, t string, n int").repartition(5)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    for n in (0, 1, 150, 299, 300):
+        found = deep_page(df, n, ["a", "t", "n"], size=10, sorted_rows=100)
+        assert [tuple(r) for r in found.collect()] == ordered[n * 10 : n * 10 + 10]
+    assert [r.n for r in deep_page(spark.range(500).withColumnRenamed("id", "n"), 40, ["n"], 10, 50).collect()] == list(range(400, 410))
+
+
+def test_deep_page_sorts_few_rows(spark):
+    df = spark.range(0, 600_000, numPartitions=4).withColumnRenamed("id", "line_no")
+    found = deep_page(df, 5000, ["line_no"], sorted_rows=50_000)
+    assert [r[0] for r in found.collect()] == list(range(500_000, 500_100))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    limits = [int(x) for x in __import__("re").findall(r"limit=(\d+)", plan)]
+    assert limits and max(limits) < 50_200
+
+
+def test_same_rows_end_the_search(spark):
+    df = spark.createDataFrame([(1,)] * 300, "n int")
+    assert deep_page(df, 2, ["n"], size=10, sorted_rows=20).count() == 10
+
+
+def test_not_in_means_what_sql_means(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,), (3,)], "x int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for values in ([(2,), (9,)], [(2,), (None,)], [], [(None,)]):
+            other = spark.createDataFrame(values, "y int")
+            found = not_in(df, "x", other)
+            expected = spark.sql("SELECT x FROM {df} WHERE x NOT IN (SELECT y FROM {other})", df=df, other=other)
+            assert sorted(found.collect(), key=repr) == sorted(expected.collect(), key=repr)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Broadcast" not in plan and "NestedLoop" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_export_runs_the_plan_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(100).mapInArrow(look, "id long")
+    assert export_csv(df, str(tmp_path / "out")) and seen.value == 100
+    assert not export_csv(df.filter("id < 0"), str(tmp_path / "none")) and seen.value == 200
+    assert results.PAGE_ROWS == 100

@@ -131,3 +131,45 @@ def range_join(
     seen = seen.withColumn("_bucket", bucket(_micros(F.col(time))).cast("bigint"))
     inside = (F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))
     return seen.join(stand, [*keys, "_level", "_bucket"]).filter(inside).drop("_level", "_bucket")
+
+
+def overlap_join(
+    left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], seconds: float | None = None
+) -> DataFrame:
+    """Pairs of rows of the same keys whose spans overlap: left start < right end and right start < left end.
+
+    An equi-join on key, level and bucket. A span is at home at the lowest level where it touches few buckets, and
+    visits the levels above, where it touches two at most. Two spans meet at the higher of their home levels, and
+    of the buckets they share there the first one keeps the pair. Rows without a key, start or end
+    match nothing; other columns must have different names on both sides.
+    """
+    starts = left.select(F.col(left_span[0]).alias("_at")).unionAll(right.select(F.col(right_span[0]).alias("_at")))
+    micros = bucket_micros(starts, "_at", seconds)
+
+    def levelled(df: DataFrame, span: tuple[str, str]) -> DataFrame:
+        low, high = _micros(F.col(span[0])), _micros(F.col(span[1])) - 1
+        known = df.filter(F.col(span[0]).isNotNull() & F.col(span[1]).isNotNull()).withColumns({"_low": low, "_high": F.greatest(low, high)})
+        length = (F.col("_high") - F.col("_low") + 1) / (micros * _TOUCHED)
+        return known.withColumn("_own", F.greatest(F.lit(0), F.ceil(F.log(float(_TOUCHED), length))).cast("int"))
+
+    sides = [levelled(left, left_span), levelled(right, right_span)]
+    both = sides[0].select("_own").unionAll(sides[1].select("_own")).distinct()
+    levels = sorted(r[0] for r in both.collect())  # a dozen at most
+
+    def standing(df: DataFrame, side: str) -> DataFrame:
+        def at(level: int) -> Column:
+            first, last = (F.floor(F.col(c) / float(micros * _TOUCHED**level)).cast("bigint") for c in ("_low", "_high"))
+            place = F.struct(F.lit(level).alias("level"), (F.col("_own") == level).alias("home"), first.alias("first"), F.sequence(first, last).alias("buckets"))
+            return F.when(F.col("_own") <= level, place)
+
+        placed = df.withColumn("_place", F.explode(F.array_compact(F.array(*map(at, levels)))))
+        placed = placed.withColumn("_bucket", F.explode("_place.buckets"))
+        flat = placed.withColumns({"_level": F.col("_place.level"), f"_home_{side}": F.col("_place.home"), f"_first_{side}": F.col("_place.first")})
+        return flat.drop("_place", "_low", "_high", "_own")
+
+    if not levels:
+        return left.join(right, keys).limit(0)
+    met = standing(sides[0], "l").join(standing(sides[1], "r"), [*keys, "_level", "_bucket"])
+    meant = (F.col("_home_l") | F.col("_home_r")) & (F.col("_bucket") == F.greatest("_first_l", "_first_r"))
+    overlap = (F.col(left_span[0]) < F.col(right_span[1])) & (F.col(right_span[0]) < F.col(left_span[1]))
+    return met.filter(meant & overlap).drop("_level", "_bucket", "_home_l", "_first_l", "_home_r", "_first_r")
