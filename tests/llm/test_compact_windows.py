@@ -7,7 +7,7 @@ import pytest
 from timberline.llm import common
 from timberline.llm import compact_windows as compact_windows_module
 from timberline.llm.common import Scratch
-from timberline.llm.compact_windows import _partners, _without, alike, compact_windows, repeats, run_hashes, run_starts, without_repeats
+from timberline.llm.compact_windows import _earlier, _without, alike, compact_windows, repeats, run_hashes, run_starts, without_repeats
 
 R = random.Random(4)
 VOCABULARY = [f"w{k}" for k in range(4000)]
@@ -56,25 +56,23 @@ def test_alike():
 
 @pytest.mark.parametrize("seed", range(5))
 @pytest.mark.parametrize("repeated", [False, True])
-def test_alike_against_every_start(seed, repeated):
+def test_alike_against_all_starts_and_offsets(seed, repeated):
     r = random.Random(seed)
-    for _ in range(20):
-        a = [r.randrange(15 if repeated else 10**9) for _ in range(r.randrange(8, 40))]
+    for _ in range(30):
+        a = [r.randrange(15 if repeated else 10**9) for _ in range(r.randrange(6, 40))]
         b = [x for x in a if r.random() < 0.95] + [r.randrange(10**9) for _ in range(r.randrange(6))]
-        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
-        # The four offsets with most votes, by first places.
-        votes = {}
-        for v in set(a) & set(b):
-            votes.setdefault(b.index(v) - a.index(v), []).append(v)
-        shifts = sorted(votes, key=lambda s: (-len(votes[s]), s))[:4]
         want = set()
-        for s in shifts:
-            for i in range(len(a) - 7):
-                if 0 <= i + s <= len(b) - 8:
-                    p, q = set(a[i : i + 8]), set(b[i + s : i + s + 8])
-                    if 100 * len(p & q) >= 80 * len(p | q):
-                        want.add((i, i + 8))
-        assert set(alike(x, y, 8)) == want
+        for i in range(len(a) - 7):
+            for j in range(len(b) - 7):
+                p, q = set(a[i : i + 8]), set(b[j : j + 8])
+                if 100 * len(p & q) >= 80 * len(p | q):
+                    want.add((i, i + 8))
+        assert set(alike(np.array(a, np.uint64), np.array(b, np.uint64), 8)) == want
+
+
+def test_a_text_of_one_word_is_quick():
+    windows = compact_windows(np.zeros(400_000, np.uint64), 46)
+    assert len(windows) == 400_000 - 45 and windows[-1].tolist() == [400_000 - 46, 400_000 - 46, 400_000]
 
 
 def frame(spark, rows):
@@ -173,22 +171,55 @@ def test_near_passages_around_a_common_phrase(spark, monkeypatch, members):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_partners_against_all_pairs(seed):
+def test_earlier_against_all_pairs(seed):
     r = np.random.default_rng(seed)
-    line, members = r.integers(0, 1 << 62, 30), []
+    line, items = r.integers(0, 1 << 62, 30), []
     bases = [np.concatenate([r.integers(0, 1 << 62, 13), line, r.integers(0, 1 << 62, 13)]) for _ in range(8)]
     for k in range(60):
         own = bases[r.integers(8)].copy()
         own[r.integers(0, len(own), r.integers(0, 9))] = r.integers(0, 1 << 62)
-        members.append((int(r.integers(0, 40)), None if k % 9 == 8 else int(r.integers(0, 30)), k, k + len(own), own.astype(np.uint64).tobytes()))
-    order = sorted(members, key=lambda m: (m[1] is None, m[1] or 0, m[0], m[2], m[3]))
+        items.append(((int(r.integers(0, 30)), int(r.integers(0, 1 << 40)), k), own.astype(np.uint64).tobytes()))
+    order = sorted(range(60), key=lambda k: items[k][0])
     want = {}
-    for p, m in enumerate(order):
+    for p, k in enumerate(order):
         for e in order[:p]:
-            if e[0] != m[0] and alike(np.frombuffer(m[4], np.uint64), np.frombuffer(e[4], np.uint64), 46):
-                want[m[2]] = e[2]
+            if alike(np.frombuffer(items[k][1], np.uint64), np.frombuffer(items[e][1], np.uint64), 46):
+                want[k] = e
                 break
-    assert {members[k][2]: members[q][2] for k, q, _ in _partners(members, 46)} == want
+    assert {k: q for k, q, _ in _earlier(items, 46)} == want
+
+
+def test_near_recall(spark):
+    """Passages of 54 words with one to three words changed, as long as a stretch of them reaches 0.8; figures stand in the README."""
+    r = random.Random(12)
+    rows, wanted = [], {}
+    for k in range(150):
+        base = text(r, 54)
+        edited = list(base)
+        for at in r.sample(range(54), 1 + k % 3):
+            edited[at] = f"new{k}"
+        rows.append((k, " ".join(text(r, 60) + base + text(r, 60))))
+        rows.append((1000 + k, " ".join(text(r, 60) + edited + text(r, 60))))
+        a, b = ([hash(tuple(w[i : i + 5])) & (1 << 63) - 1 for i in range(50)] for w in (base, edited))
+        if alike(np.array(b, np.uint64), np.array(a, np.uint64), 46):
+            wanted.setdefault(k % 3, set()).add((1000 + k, k))
+    pairs = {(o.doc_id, o.first_id) for o in repeats(frame(spark, rows), Scratch(spark)).collect()}
+    found = {edits: len(pairs & want) / len(want) for edits, want in wanted.items()}
+    assert len(pairs) >= 0.9 * len(set().union(*wanted.values())) and pairs <= {(1000 + k, k) for k in range(150)}, found
+
+
+def test_lines_that_repeat(spark):
+    """A text of one line over and over has a row for each key, and its near copy is found all along."""
+    r = random.Random(2)
+    line = text(r, 9)
+    first, second = line * 400, line * 300
+    second[450] = "other"
+    out = repeats(frame(spark, [(1, " ".join(first)), (2, " ".join(text(r, 30) + second))]), Scratch(spark)).collect()
+    covered = set()
+    for o in out:
+        assert (o.doc_id, o.first_id) == (2, 1)
+        covered |= set(range(o.start, o.stop))
+    assert len(covered) >= 2700 - 16
 
 
 def test_odd_rows(spark):

@@ -12,8 +12,8 @@ tree. Two texts that share a passage have windows of equal least hash around it.
    than ``passage - 8`` words.
 2. Near repeats: where windows of two functions overlap by the passage length and
    other documents have the same two least hashes, the stretches are compared, each
-   with the earlier ones in turn until one has a Jaccard similarity of at least 0.8;
-   such stretches are repeats.
+   content once, with the earlier ones in turn until one has a stretch of Jaccard
+   similarity 0.8 or more, at whatever offset; such stretches are repeats.
 
 Each repeat is credited to its first document in the order of ids, which keeps it.
 """
@@ -63,14 +63,24 @@ _RUN, _LEAST = np.uint64(1), ~np.uint64(1)
 
 
 def compact_windows(hashes: np.ndarray, least: int) -> np.ndarray:
-    """Rows (from, centre, to) of the windows of at least so many positions, by centre: a Cartesian tree without its small nodes."""
+    """Rows (from, centre, to) of the windows of at least so many positions, by centre: a Cartesian tree without its small nodes.
+
+    Of equal hashes the first is the centre. All of a stretch's least ones are taken at once, so a text that repeats
+    itself costs no more than another.
+    """
     open_, out = [(0, len(hashes))], []
     while open_:
         start, end = open_.pop()
-        if end - start >= least:
-            centre = start + int(hashes[start:end].argmin())
+        if end - start < least:
+            continue
+        part = hashes[start:end]
+        for centre in (start + np.flatnonzero(part == part.min())).tolist():
+            if end - start < least:
+                break
             out.append((start, centre, end))
-            open_ += [(start, centre), (centre + 1, end)]
+            open_.append((start, centre))
+            start = centre + 1
+        open_.append((start, end))
     out.sort(key=lambda w: w[1])
     return np.array(out, np.uint32).reshape(-1, 3)
 
@@ -81,7 +91,7 @@ def run_starts(centres: np.ndarray, count: int, least: int) -> np.ndarray:
     return np.unique(starts[(starts >= 0) & (starts + least - STEP <= count)])
 
 
-def run_hashes(grams: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+def run_hashes(grams: np.ndarray, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     """Odd hashes of the runs of so many shingles."""
     powers = np.cumprod(np.full(len(grams), _BASE, np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams * powers)])
@@ -89,39 +99,38 @@ def run_hashes(grams: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray
     return mix((sums[starts + length] - sums[starts]) * back[starts], 1) | _RUN
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Stretches (from, to) of ``a`` of ``least`` shingles that are similar to a stretch of ``b`` that wide.
+def _distinct(a: np.ndarray, least: int) -> np.ndarray:
+    """How many different shingles each stretch of ``least`` has."""
+    order = np.argsort(a, kind="stable")
+    before = np.full(len(a), -1)
+    same = a[order[1:]] == a[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    return (np.lib.stride_tricks.sliding_window_view(before, least) < np.arange(len(a) - least + 1)[:, None]).sum(axis=1)
 
-    They are compared at the four offsets that most shingles in common agree on.
-    """
+
+def _holds(a: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """Which of the common shingles each stretch of ``least`` has, as ones and zeros."""
+    at = np.searchsorted(common, a)
+    at[at == len(common)] = 0
+    seen = np.zeros((len(a) + 1, len(common)), np.float32)
+    known = np.flatnonzero(common[at] == a)
+    seen[known + 1, at[known]] = 1
+    counts = np.cumsum(seen, axis=0)
+    return (counts[least:] > counts[:-least]).astype(np.float32)
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Stretches (from, to) of ``a`` of ``least`` shingles that are similar to any stretch of ``b`` that wide, at whatever offset."""
     if len(a) < least or len(b) < least:
         return []
-    own, at = np.unique(a, return_index=True)
-    other, bt = np.unique(b, return_index=True)
-    _, i, j = np.intersect1d(own, other, assume_unique=True, return_indices=True)
-    single = len(own) == len(a) and len(other) == len(b)
-    # Two stretches of so many different shingles have at least this many in common.
-    needed = -(-2 * PART * least // (WHOLE + PART))
-    if not len(i) or single and len(i) < needed:
+    common = np.intersect1d(a, b)
+    own, other = _distinct(a, least), _distinct(b, least)
+    # Similar stretches share this much of the larger one.
+    if WHOLE * len(common) < PART * max(own.min(), other.min()):
         return []
-    at, bt = at[i], bt[j]
-    shifts, votes = np.unique(bt - at, return_counts=True)
-    out = []
-    for shift in shifts[np.argsort(-votes, kind="stable")[:4]].tolist():
-        first, last = max(0, -shift), min(len(a), len(b) - shift) - least
-        if last < first:
-            continue
-        if single:
-            # A common shingle counts for the starts at which both stretches hold it.
-            low = np.maximum(np.maximum(at, bt - shift) - least + 1, first)
-            high = np.minimum(np.minimum(at, bt - shift), last) + 1
-            real = low < high
-            change = np.bincount(low[real], minlength=last + 2) - np.bincount(high[real], minlength=last + 2)
-            starts = np.flatnonzero(np.cumsum(change) >= needed)
-        else:
-            starts = [s for s in range(first, last + 1) if _similar(a[s : s + least], b[s + shift : s + shift + least])]
-        out += [(int(s), int(s) + least) for s in starts]
-    return out
+    shared = _holds(a, common, least) @ _holds(b, common, least).T
+    similar = WHOLE * shared >= PART * (own[:, None] + other[None, :] - shared)
+    return [(s, s + least) for s in np.flatnonzero(similar.any(axis=1)).tolist()]
 
 
 def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -135,11 +144,6 @@ def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b))
-    return WHOLE * both >= PART * (len(np.unique(a)) + len(np.unique(b)) - both)
-
-
 def _payloads(batches: Iterator[pa.RecordBatch], least: int, width: int, block_bytes: int) -> Iterator[tuple]:
     """(rows, ids, starts of runs, their hashes, windows of each function, their least hashes), each with lengths, of texts of bounded bytes."""
     for whole in batches:
@@ -169,24 +173,27 @@ def _counts(payload: tuple) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([unpack(payload[4]), unpack(payload[6])]), return_counts=True)
 
 
-_FOUND = "kind int, key long, row long, id long, start int, stop int"
-_FOUND_NAMES = ["kind", "key", "row", "id", "start", "stop"]
+_FOUND = "kind int, key long, row long, id long, start int, stop int, places binary"
 
 
 def _shared(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Runs (kind 0) and pairs of least hashes (kind 1) that occur more than once."""
+    """Runs (kind 0) and pairs of least hashes (kind 1) that occur more than once.
+
+    A pair is one row for each text, with all its stretches in ``places``, however often the text repeats itself.
+    """
     for (rows, ids, counts, starts, runs, windows, lows), totals in by_block(batches):
         starts, runs, lows = unpack(starts).astype(np.int64), unpack(runs), unpack(lows)
         windows = unpack(windows).reshape(-1, 3).astype(np.int64)
         keys = np.unique(np.concatenate([runs, lows]))
         again_run = totals[np.searchsorted(keys, runs)] > 1
         again_low = totals[np.searchsorted(keys, lows)] > 1
-        out: list[tuple] = []
+        of_run: list[tuple] = []
+        of_pair: list[tuple] = []
         at_run = at_low = 0
         for row, id_, (n, *each) in zip(rows, ids, counts):
             own = at_run + np.flatnonzero(again_run[at_run : at_run + n])
             at_run += n
-            out.append((0, row, id_, runs[own].view(np.int64), starts[own], starts[own] + least - STEP))
+            of_run.append((row, id_, runs[own].view(np.int64), starts[own]))
             # Centres inside repeated runs count as well: an edited copy may have its only partners there.
             edges = np.concatenate([[0], np.cumsum(each)]) + at_low
             at_low = int(edges[-1])
@@ -194,13 +201,27 @@ def _shared(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             for f in range(len(some)):
                 for g in range(f + 1, len(some)):
                     for at in range(0, len(some[f]), 4096):
-                        out.append((1, row, id_, *_pairs(windows, lows, some[f][at : at + 4096], some[g], f, g, least)))
-        sizes = [len(x[3]) for x in out]
-        if sum(sizes):
-            kinds, at, id_ = (pa.array([x[k] for x in out], t).take(pa.array(np.repeat(np.arange(len(out)), sizes))) for k, t in enumerate(_TYPES[:1] + _TYPES[2:4]))
-            keys, start, stop = (np.concatenate([x[k] for x in out]) for k in (3, 4, 5))
-            columns = [kinds, keys, at, id_, start, stop]
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, _TYPES)], _FOUND_NAMES)
+                        found, low, high = _pairs(windows, lows, some[f][at : at + 4096], some[g], f, g, least)
+                        if len(found):
+                            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+                            places = np.stack([low, high], axis=1).astype(np.int32)
+                            of_pair.append((row, id_, found[first], [p.tobytes() for p in np.split(places, first[1:])]))
+        for kind, out in enumerate((of_run, of_pair)):
+            sizes = [len(x[2]) for x in out]
+            total = sum(sizes)
+            if not total:
+                continue
+            row, id_ = (pa.array([x[k] for x in out], pa.int64()).take(pa.array(np.repeat(np.arange(len(out)), sizes))) for k in (0, 1))
+            key, none = pa.array(np.concatenate([x[2] for x in out])), pa.nulls(total, pa.int32())
+            start = stop = none
+            places = pa.nulls(total, pa.binary())
+            if kind == 0:
+                start = np.concatenate([x[3] for x in out])
+                start, stop = pa.array(start.astype(np.int32)), pa.array((start + least - STEP).astype(np.int32))
+            else:
+                places = pa.array([p for x in out for p in x[3]], pa.binary())
+            columns = [pa.array(np.full(total, kind, np.int32)), key, row, id_, start, stop, places]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "row", "id", "start", "stop", "places"])
 
 
 def _pairs(windows: np.ndarray, lows: np.ndarray, some: np.ndarray, others: np.ndarray, f: int, g: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,9 +245,6 @@ def _pairs(windows: np.ndarray, lows: np.ndarray, some: np.ndarray, others: np.n
     return keys[new], low[new], high[new]
 
 
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-
-
 def _order() -> Column:
     # A NULL id comes last, as the largest number.
     return F.coalesce("id", F.lit((1 << 63) - 1))
@@ -256,127 +274,135 @@ def _prefixes(contents: list[np.ndarray], least: int) -> list[np.ndarray]:
     _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     out = []
     for c, own, ranks in zip(contents, sets, np.split(at, np.cumsum([len(x) for x in sets])[:-1])):
-        fewest = least if len(own) == len(c) else min(len(np.unique(c[s : s + least])) for s in range(len(c) - least + 1))
+        fewest = least if len(own) == len(c) else int(_distinct(c, least).min())
         # What is similar to so many different shingles has this many of them.
         common = -(-PART * fewest // WHOLE)
         out.append(ranks[np.lexsort((ranks, counts[ranks]))[: len(own) - common + 1]])
     return out
 
 
-def _partners(members: list[tuple], least: int) -> Iterator[tuple]:
-    """Of (row, id, start, stop, shingles) under one key: (place, place of the first earlier one in another row that is similar, stretches)."""
-    order = sorted(range(len(members)), key=lambda k: ((1 << 63) - 1 if members[k][1] is None else members[k][1], members[k][0], *members[k][2:4]))
-    known: dict[bytes, int] = {}
-    content = [known.setdefault(members[k][4], len(known)) for k in order]
-    texts = [np.frombuffer(t, np.uint64) for t in known]
-    # Of each content the first places of two rows: one of them is another row than any.
-    holders: list[list[int]] = [[] for _ in texts]
-    seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    prefixes: list[np.ndarray] = []
+def _earlier(items: list[tuple], least: int) -> Iterator[tuple]:
+    """Of (order, shingles), contents under one key: (place, place of the first in order that is similar, stretches), where that comes before it."""
+    order = sorted(range(len(items)), key=lambda k: items[k][0])
+    texts = [np.frombuffer(items[k][1], np.uint64) for k in order]
     posted: dict[int, list[int]] = {}
-    listed = 0
-
-    def shared(c: int, d: int) -> list[tuple[int, int]]:
-        if (c, d) not in seen:
-            seen[c, d] = [(0, len(texts[c]))] if c == d else _joined(alike(texts[c], texts[d], least))
-        return seen[c, d]
-
-    def other(d: int, row: int) -> int | None:
-        return next((p for p in holders[d] if members[order[p]][0] != row), None)
-
-    met = 0
-    for p, k in enumerate(order):
-        row, c = members[k][0], content[p]
-        found = None
-        # Most have a partner among the first few; the others meet at rare shingles.
-        for d in range(min(met, 4)):
-            if (q := other(d, row)) != holders[d][0]:
+    for p, prefix in enumerate(_prefixes(texts, least)):
+        prefix = prefix.tolist()
+        for d in sorted({d for g in prefix for d in posted.get(g, ())}):
+            if stretches := alike(texts[p], texts[d], least):
+                yield order[p], order[d], _joined(stretches)
                 break
-            if shared(c, d):
-                found = q, d
-                break
-        else:
-            if met > 4:
-                prefixes = prefixes or _prefixes(texts, least)
-                for d in range(listed, met):
-                    for g in prefixes[d].tolist():
-                        posted.setdefault(g, []).append(d)
-                listed = met
-        if found is None:
-            some = range(met) if met <= 4 or listed < met else {d for g in prefixes[c].tolist() for d in posted.get(g, ())}
-            places = sorted((q, d) for d in some if (q := other(d, row)) is not None)
-            found = next(((q, d) for q, d in places if shared(c, d)), None)
-        if found is not None:
-            yield k, order[found[0]], shared(c, found[1])
-        met = max(met, c + 1)
-        if len(holders[c]) < 2 and other(c, row) == (holders[c][0] if holders[c] else None):
-            holders[c].append(p)
-
-
-def _near(docs: DataFrame, scratch: Scratch, found: DataFrame, least: int, width: int) -> DataFrame:
-    """(row, id, first_id, start, stop) of the stretches that are similar to one of an earlier document under their key."""
-    found = found.filter("kind = 1").drop("kind")
-    sizes = found.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"), F.max("row").alias("high"), F.min("row").alias("low"))
-    members = scratch.keep(found.join(sizes.filter("low <> high").select("key", "blocks"), "key").distinct(), "near-members")
-    places = members.select("row", "start", "stop").distinct()
+        for g in prefix:
+            posted.setdefault(g, []).append(p)
+
+
+_CONTENTS = "kind int, content long, key long, row long, id long, start int, length int, places array<struct<first:int,last:int>>, grams binary"
+_PLACES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_CONTENT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), _PLACES, pa.binary()]
+_SEEN = 1_000_000
+
+
+def _contents(batches: Iterator[pa.RecordBatch], least: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (row, id, text, held), ``held`` the (key, places) of a text, to contents.
+
+    Kind 0: under this key the text has this content at these places; starts that follow each other within ``least`` are one place from
+    ``first`` to ``last``, for what is similar from there on is one stretch. Kind 1: the shingles of a content, once in a task.
+    """
+    names, seen = [f.split()[0] for f in _CONTENTS.split(", ")], set()
+    for batch in batches:
+        out = []
+        for row, id_, text, held in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), binary(batch, "text"), batch.column("held").to_pylist()):
+            grams = shingles(word_hashes(words(text)), width)
+            places = [np.frombuffer(h["places"], np.int32).reshape(-1, 2) for h in held]
+            keys = np.repeat(np.array([h["key"] for h in held], np.int64), [len(p) for p in places])
+            start, stop = np.concatenate(places).astype(np.int64).T
+            content = (run_hashes(grams, start, stop - start) ^ mix((stop - start).astype(np.uint64), 5)).view(np.int64)
+            for k in np.unique(content, return_index=True)[1].tolist():
+                if (c := int(content[k])) not in seen:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(c)
+                    out.append((1, c, None, None, None, None, None, None, grams[start[k] : stop[k]].tobytes()))
+            order = np.lexsort((start, content, keys))
+            keys, content, start, stop = keys[order], content[order], start[order], stop[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (content[1:] != content[:-1])])
+            breaks = new | np.concatenate([[True], start[1:] - start[:-1] > least])
+            first = np.flatnonzero(breaks)
+            last = np.concatenate([first[1:], [len(start)]]) - 1
+            ends = np.flatnonzero(new[first])
+            for low, high in zip(ends.tolist(), [*ends[1:].tolist(), len(first)]):
+                k = int(first[low])
+                chains = [{"first": int(start[f]), "last": int(start[e])} for f, e in zip(first[low:high], last[low:high])]
+                out.append((0, int(content[k]), int(keys[k]), row, id_, int(start[k]), int(stop[k] - start[k]), chains, None))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _CONTENT_TYPES)], names)
+
+
+def _near(docs: DataFrame, scratch: Scratch, found: DataFrame, copies: DataFrame, least: int, width: int) -> DataFrame:
+    """(row, id, first_id, start, stop) of the stretches that are similar to one of an earlier document under their key.
+
+    Stretches of equal content are compared once. Under a key the first in order of all that are similar to a
+    content is where each text that has it is credited, but that first one itself.
+    """
+    found = found.filter("kind = 1").select("key", "row", "id", "places")
+    several = found.groupBy("key").agg(F.max("row").alias("high"), F.min("row").alias("low")).filter("low <> high").select("key")
+    # A copy of a whole text has what its first document has, which alone is searched.
+    held = found.join(several, "key").join(copies.select("row"), "row", "left_anti")
+    held = scratch.keep(held.groupBy("row").agg(F.first("id").alias("id"), F.collect_set(F.struct("key", "places")).alias("held")), "near-members")
     # Only texts that have such a stretch move; a bitmap of fixed size lets the others stay.
-    wanted = places.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("places"))
-    bits = bitmap(places.select(place("row").alias("at")))
+    bits = bitmap(held.select(place("row").alias("at")))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(marked(bits, batch.column("at"))).select(["row", "text"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row, text, places in zip(batch.column("row").to_pylist(), binary(batch, "text"), batch.column("places").to_pylist()):
-                grams = shingles(word_hashes(words(text)), width)
-                out += [(row, p["start"], p["stop"], grams[p["start"] : p["stop"]].tobytes()) for p in places]
-            if out:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["row", "start", "stop", "grams"])
-
     texts = docs.select("row", "text", place("row").alias("at")).mapInArrow(likely, "row long, text string").dropDuplicates(["row"])
-    grams = texts.join(wanted, "row").select("row", "text", "places").mapInArrow(cut, "row long, start int, stop int, grams binary")
-    grams = scratch.keep(grams, "near-grams")
+    joined = texts.join(held, "row").select("row", "id", "text", "held")
+    contents = scratch.keep(joined.mapInArrow(lambda batches: _contents(batches, least, width), _CONTENTS), "near-contents")
+    scratch.drop("near-members")
+    grams = contents.filter("kind = 1").select("content", "grams").dropDuplicates(["content"])
+    holders = contents.filter("kind = 0").drop("kind", "grams")
+    first = F.min(F.struct(_order().alias("order"), F.col("row"), F.col("start"), F.col("id"))).alias("first")
+    items = scratch.keep(holders.groupBy("key", "content").agg(first).select("key", "content", "first"), "near-items")
+    sizes = items.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"))
     # Every two blocks of a key meet, so all its pairs are decided and no key is one task.
-    block = F.pmod(F.xxhash64("row", "start", "stop"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row", "id", "start", "stop")
-    dealt = dealt.join(grams, ["row", "start", "stop"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = items.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "content", "first")
+    dealt = dealt.join(grams, "content").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, []
         for batch in batches:
             out = []
-            for key, *member in zip(*(batch.column(c).to_pylist() for c in ("at", "row", "id", "start", "stop", "grams"))):
+            for key, content, first, data in zip(*(batch.column(c).to_pylist() for c in ("at", "content", "first", "grams"))):
                 if key != now:
-                    out += matched(now, own)
+                    out += matched(now, own) if own else []
                     now, own = key, []
-                own.append(tuple(member))
+                own.append(((first["order"], first["row"], first["start"]), data, content, first))
             yield from rows_of(out)
-        yield from rows_of(matched(now, own))
+        yield from rows_of(matched(now, own) if own else [])
 
-    def matched(at: dict | None, own: list[tuple]) -> list[tuple]:
-        return [
-            (at["key"], *own[k][:2], *own[q][:2], own[q][2], own[k][2], own[k][3], [{"start": own[k][2] + a, "stop": own[k][2] + b} for a, b in stretches])
-            for k, q, stretches in _partners(own, least)
-        ]
+    def matched(at: dict, own: list[tuple]) -> list[tuple]:
+        return [(at["key"], own[k][2], own[q][3], [{"start": a, "stop": b} for a, b in stretches]) for k, q, stretches in _earlier(own, least)]
+
+    place_ = pa.struct([("order", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("id", pa.int64())])
+    kinds = (pa.int64(), pa.int64(), place_, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
 
     def rows_of(out: list[tuple]) -> Iterator[pa.RecordBatch]:
         if out:
-            kinds = (*[pa.int64()] * 5, *[pa.int32()] * 3, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
-            names = ["key", "row", "id", "first_row", "first_id", "first_start", "low", "high", "spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["key", "content", "better", "spans"])
 
-    schema = "key long, row long, id long, first_row long, first_id long, first_start int, low int, high int, spans array<struct<start:int,stop:int>>"
-    both = dealt.select(F.struct("key", "i", "j").alias("at"), "row", "id", "start", "stop", "grams").mapInArrow(compare, schema)
+    schema = "key long, content long, better struct<order:long,row:long,start:int,id:long>, spans array<struct<start:int,stop:int>>"
+    both = dealt.select(F.struct("key", "i", "j").alias("at"), "content", "first", "grams").mapInArrow(compare, schema)
     # Of what the blocks have found, the first document.
-    order = F.struct(F.coalesce("first_id", F.lit((1 << 63) - 1)), "first_row", "first_start")
-    both = both.groupBy("key", "row", "id", "low", "high").agg(F.min_by(F.struct("first_id", "spans"), order).alias("best"))
-    both = both.select("row", "id", "best.first_id", F.explode("best.spans").alias("span"))
-    return both.select("row", "id", "first_id", "span.start", "span.stop").distinct()
+    better = both.groupBy("key", "content").agg(F.min(F.struct("better", "spans")).alias("found"))
+    targets = scratch.keep(items.join(better, ["key", "content"], "left").select("key", "content", F.coalesce("found.better", "first").alias("target"), "found.spans"), "near-targets")
+    credited = holders.join(targets, ["key", "content"]).filter("row <> target.row")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("length").alias("stop")))
+    credited = credited.select("row", "id", F.col("target.id").alias("first_id"), F.explode("places").alias("at"), F.coalesce("spans", whole).alias("spans"))
+    credited = credited.select("row", "id", "first_id", "at", F.explode("spans").alias("span"))
+    return credited.select("row", "id", "first_id", (F.col("at.first") + F.col("span.start")).alias("start"), (F.col("at.last") + F.col("span.stop")).alias("stop")).distinct()
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -413,13 +439,13 @@ def _found(source: DataFrame, scratch: Scratch, passage: int, width: int, block_
     found = scratch.keep(answered(blocks, totals).mapInArrow(lambda batches: _shared(batches, least), _FOUND), "shared")
     scratch.drop("windows", "window-counts")
     exact = _credited(found.filter("kind = 0").drop("kind")).select("row", "id", "first_id", "start", "stop")
-    # A copy of a whole text has what its first document has, which alone is searched.
+    exact = scratch.keep(exact, "exact")
     copies = scratch.keep(_copies(source), "copies")
-    near = scratch.keep(_near(source, scratch, found.join(copies.select("row"), "row", "left_anti"), least, width), "near")
+    near = scratch.keep(_near(source, scratch, found, copies, least, width), "near")
     same = near.select(F.col("row").alias("first_row"), "first_id", "start", "stop").join(copies, "first_row")
     near = near.unionByName(same.select("row", "id", "first_id", "start", "stop"))
     merged = scratch.keep(_merged(exact.unionByName(near)), "repeats")
-    scratch.drop("shared", "near-members", "near-grams", "copies", "near")
+    scratch.drop("shared", "exact", "near-contents", "near-items", "near-targets", "copies", "near")
     return merged
 
 
