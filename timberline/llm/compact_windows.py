@@ -20,11 +20,15 @@ Each repeat is credited to its first document in the order of ids, which keeps i
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +44,7 @@ from timberline.llm.common import (
     fresh,
     marked,
     mix,
+    opened,
     pack,
     place,
     shingles,
@@ -173,55 +178,85 @@ def _counts(payload: tuple) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([unpack(payload[4]), unpack(payload[6])]), return_counts=True)
 
 
-_FOUND = "kind int, key long, row long, id long, start int, stop int, places binary"
+_FOUND = "kind int, key long, row long, id long, start int, stop int, block string, doc int, payload binary"
+_FOUND_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary()]
 
 
 def _shared(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Runs (kind 0) and pairs of least hashes (kind 1) that occur more than once.
-
-    A pair is one row for each text, with all its stretches in ``places``, however often the text repeats itself.
-    """
+    """Runs that occur more than once (kind 0), and for each block the windows whose least hash does (kind 1)."""
+    names = [f.split()[0] for f in _FOUND.split(", ")]
     for (rows, ids, counts, starts, runs, windows, lows), totals in by_block(batches):
+        block = uuid.uuid4().hex
         starts, runs, lows = unpack(starts).astype(np.int64), unpack(runs), unpack(lows)
-        windows = unpack(windows).reshape(-1, 3).astype(np.int64)
         keys = np.unique(np.concatenate([runs, lows]))
-        again_run = totals[np.searchsorted(keys, runs)] > 1
-        again_low = totals[np.searchsorted(keys, lows)] > 1
-        of_run: list[tuple] = []
-        of_pair: list[tuple] = []
-        at_run = at_low = 0
-        for row, id_, (n, *each) in zip(rows, ids, counts):
-            own = at_run + np.flatnonzero(again_run[at_run : at_run + n])
-            at_run += n
-            of_run.append((row, id_, runs[own].view(np.int64), starts[own]))
-            # Centres inside repeated runs count as well: an edited copy may have its only partners there.
-            edges = np.concatenate([[0], np.cumsum(each)]) + at_low
-            at_low = int(edges[-1])
-            some = [a + np.flatnonzero(again_low[a:b]) for a, b in zip(edges, edges[1:])]
-            for f in range(len(some)):
-                for g in range(f + 1, len(some)):
-                    for at in range(0, len(some[f]), 4096):
-                        found, low, high = _pairs(windows, lows, some[f][at : at + 4096], some[g], f, g, least)
-                        if len(found):
-                            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-                            places = np.stack([low, high], axis=1).astype(np.int32)
-                            of_pair.append((row, id_, found[first], [p.tobytes() for p in np.split(places, first[1:])]))
-        for kind, out in enumerate((of_run, of_pair)):
-            sizes = [len(x[2]) for x in out]
-            total = sum(sizes)
-            if not total:
-                continue
-            row, id_ = (pa.array([x[k] for x in out], pa.int64()).take(pa.array(np.repeat(np.arange(len(out)), sizes))) for k in (0, 1))
-            key, none = pa.array(np.concatenate([x[2] for x in out])), pa.nulls(total, pa.int32())
-            start = stop = none
-            places = pa.nulls(total, pa.binary())
-            if kind == 0:
-                start = np.concatenate([x[3] for x in out])
-                start, stop = pa.array(start.astype(np.int32)), pa.array((start + least - STEP).astype(np.int32))
-            else:
+        own = np.flatnonzero(totals[np.searchsorted(keys, runs)] > 1)
+        doc = np.repeat(np.arange(len(rows)), [n for n, *_ in counts])[own].astype(np.int32)
+        if len(own):
+            row, id_ = (pa.array(x, pa.int64()).take(pa.array(doc)) for x in (rows, ids))
+            start = starts[own].astype(np.int32)
+            blocks = pa.array([block], pa.string()).take(pa.array(np.zeros(len(own), np.int32)))
+            columns = [np.zeros(len(own), np.int32), runs[own].view(np.int64), row, id_, start, start + np.int32(least - STEP), blocks, doc, pa.nulls(len(own), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names)
+        # Centres inside repeated runs count as well: an edited copy may have its only partners there.
+        again = totals[np.searchsorted(keys, lows)] > 1
+        if again.any():
+            edges = np.concatenate([[0], np.cumsum([n for _, *each in counts for n in each])])
+            kept = np.diff(np.concatenate([[0], np.cumsum(again)])[edges]).reshape(len(rows), -1).tolist()
+            data = pickle.dumps((rows, ids, kept, pack(unpack(windows).reshape(-1, 3)[again].ravel()), pack(lows[again])), protocol=5)
+            columns = [[1], *[[None]] * 5, [block], [None], [zstandard.compress(data, 1)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND_TYPES)], names)
+
+
+def _covered(group: pd.DataFrame) -> pd.DataFrame:
+    """The stretches of each text of a block that stand, in one piece, in the same earlier text."""
+    group = group.assign(shift=group["first_start"] - group["start"]).sort_values(["doc", "first_row", "shift", "start"], ignore_index=True)
+    doc, first, shift, start, stop = (group[c].to_numpy() for c in ("doc", "first_row", "shift", "start", "stop"))
+    new = np.ones(len(group), bool)
+    # Runs have one length, so the one before reaches farthest.
+    new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > stop[:-1])
+    at = np.flatnonzero(new)
+    ends = np.concatenate([at[1:], [len(group)]]) - 1
+    spans_ = np.stack([doc[at], start[at], stop[ends]]).astype(np.uint32)
+    return pd.DataFrame({"block": [group["block"].iloc[0]], "covered": [pack(spans_.ravel())]})
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(key, row, id, places): the stretches that each text has under a pair of least hashes, as pairs of 32-bit numbers.
+
+    Stretches that stand in an earlier text word for word are left out: that text has them under the same key.
+    """
+    for batch in batches:
+        for data, covers in zip(batch.column("payload"), batch.column("covered")):
+            rows, ids, counts, windows, lows = opened(data.as_py())
+            windows, lows = unpack(windows).reshape(-1, 3).astype(np.int64), unpack(lows)
+            covers = unpack(covers.as_py()).reshape(3, -1).astype(np.int64) if covers.is_valid else np.zeros((3, 0), np.int64)
+            edges = np.searchsorted(covers[0], np.arange(len(rows) + 1))
+            out: list[tuple] = []
+            at_low = 0
+            for doc, (row, id_, each) in enumerate(zip(rows, ids, counts)):
+                own = np.concatenate([[0], np.cumsum(each)]) + at_low
+                at_low = int(own[-1])
+                _, since, until = covers[:, edges[doc] : edges[doc + 1]]
+                order = np.argsort(since, kind="stable")
+                since, until = since[order], np.maximum.accumulate(until[order]) if len(order) else until
+                some = [np.arange(a, b) for a, b in zip(own, own[1:])]
+                for f in range(len(some)):
+                    for g in range(f + 1, len(some)):
+                        for at in range(0, len(some[f]), 4096):
+                            found, low, high = _pairs(windows, lows, some[f][at : at + 4096], some[g], f, g, least)
+                            if len(since):
+                                k = np.searchsorted(since, low, side="right") - 1
+                                open_ = (k < 0) | (until[k] < high)
+                                found, low, high = found[open_], low[open_], high[open_]
+                            if len(found):
+                                first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+                                places = np.stack([low, high], axis=1).astype(np.int32)
+                                out.append((row, id_, found[first], [p.tobytes() for p in np.split(places, first[1:])]))
+            if out:
+                sizes = pa.array(np.repeat(np.arange(len(out)), [len(x[2]) for x in out]))
+                row, id_ = (pa.array([x[k] for x in out], pa.int64()).take(sizes) for k in (0, 1))
                 places = pa.array([p for x in out for p in x[3]], pa.binary())
-            columns = [pa.array(np.full(total, kind, np.int32)), key, row, id_, start, stop, places]
-            yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "row", "id", "start", "stop", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[2] for x in out])), row, id_, places], ["key", "row", "id", "places"])
 
 
 def _pairs(windows: np.ndarray, lows: np.ndarray, some: np.ndarray, others: np.ndarray, f: int, g: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -344,7 +379,6 @@ def _near(docs: DataFrame, scratch: Scratch, found: DataFrame, copies: DataFrame
     Stretches of equal content are compared once. Under a key the first in order of all that are similar to a
     content is where each text that has it is credited, but that first one itself.
     """
-    found = found.filter("kind = 1").select("key", "row", "id", "places")
     several = found.groupBy("key").agg(F.max("row").alias("high"), F.min("row").alias("low")).filter("low <> high").select("key")
     # A copy of a whole text has what its first document has, which alone is searched.
     held = found.join(several, "key").join(copies.select("row"), "row", "left_anti")
@@ -438,14 +472,18 @@ def _found(source: DataFrame, scratch: Scratch, passage: int, width: int, block_
     totals = scratch.keep(totals_of(blocks, _counts, bucket_bits(keys)), "window-counts")
     found = scratch.keep(answered(blocks, totals).mapInArrow(lambda batches: _shared(batches, least), _FOUND), "shared")
     scratch.drop("windows", "window-counts")
-    exact = _credited(found.filter("kind = 0").drop("kind")).select("row", "id", "first_id", "start", "stop")
-    exact = scratch.keep(exact, "exact")
+    exact = scratch.keep(_credited(found.filter("kind = 0")).drop("kind", "key", "payload"), "exact")
+    covered = exact.select("block", "doc", "first_row", "first_start", "start", "stop").groupBy("block").applyInPandas(_covered, "block string, covered binary")
+    open_ = found.filter("kind = 1").select("block", "payload").join(covered, "block", "left").select("payload", "covered")
+    stretches = scratch.keep(open_.mapInArrow(lambda batches: _stretches(batches, least), "key long, row long, id long, places binary"), "stretches")
+    scratch.drop("shared")
+    exact = exact.select("row", "id", "first_id", "start", "stop")
     copies = scratch.keep(_copies(source), "copies")
-    near = scratch.keep(_near(source, scratch, found, copies, least, width), "near")
+    near = scratch.keep(_near(source, scratch, stretches, copies, least, width), "near")
     same = near.select(F.col("row").alias("first_row"), "first_id", "start", "stop").join(copies, "first_row")
     near = near.unionByName(same.select("row", "id", "first_id", "start", "stop"))
     merged = scratch.keep(_merged(exact.unionByName(near)), "repeats")
-    scratch.drop("shared", "exact", "near-contents", "near-items", "near-targets", "copies", "near")
+    scratch.drop("exact", "stretches", "near-contents", "near-items", "near-targets", "copies", "near")
     return merged
 
 
