@@ -39,6 +39,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     choice = F.struct(F.col("doc_id").isNull(), "doc_id", mark)
     kept = linked.groupBy("component_id").agg(F.min(choice)[mark].alias(mark)).select(mark)
     kept = scratch.keep(kept, "kept")
+    scratch.drop(*[name for name in scratch.paths if name != "kept"])
     return marked.join(kept, mark, "left_semi").dropDuplicates([mark]).select(*docs.columns)
 
 
