@@ -7,7 +7,15 @@ import pytest
 from timberline.llm import common
 from timberline.llm import compact_windows as compact_windows_module
 from timberline.llm.common import Scratch
-from timberline.llm.compact_windows import _earlier, _without, alike, compact_windows, repeats, run_hashes, run_starts, without_repeats
+from timberline.llm.compact_windows import _earlier, _without, compact_windows, repeats, run_hashes, run_starts, without_repeats
+
+
+
+def alike(a, b, least):
+    if min(len(a), len(b)) < least:
+        return []
+    return compact_windows_module.alike(*(compact_windows_module.side(x, least) for x in (a, b)), least)
+
 
 R = random.Random(4)
 VOCABULARY = [f"w{k}" for k in range(4000)]
@@ -178,12 +186,12 @@ def test_earlier_against_all_pairs(seed):
     for k in range(60):
         own = bases[r.integers(8)].copy()
         own[r.integers(0, len(own), r.integers(0, 9))] = r.integers(0, 1 << 62)
-        items.append(((int(r.integers(0, 30)), int(r.integers(0, 1 << 40)), k), own.astype(np.uint64).tobytes()))
+        items.append(((int(r.integers(0, 30)), int(r.integers(0, 1 << 40)), k), own.astype(np.uint32).tobytes()))
     order = sorted(range(60), key=lambda k: items[k][0])
     want = {}
     for p, k in enumerate(order):
         for e in order[:p]:
-            if alike(np.frombuffer(items[k][1], np.uint64), np.frombuffer(items[e][1], np.uint64), 46):
+            if alike(np.frombuffer(items[k][1], np.uint32), np.frombuffer(items[e][1], np.uint32), 46):
                 want[k] = e
                 break
     assert {k: q for k, q, _ in _earlier(items, 46)} == want

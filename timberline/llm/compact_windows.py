@@ -124,12 +124,15 @@ def _holds(a: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
     return (counts[least:] > counts[:-least]).astype(np.float32)
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Stretches (from, to) of ``a`` of ``least`` shingles that are similar to any stretch of ``b`` that wide, at whatever offset."""
-    if len(a) < least or len(b) < least:
-        return []
-    common = np.intersect1d(a, b)
-    own, other = _distinct(a, least), _distinct(b, least)
+def side(a: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's shingles, the different ones, and how many of them each stretch has: what a comparison asks of either side."""
+    return a, np.unique(a), _distinct(a, least)
+
+
+def alike(one: tuple, two: tuple, least: int) -> list[tuple[int, int]]:
+    """Stretches (from, to) of the first ``side`` of ``least`` shingles that are similar to any stretch of the second that wide, at whatever offset."""
+    (a, all_a, own), (b, all_b, other) = one, two
+    common = np.intersect1d(all_a, all_b, assume_unique=True)
     # Similar stretches share this much of the larger one.
     if WHOLE * len(common) < PART * max(own.min(), other.min()):
         return []
@@ -303,47 +306,49 @@ def _credited(found: DataFrame) -> DataFrame:
     return found.join(first, "key").filter("row <> first_row")
 
 
-def _prefixes(contents: list[np.ndarray], least: int) -> list[np.ndarray]:
+def _prefixes(sides: list[tuple], least: int) -> list[np.ndarray]:
     """Of the shingles of each stretch so many, rarest first, that two similar stretches have one in common."""
-    sets = [np.unique(c) for c in contents]
+    sets = [own for _, own, _ in sides]
     _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     out = []
-    for c, own, ranks in zip(contents, sets, np.split(at, np.cumsum([len(x) for x in sets])[:-1])):
-        fewest = least if len(own) == len(c) else int(_distinct(c, least).min())
+    for (_, own, distinct), ranks in zip(sides, np.split(at, np.cumsum([len(x) for x in sets])[:-1])):
         # What is similar to so many different shingles has this many of them.
-        common = -(-PART * fewest // WHOLE)
+        common = -(-PART * int(distinct.min()) // WHOLE)
         out.append(ranks[np.lexsort((ranks, counts[ranks]))[: len(own) - common + 1]])
     return out
 
 
+# Shingles of near stretches travel as 32 bits: two of a compared pair that differ are taken for one with a chance of 4e-6.
+_GRAM = np.uint32
+
+
 def _earlier(items: list[tuple], least: int) -> Iterator[tuple]:
     """Of (order, shingles), contents under one key: (place, place of the first in order that is similar, stretches), where that comes before it."""
     order = sorted(range(len(items)), key=lambda k: items[k][0])
-    texts = [np.frombuffer(items[k][1], np.uint64) for k in order]
+    sides = [side(np.frombuffer(items[k][1], _GRAM), least) for k in order]
     posted: dict[int, list[int]] = {}
-    for p, prefix in enumerate(_prefixes(texts, least)):
+    for p, prefix in enumerate(_prefixes(sides, least)):
         prefix = prefix.tolist()
         for d in sorted({d for g in prefix for d in posted.get(g, ())}):
-            if stretches := alike(texts[p], texts[d], least):
+            if stretches := alike(sides[p], sides[d], least):
                 yield order[p], order[d], _joined(stretches)
                 break
         for g in prefix:
             posted.setdefault(g, []).append(p)
 
 
-_CONTENTS = "kind int, content long, key long, row long, id long, start int, length int, places array<struct<first:int,last:int>>, grams binary"
+_CONTENTS = "content long, key long, row long, id long, start int, length int, places array<struct<first:int,last:int>>"
 _PLACES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-_CONTENT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), _PLACES, pa.binary()]
-_SEEN = 1_000_000
+_CONTENT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), _PLACES]
 
 
 def _contents(batches: Iterator[pa.RecordBatch], least: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (row, id, text, held), ``held`` the (key, places) of a text, to contents.
+    """Rows (row, id, text, held), ``held`` the (key, places) of a text, to the contents that it has under each key.
 
-    Kind 0: under this key the text has this content at these places; starts that follow each other within ``least`` are one place from
-    ``first`` to ``last``, for what is similar from there on is one stretch. Kind 1: the shingles of a content, once in a task.
+    Starts that follow each other within ``least`` are one place from ``first`` to ``last``, for what is similar
+    from there on is one stretch.
     """
-    names, seen = [f.split()[0] for f in _CONTENTS.split(", ")], set()
+    names = [f.split()[0] for f in _CONTENTS.split(", ")]
     for batch in batches:
         out = []
         for row, id_, text, held in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), binary(batch, "text"), batch.column("held").to_pylist()):
@@ -352,12 +357,6 @@ def _contents(batches: Iterator[pa.RecordBatch], least: int, width: int) -> Iter
             keys = np.repeat(np.array([h["key"] for h in held], np.int64), [len(p) for p in places])
             start, stop = np.concatenate(places).astype(np.int64).T
             content = (run_hashes(grams, start, stop - start) ^ mix((stop - start).astype(np.uint64), 5)).view(np.int64)
-            for k in np.unique(content, return_index=True)[1].tolist():
-                if (c := int(content[k])) not in seen:
-                    if len(seen) >= _SEEN:
-                        seen.clear()
-                    seen.add(c)
-                    out.append((1, c, None, None, None, None, None, None, grams[start[k] : stop[k]].tobytes()))
             order = np.lexsort((start, content, keys))
             keys, content, start, stop = keys[order], content[order], start[order], stop[order]
             new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (content[1:] != content[:-1])])
@@ -368,11 +367,22 @@ def _contents(batches: Iterator[pa.RecordBatch], least: int, width: int) -> Iter
             for low, high in zip(ends.tolist(), [*ends[1:].tolist(), len(first)]):
                 k = int(first[low])
                 chains = [{"first": int(start[f]), "last": int(start[e])} for f, e in zip(first[low:high], last[low:high])]
-                out.append((0, int(content[k]), int(keys[k]), row, id_, int(start[k]), int(stop[k] - start[k]), chains, None))
+                out.append((int(content[k]), int(keys[k]), row, id_, int(start[k]), int(stop[k] - start[k]), chains))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _CONTENT_TYPES)], names)
 
 
+def _shingled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (text, wanted), ``wanted`` the (content, start, length) of a text, to the shingles of each content."""
+    for batch in batches:
+        out = []
+        for text, wanted in zip(binary(batch, "text"), batch.column("wanted").to_pylist()):
+            grams = shingles(word_hashes(words(text)), width).astype(_GRAM)
+            out += [(w["content"], grams[w["start"] : w["start"] + w["length"]].tobytes()) for w in wanted]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], ["content", "grams"])
+
+
 def _near(docs: DataFrame, scratch: Scratch, found: DataFrame, copies: DataFrame, least: int, width: int) -> DataFrame:
     """(row, id, first_id, start, stop) of the stretches that are similar to one of an earlier document under their key.
 
@@ -383,24 +393,32 @@ def _near(docs: DataFrame, scratch: Scratch, found: DataFrame, copies: DataFrame
     # A copy of a whole text has what its first document has, which alone is searched.
     held = found.join(several, "key").join(copies.select("row"), "row", "left_anti")
     held = scratch.keep(held.groupBy("row").agg(F.first("id").alias("id"), F.collect_set(F.struct("key", "places")).alias("held")), "near-members")
-    # Only texts that have such a stretch move; a bitmap of fixed size lets the others stay.
-    bits = bitmap(held.select(place("row").alias("at")))
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(marked(bits, batch.column("at"))).select(["row", "text"])
+    def joined(places: DataFrame) -> DataFrame:
+        """The texts of the rows of ``places``, beside what it has of them; a bitmap of fixed size lets most others stay."""
+        bits = bitmap(places.select(place("row").alias("at")))
+
+        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(marked(bits, batch.column("at"))).select(["row", "text"])
+
+        texts = docs.select("row", "text", place("row").alias("at")).mapInArrow(likely, "row long, text string").dropDuplicates(["row"])
+        return texts.join(places, "row")
 
-    texts = docs.select("row", "text", place("row").alias("at")).mapInArrow(likely, "row long, text string").dropDuplicates(["row"])
-    joined = texts.join(held, "row").select("row", "id", "text", "held")
-    contents = scratch.keep(joined.mapInArrow(lambda batches: _contents(batches, least, width), _CONTENTS), "near-contents")
+    texts = joined(held).select("row", "id", "text", "held")
+    holders = scratch.keep(texts.mapInArrow(lambda batches: _contents(batches, least, width), _CONTENTS), "near-contents")
     scratch.drop("near-members")
-    grams = contents.filter("kind = 1").select("content", "grams").dropDuplicates(["content"])
-    holders = contents.filter("kind = 0").drop("kind", "grams")
-    first = F.min(F.struct(_order().alias("order"), F.col("row"), F.col("start"), F.col("id"))).alias("first")
+    first = F.min(F.struct(_order().alias("order"), F.col("row"), F.col("start"), F.col("id"), F.col("length"))).alias("first")
     items = scratch.keep(holders.groupBy("key", "content").agg(first).select("key", "content", "first"), "near-items")
     sizes = items.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"))
+    several = items.join(sizes, "key")
+    # The shingles of a content are made from one text that has it, where there is something to compare.
+    source = several.groupBy("content").agg(F.min(F.struct("first.row", "first.start", "first.length")).alias("at"))
+    source = source.groupBy("at.row").agg(F.collect_list(F.struct("content", "at.start", "at.length")).alias("wanted"))
+    source = scratch.keep(source, "near-wanted")
+    grams = joined(source).select("text", "wanted").mapInArrow(lambda batches: _shingled(batches, width), "content long, grams binary")
     # Every two blocks of a key meet, so all its pairs are decided and no key is one task.
-    dealt = items.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
+    dealt = several.withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "content", "first")
     dealt = dealt.join(grams, "content").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -420,14 +438,14 @@ def _near(docs: DataFrame, scratch: Scratch, found: DataFrame, copies: DataFrame
     def matched(at: dict, own: list[tuple]) -> list[tuple]:
         return [(at["key"], own[k][2], own[q][3], [{"start": a, "stop": b} for a, b in stretches]) for k, q, stretches in _earlier(own, least)]
 
-    place_ = pa.struct([("order", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("id", pa.int64())])
+    place_ = pa.struct([("order", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("id", pa.int64()), ("length", pa.int32())])
     kinds = (pa.int64(), pa.int64(), place_, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
 
     def rows_of(out: list[tuple]) -> Iterator[pa.RecordBatch]:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["key", "content", "better", "spans"])
 
-    schema = "key long, content long, better struct<order:long,row:long,start:int,id:long>, spans array<struct<start:int,stop:int>>"
+    schema = "key long, content long, better struct<order:long,row:long,start:int,id:long,length:int>, spans array<struct<start:int,stop:int>>"
     both = dealt.select(F.struct("key", "i", "j").alias("at"), "content", "first", "grams").mapInArrow(compare, schema)
     # Of what the blocks have found, the first document.
     better = both.groupBy("key", "content").agg(F.min(F.struct("better", "spans")).alias("found"))
@@ -483,7 +501,7 @@ def _found(source: DataFrame, scratch: Scratch, passage: int, width: int, block_
     same = near.select(F.col("row").alias("first_row"), "first_id", "start", "stop").join(copies, "first_row")
     near = near.unionByName(same.select("row", "id", "first_id", "start", "stop"))
     merged = scratch.keep(_merged(exact.unionByName(near)), "repeats")
-    scratch.drop("exact", "stretches", "near-contents", "near-items", "near-targets", "copies", "near")
+    scratch.drop("exact", "stretches", "near-contents", "near-items", "near-wanted", "near-targets", "copies", "near")
     return merged
 
 
