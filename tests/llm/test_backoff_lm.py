@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.llm import common
-from timberline.llm.backoff_lm import PLAIN, PRIOR, score
+from timberline.llm.backoff_lm import ORDER, PLAIN, PRIOR, score
 from timberline.llm.common import Scratch
 
 HELD = "crc32(cast(doc_id AS string)) % 10 = 0"
@@ -24,49 +24,55 @@ def frame(spark, rows):
 
 
 class Counted:
-    """The model from plain counts."""
+    """The model from plain counts: each longer context leans on the one without its first word."""
 
-    def __init__(self, texts):
-        self.single, self.double = Counter(), Counter()
+    def __init__(self, texts, order=ORDER):
+        self.order, self.runs = order, [Counter() for _ in range(order + 1)]
         for t in texts:
-            self.single.update(t)
-            self.double.update(zip([None, *t], t))
-        self.n, self.v = sum(self.single.values()), len(self.single)
-        some = Counter(self.single.values())
+            padded = [None, *t]  # an end stands before each text
+            self.runs[1].update((w,) for w in t)
+            for n in range(2, order + 1):
+                self.runs[n].update(tuple(padded[k : k + n]) for k in range(len(padded) - n + 1))
+        single = self.runs[1]
+        self.n, self.v = sum(single.values()), len(single)
+        some = Counter(single.values())
         self.d = some[1] / (some[1] + 2 * some[2]) if some[1] and some[2] else 0.5
 
     def base(self, w):
-        return (self.single[w] + 0.1) / (self.n + 0.1 * (self.v + 1))
+        return (self.runs[1][w,] + 0.1) / (self.n + 0.1 * (self.v + 1))
 
-    def p(self, w):
-        return (self.single[w] - self.d) / self.n if self.single[w] else self.d * self.v / self.n
+    def q(self, before, w):
+        before = tuple(before)[-(self.order - 1) :] if self.order > 1 else ()
+        if not before:
+            c = self.runs[1][w,]
+            return (c - self.d) / self.n if c else self.d * self.v / self.n
+        less = self.q(before[1:], w)
+        together, left = self.runs[len(before) + 1][(*before, w)], self.runs[len(before)][before]
+        return PLAIN * less + (1 - PLAIN) * (together + PRIOR * less) / (left + PRIOR)
 
-    def q(self, a, w):
-        return PLAIN * self.p(w) + (1 - PLAIN) * (self.double[a, w] + PRIOR * self.p(w)) / (self.single[a] + PRIOR)
 
-
-def plain(rows):
+def plain(rows, order=ORDER):
     held = [i is not None and crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
     texts = [tokens(t) for _, t in rows]
-    m = Counted([t for h, t in zip(held, texts) if not h])
+    m = Counted([t for h, t in zip(held, texts) if not h], order)
     out = []
     for (id_, _), h, t in zip(rows, held, texts):
-        known = sum(m.single[w] > 0 for w in t)
-        base, own = sum(math.log10(m.base(w)) for w in t), sum(math.log10(m.q(a, w)) for a, w in zip([None, *t], t))
+        known = sum(m.runs[1][w,] > 0 for w in t)
+        base, own = sum(math.log10(m.base(w)) for w in t), sum(math.log10(m.q([None, *t[:k]], w)) for k, w in enumerate(t))
         out.append((id_, h, len(t), known, m.n, base, own))
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [200, 1 << 20])
-def test_against_counts(spark, monkeypatch, block_bytes):
+@pytest.mark.parametrize("block_bytes, order", [(200, 3), (1 << 20, 3), (200, 1), (1000, 2), (500, 5)])
+def test_against_counts(spark, monkeypatch, block_bytes, order):
     monkeypatch.setattr(common, "BUCKET_KEYS", 50)
     r = random.Random(5)
     vocabulary = ["The", "the", "a", "É", "é", "x" * 300, "end.", " ", *(f"w{k}" for k in range(60))]
     rows = [(k, " ".join(r.choices(vocabulary, k=r.randrange(0, 40)))) for k in range(150)]
     rows += [(None, "null id"), (3, "the\tthe\nthe"), (3, "the\tthe\nthe"), (700, None), (701, "  "), (20, "never seen 123")]
-    out = score(frame(spark, rows), Scratch(spark), F.expr(HELD), block_bytes=block_bytes).collect()
+    out = score(frame(spark, rows), Scratch(spark), F.expr(HELD), order=order, block_bytes=block_bytes).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[2], x[5])
-    for got, want in zip(sorted(map(tuple, out), key=key), sorted(plain(rows), key=key), strict=True):
+    for got, want in zip(sorted(map(tuple, out), key=key), sorted(plain(rows, order), key=key), strict=True):
         assert got[:5] == want[:5]
         assert got[5] == pytest.approx(want[5]) and got[6] == pytest.approx(want[6])
 
@@ -78,10 +84,10 @@ def test_arcs_add_up(spark):
     held = F.col("doc_id") >= 10**6
     out = {r.doc_id: r for r in score(frame(spark, rows + probes), Scratch(spark), held).collect()}
     m = Counted([tokens(t) for _, t in rows])
-    for before in ("a", "b", "c", None, "unknown"):
+    for before in (("a",), ("a", "b"), (None, "a"), ("c", "b"), (None,), ("unknown", "a")):
         assert sum(m.q(before, w) for w in [*words, None]) == pytest.approx(1)
     for k, w in enumerate(words):
-        assert out[10**6 + k].score == pytest.approx(math.log10(m.q(None, "a") * m.q("a", w) * m.q(w, None)))
+        assert out[10**6 + k].score == pytest.approx(math.log10(m.q([None], "a") * m.q([None, "a"], w) * m.q(["a", w], None)))
 
 
 def test_held_out_text_is_likelier_than_at_the_base(spark):
