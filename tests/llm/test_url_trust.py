@@ -2,7 +2,7 @@ import re
 
 from timberline.llm.common import Scratch
 from timberline.llm.queries import URL_RULES
-from timberline.llm.url_trust import judge
+from timberline.llm.url_trust import LEFT, judge
 
 
 def plain(url):
@@ -66,16 +66,19 @@ def test_scores_match_a_plain_walk(spark):
         (3, "http://farm.net/", link("spam.com", "spam.com")),
         (4, "http://friend.net/", link("friend.net")),
         (5, "http://odd.net/", "<a href='/local'>"),
-        (6, "http://m.farm.net/", None),
+        (6, "http://a.m.farm.net/", None),
+        (7, "http://" + "x." * 5000 + "net/", None),
+        (8, "http://a..net/", None),
     ]
     out = {r.page_id: r for r in judge(pages(spark, rows), Scratch(spark), URL_RULES).collect()}
     edges = {("good.org", "friend.net"): 2.0, ("good.org", "odd.net"): 1.0, ("spam.com", "odd.net"): 1.0, ("farm.net", "spam.com"): 1.0}
     edges[("good.org", "friend.net")] = 2.0
     edges |= {("m.farm.net", "farm.net"): 1.0, ("farm.net", "m.farm.net"): 1.0}
+    edges |= {("a.m.farm.net", "m.farm.net"): 1.0, ("m.farm.net", "a.m.farm.net"): 1.0}
 
     def walk(edges, seed):
         mass, total = {seed: 0.15}, {seed: 0.15}
-        for _ in range(8):
+        for _ in range(200):
             after = {}
             for (a, b), w in edges.items():
                 if a in mass:
@@ -88,8 +91,18 @@ def test_scores_match_a_plain_walk(spark):
 
     trust, distrust = walk(edges, "good.org"), walk({(b, a): w for (a, b), w in edges.items()}, "spam.com")
     for r in out.values():
-        assert abs(r.trust - trust.get(r.host, 0)) < 1e-12 and abs(r.distrust - distrust.get(r.host, 0)) < 1e-12
-    assert [out[k].verdict for k in range(1, 7)] == ["allow", "block", "block", "allow", "allow", "block"]
+        assert abs(r.trust - trust.get(r.host, 0)) < LEFT and abs(r.distrust - distrust.get(r.host, 0)) < LEFT
+    assert [out[k].verdict for k in range(1, 9)] == ["allow", "block", "block", "allow", "allow", "block", "allow", "allow"]
+
+
+def test_far_hosts_are_reached(spark):
+    """Distrust goes back over a chain of twenty links; rows and columns of no use change nothing."""
+    link = lambda k: f'<a href="//h{k}.net/">'
+    rows = [(0, "http://spam.com/de/1", None), (1, "http://h1.net/", '<a href="//spam.com/de/">')]
+    rows += [(k, f"http://h{k}.net/", link(k - 1)) for k in range(2, 21)]
+    out = {r.page_id: r for r in judge(pages(spark, rows), Scratch(spark), URL_RULES, left=1e-9).collect()}
+    for k in range(1, 21):
+        assert out[k].verdict == "block" and abs(out[k].distrust - 0.15 * 0.85**k) < 1e-9
 
 
 def test_empty(spark):

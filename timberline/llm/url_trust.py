@@ -15,6 +15,10 @@ from timberline.llm.common import Scratch
 
 _HREF = r"""(?is)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
+NAME = 253  # Fixed value: the characters of the longest domain name.
+LEFT = 1e-4  # of the mass of all seeds, at most, is never spread
+STEPS = 4  # links followed between written tables
+
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -46,38 +50,51 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, w) from the columns ``host`` and ``html``: links between hosts, summed.
 
-    A host also counts as linked with its parent domain, both ways, once: what
-    stands under one name has one owner. Names of one label are not hosts.
+    A host and each domain above it also count as linked with the next one up, both
+    ways, once: what stands under one name has one owner. Names of one label are not
+    hosts; what is longer than a domain name can be has no domain above it.
     """
     found = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_HREF), 1)))
     # User name and port are no part of a host.
     target = F.regexp_replace(lower_ascii(F.col("link")), r"^.*@|:\d*$", "")
     links = pages.filter("host <> ''").select("host", found.alias("link")).select(F.col("host").alias("src"), target.alias("dst"))
     links = links.filter("src <> dst AND dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    names = pages.select("host").filter("host <> ''").distinct()
-    parent = F.expr("substring(host, instr(host, '.') + 1)")
-    up = names.select(F.col("host").alias("src"), parent.alias("dst")).filter("instr(src, '.') > 0 AND instr(dst, '.') > 0")
+    names = pages.select("host").filter(F.col("host").contains(".") & (F.length("host") <= NAME)).distinct()
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    names = names.select(F.explode(above).alias("src")).distinct()
+    up = names.select("src", F.expr("substring(src, instr(src, '.') + 1)").alias("dst")).filter("src NOT LIKE '.%' AND dst LIKE '_%.%' AND dst NOT LIKE '.%'")
     both = up.unionAll(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("w", F.lit(1.0))
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, damping: float, steps: int) -> DataFrame:
-    """(host, score): personalised PageRank along (src, dst, w) from the seeds (host, score).
+def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float, left: float) -> DataFrame:
+    """(host, side, score): personalised PageRank along (side, src, dst, w) from the seeds (host, side, score).
 
     The score is the sum over path lengths of what is left after each link, so a
-    step touches only hosts reached; what a dead end holds is not passed on.
+    step touches only hosts reached; what a dead end holds is not passed on. Steps go
+    on until what all further ones could add, over all hosts of a side, is at most ``left``.
     """
-    out = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    shares = scratch.keep(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), name)
-    mass = seeds.select("host", (F.col("score") * (1 - damping)).alias("score"))
-    total = mass
-    for k in range(steps):
-        moved = mass.join(shares, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host"))
-        mass = moved.agg((F.sum(F.col("share") * F.col("score")) * damping).alias("score"))
-        if k % 4 == 3:
-            mass = scratch.keep(mass, f"{name}-{k}")
-        total = total.unionByName(mass)
-    return total.groupBy("host").agg(F.sum("score").alias("score"))
+    out = edges.groupBy("side", "src").agg(F.sum("w").alias("total"))
+    shares = edges.join(out, ["side", "src"]).select("side", F.col("src").alias("host"), "dst", (F.col("w") / F.col("total")).alias("share"))
+    shares = scratch.keep(shares, "shares")
+    mass = F.col("score") * (1 - damping)
+    state, k = scratch.keep(seeds.select("host", "side", mass.alias("mass"), mass.alias("score")), "state-0"), 0
+    # A column's sum over hosts never grows by more than the damping, so this ends.
+    while any(r.mass * damping / (1 - damping) > left for r in state.groupBy("side").agg(F.sum("mass").alias("mass")).collect()):
+        moved, parts = state.filter("mass > 0").select("host", "side", "mass"), []
+        for step in range(1, STEPS + 1):
+            moved = moved.join(shares, ["host", "side"]).groupBy(F.col("dst").alias("host"), "side")
+            moved = moved.agg((F.sum(F.col("share") * F.col("mass")) * damping).alias("mass"))
+            parts.append(moved.select("host", "side", F.when(F.lit(step == STEPS), F.col("mass")).otherwise(0.0).alias("mass"), F.col("mass").alias("score")))
+        total = state.select("host", "side", F.lit(0.0).alias("mass"), "score")
+        for part in parts:
+            total = total.unionByName(part)
+        total = total.groupBy("host", "side").agg(F.sum("mass").alias("mass"), F.sum("score").alias("score"))
+        state, k = scratch.keep(total, f"state-{k + 1}"), k + 1
+        scratch.drop(f"state-{k - 1}")
+    scratch.drop("shares")
+    return state.select("host", "side", "score")
 
 
 def judge(
@@ -88,13 +105,13 @@ def judge(
     url_col: str = "url",
     html_col: str = "html",
     damping: float = 0.85,
-    steps: int = 8,
+    left: float = LEFT,
     factor: float = 1.0,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) of every page.
 
     ``rules`` holds ("allow" | "block", "host/path"). Pages no rule fits are judged
-    by host: block if distrust > factor * trust, else allow; so a host that nothing
+    by host, with ranks exact to ``left`` of the seeds' mass: block if distrust > factor * trust, else allow; so a host that nothing
     is known of is allowed. Seeds weigh by their pages that a rule allows or blocks.
     A null url, or one without ``://``, has empty host and path and is allowed; null
     html has no links. Repeated rows are judged alike; an empty table gives an empty
@@ -112,13 +129,13 @@ def judge(
     allowed, blocked = votes.agg(F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first()
     # The larger side starts with a mass of 1 and the other in proportion.
     most = max(allowed, blocked, 1)
-    good = votes.filter("allow > 0").select("host", (F.col("allow") / most).alias("score"))
-    bad = votes.filter("block > 0").select("host", (F.col("block") / most).alias("score"))
-    trust = spread(edges, good, scratch, "forward", damping, steps)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = spread(back, bad, scratch, "backward", damping, steps)
-    scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
-    scores = scratch.keep(scores.fillna(0.0, ["trust", "distrust"]), "scores")
+    good = votes.filter("allow > 0").select("host", F.lit("trust").alias("side"), (F.col("allow") / most).alias("score"))
+    bad = votes.filter("block > 0").select("host", F.lit("distrust").alias("side"), (F.col("block") / most).alias("score"))
+    back = edges.select(F.lit("distrust").alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    both = edges.select(F.lit("trust").alias("side"), "src", "dst", "w").unionAll(back)
+    ranks = spread(both, good.unionAll(bad), scratch, damping, left)
+    side = lambda name: F.coalesce(F.sum(F.when(F.col("side") == name, F.col("score"))), F.lit(0.0)).alias(name)
+    scores = scratch.keep(ranks.groupBy("host").agg(side("trust"), side("distrust")), "scores")
     # Sums of doubles depend on their order in the last digits; equal scores must stay equal.
     by_host = F.when(F.col("distrust") > factor * (1 + 1e-9) * F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
     return ruled.join(scores, "host", "left").select(
