@@ -17,7 +17,7 @@ _HREF = r"""(?is)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]
 
 NAME = 253  # Fixed value: the characters of the longest domain name.
 LEFT = 1e-4  # of the mass of all seeds, at most, is never spread
-STEPS = 4  # links followed between written tables
+STEPS = 8  # links followed between written tables
 
 
 def lower_ascii(text: Column) -> Column:
@@ -77,21 +77,23 @@ def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float,
     """
     out = edges.groupBy("side", "src").agg(F.sum("w").alias("total"))
     shares = edges.join(out, ["side", "src"]).select("side", F.col("src").alias("host"), "dst", (F.col("w") / F.col("total")).alias("share"))
+    ends = edges.select("side", F.explode(F.array("src", "dst")).alias("host")).unionAll(seeds.select("side", "host")).distinct()
+    # A row from each host to itself, of no share, keeps its score, so that a step is one join and one sum.
+    shares = shares.unionAll(ends.select("side", "host", F.col("host").alias("dst"), F.lit(None).cast("double").alias("share")))
     shares = scratch.keep(shares, "shares")
     mass = F.col("score") * (1 - damping)
     state, k = scratch.keep(seeds.select("host", "side", mass.alias("mass"), mass.alias("score")), "state-0"), 0
-    # A column's sum over hosts never grows by more than the damping, so this ends.
+    # A side's mass never grows by more than the damping, so this ends.
     while any(r.mass * damping / (1 - damping) > left for r in state.groupBy("side").agg(F.sum("mass").alias("mass")).collect()):
-        moved, parts = state.filter("mass > 0").select("host", "side", "mass"), []
-        for step in range(1, STEPS + 1):
-            moved = moved.join(shares, ["host", "side"]).groupBy(F.col("dst").alias("host"), "side")
-            moved = moved.agg((F.sum(F.col("share") * F.col("mass")) * damping).alias("mass"))
-            parts.append(moved.select("host", "side", F.when(F.lit(step == STEPS), F.col("mass")).otherwise(0.0).alias("mass"), F.col("mass").alias("score")))
-        total = state.select("host", "side", F.lit(0.0).alias("mass"), "score")
-        for part in parts:
-            total = total.unionByName(part)
-        total = total.groupBy("host", "side").agg(F.sum("mass").alias("mass"), F.sum("score").alias("score"))
-        state, k = scratch.keep(total, f"state-{k + 1}"), k + 1
+        for _ in range(STEPS):
+            moved = state.join(shares, ["host", "side"]).select(
+                F.col("dst").alias("host"),
+                "side",
+                F.coalesce(F.col("mass") * F.col("share") * damping, F.lit(0.0)).alias("mass"),
+                F.when(F.col("share").isNull(), F.col("score")).otherwise(F.col("mass") * F.col("share") * damping).alias("score"),
+            )
+            state = moved.groupBy("host", "side").agg(F.sum("mass").alias("mass"), F.sum("score").alias("score"))
+        state, k = scratch.keep(state, f"state-{k + 1}"), k + 1
         scratch.drop(f"state-{k - 1}")
     scratch.drop("shares")
     return state.select("host", "side", "score")
