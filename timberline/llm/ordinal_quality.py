@@ -22,7 +22,8 @@ from timberline.llm.common import binary, words
 
 SAMPLE = 8_192
 BITS = 18
-TELLING = 7.0  # standard deviations by which a slot's rows must differ from the rest
+TELLING = 7.0  # standard deviations by which a slot's rows must differ from the rest, among many ratings
+FEW = 50  # what n ratings ask for falls as the root of n / (n + FEW): no slot can differ by more than the root of n, and this stays below it
 
 
 def _steps(part: int, whole: int) -> int:
@@ -76,7 +77,7 @@ def fit_rows(rows: list[tuple[int, np.ndarray]], grades: int, bits: int, epochs:
 
     Grades weigh by the root of their rows in total, so that a rare one is learnt. Only
     slots whose rows have a grade clearly more or less often than all rows, and that
-    are seen three times, get a weight. Without rows all grades are as likely.
+    are seen three times, get a weight; with fewer rows less of a difference is clear. Without rows all grades are as likely.
     """
     start = np.linspace(-1.0, 1.0, grades - 1) if grades > 2 else np.zeros(grades - 1)
     if not rows:
@@ -92,7 +93,7 @@ def fit_rows(rows: list[tuple[int, np.ndarray]], grades: int, bits: int, epochs:
         own = np.bincount(slots, weights=y[owner] == k, minlength=1 << bits)
         spread = seen * part * (1 - part) * (1 - seen / len(y))
         telling = np.maximum(telling, np.abs(own - seen * part) / np.sqrt(np.maximum(spread, 1e-9)))
-    used = ((telling >= TELLING) & (seen >= 3))[slots]
+    used = ((telling >= TELLING * np.sqrt(len(y) / (len(y) + FEW))) & (seen >= 3))[slots]
     slots, owner = slots[used], owner[used]
     used, slots = np.unique(slots, return_inverse=True)
     share = 1.0 / np.sqrt(np.bincount(y, minlength=grades).clip(1)[y])
@@ -129,7 +130,7 @@ def fit(
     """Fits on ``ratings`` (id, ``grade`` 0 .. grades - 1), on at most ``sample`` ids, the first by hash.
 
     An id rated several times counts with its lowest grade, and a rated id that
-    stands in several rows of ``docs`` with each text. Null ids and grades are not used.
+    stands in several rows of ``docs`` with one of its texts. Null ids and grades are not used.
     """
     rated = ratings.filter(F.col(id_col).isNotNull() & F.col("grade").isNotNull())
     rated = rated.groupBy(F.col(id_col).alias("_id")).agg(F.min("grade").cast("int").alias("grade"))
@@ -143,7 +144,7 @@ def fit(
 
     kind = f"_id {dict(found.dtypes)['_id']}, grade int, slots binary"
     rows = found.select("_id", "grade", "text").mapInArrow(slots, kind)
-    rows = rows.orderBy(F.xxhash64("_id"), "_id", "slots").limit(2 * sample).collect()
+    rows = rows.groupBy("_id", "grade").agg(F.min("slots").alias("slots")).orderBy(F.xxhash64("_id"), "_id").collect()  # at most `sample`
     return fit_rows([(r.grade, np.frombuffer(r.slots, np.int32)) for r in rows], grades, bits)
 
 
