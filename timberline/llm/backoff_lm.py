@@ -59,22 +59,23 @@ def keys_of(vocabulary: np.ndarray, tokens: np.ndarray, order: int) -> tuple[np.
     that end; where it would, its place is -1. Keys of words are even, of longer runs odd.
     """
     end = np.searchsorted(vocabulary, _END[0])
-    runs, hashes = tokens.astype(np.int64), mix(vocabulary)
-    numbers, raw = [runs], [vocabulary & _WORD]
+    before, own = np.concatenate([[end], tokens[:-1]]), vocabulary[tokens]
+    start, there = before == end, np.ones(len(tokens), bool)
+    context, run = mix(vocabulary)[before], own
+    raw, ends = [vocabulary & _WORD], []
     for length in range(2, order + 1):
-        # Before the first token of a text stands an end, and before that nothing.
-        before = np.concatenate([[end if length == 2 else -1], runs[:-1]])
-        if length > 2:
-            before[np.concatenate([[end], tokens[:-1]]) == end] = -1
-        there = np.flatnonzero(before >= 0)
-        pairs, at = np.unique(before[there].astype(np.uint64) << np.uint64(32) | tokens[there].astype(np.uint64), return_inverse=True)
-        hashes = mix(hashes[pairs >> np.uint64(32)] * np.uint64(3) + vocabulary[pairs & np.uint64(0xFFFFFFFF)])
-        runs = np.full(len(tokens), -1, np.int64)
-        runs[there] = at
-        numbers.append(runs)
-        raw.append(hashes | _RUN)
-    keys = np.unique(np.concatenate(raw))
-    return keys, [np.where(n >= 0, np.append(np.searchsorted(keys, r), -1)[n], -1) for n, r in zip(numbers, raw)]
+        if length > 2:  # before the first token of a text stands an end, and before that nothing
+            context, there = np.concatenate([run[:1], run[:-1]]), ~start & np.concatenate([[False], there[:-1]])
+        run = mix(context * np.uint64(3) + own)
+        raw.append(run[there] | _RUN)
+        ends.append(np.flatnonzero(there))
+    keys, at = np.unique(np.concatenate(raw), return_inverse=True)
+    single, *longer = np.split(at, np.cumsum([len(r) for r in raw])[:-1])
+    places = [single[tokens]]
+    for here, found in zip(ends, longer):
+        places.append(np.full(len(tokens), -1, np.int64))
+        places[-1][here] = found
+    return keys, places
 
 
 def _payloads(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple]:
