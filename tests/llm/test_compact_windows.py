@@ -243,3 +243,63 @@ def test_odd_rows(spark):
 def test_without():
     assert _without("a b  c\nd é", [{"start": 1, "stop": 2}], 1) == "a c\nd é"
     assert _without(" a b", [{"start": 0, "stop": 1}, {"start": 1, "stop": 2}], 1) == " "
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_parts_against_each_part_alone(seed, monkeypatch):
+    monkeypatch.setattr(compact_windows_module, "TILE", 8)
+    r, found = np.random.default_rng(seed), 0
+    for _ in range(150):
+        least, words_ = int(r.integers(9, 20)), int(r.choice([15, 40, 100_000]))
+        base = r.integers(0, words_, int(r.integers(2 * least, 90))).astype(np.uint32)
+
+        def parts():
+            own = base.copy()
+            own[r.integers(0, len(own), int(r.integers(0, 6)))] = r.integers(200_000, 1 << 31)
+            own, at = np.roll(own, int(r.integers(0, 3))), int(r.integers(0, len(own)))
+            return [p for p in (own[:at], own[at:]) if len(p) >= least]
+
+        def sides(all_):
+            grams = np.concatenate(all_)
+            return grams, np.cumsum([0, *map(len, all_)]), compact_windows_module._distinct(grams, least), np.unique(grams)
+
+        one, two, want, at = parts(), parts(), set(), 0
+        for a in one:
+            want |= {at + s for b in two for s, _ in alike(a, b, least)}
+            at += len(a)
+        assert compact_windows_module.alike_parts(sides(one), sides(two), least).tolist() == sorted(want)
+        found += bool(want)
+    assert found > 50
+
+
+def test_a_text_goes_to_a_group_once(spark, monkeypatch):
+    r, rows = random.Random(8), []
+    passage = text(r, 400)
+    for k in range(6):
+        own = list(passage)
+        own[60 * k + 30] = f"changed{k}"
+        rows.append((k, " ".join(own)))
+    sent, keep = {}, Scratch.keep
+
+    def kept(self, df, name):
+        out = keep(self, df, name)
+        sent[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    found = repeats(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()
+    assert {f.doc_id for f in found} == set(range(1, 6))
+    # Not a row for each key: each text has dozens, with few first texts.
+    assert sent["near-texts"] <= 36
+
+
+def test_shuffle_files_go_with_the_write(spark, monkeypatch):
+    scratch, seen = Scratch(spark), []
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    df = spark.range(9)
+    df = df.mapInArrow(lambda batches: batches, "id long")
+    writer, before = type(df.write), spark.conf.get(name)
+    write = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, path: (seen.append(spark.conf.get(name)), write(self, path))[1])
+    assert scratch.keep(df, "few").count() == 9
+    assert seen == ["true"] and spark.conf.get(name) == before

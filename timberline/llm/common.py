@@ -24,12 +24,14 @@ _MASK = (1 << 64) - 1
 # Rows that go to a Python worker at once. Texts can be long, and each worker and its executor hold a batch or two.
 BATCH_ROWS = 2500
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_SHUFFLES_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
     """Tables written to the shared folder, so that a lost executor loses nothing; dropped when no longer read.
 
-    Lowers the rows of an Arrow batch to BATCH_ROWS for the session; results don't depend on it.
+    Lowers the rows of an Arrow batch to BATCH_ROWS for the session; results don't depend on it. The shuffle files of a
+    table go once it is written, not when the driver next collects its garbage.
     """
 
     def __init__(self, spark: SparkSession):
@@ -38,8 +40,12 @@ class Scratch:
             spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(self.spark, name)
-        df.write.parquet(path)
+        path, before = scratch_path(self.spark, name), self.spark.conf.get(_SHUFFLES_SETTING)
+        self.spark.conf.set(_SHUFFLES_SETTING, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_SHUFFLES_SETTING, before)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

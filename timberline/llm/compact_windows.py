@@ -11,9 +11,10 @@ tree. Two texts that share a passage have windows of equal least hash around it.
    least ``passage`` words that stands in two documents is found, and none of fewer
    than ``passage - 8`` words.
 2. Near repeats: where windows of two functions overlap by the passage length and
-   other documents have the same two least hashes, the stretches are compared, each
-   content once, with the earlier ones in turn until one has a stretch of Jaccard
-   similarity 0.8 or more, at whatever offset; such stretches are repeats.
+   other documents have the same two least hashes, the stretches are compared, all that
+   two documents have at once, with the first document that has the hashes and then with
+   the other earlier ones in turn, until one has a stretch of Jaccard similarity 0.8 or
+   more, at whatever offset; such stretches are repeats.
 
 Each repeat is credited to its first document in the order of ids, which keeps it.
 """
@@ -59,41 +60,62 @@ WIDTH, PASSAGE = 5, 50
 STEP = 8
 FUNCTIONS = 4
 PART, WHOLE = 80, 100
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 MEMBERS = 2048
+GRAMS = 16 << 20
+TILE = 64
 _BASE = 0x9FB21C651E98DF25  # odd
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _RUN, _LEAST = np.uint64(1), ~np.uint64(1)
 
 
-def compact_windows(hashes: np.ndarray, least: int) -> np.ndarray:
+def compact_windows(hashes: np.ndarray, least: int, edges: np.ndarray | None = None) -> np.ndarray:
     """Rows (from, centre, to) of the windows of at least so many positions, by centre: a Cartesian tree without its small nodes.
 
-    Of equal hashes the first is the centre. All of a stretch's least ones are taken at once, so a text that repeats
-    itself costs no more than another.
+    ``edges``, if given, are where each of several texts starts, and the end; no window crosses them. Of equal hashes
+    the first is the centre. What is least in a stretch of ``least`` is a candidate; the smaller hashes that bound a
+    candidate's window are candidates too, so one pass over these, a few in a hundred, finds all windows.
     """
-    open_, out = [(0, len(hashes))], []
-    while open_:
-        start, end = open_.pop()
-        if end - start < least:
-            continue
-        part = hashes[start:end]
-        for centre in (start + np.flatnonzero(part == part.min())).tolist():
-            if end - start < least:
-                break
-            out.append((start, centre, end))
-            open_.append((start, centre))
-            start = centre + 1
-        open_.append((start, end))
-    out.sort(key=lambda w: w[1])
-    return np.array(out, np.uint32).reshape(-1, 3)
-
-
-def run_starts(centres: np.ndarray, count: int, least: int) -> np.ndarray:
-    """Starts of the runs around the centres that lie within the text."""
-    starts = (centres.astype(np.int64)[:, None] - np.arange(0, least, STEP)[None, :]).ravel()
-    return np.unique(starts[(starts >= 0) & (starts + least - STEP <= count)])
+    edges = np.array([0, len(hashes)]) if edges is None else edges
+    if len(hashes) < least:
+        return np.zeros((0, 3), np.uint32)
+    low = _over(np.minimum, hashes, least)
+    inside = np.repeat(edges[1:], np.diff(edges))[: len(low)] - np.arange(len(low)) >= least
+    low[~inside] = 0
+    most = _over(np.maximum, np.concatenate([np.zeros(least - 1, np.uint64), low, np.zeros(least - 1, np.uint64)]), least)
+    at = np.flatnonzero(most == hashes)
+    ends = edges[np.searchsorted(edges, at, side="right")]
+    left, right = np.empty(len(at), np.int64), ends.copy()
+    stack: list[tuple[int, int, int]] = []
+    start = end = -1
+    starts = np.repeat(edges[:-1], np.diff(np.searchsorted(at, edges))).tolist()
+    for k, (place, value, last) in enumerate(zip(at.tolist(), hashes[at].tolist(), ends.tolist())):
+        if last != end:
+            stack, start, end = [], starts[k], last
+        while stack and stack[-1][1] > value:
+            right[stack.pop()[0]] = place
+        left[k] = stack[-1][2] + 1 if stack else start
+        stack.append((k, value, place))
+    wide = right - left >= least
+    return np.stack([left[wide], at[wide], right[wide]], axis=1).astype(np.uint32)
+
+
+def _over(function: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The least or the largest of each stretch of ``width`` values."""
+    done, out = 1, values
+    while done < width:
+        step = min(done, width - done)
+        out = function(out[:-step], out[step:])
+        done += step
+    return out.copy() if width == 1 else out
+
+
+def run_starts(centres: np.ndarray, count: int, least: int, since: np.ndarray | int = 0, until: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the runs around the centres that lie within the text, or within each centre's own (``since``, ``until``)."""
+    starts = centres.astype(np.int64)[:, None] - np.arange(0, least, STEP)[None, :]
+    since, until = (np.asarray(x)[..., None] for x in (since, count if until is None else until))
+    return np.unique(starts[(starts >= since) & (starts + least - STEP <= until)])
 
 
 def run_hashes(grams: np.ndarray, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
@@ -141,6 +163,86 @@ def alike(one: tuple, two: tuple, least: int) -> list[tuple[int, int]]:
     return [(s, s + least) for s in np.flatnonzero(similar.any(axis=1)).tolist()]
 
 
+def _parts(edges: np.ndarray, least: int) -> np.ndarray:
+    """Which stretches of ``least`` lie within one of the parts that end at ``edges``."""
+    until = np.repeat(edges[1:], np.diff(edges))
+    return until[: len(until) - least + 1] - np.arange(len(until) - least + 1) >= least
+
+
+def alike_parts(one: tuple, two: tuple, least: int) -> np.ndarray:
+    """What ``alike`` finds, as starts, between texts of several parts each: (shingles, edges of the parts, ``_distinct``, the different ones)."""
+    (a, edges_a, own, all_a), (b, edges_b, other, all_b) = one, two
+    none = np.zeros(0, np.int64)
+    common = np.intersect1d(all_a, all_b, assume_unique=True)
+    if WHOLE * len(common) < PART * max(own.min(), other.min()):
+        return none
+    places = []
+    for x, edges, distinct in ((a, edges_a, own), (b, edges_b, other)):
+        at = np.searchsorted(common, x)
+        at[at == len(common)] = 0
+        known = common[at] == x
+        counts = np.concatenate([[0], np.cumsum(known)])
+        enough = (WHOLE * (counts[least:] - counts[:-least]) >= PART * distinct) & _parts(edges, least)
+        places.append((at, known, np.flatnonzero(enough)))
+    (at_a, known_a, some), (at_b, known_b, others) = places
+    if not len(some) or not len(others):
+        return none
+    # Only what lies in such stretches counts from here on.
+    known_a, known_b = (k & _covering(x, len(k), least) for k, x in ((known_a, some), (known_b, others)))
+    p, q = np.flatnonzero(known_a), np.flatnonzero(known_b)
+    if len(p) and len(q) and np.bincount(at_a[p]).max() == 1 and np.bincount(at_b[q]).max() == 1:
+        there = np.full(len(common), -1)
+        there[at_b[q]] = q
+        q = there[at_a[p]]
+        p, q = p[q >= 0], q[q >= 0]
+        if (q[1:] > q[:-1]).all() and (own[some] == least).all() and (other[others] == least).all():
+            need = -(-PART * 2 * least // (WHOLE + PART))
+            if len(q) < need:
+                return none
+            part = np.searchsorted(edges_b, q, side="right")
+            tight = (q[need - 1 :] - q[: len(q) - need + 1] < least) & (part[need - 1 :] == part[: len(q) - need + 1])
+            counts = np.concatenate([[0], np.cumsum(tight)])
+            first, last = np.searchsorted(p, some), np.searchsorted(p, some + least) - need + 1
+            some, first, last = (x[last > first] for x in (some, first, last))
+            return some[counts[last] > counts[first]]
+    # Tiles of stretches whose shingles have too little in common hold no similar ones.
+    tiles = []
+    for at, known, starts in ((at_a, known_a, some), (at_b, known_b, others)):
+        parts = np.split(starts, range(TILE, len(starts), TILE))
+        has = np.zeros((len(parts), len(common)), np.float32)
+        for k, part in enumerate(parts):
+            here = slice(part[0], part[-1] + least)
+            has[k, at[here][known[here]]] = 1
+        tiles.append((parts, has))
+    (parts_a, has_a), (parts_b, has_b) = tiles
+    near = WHOLE * (has_a @ has_b.T) >= PART * max(own[some].min(), other[others].min())
+    similar = [np.zeros(len(x), bool) for x in parts_a]
+    for k, m in np.argwhere(near).tolist():
+        if not similar[k].all():
+            held, mine, theirs = common[(has_a[k] > 0) & (has_b[m] > 0)], parts_a[k], parts_b[m]
+            shared = _holds_at(a, held, mine, least) @ _holds_at(b, held, theirs, least).T
+            similar[k] |= (WHOLE * shared >= PART * (own[mine][:, None] + other[theirs][None, :] - shared)).any(axis=1)
+    return some[np.concatenate(similar)]
+
+
+def _covering(starts: np.ndarray, count: int, least: int) -> np.ndarray:
+    """Which of so many positions lie in a stretch of ``least`` from one of the starts."""
+    steps = np.bincount(starts, minlength=count + 1)[: count + 1] - np.bincount(starts + least, minlength=count + 1)[: count + 1]
+    return np.cumsum(steps)[:count] > 0
+
+
+def _holds_at(a: np.ndarray, common: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """Which of the common shingles each stretch of ``least`` from the starts has, as ones and zeros."""
+    base = starts[0]
+    a = a[base : starts[-1] + least]
+    at = np.searchsorted(common, a)
+    at[at == len(common)] = 0
+    at[common[at] != a] = len(common)
+    out = np.zeros((len(starts), len(common) + 1), np.float32)
+    out[np.arange(len(starts))[:, None], at[(starts - base)[:, None] + np.arange(least)]] = 1
+    return out[:, :-1]
+
+
 def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping stretches put together."""
     out: list[tuple[int, int]] = []
@@ -153,32 +255,47 @@ def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _payloads(batches: Iterator[pa.RecordBatch], least: int, width: int, block_bytes: int) -> Iterator[tuple]:
-    """(rows, ids, starts of runs, their hashes, windows of each function, their least hashes), each with lengths, of texts of bounded bytes."""
+    """(rows, ids, edges, starts of runs, their hashes, windows of each function, their least hashes) of texts of bounded bytes.
+
+    Texts stand one after the other; ``edges`` are where each starts, and the end.
+    """
     for whole in batches:
         for batch in spans(whole, "text", block_bytes):
-            rows, ids, starts, runs, windows, lows, counts = [], [], [], [], [], [], []
+            rows, ids, found = [], [], []
             for row, id_, text in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), binary(batch, "text")):
-                grams = shingles(word_hashes(words(text)), width)
-                if len(grams) < least:
-                    continue
-                found = []
-                for f in range(FUNCTIONS):
-                    hashes = mix(grams, f + 2)
-                    found.append(compact_windows(hashes, least))
-                    lows.append(hashes[found[-1][:, 1]] & _LEAST)
-                starts.append(run_starts(found[0][:, 1], len(grams), least))
-                runs.append(run_hashes(grams, starts[-1], least - STEP))
-                windows += found
-                rows.append(row)
-                ids.append(id_)
-                counts.append([len(starts[-1]), *map(len, found)])
-            if rows:
-                starts = pack(np.concatenate(starts).astype(np.uint32))
-                yield rows, ids, counts, starts, pack(np.concatenate(runs)), pack(np.concatenate(windows).ravel()), pack(np.concatenate(lows))
+                own = words(text)
+                if len(own) - width + 1 >= least:
+                    rows.append(row)
+                    ids.append(id_)
+                    found.append(shingles(word_hashes(own), width))
+            if not rows:
+                continue
+            edges, grams = np.cumsum([0, *map(len, found)]), np.concatenate(found)
+            windows, lows = [], []
+            for f in range(FUNCTIONS):
+                hashes = mix(grams, f + 2)
+                windows.append(compact_windows(hashes, least, edges))
+                lows.append(pack(hashes[windows[-1][:, 1]] & _LEAST))
+            centres = windows[0][:, 1]
+            of = np.searchsorted(edges, centres, side="right")
+            starts = run_starts(centres, len(grams), least, edges[of - 1], edges[of])
+            runs = pack(run_hashes(grams, starts, least - STEP))
+            yield rows, ids, edges, pack(starts.astype(np.uint32), True), runs, [_narrow(w) for w in windows], lows
+
+
+def _narrow(windows: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Centres, and how far the windows reach before and after them."""
+    start, centre, stop = np.ascontiguousarray(windows.T)
+    return pack(centre, True), pack(centre - start), pack(stop - centre)
+
+
+def _wide(data: tuple[bytes, bytes, bytes]) -> np.ndarray:
+    centre, before, after = (unpack(x).astype(np.int64) for x in data)
+    return np.stack([centre - before, centre, centre + after], axis=1)
 
 
 def _counts(payload: tuple) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([unpack(payload[4]), unpack(payload[6])]), return_counts=True)
+    return np.unique(np.concatenate([unpack(payload[4]), *map(unpack, payload[6])]), return_counts=True)
 
 
 _FOUND = "kind int, key long, row long, id long, start int, stop int, block string, doc int, payload binary"
@@ -188,24 +305,23 @@ _FOUND_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.i
 def _shared(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Runs that occur more than once (kind 0), and for each block the windows whose least hash does (kind 1)."""
     names = [f.split()[0] for f in _FOUND.split(", ")]
-    for (rows, ids, counts, starts, runs, windows, lows), totals in by_block(batches):
+    for (rows, ids, edges, starts, runs, windows, lows), totals in by_block(batches):
         block = uuid.uuid4().hex
-        starts, runs, lows = unpack(starts).astype(np.int64), unpack(runs), unpack(lows)
-        keys = np.unique(np.concatenate([runs, lows]))
+        starts, runs, lows = unpack(starts).astype(np.int64), unpack(runs), [unpack(x) for x in lows]
+        keys = np.unique(np.concatenate([runs, *lows]))
         own = np.flatnonzero(totals[np.searchsorted(keys, runs)] > 1)
-        doc = np.repeat(np.arange(len(rows)), [n for n, *_ in counts])[own].astype(np.int32)
+        doc = np.searchsorted(edges, starts[own], side="right").astype(np.int32) - np.int32(1)
         if len(own):
             row, id_ = (pa.array(x, pa.int64()).take(pa.array(doc)) for x in (rows, ids))
-            start = starts[own].astype(np.int32)
+            start = (starts[own] - edges[doc]).astype(np.int32)
             blocks = pa.array([block], pa.string()).take(pa.array(np.zeros(len(own), np.int32)))
             columns = [np.zeros(len(own), np.int32), runs[own].view(np.int64), row, id_, start, start + np.int32(least - STEP), blocks, doc, pa.nulls(len(own), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names)
         # Centres inside repeated runs count as well: an edited copy may have its only partners there.
-        again = totals[np.searchsorted(keys, lows)] > 1
-        if again.any():
-            edges = np.concatenate([[0], np.cumsum([n for _, *each in counts for n in each])])
-            kept = np.diff(np.concatenate([[0], np.cumsum(again)])[edges]).reshape(len(rows), -1).tolist()
-            data = pickle.dumps((rows, ids, kept, pack(unpack(windows).reshape(-1, 3)[again].ravel()), pack(lows[again])), protocol=5)
+        again = [totals[np.searchsorted(keys, x)] > 1 for x in lows]
+        if any(x.any() for x in again):
+            kept = [_narrow(_wide(w)[x].astype(np.uint32)) for w, x in zip(windows, again)]
+            data = pickle.dumps((rows, ids, edges, kept, [pack(low[x]) for low, x in zip(lows, again)]), protocol=5)
             columns = [[1], *[[None]] * 5, [block], [None], [zstandard.compress(data, 1)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND_TYPES)], names)
 
@@ -224,57 +340,53 @@ def _covered(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(key, row, id, places): the stretches that each text has under a pair of least hashes, as pairs of 32-bit numbers.
+    """(key, row, id, places): the stretches that each text has under a pair of least hashes, start and stop of each in turn.
 
     Stretches that stand in an earlier text word for word are left out: that text has them under the same key.
     """
     for batch in batches:
         for data, covers in zip(batch.column("payload"), batch.column("covered")):
-            rows, ids, counts, windows, lows = opened(data.as_py())
-            windows, lows = unpack(windows).reshape(-1, 3).astype(np.int64), unpack(lows)
+            rows, ids, edges, windows, lows = opened(data.as_py())
+            windows, lows = [_wide(w) for w in windows], [unpack(x) for x in lows]
             covers = unpack(covers.as_py()).reshape(3, -1).astype(np.int64) if covers.is_valid else np.zeros((3, 0), np.int64)
-            edges = np.searchsorted(covers[0], np.arange(len(rows) + 1))
-            out: list[tuple] = []
-            at_low = 0
-            for doc, (row, id_, each) in enumerate(zip(rows, ids, counts)):
-                own = np.concatenate([[0], np.cumsum(each)]) + at_low
-                at_low = int(own[-1])
-                _, since, until = covers[:, edges[doc] : edges[doc + 1]]
-                order = np.argsort(since, kind="stable")
-                since, until = since[order], np.maximum.accumulate(until[order]) if len(order) else until
-                some = [np.arange(a, b) for a, b in zip(own, own[1:])]
-                for f in range(len(some)):
-                    for g in range(f + 1, len(some)):
-                        for at in range(0, len(some[f]), 4096):
-                            found, low, high = _pairs(windows, lows, some[f][at : at + 4096], some[g], f, g, least)
-                            if len(since):
-                                k = np.searchsorted(since, low, side="right") - 1
-                                open_ = (k < 0) | (until[k] < high)
-                                found, low, high = found[open_], low[open_], high[open_]
-                            if len(found):
-                                first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-                                places = np.stack([low, high], axis=1).astype(np.int32)
-                                out.append((row, id_, found[first], [p.tobytes() for p in np.split(places, first[1:])]))
-            if out:
-                sizes = pa.array(np.repeat(np.arange(len(out)), [len(x[2]) for x in out]))
-                row, id_ = (pa.array([x[k] for x in out], pa.int64()).take(sizes) for k in (0, 1))
-                places = pa.array([p for x in out for p in x[3]], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[2] for x in out])), row, id_, places], ["key", "row", "id", "places"])
-
-
-def _pairs(windows: np.ndarray, lows: np.ndarray, some: np.ndarray, others: np.ndarray, f: int, g: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, stop) of the stretches of at least so many positions in a window of each of two functions, once each."""
-    centres = windows[others, 1]
-    first = np.searchsorted(centres, windows[some, 1] - least + 1)
-    many = np.searchsorted(centres, windows[some, 1] + least) - first
-    k = np.repeat(some, many)
-    j = others[np.arange(len(k)) + np.repeat(first - np.cumsum(many) + many, many)]
-    (l1, c1, r1), (l2, c2, r2) = windows[k].T, windows[j].T
-    low = np.maximum(np.maximum(l1, l2), np.minimum(c1, c2) - least)
-    high = np.minimum(np.minimum(r1, r2), np.maximum(c1, c2) + least)
-    wide = high - low >= least
-    k, j, low, high = k[wide], j[wide], low[wide], high[wide]
-    keys = mix(mix(lows[k], f) + lows[j], g).view(np.int64)
+            since, until = covers[1:] + edges[covers[0]]
+            order = np.argsort(since, kind="stable")
+            since, until = since[order], np.maximum.accumulate(until[order]) if len(order) else until
+            row, id_ = pa.array(rows, pa.int64()), pa.array(ids, pa.int64())
+            for f in range(len(windows)):
+                for g in range(f + 1, len(windows)):
+                    found, low, high = _pairs(windows[f], lows[f], windows[g], lows[g], f, g, least)
+                    if len(since):
+                        k = np.searchsorted(since, low, side="right") - 1
+                        open_ = (k < 0) | (until[k] < high)
+                        found, low, high = found[open_], low[open_], high[open_]
+                    if len(found):
+                        doc = np.searchsorted(edges, low, side="right") - 1
+                        first = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])]))
+                        places = np.stack([low - edges[doc], high - edges[doc]], axis=1).astype(np.int32).ravel()
+                        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(found)).astype(np.int32) * 2, pa.int32()), pa.array(places))
+                        at = pa.array(doc[first])
+                        for k in range(0, len(first), 10_000):
+                            yield pa.RecordBatch.from_arrays([pa.array(found[first[k : k + 10_000]]), *(x.slice(k, 10_000) for x in (row.take(at), id_.take(at), places))], ["key", "row", "id", "places"])
+
+
+def _pairs(one: np.ndarray, lows_one: np.ndarray, two: np.ndarray, lows_two: np.ndarray, f: int, g: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, stop) of the stretches of at least so many positions in a window of each of two functions, once each, by key and start."""
+    centres, parts = two[:, 1], []
+    for at in range(0, len(one), 65_536):
+        some = np.arange(at, min(at + 65_536, len(one)))
+        first = np.searchsorted(centres, one[some, 1] - least + 1)
+        many = np.searchsorted(centres, one[some, 1] + least) - first
+        k = np.repeat(some, many)
+        j = np.arange(len(k)) + np.repeat(first - np.cumsum(many) + many, many)
+        (l1, c1, r1), (l2, c2, r2) = one[k].T, two[j].T
+        low = np.maximum(np.maximum(l1, l2), np.minimum(c1, c2) - least)
+        high = np.minimum(np.minimum(r1, r2), np.maximum(c1, c2) + least)
+        wide = high - low >= least
+        parts.append((mix(mix(lows_one[k[wide]], f) + lows_two[j[wide]], g).view(np.int64), low[wide], high[wide]))
+    if not parts:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    keys, low, high = (np.concatenate(x) for x in zip(*parts))
     # In a text that repeats itself, many windows give one stretch.
     order = np.lexsort((high, low, keys))
     keys, low, high = keys[order], low[order], high[order]
@@ -318,143 +430,222 @@ def _prefixes(sides: list[tuple], least: int) -> list[np.ndarray]:
     return out
 
 
-# Shingles of near stretches travel as 32 bits: two of a compared pair that differ are taken for one with a chance of 4e-6.
+# Shingles of near stretches travel as 32 bits: two of a compared pair of stretches that differ are taken for one with a chance of 5e-7.
 _GRAM = np.uint32
 
 
+def _meeting(sides: list[tuple], least: int, asking: list[tuple | None] | None = None) -> Iterator[list[int]]:
+    """For each side in turn the earlier ones that may have a similar stretch: a rare shingle in common.
+
+    ``asking``, if given, has what is asked for in the place of each side, or None.
+    """
+    asked = [x for x in asking or [] if x is not None]
+    prefixes = [x.tolist() for x in _prefixes([*sides, *asked], least)]
+    rest, posted = iter(prefixes[len(sides) :]), {}
+    for p, prefix in enumerate(prefixes[: len(sides)]):
+        own = prefix if asking is None else next(rest) if asking[p] is not None else []
+        yield sorted({d for g in own for d in posted.get(g, ())})
+        for g in prefix:
+            posted.setdefault(g, []).append(p)
+
+
 def _earlier(items: list[tuple], least: int) -> Iterator[tuple]:
     """Of (order, shingles), contents under one key: (place, place of the first in order that is similar, stretches), where that comes before it."""
     order = sorted(range(len(items)), key=lambda k: items[k][0])
     sides = [side(np.frombuffer(items[k][1], _GRAM), least) for k in order]
-    posted: dict[int, list[int]] = {}
-    for p, prefix in enumerate(_prefixes(sides, least)):
-        prefix = prefix.tolist()
-        for d in sorted({d for g in prefix for d in posted.get(g, ())}):
+    for p, others in enumerate(_meeting(sides, least)):
+        for d in others:
             if stretches := alike(sides[p], sides[d], least):
                 yield order[p], order[d], _joined(stretches)
                 break
-        for g in prefix:
-            posted.setdefault(g, []).append(p)
 
 
-_CONTENTS = "content long, key long, row long, id long, start int, length int, places array<struct<first:int,last:int>>"
-_PLACES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-_CONTENT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), _PLACES]
+_TEXTS = "first_row long, i int, j int, order long, row long, id long, keys binary, places binary, parts binary, grams binary"
+_TEXT_TYPES = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 4]
+_FINDS = "key long, place long, row long, id long, better struct<order:long,row:long,id:long>, spans array<struct<start:int,stop:int>>"
+_FIND_TYPES = [*[pa.int64()] * 4, pa.struct([("order", pa.int64()), ("row", pa.int64()), ("id", pa.int64())]), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
 
 
-def _contents(batches: Iterator[pa.RecordBatch], least: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (row, id, text, held), ``held`` the (key, places) of a text, to the contents that it has under each key.
+def _texts(batches: Iterator[pa.RecordBatch], least: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (row, id, text, held), ``held`` what a text has together with each first text, to the shingles there, once for each first text.
 
-    Starts that follow each other within ``least`` are one place from ``first`` to ``last``, for what is similar
-    from there on is one stretch.
+    ``parts`` are where these shingles stand, as (start, stop); ``keys`` and ``places`` go together.
     """
-    names = [f.split()[0] for f in _CONTENTS.split(", ")]
+    names = [f.split()[0] for f in _TEXTS.split(", ")]
     for batch in batches:
         out = []
-        for row, id_, text, held in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), binary(batch, "text"), batch.column("held").to_pylist()):
-            grams = shingles(word_hashes(words(text)), width)
-            places = [np.frombuffer(h["places"], np.int32).reshape(-1, 2) for h in held]
-            keys = np.repeat(np.array([h["key"] for h in held], np.int64), [len(p) for p in places])
-            start, stop = np.concatenate(places).astype(np.int64).T
-            content = (run_hashes(grams, start, stop - start) ^ mix((stop - start).astype(np.uint64), 5)).view(np.int64)
-            order = np.lexsort((start, content, keys))
-            keys, content, start, stop = keys[order], content[order], start[order], stop[order]
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (content[1:] != content[:-1])])
-            breaks = new | np.concatenate([[True], start[1:] - start[:-1] > least])
-            first = np.flatnonzero(breaks)
-            last = np.concatenate([first[1:], [len(start)]]) - 1
-            ends = np.flatnonzero(new[first])
-            for low, high in zip(ends.tolist(), [*ends[1:].tolist(), len(first)]):
-                k = int(first[low])
-                chains = [{"first": int(start[f]), "last": int(start[e])} for f, e in zip(first[low:high], last[low:high])]
-                out.append((int(content[k]), int(keys[k]), row, id_, int(start[k]), int(stop[k] - start[k]), chains))
+        for row, id_, text, held in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), binary(batch, "text"), batch.column("held")):
+            grams = shingles(word_hashes(words(text)), width).astype(_GRAM)
+            held = held.values
+            lists, firsts, blocks = held.field("places"), held.field("first_row").to_numpy(), held.field("blocks").to_numpy()
+            starts = lists.offsets.to_numpy()
+            keys = np.repeat(held.field("key").to_numpy(), np.diff(starts) // 2)
+            places = lists.values.to_numpy()[starts[0] : starts[-1]].reshape(-1, 2)
+            firsts, blocks = (np.repeat(x, np.diff(starts) // 2) for x in (firsts, blocks))
+            order = np.lexsort((places[:, 0], firsts))
+            keys, places, firsts, blocks = keys[order], places[order], firsts[order], blocks[order]
+            ends = np.flatnonzero(np.concatenate([[True], firsts[1:] != firsts[:-1]]))
+            for low, high in zip(ends.tolist(), [*ends[1:].tolist(), len(firsts)]):
+                new, last = _united(places[low:high])
+                parts = np.stack([places[low:high, 0][new], places[low:high, 1][last]], axis=1)
+                own = np.concatenate([grams[x:y] for x, y in parts.tolist()])
+                first, n = int(firsts[low]), int(blocks[low])
+                data = [keys[low:high].tobytes(), places[low:high].tobytes(), parts.astype(np.int32).tobytes(), own.tobytes()]
+                # Every two blocks of a group meet, each with its first text, so all its pairs are decided and no group is one task.
+                mine = row % n
+                for i, j in [(i, j) for i in range(n) for j in range(i, n)] if row == first else [(min(mine, k), max(mine, k)) for k in range(n)]:
+                    out.append((first, i, j, (1 << 63) - 1 if id_ is None else id_, row, id_, *data))
+                    if len(out) == 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TEXT_TYPES)], names)
+                        out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _CONTENT_TYPES)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TEXT_TYPES)], names)
 
 
-def _shingled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (text, wanted), ``wanted`` the (content, start, length) of a text, to the shingles of each content."""
-    for batch in batches:
-        out = []
-        for text, wanted in zip(binary(batch, "text"), batch.column("wanted").to_pylist()):
-            grams = shingles(word_hashes(words(text)), width).astype(_GRAM)
-            out += [(w["content"], grams[w["start"] : w["start"] + w["length"]].tobytes()) for w in wanted]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], ["content", "grams"])
+def _united(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of (start, stop) in order of start, for each that overlapping ones make up, which is its first and which reaches its end."""
+    until = np.maximum.accumulate(places[:, 1])
+    first = np.flatnonzero(np.concatenate([[True], places[1:, 0] > until[:-1]]))
+    ends = np.append(first[1:], len(places)) - 1
+    return first, np.searchsorted(until, until[ends])
+
+
+class _Text:
+    """What a text has in a group: shingles of several parts, and the places in the text under each key."""
+
+    def __init__(self, order: int, row: int, id_: int | None, keys: np.ndarray, places: np.ndarray, parts: np.ndarray, grams: np.ndarray, least: int):
+        self.order, self.row, self.id, self.keys, self.places, self.grams, self.least = order, row, id_, keys, places, grams, least
+        self.edges, self.since = np.concatenate([[0], np.cumsum(parts[:, 1] - parts[:, 0])]), parts[:, 0]
+        # Where the places are in ``grams``.
+        self.at = places - (self.since - self.edges[:-1])[np.searchsorted(self.since, places[:, 0], side="right") - 1][:, None]
+        self.distinct, self.all = _distinct(grams, least), np.unique(grams)
+
+    def only(self, some: np.ndarray) -> _Text:
+        """With some of its places, which are in order of start, and no other shingles."""
+        places, at = self.places[some], self.at[some]
+        first, last = _united(places)
+        grams = np.concatenate([self.grams[a:b] for a, b in zip(at[first, 0].tolist(), at[last, 1].tolist())])
+        return _Text(self.order, self.row, self.id, self.keys[some], places, np.stack([places[first, 0], places[last, 1]], axis=1), grams, self.least)
+
+    def like(self, other: _Text) -> np.ndarray:
+        """Starts in ``grams`` of what is similar to a stretch of the other one."""
+        return alike_parts((self.grams, self.edges, self.distinct, self.all), (other.grams, other.edges, other.distinct, other.all), self.least)
+
+    def holding(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place, from which of the starts to which lie in it."""
+        return np.searchsorted(starts, self.at[:, 0]), np.searchsorted(starts, self.at[:, 1] - self.least, side="right")
+
+    def stretches(self, starts: np.ndarray) -> list[dict]:
+        starts = starts + (self.since - self.edges[:-1])[np.searchsorted(self.edges, starts, side="right") - 1]
+        return [{"start": a, "stop": b} for a, b in _joined([(s, s + self.least) for s in starts.tolist()])]
+
+    def who(self) -> dict:
+        return {"order": self.order, "row": self.row, "id": self.id}
+
+
+def _group(texts: list[_Text], first_row: int, mine: bool, least: int) -> Iterator[tuple]:
+    """Rows of _FINDS: stretches of texts that are similar to one of an earlier text under one of their keys.
+
+    Texts come in order. Nearly all is decided between a text and the first one, which has all keys of the group: what is similar
+    there is credited to it, by the task that has the text as its own (``mine``). Places in which nothing is are
+    looked for in the other earlier texts in turn that have their key, until one has something similar.
+    """
+    first = next((t for t in texts if t.row == first_row), None)
+    texts = [t for t in texts if t.row != first_row]
+    open_ = []
+    for t in texts:
+        open_.append(np.ones(len(t.keys), bool))
+        if first is not None:
+            starts = t.like(first)
+            low, high = t.holding(starts)
+            open_[-1] = low >= high
+            if mine and len(starts):
+                yield None, None, t.row, t.id, first.who(), t.stretches(starts)
+    if len(texts) < 2:
+        return
+    keys = [np.unique(t.keys) for t in texts]
+    rest = [t.only(x) if x.any() else None for t, x in zip(texts, open_)]
+    asking = [t and (t.grams, t.all, t.distinct) for t in rest]
+    for t, others in zip(rest, _meeting([(t.grams, t.all, t.distinct) for t in texts], least, asking)):
+        left = np.arange(len(t.keys)) if others else others
+        for d in others:
+            there = np.searchsorted(keys[d], t.keys[left])
+            there[there == len(keys[d])] = 0
+            both = left[keys[d][there] == t.keys[left]]
+            if not len(both):
+                continue
+            starts = t.like(texts[d])
+            low, high = t.holding(starts)
+            found = both[high[both] > low[both]]
+            for k in found.tolist():
+                yield int(t.keys[k]), int(t.places[k, 0]), t.row, t.id, texts[d].who(), t.stretches(starts[low[k] : high[k]])
+            left = np.setdiff1d(left, found, assume_unique=True)
+            if not len(left):
+                break
 
 
 def _near(docs: DataFrame, scratch: Scratch, found: DataFrame, copies: DataFrame, least: int, width: int) -> DataFrame:
     """(row, id, first_id, start, stop) of the stretches that are similar to one of an earlier document under their key.
 
-    Stretches of equal content are compared once. Under a key the first in order of all that are similar to a
-    content is where each text that has it is credited, but that first one itself.
+    Texts are grouped by the first text that has one of their keys. A text goes to each of its groups once, with the
+    shingles of all that it has there, however many keys that are.
     """
-    several = found.groupBy("key").agg(F.max("row").alias("high"), F.min("row").alias("low")).filter("low <> high").select("key")
     # A copy of a whole text has what its first document has, which alone is searched.
-    held = found.join(several, "key").join(copies.select("row"), "row", "left_anti")
-    held = scratch.keep(held.groupBy("row").agg(F.first("id").alias("id"), F.collect_set(F.struct("key", "places")).alias("held")), "near-members")
-
-    def joined(places: DataFrame) -> DataFrame:
-        """The texts of the rows of ``places``, beside what it has of them; a bitmap of fixed size lets most others stay."""
-        bits = bitmap(places.select(place("row").alias("at")))
-
-        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(marked(bits, batch.column("at"))).select(["row", "text"])
-
-        texts = docs.select("row", "text", place("row").alias("at")).mapInArrow(likely, "row long, text string").dropDuplicates(["row"])
-        return texts.join(places, "row")
-
-    texts = joined(held).select("row", "id", "text", "held")
-    holders = scratch.keep(texts.mapInArrow(lambda batches: _contents(batches, least, width), _CONTENTS), "near-contents")
-    scratch.drop("near-members")
-    first = F.min(F.struct(_order().alias("order"), F.col("row"), F.col("start"), F.col("id"), F.col("length"))).alias("first")
-    items = scratch.keep(holders.groupBy("key", "content").agg(first).select("key", "content", "first"), "near-items")
-    sizes = items.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"))
-    several = items.join(sizes, "key")
-    # The shingles of a content are made from one text that has it, where there is something to compare.
-    source = several.groupBy("content").agg(F.min(F.struct("first.row", "first.start", "first.length")).alias("at"))
-    source = source.groupBy("at.row").agg(F.collect_list(F.struct("content", "at.start", "at.length")).alias("wanted"))
-    source = scratch.keep(source, "near-wanted")
-    grams = joined(source).select("text", "wanted").mapInArrow(lambda batches: _shingled(batches, width), "content long, grams binary")
-    # Every two blocks of a key meet, so all its pairs are decided and no key is one task.
-    dealt = several.withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "content", "first")
-    dealt = dealt.join(grams, "content").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = found.join(copies.select("row"), "row", "left_anti")
+    several = found.groupBy("key").agg(F.min(F.struct(_order(), "row")).alias("first"), F.max("row").alias("high"), F.min("row").alias("low"))
+    held = found.join(several.filter("low <> high").select("key", F.col("first.row").alias("first_row")), "key")
+    length = F.aggregate("places", F.lit(0), lambda n, x: x - n)  # the stops less the starts, as there is an even number
+    held = scratch.keep(held.select("first_row", "row", "id", "key", "places", length.alias("length")), "near-members")
+    sizes = held.groupBy("first_row").agg(F.count_distinct("row").alias("n"), F.sum("length").alias("length"))
+    sizes = sizes.select("first_row", F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("length") / GRAMS)).cast("int").alias("blocks")).filter("blocks > 1")
+    sizes = scratch.keep(sizes, "near-sizes")
+    held = held.join(F.broadcast(sizes), "first_row", "left")
+    held = held.groupBy("row").agg(F.first("id").alias("id"), F.collect_set(F.struct("key", "first_row", F.coalesce("blocks", F.lit(1)).alias("blocks"), "places")).alias("held"))
+    held = scratch.keep(held, "near-held")
+    scratch.drop("near-members", "near-sizes")
+    # A bitmap of fixed size lets most texts that are not asked for stay.
+    bits = bitmap(held.select(place("row").alias("at")))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(marked(bits, batch.column("at"))).select(["row", "text"])
+
+    texts = docs.select("row", "text", place("row").alias("at")).mapInArrow(likely, "row long, text string").dropDuplicates(["row"])
+    texts = texts.join(held, "row").select("row", "id", "text", "held")
+    texts = scratch.keep(texts.mapInArrow(lambda batches: _texts(batches, least, width), _TEXTS), "near-texts")
+    scratch.drop("near-held")
+    dealt = texts.repartition("first_row", "i", "j").sortWithinPartitions("first_row", "i", "j", "order", "row")
+    names = [f.split()[0] for f in _FINDS.split(", ")[:4]] + ["better", "spans"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, []
         for batch in batches:
             out = []
-            for key, content, first, data in zip(*(batch.column(c).to_pylist() for c in ("at", "content", "first", "grams"))):
-                if key != now:
-                    out += matched(now, own) if own else []
-                    now, own = key, []
-                own.append(((first["order"], first["row"], first["start"]), data, content, first))
+            columns = [batch.column(c).to_pylist() for c in (f.split()[0] for f in _TEXTS.split(", "))]
+            for first, i, j, *rest in zip(*columns):
+                if (first, i, j) != now:
+                    out += matched(now, own)
+                    now, own = (first, i, j), []
+                order, row, id_, keys, places, parts, grams = rest
+                places, parts = (np.frombuffer(x, np.int32).reshape(-1, 2) for x in (places, parts))
+                own.append(_Text(order, row, id_, np.frombuffer(keys, np.int64), places, parts, np.frombuffer(grams, _GRAM), least))
             yield from rows_of(out)
-        yield from rows_of(matched(now, own) if own else [])
-
-    def matched(at: dict, own: list[tuple]) -> list[tuple]:
-        return [(at["key"], own[k][2], own[q][3], [{"start": a, "stop": b} for a, b in stretches]) for k, q, stretches in _earlier(own, least)]
+        yield from rows_of(matched(now, own))
 
-    place_ = pa.struct([("order", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("id", pa.int64()), ("length", pa.int32())])
-    kinds = (pa.int64(), pa.int64(), place_, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+    def matched(at: tuple | None, own: list[_Text]) -> list[tuple]:
+        return list(_group(own, at[0], at[1] == at[2], least)) if len(own) > 1 else []
 
     def rows_of(out: list[tuple]) -> Iterator[pa.RecordBatch]:
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["key", "content", "better", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FIND_TYPES)], names)
 
-    schema = "key long, content long, better struct<order:long,row:long,start:int,id:long,length:int>, spans array<struct<start:int,stop:int>>"
-    both = dealt.select(F.struct("key", "i", "j").alias("at"), "content", "first", "grams").mapInArrow(compare, schema)
-    # Of what the blocks have found, the first document.
-    better = both.groupBy("key", "content").agg(F.min(F.struct("better", "spans")).alias("found"))
-    targets = scratch.keep(items.join(better, ["key", "content"], "left").select("key", "content", F.coalesce("found.better", "first").alias("target"), "found.spans"), "near-targets")
-    credited = holders.join(targets, ["key", "content"]).filter("row <> target.row")
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("length").alias("stop")))
-    credited = credited.select("row", "id", F.col("target.id").alias("first_id"), F.explode("places").alias("at"), F.coalesce("spans", whole).alias("spans"))
-    credited = credited.select("row", "id", "first_id", "at", F.explode("spans").alias("span"))
-    return credited.select("row", "id", "first_id", (F.col("at.first") + F.col("span.start")).alias("start"), (F.col("at.last") + F.col("span.stop")).alias("stop")).distinct()
+    finds = scratch.keep(dealt.mapInArrow(compare, _FINDS), "near-finds")
+    scratch.drop("near-texts")
+    # Of what the blocks of a group have found, the first document.
+    other = finds.filter("key IS NOT NULL").groupBy("key", "place", "row").agg(F.min(F.struct("better", "spans", "id")).alias("found"))
+    credited = finds.filter("key IS NULL").select("row", "id", F.col("better.id").alias("first_id"), "spans")
+    credited = credited.unionAll(other.select("row", "found.id", F.col("found.better.id").alias("first_id"), "found.spans"))
+    return credited.select("row", "id", "first_id", F.explode("spans").alias("span")).select("row", "id", "first_id", "span.start", "span.stop").distinct()
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -493,7 +684,7 @@ def _found(source: DataFrame, scratch: Scratch, passage: int, width: int, block_
     exact = scratch.keep(_credited(found.filter("kind = 0")).drop("kind", "key", "payload"), "exact")
     covered = exact.select("block", "doc", "first_row", "first_start", "start", "stop").groupBy("block").applyInPandas(_covered, "block string, covered binary")
     open_ = found.filter("kind = 1").select("block", "payload").join(covered, "block", "left").select("payload", "covered")
-    stretches = scratch.keep(open_.mapInArrow(lambda batches: _stretches(batches, least), "key long, row long, id long, places binary"), "stretches")
+    stretches = scratch.keep(open_.mapInArrow(lambda batches: _stretches(batches, least), "key long, row long, id long, places array<int>"), "stretches")
     scratch.drop("shared")
     exact = exact.select("row", "id", "first_id", "start", "stop")
     copies = scratch.keep(_copies(source), "copies")
@@ -501,7 +692,7 @@ def _found(source: DataFrame, scratch: Scratch, passage: int, width: int, block_
     same = near.select(F.col("row").alias("first_row"), "first_id", "start", "stop").join(copies, "first_row")
     near = near.unionByName(same.select("row", "id", "first_id", "start", "stop"))
     merged = scratch.keep(_merged(exact.unionByName(near)), "repeats")
-    scratch.drop("exact", "stretches", "near-contents", "near-items", "near-wanted", "near-targets", "copies", "near")
+    scratch.drop("exact", "stretches", "near-finds", "copies", "near")
     return merged
 
 
