@@ -103,3 +103,11 @@ def test_empty(spark):
     assert score(frame(spark, []), Scratch(spark), F.expr(HELD)).collect() == []
     (r,) = score(frame(spark, [(1, "a")]), Scratch(spark), F.lit(True)).collect()
     assert (r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0.0, 0.0)
+
+
+def test_counts_in_turns(spark):
+    rows = [(k, " ".join(f"w{(k * j) % 50}" for j in range(40))) for k in range(60)]
+    scratch = Scratch(spark)
+    score(spark.createDataFrame(rows, "doc_id long, text string"), scratch, F.col("doc_id") % 10 == 0).count()
+    buckets = [{r.bucket for r in spark.read.parquet(path).select("bucket").collect()} for name, path in scratch.paths.items() if name.startswith("totals")]
+    assert len(buckets) == 2 and all(buckets) and not buckets[0] & buckets[1]

@@ -19,6 +19,7 @@ the part of the automaton that the block's texts walk through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ ADDED = 0.1  # Fixed value.
 PRIOR = 4.0  # k
 PLAIN = 0.5  # q
 ORDER = 3  # words in the longest run
+TURNS = 2
 BLOCK_BYTES = 8 << 20
 _END = word_hashes([b"\n"])  # white space is never a word
 _RUN, _WORD = np.uint64(1), ~np.uint64(1)
@@ -167,7 +169,9 @@ def score(
         own = totals[keys & _RUN == 0]
         return [int(own.sum()), *(int(np.sum(x)) for x in (own > 0, own == 1, own == 2))]
 
-    answers = scratch.keep(totals_of(blocks, lambda payload: counts_of(payload, order), bits, summary), "totals")
+    # What the blocks ask for is three times the input, so it is shuffled in turns.
+    turns = [scratch.keep(totals_of(blocks, lambda payload: counts_of(payload, order), bits, summary, (k, TURNS)), f"totals-{k}") for k in range(TURNS)]
+    answers = reduce(DataFrame.unionAll, turns)
     sums = [unpack(r.totals) for r in answers.filter("block IS NULL").select("totals").collect()]  # one for each bucket
     training = tuple(int(x) for x in np.sum([np.zeros(4, np.uint64), *sums], axis=0))
     kind = source.schema["_id"].dataType.simpleString()

@@ -244,11 +244,14 @@ def totals_of(
     keys_of: Callable[[tuple], tuple[np.ndarray, np.ndarray]],
     bits: int,
     summary: Callable[[np.ndarray, np.ndarray], list[int]] | None = None,
+    part: tuple[int, int] = (0, 1),
 ) -> DataFrame:
     """(block, bucket, totals): the sums over all blocks of the counts of each key of a block, in the order of its keys.
 
     ``keys_of`` makes sorted distinct 64-bit keys and their counts from a payload. With
     ``summary``, a row of block NULL holds its numbers for the keys and sums of a bucket.
+    ``part`` (k, n) is for the buckets that are k modulo n: n tables, written in turn, hold what
+    one would, and the shuffle files of one are gone before the next.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +260,7 @@ def totals_of(
                 keys, counts = keys_of(opened(data.as_py()))
                 edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
                 parts = zip(np.split(keys, edges), np.split(counts.astype(np.uint64), edges))
-                rows = [(k, pack(a, True), pack(c)) for k, (a, c) in enumerate(parts) if len(a)]
+                rows = [(k, pack(a, True), pack(c)) for k, (a, c) in enumerate(parts) if len(a) and k % part[1] == part[0]]
                 if rows:
                     bucket, keys, counts = zip(*rows)
                     columns = [pa.array([block.as_py()] * len(rows)), pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())]
