@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from timberline.llm import common
@@ -303,3 +304,77 @@ def test_shuffle_files_go_with_the_write(spark, monkeypatch):
     monkeypatch.setattr(writer, "parquet", lambda self, path: (seen.append(spark.conf.get(name)), write(self, path))[1])
     assert scratch.keep(df, "few").count() == 9
     assert seen == ["true"] and spark.conf.get(name) == before
+
+
+def test_a_run_of_one_word_is_one_row(spark, monkeypatch):
+    r, sent, keep = random.Random(5), {}, Scratch.keep
+
+    def kept(self, df, name):
+        out = keep(self, df, name)
+        sent[name] = out
+        if name == "shared":
+            sent["runs"] = out.filter("kind = 0").count()
+        if name == "stretches":
+            sent["places"] = sum(len(x.places) // 2 for x in out.collect())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    rows = [(k, " ".join(text(r, 60) + ["again"] * (3000 + k) + text(r, 60))) for k in range(3)]
+    found = repeats(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()
+    covered = {k: set() for k in range(3)}
+    for f in found:
+        assert f.first_id == 0
+        covered[f.doc_id] |= set(range(f.start, f.stop))
+    assert not covered[0] and all(len(covered[k] & set(range(60, 3060 + k))) >= 3000 + k - 16 for k in (1, 2))
+    assert sent["runs"] < 100 and sent["places"] < 6000
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pairs_of_windows_against_all(seed):
+    r, least = np.random.default_rng(seed), 8
+    grams = np.concatenate([np.repeat(r.integers(0, 6, 8), r.integers(1, 40, 8)), r.integers(0, 1 << 40, 60), np.repeat(r.integers(0, 6, 6), r.integers(1, 30, 6))]).astype(np.uint64)
+    windows, lows = [], []
+    for f in range(2):
+        hashes = common.mix(grams, f + 2)
+        windows.append(compact_windows(hashes, least).astype(np.int64))
+        lows.append(hashes[windows[f][:, 1]])
+    (one, two), want = windows, set()
+    for k, (l1, c1, r1) in enumerate(one.tolist()):
+        for j, (l2, c2, r2) in enumerate(two.tolist()):
+            low, high = max(l1, l2, min(c1, c2) - least), min(r1, r2, max(c1, c2) + least)
+            if c1 - least < c2 < c1 + least and high - low >= least:
+                key = common.mix(common.mix(lows[0][k : k + 1], 0) + lows[1][j : j + 1], 1).view(np.int64)
+                want.add((int(key[0]), low, high))
+    keys, low, high, even = compact_windows_module._pairs(one, lows[0], two, lows[1], 0, 1, least)
+    assert list(zip(keys.tolist(), low.tolist(), high.tolist())) == sorted(want)
+    assert all(len(set(grams[a:b].tolist())) == 1 and b - a == least for a, b in zip(low[even].tolist(), high[even].tolist()))
+    assert even.any()
+
+
+def test_texts_with_a_common_part_are_not_all_compared(monkeypatch):
+    r, least = np.random.default_rng(1), 46
+    part, texts, calls, compared = r.integers(0, 1 << 31, 39), [], [], compact_windows_module.alike_parts
+    for k in range(60):
+        own = np.concatenate([r.integers(0, 1 << 31, 11), part, r.integers(0, 1 << 31, 11)]).astype(np.uint32)
+        if k == 50:
+            own[:60] = texts[20].grams[:60]
+        texts.append(compact_windows_module._Text(k, k, k, np.array([7]), np.array([[0, 61]]), np.array([[0, 61]]), own, least))
+    monkeypatch.setattr(compact_windows_module, "alike_parts", lambda *x: (calls.append(1), compared(*x))[1])
+    found = list(compact_windows_module._group(texts, -1, True, least))
+    assert [(f[2], f[4]["row"]) for f in found] == [(50, 20)]
+    # Of 1770 pairs.
+    assert len(calls) < 10
+
+
+def test_places_without_enough_in_common_are_not_compared(monkeypatch):
+    """Texts share a passage in one place; another place of each, under its key, has nothing to find."""
+    r, least = np.random.default_rng(2), 46
+    passage, texts, calls, compared = r.integers(0, 1 << 31, 60), [], [], compact_windows_module.alike_parts
+    for k in range(40):
+        own = np.concatenate([passage, r.integers(0, 1 << 31, 60)]).astype(np.uint32)
+        texts.append(compact_windows_module._Text(k, k, k, np.array([7, 8]), np.array([[0, 60], [60, 120]]), np.array([[0, 120]]), own, least))
+    monkeypatch.setattr(compact_windows_module, "alike_parts", lambda *x: (calls.append(1), compared(*x))[1])
+    found = list(compact_windows_module._group(texts, -1, True, least))
+    assert [(f[0], f[2], f[4]["row"]) for f in found] == [(7, k, 0) for k in range(1, 40)]
+    # Of 780 pairs.
+    assert len(calls) == 39

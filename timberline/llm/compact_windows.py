@@ -63,6 +63,7 @@ PART, WHOLE = 80, 100
 BLOCK_BYTES = 4 << 20
 MEMBERS = 2048
 GRAMS = 16 << 20
+POSTED = 1 << 20
 TILE = 64
 _BASE = 0x9FB21C651E98DF25  # odd
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -126,8 +127,18 @@ def run_hashes(grams: np.ndarray, starts: np.ndarray, length: int | np.ndarray)
     return mix((sums[starts + length] - sums[starts]) * back[starts], 1) | _RUN
 
 
+def _different(a: np.ndarray) -> np.ndarray:
+    """The different values in order; for short arrays quicker than ``np.unique``."""
+    a = np.sort(a)
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    return a[new]
+
+
 def _distinct(a: np.ndarray, least: int) -> np.ndarray:
     """How many different shingles each stretch of ``least`` has."""
+    if len(_different(a)) == len(a):
+        return np.full(len(a) - least + 1, least)
     order = np.argsort(a, kind="stable")
     before = np.full(len(a), -1)
     same = a[order[1:]] == a[order[:-1]]
@@ -170,23 +181,26 @@ def _parts(edges: np.ndarray, least: int) -> np.ndarray:
 
 
 def alike_parts(one: tuple, two: tuple, least: int) -> np.ndarray:
-    """What ``alike`` finds, as starts, between texts of several parts each: (shingles, edges of the parts, ``_distinct``, the different ones)."""
-    (a, edges_a, own, all_a), (b, edges_b, other, all_b) = one, two
+    """What ``alike`` finds, as starts, between texts of several parts each: (shingles, edges of the parts, ``_distinct``, the different ones, ``_parts`` if known)."""
+    (a, edges_a, own, all_a, *within_a), (b, edges_b, other, all_b, *within_b) = one, two
     none = np.zeros(0, np.int64)
     common = np.intersect1d(all_a, all_b, assume_unique=True)
-    if WHOLE * len(common) < PART * max(own.min(), other.min()):
+    least_a, least_b = int(own.min()), int(other.min())
+    if WHOLE * len(common) < PART * max(least_a, least_b) or (WHOLE + PART) * len(common) < PART * (least_a + least_b):
         return none
     places = []
-    for x, edges, distinct in ((a, edges_a, own), (b, edges_b, other)):
+    for x, edges, distinct, within, floor in ((a, edges_a, own, within_a, least_b), (b, edges_b, other, within_b, least_a)):
         at = np.searchsorted(common, x)
         at[at == len(common)] = 0
         known = common[at] == x
-        counts = np.concatenate([[0], np.cumsum(known)])
-        enough = (WHOLE * (counts[least:] - counts[:-least]) >= PART * distinct) & _parts(edges, least)
-        places.append((at, known, np.flatnonzero(enough)))
+        counts = np.zeros(len(x) + 1, np.int64)
+        np.cumsum(known, out=counts[1:])
+        enough = (WHOLE + PART) * (counts[least:] - counts[:-least]) >= PART * (distinct + floor)
+        enough = np.flatnonzero(enough & (within[0] if within else _parts(edges, least)))
+        if not len(enough):
+            return none
+        places.append((at, known, enough))
     (at_a, known_a, some), (at_b, known_b, others) = places
-    if not len(some) or not len(others):
-        return none
     # Only what lies in such stretches counts from here on.
     known_a, known_b = (k & _covering(x, len(k), least) for k, x in ((known_a, some), (known_b, others)))
     p, q = np.flatnonzero(known_a), np.flatnonzero(known_b)
@@ -312,10 +326,15 @@ def _shared(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         own = np.flatnonzero(totals[np.searchsorted(keys, runs)] > 1)
         doc = np.searchsorted(edges, starts[own], side="right").astype(np.int32) - np.int32(1)
         if len(own):
+            # Equal runs one word apart are of one shingle; such ones make one row.
+            new = np.ones(len(own), bool)
+            new[1:] = (runs[own[1:]] != runs[own[:-1]]) | (starts[own[1:]] != starts[own[:-1]] + 1) | (doc[1:] != doc[:-1])
+            last = own[np.append(np.flatnonzero(new)[1:], len(own)) - 1]
+            own, doc = own[new], doc[new]
             row, id_ = (pa.array(x, pa.int64()).take(pa.array(doc)) for x in (rows, ids))
-            start = (starts[own] - edges[doc]).astype(np.int32)
+            start, stop = ((x - edges[doc]).astype(np.int32) for x in (starts[own], starts[last] + (least - STEP)))
             blocks = pa.array([block], pa.string()).take(pa.array(np.zeros(len(own), np.int32)))
-            columns = [np.zeros(len(own), np.int32), runs[own].view(np.int64), row, id_, start, start + np.int32(least - STEP), blocks, doc, pa.nulls(len(own), pa.binary())]
+            columns = [np.zeros(len(own), np.int32), runs[own].view(np.int64), row, id_, start, stop, blocks, doc, pa.nulls(len(own), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names)
         # Centres inside repeated runs count as well: an edited copy may have its only partners there.
         again = [totals[np.searchsorted(keys, x)] > 1 for x in lows]
@@ -326,12 +345,13 @@ def _shared(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND_TYPES)], names)
 
 
-def _covered(group: pd.DataFrame) -> pd.DataFrame:
+def _covered(group: pd.DataFrame, length: int) -> pd.DataFrame:
     """The stretches of each text of a block that stand, in one piece, in the same earlier text."""
     group = group.assign(shift=group["first_start"] - group["start"]).sort_values(["doc", "first_row", "shift", "start"], ignore_index=True)
-    doc, first, shift, start, stop = (group[c].to_numpy() for c in ("doc", "first_row", "shift", "start", "stop"))
+    doc, first, shift, start = (group[c].to_numpy() for c in ("doc", "first_row", "shift", "start"))
+    # Of runs of one shingle, which may be fewer in the earlier text, the first. All have one length, so the one before reaches farthest.
+    stop = start + length
     new = np.ones(len(group), bool)
-    # Runs have one length, so the one before reaches farthest.
     new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > stop[:-1])
     at = np.flatnonzero(new)
     ends = np.concatenate([at[1:], [len(group)]]) - 1
@@ -355,12 +375,17 @@ def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
             row, id_ = pa.array(rows, pa.int64()), pa.array(ids, pa.int64())
             for f in range(len(windows)):
                 for g in range(f + 1, len(windows)):
-                    found, low, high = _pairs(windows[f], lows[f], windows[g], lows[g], f, g, least)
+                    found, low, high, even = _pairs(windows[f], lows[f], windows[g], lows[g], f, g, least)
                     if len(since):
                         k = np.searchsorted(since, low, side="right") - 1
                         open_ = (k < 0) | (until[k] < high)
-                        found, low, high = found[open_], low[open_], high[open_]
+                        found, low, high, even = found[open_], low[open_], high[open_], even[open_]
                     if len(found):
+                        # All stretches of one shingle are one set, and one place.
+                        new = np.ones(len(found), bool)
+                        new[1:] = ~(even[1:] & even[:-1]) | (found[1:] != found[:-1]) | (low[1:] != low[:-1] + 1)
+                        at = np.flatnonzero(new)
+                        found, low, high = found[at], low[at], high[np.append(at[1:], len(new)) - 1]
                         doc = np.searchsorted(edges, low, side="right") - 1
                         first = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])]))
                         places = np.stack([low - edges[doc], high - edges[doc]], axis=1).astype(np.int32).ravel()
@@ -370,29 +395,59 @@ def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
                             yield pa.RecordBatch.from_arrays([pa.array(found[first[k : k + 10_000]]), *(x.slice(k, 10_000) for x in (row.take(at), id_.take(at), places))], ["key", "row", "id", "places"])
 
 
-def _pairs(one: np.ndarray, lows_one: np.ndarray, two: np.ndarray, lows_two: np.ndarray, f: int, g: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, stop) of the stretches of at least so many positions in a window of each of two functions, once each, by key and start."""
-    centres, parts = two[:, 1], []
-    for at in range(0, len(one), 65_536):
-        some = np.arange(at, min(at + 65_536, len(one)))
-        first = np.searchsorted(centres, one[some, 1] - least + 1)
-        many = np.searchsorted(centres, one[some, 1] + least) - first
-        k = np.repeat(some, many)
-        j = np.arange(len(k)) + np.repeat(first - np.cumsum(many) + many, many)
-        (l1, c1, r1), (l2, c2, r2) = one[k].T, two[j].T
+def _chains(windows: np.ndarray, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows start at their centre, and for each the first and the last centre of those of one shingle that follow one another there."""
+    centres = windows[:, 1]
+    tight = windows[:, 0] == centres
+    new = np.ones(len(windows), bool)
+    new[1:] = ~(tight[1:] & tight[:-1]) | (centres[1:] != centres[:-1] + 1) | (lows[1:] != lows[:-1])
+    at, which = np.flatnonzero(new), np.cumsum(new) - 1
+    return tight, centres[at][which], centres[np.append(at[1:], len(new)) - 1][which]
+
+
+def _pairs(one: np.ndarray, lows_one: np.ndarray, two: np.ndarray, lows_two: np.ndarray, f: int, g: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, stop, even) of the stretches of at least so many positions in a window of each of two functions, once each, by key and start.
+
+    What is ``even`` has ``least`` times one shingle.
+    """
+    if not len(one) or not len(two):
+        return *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, bool)
+    centres, own = two[:, 1], one[:, 1]
+    (tight, _, last), (tight_two, since, until) = _chains(one, lows_one), _chains(two, lows_two)
+    first, stop = np.searchsorted(centres, own - least + 1), np.searchsorted(centres, own + least)
+    # Where one shingle repeats, two windows give what those of both functions at the later centre give.
+    same = np.minimum(np.searchsorted(centres, own), len(two) - 1)
+    both = tight & tight_two[same] & (centres[same] == own)
+    common = np.minimum(last, until[same])
+    skip = np.where(both, np.maximum(first, same - (own - since[same])), stop)
+    after = np.where(both, np.minimum(stop, same + (common - own) + 1), stop)
+    k = np.concatenate([np.repeat(np.arange(len(one)), skip - first), np.flatnonzero(both), np.repeat(np.arange(len(one)), stop - after)])
+    j = np.concatenate([_ranges(first, skip), same[both], _ranges(after, stop)])
+    even = np.zeros(len(k), bool)
+    even[(skip - first).sum() :][: both.sum()] = (common - own >= least - 1)[both]
+    parts = []
+    for at in range(0, len(k), 1 << 18):
+        some, other, flat = (x[at : at + (1 << 18)] for x in (k, j, even))
+        (l1, c1, r1), (l2, c2, r2) = one[some].T, two[other].T
         low = np.maximum(np.maximum(l1, l2), np.minimum(c1, c2) - least)
         high = np.minimum(np.minimum(r1, r2), np.maximum(c1, c2) + least)
         wide = high - low >= least
-        parts.append((mix(mix(lows_one[k[wide]], f) + lows_two[j[wide]], g).view(np.int64), low[wide], high[wide]))
+        parts.append((mix(mix(lows_one[some[wide]], f) + lows_two[other[wide]], g).view(np.int64), low[wide], high[wide], flat[wide]))
     if not parts:
-        return tuple(np.zeros(0, np.int64) for _ in range(3))
-    keys, low, high = (np.concatenate(x) for x in zip(*parts))
+        return *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, bool)
+    keys, low, high, even = (np.concatenate(x) for x in zip(*parts))
     # In a text that repeats itself, many windows give one stretch.
     order = np.lexsort((high, low, keys))
-    keys, low, high = keys[order], low[order], high[order]
+    keys, low, high, even = keys[order], low[order], high[order], even[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    return keys[new], low[new], high[new]
+    return keys[new], low[new], high[new], even[new]
+
+
+def _ranges(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    many = stop - first
+    return np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
 
 
 def _order() -> Column:
@@ -518,7 +573,7 @@ class _Text:
         self.edges, self.since = np.concatenate([[0], np.cumsum(parts[:, 1] - parts[:, 0])]), parts[:, 0]
         # Where the places are in ``grams``.
         self.at = places - (self.since - self.edges[:-1])[np.searchsorted(self.since, places[:, 0], side="right") - 1][:, None]
-        self.distinct, self.all = _distinct(grams, least), np.unique(grams)
+        self.distinct, self.all, self.within = _distinct(grams, least), _different(grams), _parts(self.edges, least)
 
     def only(self, some: np.ndarray) -> _Text:
         """With some of its places, which are in order of start, and no other shingles."""
@@ -529,7 +584,8 @@ class _Text:
 
     def like(self, other: _Text) -> np.ndarray:
         """Starts in ``grams`` of what is similar to a stretch of the other one."""
-        return alike_parts((self.grams, self.edges, self.distinct, self.all), (other.grams, other.edges, other.distinct, other.all), self.least)
+        sides = ((t.grams, t.edges, t.distinct, t.all, t.within) for t in (self, other))
+        return alike_parts(*sides, self.least)
 
     def holding(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each place, from which of the starts to which lie in it."""
@@ -563,15 +619,17 @@ def _group(texts: list[_Text], first_row: int, mine: bool, least: int) -> Iterat
                 yield None, None, t.row, t.id, first.who(), t.stretches(starts)
     if len(texts) < 2:
         return
-    keys = [np.unique(t.keys) for t in texts]
     rest = [t.only(x) if x.any() else None for t, x in zip(texts, open_)]
-    asking = [t and (t.grams, t.all, t.distinct) for t in rest]
-    for t, others in zip(rest, _meeting([(t.grams, t.all, t.distinct) for t in texts], least, asking)):
-        left = np.arange(len(t.keys)) if others else others
-        for d in others:
-            there = np.searchsorted(keys[d], t.keys[left])
+    if all(t is None for t in rest[1:]):
+        return
+    keys = [_different(t.keys) for t in texts]
+    for t, others in zip(rest, _sharing(texts, rest, least)):
+        left = np.ones(len(t.keys) if t else 0, bool)
+        for d, likely in others:
+            both = np.flatnonzero(left & likely)
+            there = np.searchsorted(keys[d], t.keys[both])
             there[there == len(keys[d])] = 0
-            both = left[keys[d][there] == t.keys[left]]
+            both = both[keys[d][there] == t.keys[both]]
             if not len(both):
                 continue
             starts = t.like(texts[d])
@@ -579,11 +637,54 @@ def _group(texts: list[_Text], first_row: int, mine: bool, least: int) -> Iterat
             found = both[high[both] > low[both]]
             for k in found.tolist():
                 yield int(t.keys[k]), int(t.places[k, 0]), t.row, t.id, texts[d].who(), t.stretches(starts[low[k] : high[k]])
-            left = np.setdiff1d(left, found, assume_unique=True)
-            if not len(left):
+            left[found] = False
+            if not left.any():
                 break
 
 
+def _sharing(texts: list[_Text], rest: list[_Text | None], least: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """For each of ``rest`` in turn the texts before it that have enough shingles of one of its stretches for a similar one, and the places that hold such stretches.
+
+    All earlier texts are counted at once, so one that has little in common costs some additions, not a comparison.
+    """
+    values, ranks = np.unique(np.concatenate([t.all for t in texts]), return_inverse=True)
+    posted = np.repeat(np.arange(len(texts)), [len(t.all) for t in texts])[np.argsort(ranks, kind="stable")]
+    since = np.concatenate([[0], np.cumsum(np.bincount(ranks, minlength=len(values)))])
+    floor = np.array([int(t.distinct.min()) for t in texts])
+    for p, t in enumerate(rest):
+        if t is None or not p:
+            yield []
+            continue
+        own, near = np.searchsorted(values, t.all), []
+        first, stop = since[own], since[own + 1]
+        few, counts = max(1, POSTED // len(texts)), np.zeros(p, np.int64)
+        for v in range(0, len(own), few):
+            counts += np.bincount(posted[_ranges(first[v : v + few], stop[v : v + few])], minlength=p)[:p]
+        # Similar stretches of so many different shingles share this many.
+        some = np.flatnonzero((WHOLE + PART) * counts >= PART * (int(t.distinct.min()) + floor[:p]))
+        if len(some):
+            at = np.searchsorted(t.all, t.grams)
+            has = np.zeros((len(own), min(len(some), step := max(1, POSTED // max(len(t.grams), len(t.keys))))), bool)
+            slot = np.full(len(texts), -1)
+            for k in range(0, len(some), step):
+                block = some[k : k + step]
+                slot[block] = np.arange(len(block))
+                has[:] = False
+                for v in range(0, len(own), few):
+                    low, high = first[v : v + few], stop[v : v + few]
+                    x, of = slot[posted[_ranges(low, high)]], np.repeat(np.arange(v, v + len(low)), high - low)
+                    has[of[x >= 0], x[x >= 0]] = True
+                slot[block] = -1
+                held = np.cumsum(has[at, : len(block)], axis=0, dtype=np.int32)
+                held = np.concatenate([np.zeros((1, len(block)), np.int32), held])
+                enough = (WHOLE + PART) * (held[least:] - held[:-least]) >= PART * (t.distinct[:, None] + floor[block])
+                held = np.zeros((len(enough) + 1, len(block)), np.int32)
+                np.cumsum(enough & t.within[:, None], axis=0, out=held[1:])
+                likely = held[t.at[:, 1] - least + 1] > held[t.at[:, 0]]
+                near += [(int(block[x]), likely[:, x]) for x in np.flatnonzero(likely.any(axis=0)).tolist()]
+        yield near
+
+
 def _near(docs: DataFrame, scratch: Scratch, found: DataFrame, copies: DataFrame, least: int, width: int) -> DataFrame:
     """(row, id, first_id, start, stop) of the stretches that are similar to one of an earlier document under their key.
 
@@ -682,7 +783,7 @@ def _found(source: DataFrame, scratch: Scratch, passage: int, width: int, block_
     found = scratch.keep(answered(blocks, totals).mapInArrow(lambda batches: _shared(batches, least), _FOUND), "shared")
     scratch.drop("windows", "window-counts")
     exact = scratch.keep(_credited(found.filter("kind = 0")).drop("kind", "key", "payload"), "exact")
-    covered = exact.select("block", "doc", "first_row", "first_start", "start", "stop").groupBy("block").applyInPandas(_covered, "block string, covered binary")
+    covered = exact.select("block", "doc", "first_row", "first_start", "start").groupBy("block").applyInPandas(lambda group: _covered(group, least - STEP), "block string, covered binary")
     open_ = found.filter("kind = 1").select("block", "payload").join(covered, "block", "left").select("payload", "covered")
     stretches = scratch.keep(open_.mapInArrow(lambda batches: _stretches(batches, least), "key long, row long, id long, places array<int>"), "stretches")
     scratch.drop("shared")
