@@ -378,3 +378,12 @@ def test_places_without_enough_in_common_are_not_compared(monkeypatch):
     assert [(f[0], f[2], f[4]["row"]) for f in found] == [(7, k, 0) for k in range(1, 40)]
     # Of 780 pairs.
     assert len(calls) == 39
+
+
+def test_counted_keys_go_to_all_buckets_alike():
+    r = random.Random(9)
+    rows = pa.RecordBatch.from_pydict({"row": [1], "id": [1], "text": [" ".join(r.choices(VOCABULARY, k=40_000))]})
+    (payload,) = compact_windows_module._payloads(iter([rows]), 46, 5, 1 << 20)
+    keys, _ = compact_windows_module._counts(payload)
+    shares = np.bincount((keys >> np.uint64(61)).astype(int), minlength=8) / len(keys)
+    assert shares.max() < 0.2

@@ -289,7 +289,8 @@ def _payloads(batches: Iterator[pa.RecordBatch], least: int, width: int, block_b
             for f in range(FUNCTIONS):
                 hashes = mix(grams, f + 2)
                 windows.append(compact_windows(hashes, least, edges))
-                lows.append(pack(hashes[windows[-1][:, 1]] & _LEAST))
+                # Least hashes are small numbers; mixed, they go to all buckets alike.
+                lows.append(pack(mix(hashes[windows[-1][:, 1]]) & _LEAST))
             centres = windows[0][:, 1]
             of = np.searchsorted(edges, centres, side="right")
             starts = run_starts(centres, len(grams), least, edges[of - 1], edges[of])
