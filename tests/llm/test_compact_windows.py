@@ -387,3 +387,49 @@ def test_counted_keys_go_to_all_buckets_alike():
     keys, _ = compact_windows_module._counts(payload)
     shares = np.bincount((keys >> np.uint64(61)).astype(int), minlength=8) / len(keys)
     assert shares.max() < 0.2
+
+
+def test_words_of_all_texts_are_hashed_at_once(monkeypatch):
+    r, letters = random.Random(12), "abZé\x00A漢"
+    texts = ["", " \t", "x"]
+    for _ in range(200):
+        own = ["".join(r.choice(letters) for _ in range(r.randrange(1, 40))) for _ in range(r.randrange(30))]
+        texts.append(r.choice(["", "\n"]) + r.choice([" ", "\r\t", "\x0b \x0c", " \x1f "]).join(own))
+    texts = [t.encode() for t in texts]
+    want = [common.word_hashes(common.words(t)) for t in texts]
+    calls, digest = [], common.xxhash.xxh64_intdigest
+    monkeypatch.setattr(common.xxhash, "xxh64_intdigest", lambda word: (calls.append(word), digest(word))[1])
+    hashes, edges = common.hashed_words(texts)
+    assert hashes.tolist() == np.concatenate(want).tolist() and edges.tolist() == np.cumsum([0, *map(len, want)]).tolist()
+    assert calls and all(len(word) >= 32 for word in calls)
+    calls.clear()
+    rows = pa.RecordBatch.from_pydict({"row": [1, 2], "id": [1, 2], "text": [" ".join(text(r, 200)) for _ in range(2)]})
+    assert len(list(compact_windows_module._payloads(iter([rows]), 46, 5, 1 << 20))) == 1 and not calls
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 32])
+def test_windows_against_a_plain_search(monkeypatch, rounds):
+    monkeypatch.setattr(compact_windows_module, "ROUNDS", rounds)
+    r, least = np.random.default_rng(rounds), 3
+    for ties in (2, 5, 1 << 40):
+        for shape in (r.integers(ties, size=90), np.sort(r.integers(ties, size=90)), np.sort(r.integers(ties, size=90))[::-1], np.repeat([ties, 0], 45)):
+            a, edges = np.ascontiguousarray(shape).astype(np.uint64), np.array([0, 30, 31, 90])
+            want = []
+            for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                for k in range(start, stop):
+                    left = max((x + 1 for x in range(start, k) if a[x] <= a[k]), default=start)
+                    right = min((x for x in range(k + 1, stop) if a[x] < a[k]), default=stop)
+                    if right - left >= least:
+                        want.append([left, k, right])
+            assert compact_windows_module.compact_windows(a, least, edges).tolist() == want
+
+
+def test_exact_repeats_of_a_block_are_put_together():
+    # Two runs of one shingle reach farther than the others; row 2 has no id, and row 3 is another text of the same id.
+    rows = {"block": [7] * 5, "doc": [0, 0, 0, 1, 1], "row": [5, 5, 5, 6, 6], "id": [1, 1, 1, None, None], "first_row": [2, 2, 2, 2, 3]}
+    rows |= {"first_id": [None, None, None, None, 9], "first_start": [0, 8, 0, 3, 4], "start": [10, 18, 70, 0, 1], "stop": [48, 90, 108, 38, 39]}
+    out = compact_windows_module._covered(pa.table(rows), 38).to_pylist()
+    found = [(x["row"], x["id"], x["first_id"], x["start"], x["stop"]) for x in out if x["covered"] is None]
+    assert found == [(5, 1, None, 10, 108), (6, None, None, 0, 38), (6, None, 9, 1, 39)]
+    (covered,) = [common.unpack(x["covered"]).reshape(3, -1).tolist() for x in out if x["covered"] is not None]
+    assert sorted(zip(*covered)) == [(0, 10, 56), (0, 70, 108), (1, 0, 38), (1, 1, 39)]

@@ -64,12 +64,63 @@ def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
 
 
+# Constants of XXH64, and the length from which it goes by stripes.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_STRIPE = 32
+
+
+def _rolled(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``word_hashes`` gives for the ``words`` of all texts, one text after the other, and where each text starts, and the end.
+
+    Words of one length are hashed at once.
+    """
+    data = b"".join([b" ", b" ".join(texts).lower(), b" " * 9])
+    raw = np.frombuffer(data, np.uint8)
+    blank = (raw == 0x20) | (raw - np.uint8(9) < 5)
+    bounds = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, sizes = bounds[::2], bounds[1::2] - bounds[::2]
+    edges = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+    classes = np.minimum(sizes, _STRIPE).astype(np.uint8)
+    order, ends = np.argsort(classes, kind="stable"), np.cumsum(np.bincount(classes, minlength=_STRIPE))
+    out, eight = np.empty(len(starts), np.uint64), np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    for n in range(1, _STRIPE):
+        some = order[ends[n - 1] : ends[n]]
+        if not len(some):
+            continue
+        at, done = starts[some], 0
+        x = np.full(len(some), _P5 + np.uint64(n))
+        for done in range(8, n + 1, 8):
+            x = _rolled(x ^ (_rolled(eight[at + (done - 8)] * _P2, 31) * _P1), 27) * _P1 + _P4
+        rest = eight[at + done] if n > done else None
+        if n - done >= 4:
+            x = _rolled(x ^ ((rest & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+            done, rest = done + 4, rest >> np.uint64(32)
+        for k in range(n - done):
+            x = _rolled(x ^ (((rest >> np.uint64(8 * k)) & np.uint64(0xFF)) * _P5), 11) * _P1
+        x ^= x >> np.uint64(33)
+        x *= _P2
+        x ^= x >> np.uint64(29)
+        x *= _P3
+        x ^= x >> np.uint64(32)
+        out[some] = x
+    for k in order[ends[_STRIPE - 1] :].tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + sizes[k]])
+    return out, edges
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (public domain splitmix64 constants), one to one for each salt."""
     x = x + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & _MASK)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -21,14 +21,15 @@ Each repeat is credited to its first document in the order of ids, which keeps i
 
 from __future__ import annotations
 
+import operator
 import pickle
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ from timberline.llm.common import (
     bucket_bits,
     by_block,
     fresh,
+    hashed_words,
     marked,
     mix,
     opened,
@@ -52,8 +54,6 @@ from timberline.llm.common import (
     spans,
     totals_of,
     unpack,
-    word_hashes,
-    words,
 )
 
 WIDTH, PASSAGE = 5, 50
@@ -65,6 +65,7 @@ MEMBERS = 2048
 GRAMS = 16 << 20
 POSTED = 1 << 20
 TILE = 64
+ROUNDS = 32
 _BASE = 0x9FB21C651E98DF25  # odd
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -76,7 +77,7 @@ def compact_windows(hashes: np.ndarray, least: int, edges: np.ndarray | None = N
 
     ``edges``, if given, are where each of several texts starts, and the end; no window crosses them. Of equal hashes
     the first is the centre. What is least in a stretch of ``least`` is a candidate; the smaller hashes that bound a
-    candidate's window are candidates too, so one pass over these, a few in a hundred, finds all windows.
+    candidate's window are candidates too, so these, a few in a hundred, are enough to find all windows.
     """
     edges = np.array([0, len(hashes)]) if edges is None else edges
     if len(hashes) < least:
@@ -86,22 +87,39 @@ def compact_windows(hashes: np.ndarray, least: int, edges: np.ndarray | None = N
     low[~inside] = 0
     most = _over(np.maximum, np.concatenate([np.zeros(least - 1, np.uint64), low, np.zeros(least - 1, np.uint64)]), least)
     at = np.flatnonzero(most == hashes)
-    ends = edges[np.searchsorted(edges, at, side="right")]
-    left, right = np.empty(len(at), np.int64), ends.copy()
-    stack: list[tuple[int, int, int]] = []
-    start = end = -1
-    starts = np.repeat(edges[:-1], np.diff(np.searchsorted(at, edges))).tolist()
-    for k, (place, value, last) in enumerate(zip(at.tolist(), hashes[at].tolist(), ends.tolist())):
-        if last != end:
-            stack, start, end = [], starts[k], last
-        while stack and stack[-1][1] > value:
-            right[stack.pop()[0]] = place
-        left[k] = stack[-1][2] + 1 if stack else start
-        stack.append((k, value, place))
+    # Before each text and after the last stands what bounds all.
+    stops = np.searchsorted(at, edges) + np.arange(len(edges))
+    inner = np.ones(len(at) + len(edges), bool)
+    inner[stops] = False
+    own, values, places = np.flatnonzero(inner), np.zeros(len(inner), np.uint64), np.empty(len(inner), np.int64)
+    values[own], places[own], places[stops] = hashes[at], at, edges - 1
+    left = places[_bounds(values, inner, -1, operator.gt)] + 1
+    places[stops] = edges
+    right = places[_bounds(values, inner, 1, operator.ge)]
     wide = right - left >= least
     return np.stack([left[wide], at[wide], right[wide]], axis=1).astype(np.uint32)
 
 
+def _bounds(values: np.ndarray, inner: np.ndarray, step: int, larger: Callable) -> np.ndarray:
+    """For each ``inner`` place the nearest in one direction (``step`` 1 or -1) that is not larger, or not inner: from a larger one it goes on to the bound of that."""
+    own = np.flatnonzero(inner)
+    bound, open_, next_ = np.arange(len(values)) + step, own, own + step
+    for _ in range(ROUNDS):
+        on = larger(values[next_], values[open_]) & inner[next_]
+        open_, next_ = open_[on], bound[next_[on]]
+        if not len(open_):
+            return bound[own]
+        bound[open_] = next_
+    # Long rows of bounds, as of equal values: in turn and from the next place on, so that each is gone over once.
+    known, all_, ends = bound.tolist(), values.tolist(), (~inner).tolist()
+    for k in open_.tolist()[::-step]:
+        n = k + step
+        while not ends[n] and larger(all_[n], all_[k]):
+            n = known[n]
+        known[k] = n
+    return np.array(known)[own]
+
+
 def _over(function: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     """The least or the largest of each stretch of ``width`` values."""
     done, out = 1, values
@@ -116,7 +134,7 @@ def run_starts(centres: np.ndarray, count: int, least: int, since: np.ndarray |
     """Starts of the runs around the centres that lie within the text, or within each centre's own (``since``, ``until``)."""
     starts = centres.astype(np.int64)[:, None] - np.arange(0, least, STEP)[None, :]
     since, until = (np.asarray(x)[..., None] for x in (since, count if until is None else until))
-    return np.unique(starts[(starts >= since) & (starts + least - STEP <= until)])
+    return _different(starts[(starts >= since) & (starts + least - STEP <= until)])
 
 
 def run_hashes(grams: np.ndarray, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
@@ -128,16 +146,16 @@ def run_hashes(grams: np.ndarray, starts: np.ndarray, length: int | np.ndarray)
 
 
 def _different(a: np.ndarray) -> np.ndarray:
-    """The different values in order; for short arrays quicker than ``np.unique``."""
+    """The different values in order; quicker than ``np.unique``, which puts them into a hash table first."""
     a = np.sort(a)
     new = np.ones(len(a), bool)
     new[1:] = a[1:] != a[:-1]
     return a[new]
 
 
-def _distinct(a: np.ndarray, least: int) -> np.ndarray:
-    """How many different shingles each stretch of ``least`` has."""
-    if len(_different(a)) == len(a):
+def _distinct(a: np.ndarray, least: int, different: int | None = None) -> np.ndarray:
+    """How many different shingles each stretch of ``least`` has; ``different``, if known, is how many all of them are."""
+    if (len(_different(a)) if different is None else different) == len(a):
         return np.full(len(a) - least + 1, least)
     order = np.argsort(a, kind="stable")
     before = np.full(len(a), -1)
@@ -176,6 +194,8 @@ def alike(one: tuple, two: tuple, least: int) -> list[tuple[int, int]]:
 
 def _parts(edges: np.ndarray, least: int) -> np.ndarray:
     """Which stretches of ``least`` lie within one of the parts that end at ``edges``."""
+    if len(edges) == 2:
+        return np.ones(int(edges[1]) - least + 1, bool)
     until = np.repeat(edges[1:], np.diff(edges))
     return until[: len(until) - least + 1] - np.arange(len(until) - least + 1) >= least
 
@@ -275,16 +295,15 @@ def _payloads(batches: Iterator[pa.RecordBatch], least: int, width: int, block_b
     """
     for whole in batches:
         for batch in spans(whole, "text", block_bytes):
-            rows, ids, found = [], [], []
-            for row, id_, text in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), binary(batch, "text")):
-                own = words(text)
-                if len(own) - width + 1 >= least:
-                    rows.append(row)
-                    ids.append(id_)
-                    found.append(shingles(word_hashes(own), width))
-            if not rows:
+            hashes, edges = hashed_words([t or b"" for t in binary(batch, "text")])
+            many = np.diff(edges) - width + 1
+            some = np.flatnonzero(many >= least)
+            if not len(some):
                 continue
-            edges, grams = np.cumsum([0, *map(len, found)]), np.concatenate(found)
+            rows, ids = (batch.column(c).take(pa.array(some)).to_pylist() for c in ("row", "id"))
+            # Shingles of two texts are left out.
+            grams = shingles(hashes, width)[_ranges(edges[some], edges[some] + many[some])]
+            edges = np.concatenate([[0], np.cumsum(many[some])])
             windows, lows = [], []
             for f in range(FUNCTIONS):
                 hashes = mix(grams, f + 2)
@@ -313,17 +332,17 @@ def _counts(payload: tuple) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([unpack(payload[4]), *map(unpack, payload[6])]), return_counts=True)
 
 
-_FOUND = "kind int, key long, row long, id long, start int, stop int, block string, doc int, payload binary"
-_FOUND_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary()]
+_FOUND = "kind int, key long, row long, id long, start int, stop int, block long, doc int, payload binary"
+_FOUND_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def _shared(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Runs that occur more than once (kind 0), and for each block the windows whose least hash does (kind 1)."""
     names = [f.split()[0] for f in _FOUND.split(", ")]
     for (rows, ids, edges, starts, runs, windows, lows), totals in by_block(batches):
-        block = uuid.uuid4().hex
+        block = uuid.uuid4().int >> 65
         starts, runs, lows = unpack(starts).astype(np.int64), unpack(runs), [unpack(x) for x in lows]
-        keys = np.unique(np.concatenate([runs, *lows]))
+        keys = _different(np.concatenate([runs, *lows]))
         own = np.flatnonzero(totals[np.searchsorted(keys, runs)] > 1)
         doc = np.searchsorted(edges, starts[own], side="right").astype(np.int32) - np.int32(1)
         if len(own):
@@ -334,8 +353,7 @@ def _shared(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             own, doc = own[new], doc[new]
             row, id_ = (pa.array(x, pa.int64()).take(pa.array(doc)) for x in (rows, ids))
             start, stop = ((x - edges[doc]).astype(np.int32) for x in (starts[own], starts[last] + (least - STEP)))
-            blocks = pa.array([block], pa.string()).take(pa.array(np.zeros(len(own), np.int32)))
-            columns = [np.zeros(len(own), np.int32), runs[own].view(np.int64), row, id_, start, stop, blocks, doc, pa.nulls(len(own), pa.binary())]
+            columns = [np.zeros(len(own), np.int32), runs[own].view(np.int64), row, id_, start, stop, np.full(len(own), block), doc, pa.nulls(len(own), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names)
         # Centres inside repeated runs count as well: an edited copy may have its only partners there.
         again = [totals[np.searchsorted(keys, x)] > 1 for x in lows]
@@ -346,18 +364,34 @@ def _shared(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND_TYPES)], names)
 
 
-def _covered(group: pd.DataFrame, length: int) -> pd.DataFrame:
-    """The stretches of each text of a block that stand, in one piece, in the same earlier text."""
-    group = group.assign(shift=group["first_start"] - group["start"]).sort_values(["doc", "first_row", "shift", "start"], ignore_index=True)
-    doc, first, shift, start = (group[c].to_numpy() for c in ("doc", "first_row", "shift", "start"))
+_COVERED = "block long, covered binary, row long, id long, first_id long, start int, stop int"
+
+
+def _covered(group: pa.Table, length: int) -> pa.Table:
+    """The stretches of each text of a block that stand, in one piece, in the same earlier text, and its repeats put together."""
+    doc, first, since, start, stop = (group.column(c).to_numpy() for c in ("doc", "first_row", "first_start", "start", "stop"))
+    order = np.lexsort((start, since - start, first, doc))
+    doc, first, shift, start, stop = doc[order], first[order], (since - start)[order], start[order].astype(np.int64), stop[order]
+    other = np.ones(len(group), bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])
     # Of runs of one shingle, which may be fewer in the earlier text, the first. All have one length, so the one before reaches farthest.
-    stop = start + length
-    new = np.ones(len(group), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > stop[:-1])
+    new = other.copy()
+    new[1:] |= (shift[1:] != shift[:-1]) | (start[1:] > start[:-1] + length)
     at = np.flatnonzero(new)
-    ends = np.concatenate([at[1:], [len(group)]]) - 1
-    spans_ = np.stack([doc[at], start[at], stop[ends]]).astype(np.uint32)
-    return pd.DataFrame({"block": [group["block"].iloc[0]], "covered": [pack(spans_.ravel())]})
+    ends = np.append(at[1:], len(group)) - 1
+    whole = np.stack([doc[at], start[at], start[ends] + length]).astype(np.uint32)
+    # Here runs of one shingle count as far as they go, at whatever shift.
+    which = np.cumsum(other)
+    again = np.lexsort((start, which))
+    places = np.stack([start[again], stop[again]], axis=1) + (which[again] * (int(stop.max()) + 1))[:, None]
+    first, last = _united(places)
+    first, last = order[again[first]], order[again[last]]
+    rows = group.take(pa.array(first))
+    columns = [rows.column(c) for c in ("row", "id", "first_id", "start")] + [group.column("stop").take(pa.array(last))]
+    none = pa.nulls(len(first), pa.binary())
+    found = pa.table([rows.column("block"), none, *columns], names=[c.split()[0] for c in _COVERED.split(", ")])
+    mark = [rows.column("block")[:1], pa.array([pack(whole.ravel())], pa.binary()), *(pa.nulls(1, c.type) for c in columns)]
+    return pa.concat_tables([found, pa.table(mark, names=found.column_names)])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -438,7 +472,7 @@ def _pairs(one: np.ndarray, lows_one: np.ndarray, two: np.ndarray, lows_two: np.
         return *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, bool)
     keys, low, high, even = (np.concatenate(x) for x in zip(*parts))
     # In a text that repeats itself, many windows give one stretch.
-    order = np.lexsort((high, low, keys))
+    order = np.lexsort((low * (3 * least + 1) + (high - low), keys))  # a stretch ends at most 3 * least after its start
     keys, low, high, even = keys[order], low[order], high[order], even[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
@@ -469,7 +503,7 @@ def _credited(found: DataFrame) -> DataFrame:
     order = F.struct(_order(), "row", "start", "stop", "id")
     first = found.groupBy("key").agg(F.min(order).alias("first"), F.max("row").alias("high"), F.min("row").alias("low"))
     first = first.filter("low <> high").select(
-        "key", F.col("first.row").alias("first_row"), F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"), F.col("first.stop").alias("first_stop")
+        "key", F.col("first.row").alias("first_row"), F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")
     )
     return found.join(first, "key").filter("row <> first_row")
 
@@ -528,34 +562,50 @@ def _texts(batches: Iterator[pa.RecordBatch], least: int, width: int) -> Iterato
     ``parts`` are where these shingles stand, as (start, stop); ``keys`` and ``places`` go together.
     """
     names = [f.split()[0] for f in _TEXTS.split(", ")]
-    for batch in batches:
-        out = []
-        for row, id_, text, held in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), binary(batch, "text"), batch.column("held")):
-            grams = shingles(word_hashes(words(text)), width).astype(_GRAM)
-            held = held.values
-            lists, firsts, blocks = held.field("places"), held.field("first_row").to_numpy(), held.field("blocks").to_numpy()
-            starts = lists.offsets.to_numpy()
-            keys = np.repeat(held.field("key").to_numpy(), np.diff(starts) // 2)
-            places = lists.values.to_numpy()[starts[0] : starts[-1]].reshape(-1, 2)
-            firsts, blocks = (np.repeat(x, np.diff(starts) // 2) for x in (firsts, blocks))
-            order = np.lexsort((places[:, 0], firsts))
-            keys, places, firsts, blocks = keys[order], places[order], firsts[order], blocks[order]
-            ends = np.flatnonzero(np.concatenate([[True], firsts[1:] != firsts[:-1]]))
-            for low, high in zip(ends.tolist(), [*ends[1:].tolist(), len(firsts)]):
-                new, last = _united(places[low:high])
-                parts = np.stack([places[low:high, 0][new], places[low:high, 1][last]], axis=1)
-                own = np.concatenate([grams[x:y] for x, y in parts.tolist()])
-                first, n = int(firsts[low]), int(blocks[low])
-                data = [keys[low:high].tobytes(), places[low:high].tobytes(), parts.astype(np.int32).tobytes(), own.tobytes()]
+    for whole in batches:
+        for batch in spans(whole, "text", BLOCK_BYTES):
+            hashes, edges = hashed_words([t or b"" for t in binary(batch, "text")])
+            grams = shingles(hashes, width).astype(_GRAM)
+            held = batch.column("held")
+            of, items = np.repeat(np.arange(len(held)), pc.list_value_length(held).to_numpy()), held.flatten()
+            firsts, lists = items.field("first_row").to_numpy(), items.field("places")
+            # One after the other, the groups of all texts; no place reaches into the next group.
+            order = np.lexsort((firsts, of))
+            new = np.ones(len(order), bool)
+            new[1:] = (of[order[1:]] != of[order[:-1]]) | (firsts[order[1:]] != firsts[order[:-1]])
+            group, some = np.empty(len(order), np.int64), order[new]
+            group[order] = np.cumsum(new) - 1
+            many = pc.list_value_length(lists).to_numpy() // 2
+            keys, group, places = np.repeat(items.field("key").to_numpy(), many), np.repeat(group, many), lists.flatten().to_numpy().reshape(-1, 2)
+            order = np.lexsort((places[:, 0], group))
+            keys, group, places = keys[order], group[order], places[order]
+            apart = group * (edges[-1] + 1)
+            first, last = _united(places + apart[:, None])
+            parts, texts = np.stack([places[first, 0], places[last, 1]], axis=1), of[some]
+            since = edges[texts[group[first]]]
+            own = grams[_ranges(parts[:, 0] + since, parts[:, 1] + since)]
+            sizes = np.bincount(group[first], parts[:, 1] - parts[:, 0], len(some))
+            held_at, parts_at = (np.bincount(x, minlength=len(some)) for x in (group, group[first]))
+            columns = [_binaries(x, n) for x, n in ((keys, held_at), (places, held_at), (parts, parts_at), (own, sizes))]
+            out = []
+            rows, blocks = batch.column("row").to_numpy(), items.field("blocks").to_numpy()[some]
+            for k, (row, first_row, n) in enumerate(zip(rows[texts].tolist(), firsts[some].tolist(), blocks.tolist())):
                 # Every two blocks of a group meet, each with its first text, so all its pairs are decided and no group is one task.
                 mine = row % n
-                for i, j in [(i, j) for i in range(n) for j in range(i, n)] if row == first else [(min(mine, k), max(mine, k)) for k in range(n)]:
-                    out.append((first, i, j, (1 << 63) - 1 if id_ is None else id_, row, id_, *data))
-                    if len(out) == 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TEXT_TYPES)], names)
-                        out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TEXT_TYPES)], names)
+                out += [(k, i, j) for i in range(n) for j in range(i, n)] if row == first_row else [(k, min(mine, m), max(mine, m)) for m in range(n)]
+            id_ = batch.column("id").take(pa.array(texts))
+            columns = [pa.array(firsts[some]), pc.fill_null(id_, (1 << 63) - 1), pa.array(rows[texts]), id_, *columns]
+            for k in range(0, len(out), 1000):
+                at, i, j = zip(*out[k : k + 1000])
+                first_row, *rest = (c.take(pa.array(at)) for c in columns)
+                yield pa.RecordBatch.from_arrays([first_row, pa.array(i, pa.int32()), pa.array(j, pa.int32()), *rest], names)
+
+
+def _binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes of so many values, or rows of values, at a time."""
+    step = values.itemsize * values[:1].size if len(values) else 0
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * step
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _united(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -574,10 +624,13 @@ class _Text:
         self.edges, self.since = np.concatenate([[0], np.cumsum(parts[:, 1] - parts[:, 0])]), parts[:, 0]
         # Where the places are in ``grams``.
         self.at = places - (self.since - self.edges[:-1])[np.searchsorted(self.since, places[:, 0], side="right") - 1][:, None]
-        self.distinct, self.all, self.within = _distinct(grams, least), _different(grams), _parts(self.edges, least)
+        self.all, self.within = _different(grams), _parts(self.edges, least)
+        self.distinct = _distinct(grams, least, len(self.all))
 
     def only(self, some: np.ndarray) -> _Text:
         """With some of its places, which are in order of start, and no other shingles."""
+        if some.all():
+            return self
         places, at = self.places[some], self.at[some]
         first, last = _united(places)
         grams = np.concatenate([self.grams[a:b] for a, b in zip(at[first, 0].tolist(), at[last, 1].tolist())])
@@ -594,7 +647,9 @@ class _Text:
 
     def stretches(self, starts: np.ndarray) -> list[dict]:
         starts = starts + (self.since - self.edges[:-1])[np.searchsorted(self.edges, starts, side="right") - 1]
-        return [{"start": a, "stop": b} for a, b in _joined([(s, s + self.least) for s in starts.tolist()])]
+        last = np.flatnonzero(starts[1:] > starts[:-1] + self.least).tolist()
+        starts = starts.tolist()
+        return [{"start": starts[a], "stop": starts[b] + self.least} for a, b in zip([0, *(k + 1 for k in last)], [*last, len(starts) - 1])]
 
     def who(self) -> dict:
         return {"order": self.order, "row": self.row, "id": self.id}
@@ -784,17 +839,19 @@ def _found(source: DataFrame, scratch: Scratch, passage: int, width: int, block_
     found = scratch.keep(answered(blocks, totals).mapInArrow(lambda batches: _shared(batches, least), _FOUND), "shared")
     scratch.drop("windows", "window-counts")
     exact = scratch.keep(_credited(found.filter("kind = 0")).drop("kind", "key", "payload"), "exact")
-    covered = exact.select("block", "doc", "first_row", "first_start", "start").groupBy("block").applyInPandas(lambda group: _covered(group, least - STEP), "block string, covered binary")
-    open_ = found.filter("kind = 1").select("block", "payload").join(covered, "block", "left").select("payload", "covered")
+    covered = scratch.keep(exact.groupBy("block").applyInArrow(lambda group: _covered(group, least - STEP), _COVERED), "covered")
+    scratch.drop("exact")
+    pieces = covered.filter("covered IS NOT NULL").select("block", "covered")
+    open_ = found.filter("kind = 1").select("block", "payload").join(pieces, "block", "left").select("payload", "covered")
     stretches = scratch.keep(open_.mapInArrow(lambda batches: _stretches(batches, least), "key long, row long, id long, places array<int>"), "stretches")
     scratch.drop("shared")
-    exact = exact.select("row", "id", "first_id", "start", "stop")
+    exact = covered.filter("covered IS NULL").select("row", "id", "first_id", "start", "stop")
     copies = scratch.keep(_copies(source), "copies")
     near = scratch.keep(_near(source, scratch, stretches, copies, least, width), "near")
     same = near.select(F.col("row").alias("first_row"), "first_id", "start", "stop").join(copies, "first_row")
     near = near.unionByName(same.select("row", "id", "first_id", "start", "stop"))
     merged = scratch.keep(_merged(exact.unionByName(near)), "repeats")
-    scratch.drop("exact", "stretches", "near-finds", "copies", "near")
+    scratch.drop("covered", "stretches", "near-finds", "copies", "near")
     return merged
 
 
