@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from timberline.llm import best_fit_packing
 from timberline.llm.best_fit_packing import Encoder, pack, plan
 from timberline.llm.best_fit_shards import best_fit_decreasing
 from timberline.llm.common import Scratch
@@ -45,6 +46,16 @@ def test_documents_encode_like_the_whole():
     assert [np.frombuffer(x, "<u4").tolist() for x in RANKS(texts)] == [ids(t) for t in texts]
 
 
+def test_few_words_and_no_long_chunks_are_remembered(monkeypatch):
+    monkeypatch.setattr(best_fit_packing, "CACHE", 100)
+    encode = Encoder(PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = [" ".join(f"w{k}x{n}" for n in range(90)) for k in range(30)]
+    texts += [f"long{k}" * 500 + end for k in range(20) for end in ("", "\u00a0whole text", " \u4e2d\u6587" * 9)]
+    for some in (texts, texts[::-1], texts[:1] * 2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(some)] == [ids(t) for t in some]
+        assert len(encode.known) <= 100 and sum(map(len, encode.known)) < 5000
+
+
 def bins(histogram, capacity):
     made = plan(histogram, capacity)
     held = Counter()

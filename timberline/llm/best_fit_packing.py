@@ -15,12 +15,14 @@ rank among those of its length:
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from timberline.llm.common import Scratch, numbered, spans
 
 END = 2
-CACHE = 400_000  # words kept per Python worker, about 100 MB
+CACHE = 200_000  # words kept per Python worker, about 50 MB; a worker keeps them through later stages too
+LONG = 32  # characters; longer chunks, whole texts among them, seldom come again and are not kept
 
 _SPACED = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _LATIN = chr(0x250)  # letters below it are letters in any version of Unicode
@@ -49,11 +52,9 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file).get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
         self.fast = None
         if ranks is not None:
@@ -64,23 +65,38 @@ class Encoder:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        """Made when a chunk first needs it, as it takes about 30 MB."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks = [self._chunks(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list({c for parts in chunks for c in parts if c not in self.known})
+        return [self._text(t) for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        parts, known = self._chunks(text), self.known
+        added = new = list({c for c in parts if c not in known})
         if self.fast is not None:
             encode = self.fast.encode_ordinary
-            self.known.update((c, array("I", encode(c)).tobytes()) for c in new if c and max(c) < _LATIN and self._plain(c))
-            new = [c for c in new if c not in self.known]
+            known.update((c, array("I", encode(c)).tobytes()) for c in new if c and max(c) < _LATIN and self._plain(c))
+            new = [c for c in new if c not in known]
         for start in range(0, len(new), 10_000):
             part = new[start : start + 10_000]
-            self.known.update(zip(part, self._whole(part)))
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in chunks]
+            known.update(zip(part, self._whole(part)))
+        out = b"".join(map(known.__getitem__, parts))
+        for c in added:
+            if len(c) > LONG:
+                del known[c]
+        if len(known) > CACHE:
+            known.clear()
+        return out
 
     def _plain(self, text: str) -> bool:
         return not any(s in text for s in self.special) and not _OTHER_SPACE.search(text)
@@ -112,7 +128,7 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, ranks)
         for batch in batches:
-            for part in spans(batch, "text", 4 << 20):
+            for part in spans(batch, "text", 1 << 20):
                 out = []
                 for id_, data in zip(part.column("_id"), encode(part.column("text").to_pylist())):
                     data, id_ = data + tail, id_.as_py()
