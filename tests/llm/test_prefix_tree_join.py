@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from timberline.llm import prefix_tree_join
-from timberline.llm.common import Scratch
+from timberline.llm.common import Scratch, shingles, word_hashes
 from timberline.llm.prefix_tree_join import join, least_shared, links, meeting_length
 
 
@@ -113,3 +113,14 @@ def test_tree_finds_every_link(seed, part):
 def test_bounds():
     assert meeting_length(90, 100) == 16 and 25 < least_shared(1000, 90, 100) < 40
     assert least_shared(50, 90, 100) == 45 and least_shared(1, 90, 100) == 1
+
+
+def test_nothing_shared_where_sets_meet(spark):
+    """A long text whose first n-grams are its own, though many of those after them stand in another text too."""
+    r = random.Random(5)
+    words = [f"w{r.randrange(10**9)}" for _ in range(1500)]
+    hashes = shingles(word_hashes([w.encode() for w in words]), 3)
+    own = {k + 1 for k in np.argsort(hashes)[: meeting_length(90, 100)].tolist()}
+    rows = [(1, " ".join(words)), (2, " ".join(w for k, w in enumerate(words[:1300]) if k not in own))]
+    found = join(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()
+    assert sorted(found) == plain(rows)

@@ -233,8 +233,9 @@ def _likely(sets: DataFrame, scratch: Scratch, part: int, whole: int) -> DataFra
             out = []
             for k, n in enumerate(sizes.tolist()):
                 own = slice(edges[k], edges[k + 1])
-                if shared[own].sum() >= least_shared(n, part, whole):
-                    prefix = slice(edges[k], edges[k] + min(longest, n - -(-part * n // whole) + 1))
+                prefix = slice(edges[k], edges[k] + min(longest, n - -(-part * n // whole) + 1))
+                # A set can share enough and yet none of its prefix; then it meets no other.
+                if shared[prefix].any() and shared[own].sum() >= least_shared(n, part, whole):
                     out.append((int(nodes[k]), n, firsts[prefix][shared[prefix]].view(np.int64)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["node", "n", "meets"])
@@ -305,7 +306,7 @@ def join(
     grams = scratch.keep(_whole_sets(source, known, width), "grams")
 
     meets = likely.withColumn("root", F.col("node"))
-    first = meets.select("node", "root", "n", F.col("meets")[0].alias("at")).filter("at IS NOT NULL")
+    first = meets.select("node", "root", "n", F.col("meets")[0].alias("at"))
     many = first.groupBy("at").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets"))
     first = first.join(many.filter("sets > 1"), "at").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     routed = first.select("node", "root", "at", F.col("block").alias("i"), F.col("block").alias("j"), "block")
