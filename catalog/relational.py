@@ -14,7 +14,7 @@ from timberline.functions.text import glob_match
 from timberline.functions.times import event_time
 from timberline.operators.dml import delete_where, insert_rows, update_where
 from timberline.operators.frames import with_frame
-from timberline.operators.membership import not_in
+from timberline.operators.membership import not_in, with_not_in
 from timberline.operators.results import decode_binary_columns, deep_page, export_csv, page, recent_distinct
 from timberline.operators.sketches import estimated, merged, sketched
 from timberline.operators.time_joins import asof_join, overlap_join, range_join, with_previous
@@ -493,13 +493,19 @@ sql(
            concat(chr(39), replace(path, chr(39), concat(chr(39), chr(39))), chr(39)) AS quoted
     FROM {logs}""",
 )
-sql(
-    "sql_not_in_nulls",
-    """
+
+
+@query(_check_text("""
     SELECT method, count(*) AS hits FROM {logs}
     WHERE status NOT IN (SELECT max(body_bytes_sent) FROM {logs} GROUP BY status)
-       OR status NOT IN (SELECT status FROM {logs} WHERE status >= 500) GROUP BY 1""",
-)
+       OR status NOT IN (SELECT status FROM {logs} WHERE status >= 500) GROUP BY 1"""))
+def sql_not_in_nulls(spark, folder):
+    """Lines of one method and status are one row before they are held against the values."""
+    logs = write_once(access_logs(spark, folder).select("method", "status", "body_bytes_sent"), "logs")
+    folded = logs.groupBy("method", "status").agg(F.count("*").alias("hits"))
+    folded = with_not_in(folded, "status", logs.groupBy("status").agg(F.max("body_bytes_sent")).drop("status"), "_no_size")
+    folded = with_not_in(folded, "status", logs.filter("status >= 500").select("status"), "_no_error")
+    return folded.filter("_no_size OR _no_error").groupBy("method").agg(F.sum("hits").alias("hits"))
 
 
 @query(f"WITH {_LOGS} SELECT line_no, path FROM logs WHERE path GLOB '/[cv]*/?[0-4]'")

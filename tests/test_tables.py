@@ -4,12 +4,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from timberline.operators.access import parse_nginx
 from timberline.operators import results
 from timberline.operators.dml import delete_where, insert_rows, update_where
 from timberline.operators.frames import with_frame
 from timberline.operators.json_lines import discover_columns, parse_json
-from timberline.operators.membership import not_in
+from timberline.operators.membership import not_in, with_not_in
 from timberline.operators.results import (
     decode_binary_columns,
     deep_page,
@@ -320,6 +321,37 @@ def test_not_in_means_what_sql_means(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_not_in_as_part_of_a_condition(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,), (3,), (2,)], "x int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for values in ([(2,), (9,), (2,)], [(2,), (None,)], [], [(None,)]):
+            other = spark.createDataFrame(values, "y int")
+            found = with_not_in(df, "x", other, "out")
+            # Each of the three values that it can have, told by conditions; a NOT IN can't be selected.
+            parts = [("true", "x NOT IN (SELECT y FROM {other})"), ("false", "x IN (SELECT y FROM {other})")]
+            told = {how: spark.sql(f"SELECT x FROM {{df}} WHERE {text}", df=df, other=other).collect() for how, text in parts}
+            for how, rows in told.items():
+                assert sorted(found.filter(f"out = {how}").select("x").collect(), key=repr) == sorted(rows, key=repr)
+            assert found.count() == 5
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Broadcast" not in plan and "NestedLoop" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_not_in_under_or_is_no_nested_loop(spark, tmp_path):
+    kinds = ["view", "click", "error", "signup", "purchase", "error"]
+    rows = [(k, dt.datetime(2024, 1, 1, 0, 0, k), k % 3, kind, 1.5 * k, "{}") for k, kind in enumerate(kinds * 2)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    for part, expected in ((events, {"GET": 4, "POST": 4}), (events.filter("event_type <> 'error'"), {"GET": 4, "POST": 4})):
+        part.write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        found = queries()["sql_not_in_nulls"](spark, str(tmp_path))
+        assert dict(found.collect()) == expected
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_export_runs_the_plan_once(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
