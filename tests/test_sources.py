@@ -1,5 +1,6 @@
 import json
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from timberline.plans import load
 from timberline.plans.load import load_logs, path_pattern
 from timberline.sources import stored, text_files, triage as triage_module
 from timberline.sources.text_files import read_log_lines, read_utf16_lines, size_tier, with_line_numbers
-from timberline.sources.triage import triage
+from timberline.sources.triage import list_files, triage
 
 NGINX = '172.20.7.{0} - - [19/May/2022:05:41:09 +0200] "PUT /item/{0}?v=2 HTTP/1.1" 200 {0}'
 
@@ -387,3 +388,30 @@ def test_overrides_by_path(spark, tmp_path):
             load_logs(spark, str(tmp_path), format=table)
     finally:
         load.MOST_OVERRIDES = original
+
+
+def most_tasks(spark, run):
+    """The most tasks of one stage among those that ``run`` starts."""
+    group, tracker = uuid.uuid4().hex, spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(k) for job in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(job).stageIds]
+    return max(stage.numTasks for stage in stages if stage)
+
+
+def test_listing_of_many_folders(spark, tmp_path):
+    """Folders are listed by a bounded number of tasks, and the session's settings are as before."""
+    most = text_files._LISTERS * spark.sparkContext.defaultParallelism
+    for k in range(2 * most):
+        (tmp_path / f"user={k}").mkdir()
+        (tmp_path / f"user={k}" / "a.log").write_text(f"line {k}\n")
+    names = ["spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.hive.filesourcePartitionFileCacheSize"]
+    before = [spark.conf.get(name) for name in names]
+    made = []
+    assert most_tasks(spark, lambda: made.append(list_files(spark, str(tmp_path)))) <= most
+    assert most_tasks(spark, lambda: made.append(read_log_lines(spark, str(tmp_path)))) <= most
+    assert [m.count() for m in made] == [2 * most, 2 * most]
+    assert [spark.conf.get(name) for name in names] == before
