@@ -124,20 +124,28 @@ def _written_corpus(spark, folder):
 
 _NAME = r"file=([^/]+)/"
 
+# Tasks that a table of small splits is read in.
+TASKS_PER_CORE = 4
+
 
 @query(f"{_DETECTED} SELECT file, format, score, matched, sampled, confidence FROM detected")
 def detect_in_many_splits(spark, folder):
     """The same files, small as they are, read in splits of a few lines."""
     path = _written_corpus(spark, folder)
     small = {"spark.sql.files.maxPartitionBytes": "4KB", "spark.sql.files.openCostInBytes": "512"}
-    before = {name: spark.conf.get(name) for name in small}
+    # A task takes many splits, in place of one; a block is a split as before.
+    small["spark.sql.files.maxPartitionNum"] = str(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    before = {name: spark.conf.get(name, None) for name in small}
     try:
         for name, value in small.items():
             spark.conf.set(name, value)
         found = load_logs(spark, path).detection
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return found.drop("confidence_pct").withColumn("file", F.regexp_extract("file", _NAME, 1))
 
 

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import random
 import uuid
@@ -5,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from timberline.operators.detect import detect_format
 from timberline.operators.journald import assemble_journald
 from timberline.plans import load
@@ -402,6 +404,22 @@ def most_tasks(spark, run):
     return max(stage.numTasks for stage in stages if stage)
 
 
+def test_tasks_of_many_splits(spark, tmp_path):
+    """A task reads many of the small splits; the files are the same and have as many blocks."""
+    kinds = ["view", "click", "error", "signup", "purchase"]
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k), k % 7, kinds[k % 5], 1.5, "{}") for k in range(12000)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionNum"]
+    before, found = [spark.conf.get(name, None) for name in names], []
+    tasks = most_tasks(spark, lambda: found.extend(queries()["detect_in_many_splits"](spark, str(tmp_path)).collect()))
+    # The lines have some 120 splits; the limit on tasks is a suggestion, and a stage may read two tables.
+    assert tasks <= 10 * spark.sparkContext.defaultParallelism
+    plain = queries()["detect_corpus"](spark, str(tmp_path)).drop("confidence_pct").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, plain)) and len(found) == 7
+    assert [spark.conf.get(name, None) for name in names] == before
+
+
 def test_listing_of_many_folders(spark, tmp_path):
     """Folders are listed by a bounded number of tasks, and the session's settings are as before."""
     most = text_files._LISTERS * spark.sparkContext.defaultParallelism
